@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lipika.llm import grouped_split, stable_sample
 from lipika.llm.proportions import ProportionalSample
 from lipika.session import load
 
@@ -24,8 +25,28 @@ def p1_report(spark: SparkSession, root: str) -> DataFrame:
     return _proportions(spark, root).report()
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return grouped_split.tied(load(spark, root, "page_gt"), load(spark, root, "layout_bank"))
+
+
+def p2_splits(spark: SparkSession, root: str) -> DataFrame:
+    return grouped_split.assign(load(spark, root, "page_gt"), load(spark, root, "line_gt"), load(spark, root, "layout_bank"))
+
+
+def _images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, root, "error_taxonomy"), load(spark, root, "sarvam_transfer_probe"), load(spark, root, "prior_sample")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return stable_sample.kept(*_images(spark, root))
+
+
+def p3_sample(spark: SparkSession, root: str) -> DataFrame:
+    return stable_sample.draw(*_images(spark, root))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_report)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
@@ -40,6 +61,14 @@ t as (select t.target_id, max(t.plan_name) as plan_name, max(greatest(t.min_rows
   group by t.target_id)
 """
 
+_P3 = f"""
+with p as (select distinct {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id from prior_sample),
+seen as (select {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id from error_taxonomy
+  union select coalesce({_LABEL.format(c='script')}, lower(regexp_extract(image_path, '([^/]+)/images/', 1))), coalesce({_KEY.format(c='image_id')}, {_KEY.format(c="regexp_extract(image_path, 'images/([0-9]+)_', 1)")})
+  from sarvam_transfer_probe where lower(trim(condition)) = 'real')
+select language, image_id from p semi join seen using (language, image_id)
+"""
+
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p3_found": _P3}
