@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lipika.llm import grouped_split, stable_sample
+from lipika.llm import grouped_split, packing, stable_sample
 from lipika.llm.proportions import ProportionalSample
 from lipika.session import load
 
@@ -45,8 +45,16 @@ def p3_sample(spark: SparkSession, root: str) -> DataFrame:
     return stable_sample.draw(*_images(spark, root))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return packing.split_documents(load(spark, root, "documents"))
+
+
+def p5_pack(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(load(spark, root, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
+    return {f.__name__: f for f in (p5_found, p5_pack, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
@@ -71,4 +79,4 @@ select language, image_id from p semi join seen using (language, image_id)
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p3_found": _P3}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p3_found": _P3, "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
