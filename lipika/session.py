@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(SparkFiles.getRootDirectory(), f"lipika-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("lipika", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(path)
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` under ``root`` (one Parquet file or directory each)."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
