@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lipika.llm import grouped_split, packing, stable_sample
+from lipika.llm import grouped_split, lookalikes, packing, stable_sample
 from lipika.llm.proportions import ProportionalSample
 from lipika.session import load
 
@@ -45,6 +45,14 @@ def p3_sample(spark: SparkSession, root: str) -> DataFrame:
     return stable_sample.draw(*_images(spark, root))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return lookalikes.same_looking(load(spark, root, "sarvam_transfer_probe"), load(spark, root, "page_gt"))
+
+
+def p4_texts(spark: SparkSession, root: str) -> DataFrame:
+    return lookalikes.normalised(load(spark, root, "sarvam_transfer_probe"), load(spark, root, "page_gt"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return packing.split_documents(load(spark, root, "documents"))
 
@@ -54,7 +62,7 @@ def p5_pack(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pack, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
+    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
