@@ -110,12 +110,15 @@ def bare(text: str) -> str:
 
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
-    """member -> representative: the most used member, then the shortest, then the smallest."""
-    out = {}
-    for c in _members()[0]:
-        best = min(c, key=lambda m: (-counts.get(m, 0), len(m), m))
-        out |= {m: best for m in c if m != best}
-    return out
+    """member -> representative: the most used member, then one that isn't a compatibility form, the shortest, the smallest.
+
+    A representative of several letters is itself written in the
+    representatives of its letters, so that a class of sequences agrees with
+    the classes of single letters.
+    """
+    best = {m: min(c, key=lambda x: (-counts.get(x, 0), x != unicodedata.normalize("NFKD", x), len(x), x)) for c in _members()[0] for m in c}
+    single = {ord(m): r for m, r in best.items() if len(m) == 1 and len(r) == 1 and m != r}
+    return {m: to for m, r in best.items() if (to := r.translate(single) if len(r) > 1 else r) != m}
 
 
 def rewriter(rep: dict[str, str]) -> Callable[[str], str]:
