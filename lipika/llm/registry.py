@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lipika.llm import grouped_split, lookalikes, packing, sentences, stable_sample
+from lipika.llm import contamination, grouped_split, lookalikes, packing, sentences, stable_sample
 from lipika.llm.proportions import ProportionalSample
 from lipika.session import load
 
@@ -61,12 +61,16 @@ def p5_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(load(spark, root, "documents"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return contamination.leaks(load(spark, root, "documents"), load(spark, root, "eval_items"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(load(spark, root, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
+    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p6_found, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
