@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 
 # Consonants that take part in conjuncts, their virama, and extending marks, by Unicode 15.1 rule GB9c.
 CONSONANTS = (
-    r"क-हक़-य़ॸ-ॿক-নপ-রলশ-হড়ঢ়য়ৰৱ"
-    r"ક-નપ-રલળવ-હૹକ-ନପ-ରଲଳଵ-ହଡ଼ଢ଼ୟୱ"
-    r"క-నప-హౘ-ౚക-ഺ"
+    r"\u0915-\u0939\u0958-\u095f\u0978-\u097f\u0995-\u09a8\u09aa-\u09b0\u09b2\u09b6-\u09b9\u09dc\u09dd\u09df\u09f0\u09f1"
+    r"\u0a95-\u0aa8\u0aaa-\u0ab0\u0ab2\u0ab3\u0ab5-\u0ab9\u0af9\u0b15-\u0b28\u0b2a-\u0b30\u0b32\u0b33\u0b35-\u0b39\u0b5c\u0b5d\u0b5f\u0b71"
+    r"\u0c15-\u0c28\u0c2a-\u0c39\u0c58-\u0c5a\u0d15-\u0d3a"
 )
-VIRAMAS = r"्্્୍్്"
-EXTENDING = r"\p{Mn}‍াৗାୗാൗ"
+VIRAMAS = r"\u094d\u09cd\u0acd\u0b4d\u0c4d\u0d4d"
+EXTENDING = r"\p{Mn}\u200d\u09be\u09d7\u0b3e\u0b57\u0d3e\u0d57"
 CLUSTER = rf"(?:[{CONSONANTS}][{EXTENDING}]*[{VIRAMAS}][{EXTENDING}]*(?=[{CONSONANTS}]))*\X"
 # Indic and Arabic blocks whose clusters count as glyphs.
-GLYPH_BLOCKS = r"[ऀ-ॿঀ-৿਀-੿઀-૿଀-୿஀-௿؀-ۿݐ-ݿ᱐-᱿]"
-# Nasal and the consonants of its class.
-NASALS = {"ङ": "क-ङ", "ञ": "च-ञ", "ण": "ट-ण", "न": "त-न", "म": "प-म"}
+GLYPH_BLOCKS = r"[\u0900-\u097f\u0980-\u09ff\u0a00-\u0a7f\u0a80-\u0aff\u0b00-\u0b7f\u0b80-\u0bff\u0600-\u06ff\u0750-\u077f\u1c50-\u1c7f]"
+# Nasal, and first and last consonant of its class.
+NASALS = {"\u0919": ("\u0915", "\u0919"), "\u091e": ("\u091a", "\u091e"), "\u0923": ("\u091f", "\u0923"), "\u0928": ("\u0924", "\u0928"), "\u092e": ("\u092a", "\u092e")}
+# What counts as white space, as a class for both engines.
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Writings that count as one reading, longest first.
 SAME_READING = {
-    "ত্‍": "ৎ", "||": "..", "्‍": "्", "्‌": "्", "্‍": "্", "্‌": "্",
-    "क़": "क़", "ख़": "ख़", "ग़": "ग़", "ज़": "ज़", "ड़": "ड़", "ढ़": "ढ़",
-    "फ़": "फ़", "ড়": "ড়", "ঢ়": "ঢ়", "য়": "য়", "॥": "..",
+    "\u09a4\u09cd\u200d": "\u09ce", "||": "..",
+    "\u094d\u200d": "\u094d", "\u094d\u200c": "\u094d", "\u09cd\u200d": "\u09cd", "\u09cd\u200c": "\u09cd",
+    "\u0915\u093c": "\u0958", "\u0916\u093c": "\u0959", "\u0917\u093c": "\u095a", "\u091c\u093c": "\u095b", "\u0921\u093c": "\u095c", "\u0922\u093c": "\u095d", "\u092b\u093c": "\u095e",
+    "\u09a1\u09bc": "\u09dc", "\u09a2\u09bc": "\u09dd", "\u09af\u09bc": "\u09df", "\u0965": "..",
 }
-SINGLE_FROM = "।|" + "".join(chr(z + d) for z in (0x0966, 0x09E6) for d in range(10))
+SINGLE_FROM = "\u0964|" + "".join(chr(z + d) for z in (0x0966, 0x09E6) for d in range(10))
 SINGLE_TO = ".." + "0123456789" * 2
 #: Stand-ins for clusters where the built-in edit distance counts code points.
 STAND_INS = "".join(map(chr, (*range(0xE000, 0xF8FF), *range(0x3400, 0x9FFF))))
@@ -45,13 +48,14 @@ def glyph_clusters(c: Column) -> Column:
 
 def whitespace(c: Column) -> Column:
     """Runs of Unicode white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(c, f"{BLANKS}+", " "))
 
 
 def anusvara(c: Column) -> Column:
-    """Nasal and virama before a consonant of the nasal's class as anusvara."""
-    for nasal, consonants in NASALS.items():
-        c = F.regexp_replace(c, f"{nasal}्(?=[{consonants}])", "ं")
+    """Nasal and virama before a consonant of the nasal's class as anusvara, consonant by consonant."""
+    for nasal, (first, last) in NASALS.items():
+        for k in range(ord(first), ord(last) + 1):
+            c = F.replace(c, F.lit(f"{nasal}\u094d{chr(k)}"), F.lit(f"\u0902{chr(k)}"))
     return c
 
 
@@ -70,7 +74,7 @@ def tier1(c: Column, composed: bool = False) -> Column:
     c = anusvara(whitespace(c if composed else nfc(c)))
     for variant, to in SAME_READING.items():
         c = F.replace(c, F.lit(variant), F.lit(to))
-    return F.regexp_replace(F.translate(c, SINGLE_FROM, SINGLE_TO), r"(?U)\s+(\.+)", "$1")
+    return F.regexp_replace(F.translate(c, SINGLE_FROM, SINGLE_TO), f"{BLANKS}+(\\.+)", "$1")
 
 
 def _stand_in(known: Column, g: Column) -> Column:
