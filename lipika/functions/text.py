@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Consonants that take part in conjuncts, their virama, and extending marks, by Unicode 15.1 rule GB9c.
 CONSONANTS = (
@@ -59,7 +60,7 @@ def anusvara(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which the JVM side does not offer."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -103,7 +104,7 @@ def accuracy(rate: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - rate)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Decomposed, without nuktas and vowel signs (viramas stay), by the characters' Unicode names."""
 

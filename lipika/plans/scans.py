@@ -25,7 +25,7 @@ def a2_records_document(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold their rows under ``records``, one document for each script."""
     path = shared_path(spark, "documents")
     c = calls(spark, root).select("condition", "confidence", F.pmod("probe_id", F.lit(64)).alias("part"))
-    c.groupBy("part").agg(F.collect_list(F.struct("condition", "confidence")).alias("records")).select("records").write.json(path)
+    c.groupBy("part").agg(F.collect_list(F.struct("condition", "confidence")).alias("records")).write.partitionBy("part").json(path)
     d = records.read_records(spark, path, "condition string, confidence double")
     return d.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
 
