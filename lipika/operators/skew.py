@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 256
 
 
-def hot_keys(big: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys of ``big`` that hold at least ``share`` of its rows: at most ``1 / share`` rows.
+def hot_keys(big: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[tuple]:
+    """Keys of ``big`` that hold at least ``share`` of its rows: at most ``1 / share`` of them.
 
     The counts are pre-aggregated before the shuffle, so the hot key itself
-    moves as one row a task.
+    moves as one row a task. Mostly there is none, which one row tells.
     """
-    n = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = n.agg(F.sum("_n").alias("_total"))
-    return n.join(F.broadcast(total), F.col("_n") >= F.col("_total") * F.lit(share)).select(*keys)
+    n = big.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = n.agg(F.max("_n"), F.sum("_n")).first()
+    if not total or most < share * total:
+        return []
+    return [tuple(r) for r in n.where(F.col("_n") >= share * total).select(*keys).collect()]
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", share: float = HOT_SHARE) -> DataFrame:
@@ -27,10 +29,14 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
 
     Rows under hot keys are joined by broadcast (at most ``1 / share`` rows of
     ``small`` by construction); all others by a shuffle on the keys. ``how`` is
-    ``left`` or ``inner``. A null key matches nothing.
+    ``left`` or ``inner``. A null key matches nothing. ``big`` is counted
+    first, so a costly one should be a written table.
     """
     keys = list(keys)
-    hot = hot_keys(big.dropna(subset=keys), keys, share).withColumn("_hot", F.lit(True))
+    found = hot_keys(big, keys, share)
+    if not found:
+        return big.join(small, keys, how)
+    hot = big.sparkSession.createDataFrame([(*k, True) for k in found], big.select(*keys).schema.add("_hot", "boolean"))
     marked = big.join(F.broadcast(hot), keys, "left")
     few = small.join(F.broadcast(hot), keys, "left_semi")
     is_hot = F.col("_hot").isNotNull()
