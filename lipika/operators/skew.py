@@ -9,22 +9,25 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 256
+#: Fewer rows than this under one key are no burden to a task, whatever their share.
+HOT_ROWS = 100_000
 
 
-def hot_keys(big: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[tuple]:
-    """Keys of ``big`` that hold at least ``share`` of its rows: at most ``1 / share`` of them.
+def hot_keys(big: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list[tuple]:
+    """Keys of ``big`` that hold at least ``share`` of its rows, and ``rows`` of them: at most ``1 / share`` keys.
 
     The counts are pre-aggregated before the shuffle, so the hot key itself
     moves as one row a task. Mostly there is none, which one row tells.
     """
     n = big.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     most, total = n.agg(F.max("_n"), F.sum("_n")).first()
-    if not total or most < share * total:
+    least = max(share * (total or 0), rows)
+    if not total or most < least:
         return []
-    return [tuple(r) for r in n.where(F.col("_n") >= share * total).select(*keys).collect()]
+    return [tuple(r) for r in n.where(F.col("_n") >= least).select(*keys).collect()]
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", share: float = HOT_SHARE) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, which has each key once, without a hot task.
 
     Rows under hot keys are joined by broadcast (at most ``1 / share`` rows of
@@ -33,7 +36,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     first, so a costly one should be a written table.
     """
     keys = list(keys)
-    found = hot_keys(big, keys, share)
+    found = hot_keys(big, keys, share, rows)
     if not found:
         return big.join(small, keys, how)
     hot = big.sparkSession.createDataFrame([(*k, True) for k in found], big.select(*keys).schema.add("_hot", "boolean"))
