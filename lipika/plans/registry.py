@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ("scans", "predicates", "joins", "aggregates", "windows", "arrays", "texts")
+_MODULES = ("scans", "predicates", "joins", "aggregates", "windows", "arrays", "texts", "statistics", "samples")
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 
 
