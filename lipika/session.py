@@ -80,3 +80,15 @@ def drop_written(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns and no others, whatever else ``df`` carries.
+
+    Names are matched exactly, by position: a second column of the same name,
+    or one that differs in case only, makes nothing ambiguous. Of equal names
+    the first counts.
+    """
+    at = {n: df.columns.index(n) for n in names}
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[plain[f"c{i}"].alias(n) for n, i in at.items()])
