@@ -9,7 +9,9 @@ decomposed.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
@@ -44,9 +46,7 @@ SAME_BLOCKS = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0E33, 0x
 _COUNTS = "member string, n long"
 
 
-def invisible() -> dict[int, None]:
-    """For ``str.translate``: drop what has no glyph."""
-    return {c: None for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1)}
+INVISIBLE = re.compile("[" + "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in INVISIBLE_RANGES) + "]")
 
 
 def _listed(text: str) -> Iterator[tuple[str, str]]:
@@ -93,20 +93,32 @@ def classes(links: Iterable[tuple[str, str]] | None = None) -> list[list[str]]:
 _KEPT: dict[str, object] = {}
 
 
-def _members() -> tuple[list[list[str]], ahocorasick.Automaton, dict]:
+def _members() -> tuple[list[list[str]], ahocorasick.Automaton]:
     if "members" not in _KEPT:
         found, auto = classes(), ahocorasick.Automaton()
         for c in found:
             for m in c:
-                auto.add_word(m, m)
+                if len(m) > 1:
+                    auto.add_word(m, (len(m), m))
         auto.make_automaton()
-        _KEPT["members"] = (found, auto, invisible())
+        _KEPT["members"] = (found, auto)
     return _KEPT["members"]
 
 
+def _single() -> set[str]:
+    """Members that are single letters."""
+    if "single" not in _KEPT:
+        _KEPT["single"] = {m for c in _members()[0] for m in c if len(m) == 1}
+    return _KEPT["single"]
+
+
+def decomposed(text: str) -> str:
+    return text if text.isascii() or unicodedata.is_normalized("NFD", text) else unicodedata.normalize("NFD", text)
+
+
 def bare(text: str) -> str:
     """Without invisible characters, and with marks decomposed in canonical order."""
-    return unicodedata.normalize("NFD", text.translate(_members()[2]))
+    return decomposed(text if text.isascii() else INVISIBLE.sub("", text))
 
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
@@ -121,55 +133,88 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return {m: to for m, r in best.items() if (to := r.translate(single) if len(r) > 1 else r) != m}
 
 
-def rewriter(rep: dict[str, str]) -> Callable[[str], str]:
-    """The function that brings a text to its one form; it keeps what it has already brought there."""
+def _greedy(auto: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, length, value) of matches from the left, the longest at each place, none overlapping.
+
+    The automaton reports every match in one pass; the few there are get sorted.
+    """
+    found = sorted((end + 1 - v[0], -v[0], v[1]) for end, v in auto.iter(text))
+    at = 0
+    for start, n, to in found:
+        if start >= at:
+            yield start, -n, to
+            at = start - n
+
+
+def used_members(counts: dict[str, int]) -> list[str]:
+    """Members that a text of this corpus can need: those that occur, and the sequences of their classes."""
+    return sorted(m for c in _members()[0] if any(counts.get(m, 0) for m in c) for m in c if len(m) > 1 or counts.get(m, 0))
+
+
+def rewriter(rep: dict[str, str], used: list[str] | None = None) -> Callable[[str], str]:
+    """The function that brings a text to its one form; it keeps what it has already brought there.
+
+    Single letters that represent themselves need no match; sequences do, since
+    they keep their parts from being rewritten. ``used`` limits the automaton
+    to what the corpus holds, which keeps its root narrow.
+    """
     auto = ahocorasick.Automaton()
-    for c in _members()[0]:
-        for m in c:
+    for m in [m for c in _members()[0] for m in c] if used is None else used:
+        if m in rep or len(m) > 1:
             auto.add_word(m, (len(m), rep.get(m, m)))
+    if not len(auto):
+        auto.add_word("\x00\x00", (2, "\x00\x00"))
     auto.make_automaton()
 
     def once(text: str) -> str:
         out, at = [], 0
-        for end, (n, to) in auto.iter_long(text):
-            out += (text[at : end + 1 - n], to)
-            at = end + 1
+        for start, n, to in _greedy(auto, text):
+            out += (text[at:start], to)
+            at = start + n
         return "".join((*out, text[at:])) if out else text
 
     def rewrite(text: str) -> str:
         text = bare(text)
         for _ in range(4):  # a representative may complete another member with its neighbour
-            text, before = bare(once(text)), text
+            made = once(text)
+            if made is text:
+                break
+            text, before = decomposed(made), text
             if text == before:
                 break
-        return unicodedata.normalize("NFC", text)
+        return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
     return rewrite
 
 
 def member_counts(texts: DataFrame, column: str = "text") -> dict[str, int]:
-    """How often each member of a class occurs in all texts: partial counts by batch, summed; bounded by the classes."""
+    """How often each member of a class occurs in all texts: partial counts by task, summed; bounded by the classes.
+
+    Letters are counted wherever they stand, sequences by longest match.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, auto, _ = _members()
-        n: dict[str, int] = {}
+        _, auto = _members()
+        n: Counter[str] = Counter()
         for b in batches:
             for t in b[column].dropna():
-                for _, m in auto.iter_long(bare(t)):
-                    n[m] = n.get(m, 0) + 1
+                text = bare(t)
+                n.update(text)
+                n.update(m for _, _, m in _greedy(auto, text))
+        n = {m: k for m, k in n.items() if m in auto or m in _single()}
         yield pd.DataFrame({"member": list(n), "n": list(n.values())})
 
     found = texts.select(column).mapInPandas(count, _COUNTS).groupBy("member").agg(F.sum("n").alias("n"))
     return {r.member: r.n for r in found.collect()}
 
 
-def canonical(texts: DataFrame, columns: list[str], rep: dict[str, str]) -> DataFrame:
+def canonical(texts: DataFrame, columns: list[str], rep: dict[str, str], used: list[str] | None = None) -> DataFrame:
     """``texts`` with ``canon_<column>`` for each of ``columns``; null stays null, empty stays empty."""
 
     def one(name: str):
         @F.pandas_udf("string")
         def form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            rewrite = rewriter(rep)
+            rewrite = rewriter(rep, used)
             for s in parts:
                 yield s.map(lambda t: rewrite(t) if t is not None else None)
 
@@ -178,10 +223,11 @@ def canonical(texts: DataFrame, columns: list[str], rep: dict[str, str]) -> Data
     return texts.withColumns({f"canon_{c}": one(c) for c in columns})
 
 
-def corpus_form(probe: DataFrame, pages: DataFrame) -> dict[str, str]:
-    """Representatives by frequency over both texts of the probe and the pages' text."""
+def corpus_form(probe: DataFrame, pages: DataFrame) -> tuple[dict[str, str], list[str]]:
+    """Representatives, and members in use, by frequency over both texts of the probe and the pages' text."""
     texts = probe.select(F.col("ground_truth").alias("text")).unionByName(probe.select(F.col("sarvam_text").alias("text"))).unionByName(pages.select("text"))
-    return representatives(member_counts(texts))
+    counts = member_counts(texts)
+    return representatives(counts), used_members(counts)
 
 
 def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
@@ -192,10 +238,10 @@ def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
     writings, so copies of one text alone form no pairs. Null texts are no
     case; empty texts are equal.
     """
-    rep = corpus_form(probe, pages)
-    calls = canonical(probe.select("probe_id", "ground_truth", "sarvam_text").where("ground_truth <> sarvam_text"), ["ground_truth", "sarvam_text"], rep)
+    rep, used = corpus_form(probe, pages)
+    calls = canonical(probe.select("probe_id", "ground_truth", "sarvam_text").where("ground_truth <> sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
     of_probe = calls.where("canon_ground_truth = canon_sarvam_text").select(F.lit("probe").alias("record_kind"), F.col("probe_id").alias("id_a"), F.col("probe_id").alias("id_b"))
-    forms = canonical(pages.select("page_id", "text").where("text is not null"), ["text"], rep)
+    forms = canonical(pages.select("page_id", "text").where("text is not null"), ["text"], rep, used)
     keyed = forms.select("page_id", F.sha2("canon_text", 256).alias("form"), F.sha2("text", 256).alias("writing"))
     several = keyed.groupBy("form").agg(F.min("writing").alias("lo"), F.max("writing").alias("hi")).where("lo <> hi").select("form")
     some = keyed.join(several, "form", "left_semi")
@@ -206,9 +252,9 @@ def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
 
 def normalised(probe: DataFrame, pages: DataFrame) -> DataFrame:
     """(record_kind, record_id, field, text): every text in its one form."""
-    rep = corpus_form(probe, pages)
-    p = canonical(probe.select("probe_id", "ground_truth", "sarvam_text"), ["ground_truth", "sarvam_text"], rep)
-    g = canonical(pages.select("page_id", "text"), ["text"], rep)
+    rep, used = corpus_form(probe, pages)
+    p = canonical(probe.select("probe_id", "ground_truth", "sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
+    g = canonical(pages.select("page_id", "text"), ["text"], rep, used)
     rows = [(p, "probe", "probe_id", "ground_truth"), (p, "probe", "probe_id", "sarvam_text"), (g, "page", "page_id", "text")]
     made = [d.select(F.lit(kind).alias("record_kind"), F.col(i).alias("record_id"), F.lit(f).alias("field"), F.col(f"canon_{f}").alias("text")) for d, kind, i, f in rows]
     return made[0].unionByName(made[1]).unionByName(made[2])
