@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipika.session import written
+from lipika.session import pick, written
 
 CAPACITY = 4096
 #: Sizes are rounded up to this many steps of the capacity in the linear program; exact sizes return when it is rounded.
@@ -67,7 +67,7 @@ def items(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     if capacity < 8:
         raise ValueError("a container must hold the longest code point and an end mark")
-    sized = documents.select("doc_id", "text", byte_tokens(F.col("text")).alias("tokens")).where("text is not null")
+    sized = pick(documents, "doc_id", "text").select("doc_id", "text", byte_tokens(F.col("text")).alias("tokens")).where("text is not null")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

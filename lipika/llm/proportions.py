@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipika.llm.labels import engine, image_key, label
+from lipika.session import pick
 
 CATEGORY = ("engine", "language", "variant")
 BINS = 4096
@@ -35,7 +36,7 @@ def records(readings: DataFrame) -> DataFrame:
     Null or empty language, variant or image id are values of their own. An
     empty table gives no records; other columns are ignored.
     """
-    keyed = readings.select(
+    keyed = pick(readings, "engine", "language", "image_id", "variant", "row_no").select(
         engine("engine").alias("engine"), label("language").alias("language"), image_key("image_id").alias("image_id"), label("variant").alias("variant"), "row_no"
     )
     return keyed.groupBy("engine", "language", "image_id", "variant").agg(F.min("row_no").alias("row_no"))
@@ -62,7 +63,7 @@ class ProportionalSample:
 
     def __post_init__(self) -> None:
         self.drawn = records(self.readings).withColumn("priority", _priority(self.seed)).withColumn("bin", _bin(self.bins))
-        self.wishes = self.targets.select(
+        self.wishes = pick(self.targets, "target_id", "plan_name", "plan_size", "engine", "language", "variant", "target_share", "min_rows").select(
             "target_id", "plan_name", "plan_size", label("engine").alias("t_engine"), label("language").alias("t_language"), label("variant").alias("t_variant"), "target_share", F.coalesce("min_rows", F.lit(0)).alias("min_rows")
         )
 

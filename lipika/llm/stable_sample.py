@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.llm.labels import image_key, label
-from lipika.session import shared_path
+from lipika.session import pick, shared_path
 
 SHARE = 0.1
 KEY = ["language", "image_id"]
@@ -22,7 +22,7 @@ _PATH = r"(?i)([^/\\]+)[/\\]+images[/\\]+0*(\d+)_[a-z]+\.[a-z]+\s*$"
 
 def taxonomy_images(readings: DataFrame) -> DataFrame:
     """(language, image_id) of error_taxonomy rows; rows without a language or id name no image."""
-    return readings.select(label("language").alias("language"), image_key("image_id").alias("image_id")).dropna()
+    return pick(readings, "language", "image_id").select(label("language").alias("language"), image_key("image_id").alias("image_id")).dropna()
 
 
 def probe_images(calls: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def probe_images(calls: DataFrame) -> DataFrame:
     Where ``script`` or ``image_id`` is null, ``image_path`` names it.
     """
     from_path = lambda k: F.nullif(F.regexp_extract("image_path", _PATH, k), F.lit(""))
-    real = calls.where(label("condition") == "real")
+    real = pick(calls, "script", "condition", "image_id", "image_path").where(label("condition") == "real")
     return real.select(F.coalesce(label("script"), label(from_path(1))).alias("language"), F.coalesce(image_key("image_id"), image_key(from_path(2))).alias("image_id")).dropna()
 
 
@@ -95,7 +95,7 @@ def draw(readings: DataFrame, calls: DataFrame, prior: DataFrame, share: float =
     spark = readings.sparkSession
     registry = registry or Registry(spark, shared_path(spark, "registry"))
     threshold = registry.raise_threshold(share)
-    registry.insert(prior.select(label("language").alias("language"), image_key("image_id").alias("image_id")), "prior", below=threshold)
+    registry.insert(pick(prior, "language", "image_id").select(label("language").alias("language"), image_key("image_id").alias("image_id")), "prior", below=threshold)
     present = taxonomy_images(readings).unionByName(probe_images(calls)).distinct()
     registry.insert(present, "present")
     return registry.select().join(present, KEY, "left_semi")
