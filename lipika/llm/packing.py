@@ -219,8 +219,12 @@ def _fit(groups: list[tuple[int, tuple[int, ...]]], rest: dict[int, int], capaci
         n = rest[s]
         while n:
             i = bisect_left(by_gap, (s, (), 0))
-            gap, g, k = by_gap.pop(i) if i < len(by_gap) else (capacity, (), n)
-            each = max(1, min(gap // s, n)) if k <= 1 or n < k else 1
+            if i < len(by_gap):
+                gap, g, k = by_gap.pop(i)
+                each = 1 if k > 1 else min(gap // s, n)
+            else:  # new containers, each as full of this size as can be
+                each = min(capacity // s, n)
+                gap, g, k = capacity, (), n // each
             full = min(k, n // each)
             if full < k and g:
                 insort(by_gap, (gap, g, k - full))
