@@ -16,9 +16,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lipika.session import pick
+
 # Code points without a glyph of their own (default ignorable ones), as ranges.
 INVISIBLE_RANGES = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
@@ -193,18 +196,19 @@ def member_counts(texts: DataFrame, column: str = "text") -> dict[str, int]:
     Letters are counted wherever they stand, sequences by longest match.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, auto = _members()
         n: Counter[str] = Counter()
         for b in batches:
-            for t in b[column].dropna():
-                text = bare(t)
-                n.update(text)
-                n.update(m for _, _, m in _greedy(auto, text))
-        n = {m: k for m, k in n.items() if m in auto or m in _single()}
-        yield pd.DataFrame({"member": list(n), "n": list(n.values())})
-
-    found = texts.select(column).mapInPandas(count, _COUNTS).groupBy("member").agg(F.sum("n").alias("n"))
+            for t in b.column(0).to_pylist():
+                if t:
+                    text = bare(t)
+                    n.update(text)
+                    n.update(m for _, _, m in _greedy(auto, text))
+        kept = {m: k for m, k in n.items() if len(m) > 1 or m in _single()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["member", "n"])
+
+    found = texts.select(column).mapInArrow(count, _COUNTS).groupBy("member").agg(F.sum("n").alias("n"))
     return {r.member: r.n for r in found.collect()}
 
 
@@ -238,6 +242,7 @@ def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
     writings, so copies of one text alone form no pairs. Null texts are no
     case; empty texts are equal.
     """
+    probe, pages = pick(probe, "probe_id", "ground_truth", "sarvam_text"), pick(pages, "page_id", "text")
     rep, used = corpus_form(probe, pages)
     calls = canonical(probe.select("probe_id", "ground_truth", "sarvam_text").where("ground_truth <> sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
     of_probe = calls.where("canon_ground_truth = canon_sarvam_text").select(F.lit("probe").alias("record_kind"), F.col("probe_id").alias("id_a"), F.col("probe_id").alias("id_b"))
@@ -252,6 +257,7 @@ def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
 
 def normalised(probe: DataFrame, pages: DataFrame) -> DataFrame:
     """(record_kind, record_id, field, text): every text in its one form."""
+    probe, pages = pick(probe, "probe_id", "ground_truth", "sarvam_text"), pick(pages, "page_id", "text")
     rep, used = corpus_form(probe, pages)
     p = canonical(probe.select("probe_id", "ground_truth", "sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
     g = canonical(pages.select("page_id", "text"), ["text"], rep, used)
