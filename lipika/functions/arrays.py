@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, not once for each element of an array it is used on."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -18,14 +25,12 @@ def mean_of(a: Column, empty: float | None = None) -> Column:
 def floored(p: Column, floor: float) -> Column:
     """Probabilities of at least ``floor``, summing to 1 again."""
     up = F.transform(p, lambda x: F.greatest(x, F.lit(floor)))
-    s = total(up)
-    return F.transform(up, lambda x: x / s)
+    return let(up, lambda u: let(total(u), lambda s: F.transform(u, lambda x: x / s)))
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    e = let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return let(e, lambda u: let(total(u), lambda s: F.transform(u, lambda x: x / s)))
 
 
 def kl(p: Column, q: Column, floor: float = 1e-8) -> Column:

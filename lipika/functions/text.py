@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lipika.functions.arrays import let
+
 # Consonants that take part in conjuncts, their virama, and extending marks, by Unicode 15.1 rule GB9c.
 CONSONANTS = (
     r"\u0915-\u0939\u0958-\u095f\u0978-\u097f\u0995-\u09a8\u09aa-\u09b0\u09b2\u09b6-\u09b9\u09dc\u09dd\u09df\u09f0\u09f1"
@@ -84,9 +86,12 @@ def _stand_in(known: Column, g: Column) -> Column:
 
 def cluster_distance(a: Column, b: Column) -> Column:
     """Edit distance between two arrays of clusters, by the built-in one over stand-ins."""
-    known = F.array_distinct(F.concat(a, b))
-    text = lambda x: F.array_join(F.transform(x, lambda g: _stand_in(known, g)), "")
-    return F.when(F.size(known) > len(STAND_INS), F.raise_error(F.lit("too many distinct clusters"))).otherwise(F.levenshtein(text(a), text(b)))
+
+    def measured(x: Column, y: Column, known: Column) -> Column:
+        text = lambda v: F.array_join(F.transform(v, lambda g: _stand_in(known, g)), "")
+        return F.when(F.size(known) > len(STAND_INS), F.raise_error(F.lit("too many distinct clusters"))).otherwise(F.levenshtein(text(x), text(y)))
+
+    return let(a, lambda x: let(b, lambda y: let(F.array_distinct(F.concat(x, y)), lambda known: measured(x, y, known))))
 
 
 def error_rate(distance: Column, gt_len: Column, hyp_len: Column, empty: str = "inf") -> Column:
@@ -149,12 +154,14 @@ def tail_repeats(items: Column, n: int) -> Column:
 
 def repeated_text(gt: Column, hyp: Column) -> Column:
     """Whether ``hyp`` repeats a word, a closing phrase of 2-4 words, or the whole of ``gt``."""
-    g, h = words(gt), words(hyp)
-    run = longest_run(h)
-    by_word = (run["n"] >= 3) & (run["n"] > F.size(F.filter(g, lambda x: x == run["item"])) + 1)
-    by_phrase = (tail_repeats(h, 2) >= 3) | (tail_repeats(h, 3) >= 3) | (tail_repeats(h, 4) >= 3)
-    t = whitespace(gt)
-    return F.coalesce((F.size(h) > 0) & (by_word | by_phrase | ((F.length(t) > 0) & (occurrences(whitespace(hyp), t) >= 2))), F.lit(False))
+
+    def repeats(g: Column, h: Column, run: Column) -> Column:
+        by_word = (run["n"] >= 3) & (run["n"] > F.size(F.filter(g, lambda x: x == run["item"])) + 1)
+        by_phrase = (tail_repeats(h, 2) >= 3) | (tail_repeats(h, 3) >= 3) | (tail_repeats(h, 4) >= 3)
+        t = F.array_join(g, " ")
+        return (F.size(h) > 0) & (by_word | by_phrase | ((F.length(t) > 0) & (occurrences(F.array_join(h, " "), t) >= 2)))
+
+    return F.coalesce(let(words(gt), lambda g: let(words(hyp), lambda h: let(longest_run(h), lambda run: repeats(g, h, run)))), F.lit(False))
 
 
 def reordered(gt: Column, hyp: Column) -> Column:

@@ -81,8 +81,8 @@ def test_special():
 
 def test_distributions(spark):
     d = spark.createDataFrame([([0.1, 0.7, 0.2], [0.1, 0.7, 0.2], [0.5, 0.25, 0.25])], "p array<double>, q array<double>, r array<double>")
-    x = d.select(arrays.kl(F.col("p"), F.col("q")).alias("k"), arrays.overlap(F.col("p"), F.col("q")).alias("o"), arrays.overlap(F.col("p"), F.col("r")).alias("o2"), arrays.rank_of(F.col("p"), F.lit(2)).alias("r"), arrays.argmax(F.col("p")).alias("a"), arrays.entropy(F.col("r")).alias("h"), arrays.top_k(F.col("p"), 2).alias("t")).first()
-    assert x.k == pytest.approx(0) and x.o == pytest.approx(1) and x.o2 == pytest.approx(1 - 0.45) and (x.r, x.a) == (2, 1)
+    x = d.select(arrays.kl(F.col("p"), F.col("q")).alias("k"), arrays.overlap(F.col("p"), F.col("q")).alias("o"), arrays.overlap(F.col("p"), F.col("r")).alias("o2"), arrays.rank_of(F.col("p"), F.lit(2)).alias("rk"), arrays.argmax(F.col("p")).alias("am"), arrays.entropy(F.col("r")).alias("h"), arrays.top_k(F.col("p"), 2).alias("t")).first()
+    assert x.k == pytest.approx(0) and x.o == pytest.approx(1) and x.o2 == pytest.approx(1 - 0.45) and (x.rk, x.am) == (2, 1)
     assert x.h == pytest.approx(1.0397207708) and [y.i for y in x.t] == [1, 2]
     k = spark.createDataFrame([([1, 2, 3],), ([3, 2, 1],), ([1],), ([],)], "o array<int>").select(arrays.kendall(F.col("o"))).collect()
     assert [r[0] for r in k] == [1.0, -1.0, 1.0, 1.0]
