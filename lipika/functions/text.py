@@ -171,10 +171,10 @@ def reordered(gt: Column, hyp: Column) -> Column:
 
 
 def misread(gt: Column, hyp: Column) -> Column:
-    """Lengths within a factor of 0.4 and at most three quarters of the longer changed."""
+    """Lengths within a factor of 0.4 and some, but at most three quarters, of the longer changed."""
     a, b = F.length(gt), F.length(hyp)
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    return F.coalesce((lo > 0) & (lo >= 0.4 * hi) & (F.levenshtein(gt, hyp) <= 0.75 * hi), F.lit(False))
+    lo, hi, dist = F.least(a, b), F.greatest(a, b), F.levenshtein(gt, hyp)
+    return F.coalesce((lo > 0) & (lo >= 0.4 * hi) & (dist > 0) & (dist <= 0.75 * hi), F.lit(False))
 
 
 def charset(c: Column, trained: str, image: str) -> Column:

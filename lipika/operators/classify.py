@@ -28,10 +28,12 @@ def review_outcome(gt: Column, hyp: Column, gt_form: Column, hyp_form: Column, l
 
 
 def residual_label(gt: Column, hyp: Column, gt_bare: Column, hyp_bare: Column) -> Column:
-    """Suggested label of what no tier explains, by priority; null where nothing fits or a side is blank."""
-    blank = (text.whitespace(gt) == "") | (text.whitespace(hyp) == "")
-    dropped = (gt_bare == hyp_bare) & (gt != hyp) & ((gt_bare != gt) | (hyp_bare != hyp))
-    return F.when(blank, None).when(text.repeated_text(gt, hyp), "hallucinated-repeated-text").when(text.reordered(gt, hyp), "reading-order-break").when(dropped, "dropped-matra-nukta").when(text.misread(gt, hyp), "genuine-misread")
+    """Suggested label of what no tier explains, by priority; null where nothing fits or the texts are equal.
+
+    All four texts are white-space-normalised; the bare ones are without vowel signs and nuktas.
+    """
+    dropped = (gt_bare == hyp_bare) & ((gt_bare != gt) | (hyp_bare != hyp))
+    return F.when(gt == hyp, None).when(text.repeated_text(gt, hyp), "hallucinated-repeated-text").when(text.reordered(gt, hyp), "reading-order-break").when(dropped, "dropped-matra-nukta").when(text.misread(gt, hyp), "genuine-misread")
 
 
 def position_bucket(i: Column) -> Column:
@@ -42,30 +44,47 @@ def position_bucket(i: Column) -> Column:
 
 
 def layout_category(regions: Column) -> Column:
-    """form, table-embedded, two-column, marginalia or single-column, from the regions' kinds and sizes."""
-    kind = lambda r, *names: F.lower(F.coalesce(r["kind"], F.lit(""))).isin(*names)
-    table = F.exists(regions, lambda r: kind(r, "table", "infobox") & (((r["height"] >= 0.18) & (r["width"] >= 0.25)) | (r["width"] * r["height"] >= 0.08)))
-    bodies = F.transform(F.filter(regions, lambda r: kind(r, "body", "text", "column", "paragraph") & (r["width"] >= 0.20) & (r["height"] >= 0.15)), lambda r: r["x"] + r["width"] / 2)
+    """form, table-embedded, two-column, marginalia or single-column: from specific to general.
+
+    A real table is large in both directions, or all tables cover 0.08 of the
+    page; columns are text bodies whose centres lie 0.25 apart; margins are
+    named so, or thin tall regions at an edge.
+    """
+    kind = lambda r, name: F.coalesce(r["kind"], F.lit("")) == name
+    tables = F.filter(regions, lambda r: kind(r, "table"))
+    area = F.aggregate(tables, F.lit(0.0), lambda a, r: a + r["width"] * r["height"])
+    table = F.exists(tables, lambda r: (r["height"] >= 0.18) & (r["width"] >= 0.25)) | (area >= 0.08)
+    bodies = F.transform(F.filter(regions, lambda r: kind(r, "text") & (r["width"] >= 0.20) & (r["height"] >= 0.15)), lambda r: r["x"] + r["width"] / 2)
     spread = (F.size(bodies) >= 2) & (F.array_max(bodies) - F.array_min(bodies) >= 0.25)
-    return F.when(F.exists(regions, lambda r: kind(r, "form", "widget", "field")), "form").when(table, "table-embedded").when(spread, "two-column").when(F.exists(regions, lambda r: kind(r, "margin", "marginalia", "margin-note")), "marginalia").otherwise("single-column")
+    edge = F.exists(regions, lambda r: ((r["x"] < 0.08) | (r["x"] + r["width"] > 0.92)) & (r["width"] < 0.18) & (r["height"] > 0.20))
+    return F.when(F.exists(regions, lambda r: kind(r, "form_field")), "form").when(table, "table-embedded").when(spread, "two-column").when(F.exists(regions, lambda r: kind(r, "margin")) | edge, "marginalia").otherwise("single-column")
 
 
 def confusion_tag(a: Column, b: Column) -> Column:
     """How two clusters are alike, by their first code points."""
     x, y = F.ascii(a), F.ascii(b)
-    mark = lambda c: c.rlike(r"^\p{M}")
-    return F.when(a == b, "same").when(mark(a) | mark(b), "mark").when(x == y, "same-base").when(F.abs(x - y) <= 5, "near-code-point").otherwise("other")
+    both = x.between(0x0900, 0x097F) & y.between(0x0900, 0x097F)
+    empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    return (
+        F.when(empty, "empty").when(a == b, "identical").when((x == y) & (F.char_length(a) != F.char_length(b)), "same-base-matra-diff").when(x == y, "same-base")
+        .when(both & (F.abs(x - y) <= 5), "adjacent-codepoint").when(both, "both-devanagari").otherwise("dissimilar")
+    )
 
 
-def curve_reading(first_loss: Column, last_loss: Column, gap_change: Column) -> Column:
+def curve_reading(points: Column, first_loss: Column, last_loss: Column, gap_change: Column) -> Column:
     """What a training curve says: (a) loss falls while the gap stays, (b) the gap widens, modest, or undecided."""
-    ratio = F.try_divide(first_loss, last_loss)
-    return F.when((ratio >= 100) & (F.abs(gap_change) < 0.05), "a").when(gap_change > 0.05, "b").when(ratio < 10, "modest").otherwise("undecided")
-
-
-def feasibility(accuracy: Column, crossover: Column) -> Column:
-    """All reasons against, as an array; empty where the test is feasible."""
-    return F.array_compact(F.array(F.when(accuracy < 0.05, "accuracy below 5 %"), F.when(accuracy < 0.02, "accuracy below 2 %"), F.when(crossover < 50, "fewer than 50 in common")))
+    ratio = F.when(last_loss > 0, first_loss / last_loss)
+    flat = F.abs(gap_change) < 0.05
+    return F.when(points < 2, "insufficient").when((ratio >= 100) & flat, "a").when(gap_change > 0.05, "b").when(ratio < 10, "modest").otherwise("undecided")
+
+
+def feasibility(natural: Column, flattened: Column, inverted: Column, crossover: Column) -> Column:
+    """All reasons against a fit over three conditions' accuracies, as an array; empty where it is feasible."""
+    n, f, i = F.coalesce(natural, F.lit(0.0)), flattened, inverted
+    return F.array_compact(F.array(
+        F.when(n < 0.05, "natural below 5 %"), F.when((F.coalesce(f, F.lit(1.0)) < 0.02) & (F.coalesce(i, F.lit(1.0)) < 0.02), "flattened and inverted below 2 %"),
+        F.when(F.coalesce(f, F.lit(0.0)) < 0.05, "flattened below 5 %"), F.when(crossover < 50, "fewer than 50 in common"),
+    ))
 
 
 def script_class(g: Column, trained: str, image: str) -> Column:

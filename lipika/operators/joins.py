@@ -71,14 +71,18 @@ def bind_to_headers(cells: DataFrame, headers: DataFrame, table: Sequence[str])
     return lookup_join(cells, h, list(table), "inner").withColumn("bound", -F.array_max(scored)["c"]).drop("_h")
 
 
-def votes_order(blocks: Column) -> Column:
-    """Ids of blocks (struct id, x, y, height) by pairwise votes: above wins; on one band the left wins.
+def votes_order(blocks: Column, band: float = 0.02) -> Column:
+    """Ids of blocks (struct id, x, y) by pairwise votes: above wins; within a band the left one, else the later in the array.
 
     Works on the array of one page, whose length is the page's; ties by id.
     """
-    before = lambda a, b: F.when(F.abs(a["y"] - b["y"]) <= F.least(a["height"], b["height"]) / 2, a["x"] < b["x"]).otherwise(a["y"] < b["y"])
-    score = F.transform(blocks, lambda a: F.struct((-F.size(F.filter(blocks, lambda b: (b["id"] != a["id"]) & before(a, b)))).alias("s"), a["id"].alias("id")))
-    return F.transform(F.array_sort(score), lambda s: s["id"])
+    before = lambda a, b: F.when(a["y"] + band < b["y"], True).when(b["y"] + band < a["y"], False).otherwise(a["x"] < b["x"])
+
+    def votes(a: Column, i: Column) -> Column:
+        won = F.transform(blocks, lambda b, j: F.when(j > i, before(a, b)).when(j < i, ~before(b, a)).otherwise(False))
+        return F.struct((-F.size(F.filter(won, lambda w: w))).alias("s"), a["id"].alias("id"))
+
+    return F.transform(F.array_sort(F.transform(blocks, votes)), lambda s: s["id"])
 
 
 def ngrams(tokens: Column, n: int, bos: str = "<BOS>", eos: str = "<EOS>") -> Column:

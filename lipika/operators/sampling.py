@@ -29,13 +29,12 @@ def seats(sizes: dict[str, int], n: int, hamilton: bool = False) -> dict[str, in
     total = sum(sizes.values())
     if total <= n:
         return dict(sizes)
-    exact = {k: n * v / total for k, v in sizes.items()}
-    out = {k: min(sizes[k], max(1, int(exact[k]))) for k in sizes}
-    while sum(out.values()) > n:
-        k = max(out, key=lambda x: (out[x], x))
-        out[k] -= 1
-    order = sorted(sizes, key=lambda k: (-(exact[k] - int(exact[k])), k))
-    left = n - sum(out.values())
+    exact = {k: n * sizes[k] / total for k in sorted(sizes)}
+    out = {k: min(sizes[k], max(1, int(exact[k]))) for k in exact}
+    while sum(out.values()) > n and max(out.values()) > 1:
+        out[max(out, key=lambda x: (out[x], exact[x]))] -= 1
+    order = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], -exact[k]))
+    left = max(0, n - sum(out.values()))
     while left and any(out[k] < sizes[k] for k in order):
         for k in order:
             give = min(left, sizes[k] - out[k], 1 if hamilton else left)

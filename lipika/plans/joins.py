@@ -162,13 +162,16 @@ def c16_exposure_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return x.join(o, ["language", "ch"]).groupBy("language").agg(F.count(F.lit(1)).alias("glyphs"), F.round(F.sum(F.col("exposure") * F.col("acc")) / F.sum("exposure"), 6).alias("weighted"))
 
 
-@query(f"""with r as ({_REG}), v as (select a.layout_id, a.name, sum(case when b.name is null then 0 when abs(a.y - b.y) <= least(a.height, b.height) / 2 then (case when a.x < b.x then 1 else 0 end) when a.y < b.y then 1 else 0 end) as s
-  from r a left join r b on a.layout_id = b.layout_id and a.name <> b.name group by a.layout_id, a.name)
+_BEFORE = "case when {a}.y + 0.02 < {b}.y then true when {b}.y + 0.02 < {a}.y then false else {a}.x < {b}.x end"
+
+
+@query(f"""with r as (select layout_id, i, regions[i].name as name, regions[i].x as x, regions[i].y as y from (select layout_id, regions, unnest(range(1, len(regions) + 1)) as i from layout_bank)),
+  v as (select a.layout_id, a.i, a.name, count(*) filter (where b.i > a.i and {_BEFORE.format(a='a', b='b')} or b.i < a.i and not ({_BEFORE.format(a='b', b='a')})) as s from r a join r b on a.layout_id = b.layout_id group by all)
   select layout_id, string_agg(name, ',' order by s desc, name) as ord from v group by layout_id""")
 def c17_order_votes(spark: SparkSession, root: str) -> DataFrame:
     """Reading order of a page's regions by pairwise votes."""
-    blocks = F.transform("regions", lambda r: F.struct(r["name"].alias("id"), r["x"].alias("x"), r["y"].alias("y"), r["height"].alias("height")))
-    return load(spark, root, "layout_bank").select("layout_id", F.array_join(joins.votes_order(blocks), ",").alias("ord"))
+    blocks = F.transform("regions", lambda r: F.struct(r["name"].alias("id"), r["x"].alias("x"), r["y"].alias("y")))
+    return load(spark, root, "layout_bank").where(F.size("regions") > 0).select("layout_id", F.array_join(joins.votes_order(blocks), ",").alias("ord"))
 
 
 @query(f"""with p as (select distinct {lab('script')} as script, lower(trim(mode)) as mode, coalesce(page_idx, try_cast(regexp_extract(stem, '([0-9]+)$', 1) as int)) as page_no from page_gt),

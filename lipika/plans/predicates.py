@@ -87,7 +87,8 @@ def b9_correctness_gate(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def b10_residual_label(spark: SparkSession, root: str) -> DataFrame:
     """Suggested labels for readings that no tier explains, against the recorded ones."""
-    d = _forms(readings(spark, root)).where("gt_form <> hyp_form").withColumns({"gt_bare": text.without_marks(F.col("gt")), "hyp_bare": text.without_marks(F.col("hyp"))})
+    d = _forms(readings(spark, root)).where("gt_form <> hyp_form").withColumns({"gt": text.whitespace(F.col("gt")), "hyp": text.whitespace(F.col("hyp"))})
+    d = d.withColumns({"gt_bare": text.without_marks(F.col("gt")), "hyp_bare": text.without_marks(F.col("hyp"))})
     s = classify.residual_label(F.col("gt"), F.col("hyp"), F.col("gt_bare"), F.col("hyp_bare"))
     return d.groupBy(F.col("label"), s.alias("suggested")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -104,26 +105,24 @@ def b12_adjudicated(spark: SparkSession, root: str) -> DataFrame:
     return last_readings(spark, root).groupBy("engine").agg(F.count_if(F.col("label").isin(*known)).alias("adjudicated"), F.count(F.lit(1)).alias("n"))
 
 
-_KIND = "lower(coalesce(r.kind, ''))"
+_T = "list_filter(regions, lambda r: coalesce(r.kind, '') = 'table')"
+_C = "list_transform(list_filter(regions, lambda r: coalesce(r.kind, '') = 'text' and r.width >= 0.20 and r.height >= 0.15), lambda r: r.x + r.width / 2)"
 
 
-@query(f"""select case
-  when len(list_filter(regions, lambda r: {_KIND} in ('form', 'widget', 'field'))) > 0 then 'form'
-  when len(list_filter(regions, lambda r: {_KIND} in ('table', 'infobox') and ((r.height >= 0.18 and r.width >= 0.25) or r.width * r.height >= 0.08))) > 0 then 'table-embedded'
-  when len(list_filter(regions, lambda r: {_KIND} in ('body', 'text', 'column', 'paragraph') and r.width >= 0.20 and r.height >= 0.15)) >= 2 and
-    list_max(list_transform(list_filter(regions, lambda r: {_KIND} in ('body', 'text', 'column', 'paragraph') and r.width >= 0.20 and r.height >= 0.15), lambda r: r.x + r.width / 2))
-    - list_min(list_transform(list_filter(regions, lambda r: {_KIND} in ('body', 'text', 'column', 'paragraph') and r.width >= 0.20 and r.height >= 0.15), lambda r: r.x + r.width / 2)) >= 0.25 then 'two-column'
-  when len(list_filter(regions, lambda r: {_KIND} in ('margin', 'marginalia', 'margin-note'))) > 0 then 'marginalia'
+@query(f"""select case when len(list_filter(regions, lambda r: coalesce(r.kind, '') = 'form_field')) > 0 then 'form'
+  when len(list_filter({_T}, lambda r: r.height >= 0.18 and r.width >= 0.25)) > 0 or coalesce(list_sum(list_transform({_T}, lambda r: r.width * r.height)), 0) >= 0.08 then 'table-embedded'
+  when len({_C}) >= 2 and list_max({_C}) - list_min({_C}) >= 0.25 then 'two-column'
+  when len(list_filter(regions, lambda r: coalesce(r.kind, '') = 'margin' or ((r.x < 0.08 or r.x + r.width > 0.92) and r.width < 0.18 and r.height > 0.20))) > 0 then 'marginalia'
   else 'single-column' end as derived, count(*) as n from layout_bank group by 1""")
 def b13_layout_category(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "layout_bank").groupBy(classify.layout_category(F.col("regions")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {READINGS}, ends as (select substr(gt, 1, 1) as a, substr(hyp, 1, 1) as b from readings where gt <> '' and hyp <> '')
-  select case when a = b then 'same' when regexp_matches(a, '^\\p{{M}}') or regexp_matches(b, '^\\p{{M}}') then 'mark' when abs(ord(a) - ord(b)) <= 5 then 'near-code-point' else 'other' end as tag, count(*) as n from ends group by 1""")
+@query(f"""with {READINGS}, ends as (select substr(gt, 1, 1) as a, substr(hyp, 1, 1) as b from readings)
+  select case when a = '' or b = '' then 'empty' when a = b then 'identical' when ord(a) between 2304 and 2431 and ord(b) between 2304 and 2431 and abs(ord(a) - ord(b)) <= 5 then 'adjacent-codepoint'
+  when ord(a) between 2304 and 2431 and ord(b) between 2304 and 2431 then 'both-devanagari' else 'dissimilar' end as tag, count(*) as n from ends group by 1""")
 def b14_confusion_tag(spark: SparkSession, root: str) -> DataFrame:
-    d = readings(spark, root).where("gt <> '' and hyp <> ''")
-    return d.groupBy(classify.confusion_tag(F.substring("gt", 1, 1), F.substring("hyp", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return readings(spark, root).groupBy(classify.confusion_tag(F.substring("gt", 1, 1), F.substring("hyp", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select case when line_index = 0 then '0' when line_index = 1 then '1' when line_index between 2 and 9 then '2-9' when line_index between 10 and 19 then '10-19'
@@ -132,26 +131,32 @@ def b15_range_bucket(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "line_gt").groupBy(classify.position_bucket(F.col("line_index")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CURVE = """curve as (select user_id, arg_min(value, struct_pack(a := ts, b := event_id)) as first_v, arg_max(value, struct_pack(a := ts, b := event_id)) as last_v from events where value is not null group by user_id)"""
+_CURVE = """curve as (select user_id, count(*) as k, arg_min(value, struct_pack(a := ts, b := event_id)) as first_v, arg_max(value, struct_pack(a := ts, b := event_id)) as last_v from events where value is not null group by user_id)"""
 
 
-@query(f"""with {_CURVE} select case when last_v <> 0 and first_v / last_v >= 100 and abs((last_v - first_v) / 1000) < 0.05 then 'a' when (last_v - first_v) / 1000 > 0.05 then 'b'
-  when last_v <> 0 and first_v / last_v < 10 then 'modest' else 'undecided' end as reading, count(*) as n from curve group by 1""")
+@query(f"""with {_CURVE} select case when k < 2 then 'insufficient' when last_v > 0 and first_v / last_v >= 100 and abs((last_v - first_v) / 1000) < 0.05 then 'a' when (last_v - first_v) / 1000 > 0.05 then 'b'
+  when last_v > 0 and first_v / last_v < 10 then 'modest' else 'undecided' end as reading, count(*) as n from curve group by 1""")
 def b16_curve_interpretation(spark: SparkSession, root: str) -> DataFrame:
     """First against last value of each user's events."""
     e = load(spark, root, "events").where("value is not null")
     at = F.struct("ts", "event_id")
-    c = e.groupBy("user_id").agg(F.min_by("value", at).alias("first_v"), F.max_by("value", at).alias("last_v"))
-    return c.groupBy(classify.curve_reading(F.col("first_v"), F.col("last_v"), (F.col("last_v") - F.col("first_v")) / 1000).alias("reading")).agg(F.count(F.lit(1)).alias("n"))
+    c = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"), F.min_by("value", at).alias("first_v"), F.max_by("value", at).alias("last_v"))
+    return c.groupBy(classify.curve_reading(F.col("k"), F.col("first_v"), F.col("last_v"), (F.col("last_v") - F.col("first_v")) / 1000).alias("reading")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FEAS = f"""{READINGS}, g as (select engine, language, avg(case when bucket = 'TIER1' then 1.0 else 0.0 end) as acc, count(distinct image_id) as common from readings group by all)"""
+_FEAS = f"""{READINGS}, g as (select language, avg((bucket = 'TIER1')::int) filter (where engine = 'tesseract') as a, avg((bucket = 'TIER1')::int) filter (where engine = 'surya') as b, avg((bucket = 'TIER1')::int) filter (where engine = 'paddleocr') as c from readings group by language),
+  i as (select language, count(*) filter (where k >= 2) as common from (select language, image_id, count(distinct engine) as k from readings group by all) group by language)"""
 
 
-@query(f"""with {_FEAS} select engine, language, coalesce(array_to_string(list_filter([case when acc < 0.05 then 'accuracy below 5 %' end, case when acc < 0.02 then 'accuracy below 2 %' end, case when common < 50 then 'fewer than 50 in common' end], lambda x: x is not null), '; '), '') as reasons from g""")
+@query(f"""with {_FEAS} select g.language, array_to_string(list_filter([case when coalesce(a, 0) < 0.05 then 'natural below 5 %' end, case when coalesce(b, 1) < 0.02 and coalesce(c, 1) < 0.02 then 'flattened and inverted below 2 %' end,
+  case when coalesce(b, 0) < 0.05 then 'flattened below 5 %' end, case when common < 50 then 'fewer than 50 in common' end], lambda x: x is not null), '; ') as reasons from g join i on g.language is not distinct from i.language""")
 def b17_feasibility(spark: SparkSession, root: str) -> DataFrame:
-    g = readings(spark, root).groupBy("engine", "language").agg(F.avg((F.col("bucket") == "TIER1").cast("double")).alias("acc"), F.count_distinct("image_id").alias("common"))
-    return g.select("engine", "language", F.array_join(classify.feasibility(F.col("acc"), F.col("common")), "; ").alias("reasons"))
+    """Reasons against comparing three conditions (the engines stand for them) within a language."""
+    r = readings(spark, root)
+    acc = lambda e: F.avg(F.when(F.col("engine") == e, (F.col("bucket") == "TIER1").cast("double")))
+    g = r.groupBy("language").agg(acc("tesseract").alias("a"), acc("surya").alias("b"), acc("paddleocr").alias("c"))
+    i = r.groupBy("language", "image_id").agg(F.count_distinct("engine").alias("k")).groupBy(F.col("language").alias("l")).agg(F.count_if(F.col("k") >= 2).alias("common"))
+    return g.join(i, g.language.eqNullSafe(i.l)).select("language", F.array_join(classify.feasibility(F.col("a"), F.col("b"), F.col("c"), F.col("common")), "; ").alias("reasons"))
 
 
 @query(f"""with {READINGS}, c as (select language, unnest(string_split(gt, '')) as ch from readings)

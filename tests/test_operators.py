@@ -95,8 +95,16 @@ def test_bins_and_classes(spark):
     assert e == [0, 1, 2, 2, None]
     b = [r[0] for r in spark.range(0, 45).select(classify.position_bucket(F.col("id"))).collect()]
     assert b[0] == "0" and b[9] == "2-9" and b[39] == "20-39" and b[44] == "40+"
-    f = spark.createDataFrame([(0.01, 30), (0.5, 90)], "a double, c int").select(classify.feasibility(F.col("a"), F.col("c"))).collect()
-    assert len(f[0][0]) == 3 and f[1][0] == []
+    f = spark.createDataFrame([(0.01, 0.01, 0.0, 30), (0.5, 0.5, None, 90)], "a double, b double, i double, c int").select(classify.feasibility(*map(F.col, "abic"))).collect()
+    assert len(f[0][0]) == 4 and f[1][0] == []
+    t = [r[0] for r in spark.createDataFrame([("क", "क"), ("का", "क"), ("क", "ग"), ("क", "ह"), ("क", "x"), ("", "x")], "a string, b string").select(classify.confusion_tag(F.col("a"), F.col("b"))).collect()]
+    assert t == ["identical", "same-base-matra-diff", "adjacent-codepoint", "both-devanagari", "dissimilar", "empty"]
+    c = [r[0] for r in spark.createDataFrame([(2, 200.0, 1.0, 0.0), (2, 2.0, 1.0, 0.2), (2, 2.0, 1.0, 0.0), (1, 1.0, 1.0, 0.0), (2, 50.0, 1.0, 0.0)], "n int, a double, b double, g double").select(classify.curve_reading(*map(F.col, "nabg"))).collect()]
+    assert c == ["a", "b", "modest", "insufficient", "undecided"]
+    box = lambda k, x, y, w, h: (k, x, y, w, h)
+    pages = [[box("form_field", 0.1, 0.1, 0.1, 0.1)], [box("text", 0.1, 0.1, 0.3, 0.5), box("text", 0.6, 0.1, 0.3, 0.5), box("table", 0.0, 0.0, 0.1, 0.1)], [box("margin", 0.0, 0.1, 0.1, 0.5)], [box("text", 0.95, 0.1, 0.05, 0.5)], [box("table", 0.1, 0.1, 0.3, 0.2)], [box("text", 0.1, 0.1, 0.8, 0.8)], []]
+    d = spark.createDataFrame([(p,) for p in pages], "r array<struct<kind:string,x:double,y:double,width:double,height:double>>")
+    assert [r[0] for r in d.select(classify.layout_category(F.col("r"))).collect()] == ["form", "two-column", "marginalia", "marginalia", "table-embedded", "single-column", "single-column"]
 
 
 def test_alignment(spark):
@@ -112,7 +120,7 @@ def test_joins(spark):
     cells = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.1, 2.0), (1, 9.0, 9.5)], "t int, x0 double, x1 double")
     heads = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 1.0, 2.0)], "t int, col int, x0 double, x1 double")
     assert sorted(r.bound for r in joins.bind_to_headers(cells, heads, ["t"]).collect()) == [0, 0, 1]
-    b = spark.createDataFrame([([("B", 0.1, 0.5, 0.1), ("R", 0.6, 0.11, 0.1), ("L", 0.1, 0.1, 0.1)],)], "b array<struct<id:string,x:double,y:double,height:double>>")
+    b = spark.createDataFrame([([("B", 0.1, 0.5), ("R", 0.6, 0.11), ("L", 0.1, 0.1)],)], "b array<struct<id:string,x:double,y:double>>")
     assert b.select(joins.votes_order(F.col("b"))).first()[0] == ["L", "R", "B"]
     n = spark.createDataFrame([(["a", "b"],)], "t array<string>").select(joins.ngrams(F.col("t"), 2)).first()[0]
     assert [(x.ctx, x.tok) for x in n] == [("<BOS>", "a"), ("a", "b"), ("b", "<EOS>")]
