@@ -177,6 +177,32 @@ def misread(gt: Column, hyp: Column) -> Column:
     return F.coalesce((lo > 0) & (lo >= 0.4 * hi) & (dist > 0) & (dist <= 0.75 * hi), F.lit(False))
 
 
+def char_accuracy(g: Column, h: Column) -> Column:
+    """1 minus distance over the truth's clusters, at least 0; an empty truth gives 1 for nothing, else 0."""
+    n = F.size(g)
+    return F.when(n == 0, (F.size(h) == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - cluster_distance(g, h) / F.greatest(n, F.lit(1))))
+
+
+def emitted_accuracy(g: Column, h: Column) -> Column:
+    """Accuracy of what was emitted, against as much of the truth as that; nothing gives 1 for an empty truth, else 0."""
+    n = F.size(h)
+    prefix = F.slice(g, F.lit(1), F.greatest(n, F.lit(0)))
+    return F.when(n == 0, (F.size(g) == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - cluster_distance(prefix, h) / F.greatest(n, F.lit(1))))
+
+
+def coverage(g: Column, h: Column) -> Column:
+    """Share of the truth's clusters, counted with multiplicity, that the reading has; an empty truth is covered."""
+    count = lambda v, x: F.size(F.filter(v, lambda y: y == x))
+    shared = F.aggregate(F.array_distinct(g), F.lit(0), lambda s, x: s + F.least(count(g, x), count(h, x)))
+    return F.when(F.size(g) == 0, 1.0).otherwise(shared / F.greatest(F.size(g), F.lit(1)))
+
+
+def reward(accuracy: Column, covered: Column, teds: Column | None = None, tau: Column | None = None, penalty: float = 1.0) -> Column:
+    """Accuracy, structure and order terms, less the penalty for what is not covered."""
+    zero = F.lit(0.0)
+    return accuracy + F.coalesce(teds if teds is not None else zero, zero) + F.coalesce(tau if tau is not None else zero, zero) - penalty * (1 - covered)
+
+
 def charset(c: Column, trained: str, image: str) -> Column:
     """Counts and fractions of clusters in the trained, the image's and other scripts; fractions are null for blank texts."""
     g = F.filter(graphemes(c), lambda x: whitespace(x) != "")

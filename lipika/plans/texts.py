@@ -105,12 +105,11 @@ def h12_misread_signal(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def h13_emitted_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """Accuracy against the whole truth, and against as much of it as was emitted; reward with its coverage penalty."""
-    d = _sized(spark, root)
-    prefix = F.slice("a", F.lit(1), F.greatest(F.size("b"), F.lit(1)))
-    d = d.withColumn("emitted", text.accuracy(text.error_rate(text.cluster_distance(prefix, F.col("b")), F.size(prefix), F.size("b"), "one")))
-    d = d.withColumn("whole", text.accuracy(text.error_rate(F.col("dist"), F.size("a"), F.size("b"), "one"))).withColumn("coverage", F.least(F.lit(1.0), F.try_divide(F.size("b"), F.size("a"))))
-    reward = F.col("emitted") - 0.5 * (1 - F.coalesce("coverage", F.lit(0.0)))
-    return d.groupBy("engine").agg(F.avg("whole").alias("char_acc"), F.avg("emitted").alias("emitted_acc"), F.avg(reward).alias("reward"))
+    d = readings(spark, root).select("engine", text.graphemes(F.col("gt")).alias("g"), text.graphemes(F.col("hyp")).alias("h"))
+    g, h = F.col("g"), F.col("h")
+    d = d.select("engine", text.char_accuracy(g, h).alias("whole"), text.emitted_accuracy(g, h).alias("emitted"), text.coverage(g, h).alias("covered"))
+    r = text.reward(F.col("emitted"), F.col("covered"))
+    return d.groupBy("engine").agg(F.avg("whole").alias("char_acc"), F.avg("emitted").alias("emitted_acc"), F.avg("covered").alias("coverage"), F.avg(r).alias("reward"), F.avg(text.reward(F.col("emitted"), F.col("covered"), penalty=0.0)).alias("reward_lambda0"))
 
 
 @query("""with f as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch), v as (select ch, row_number() over (order by n desc, ch) + 3 as id from f where n >= 2),

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -65,3 +66,13 @@ def test_charset_and_codes(spark):
     back = F.create_map(F.lit(4), F.lit("a"), F.lit(5), F.lit("b"))
     d = spark.range(1).select(t.encode(F.array(F.lit("a"), F.lit("z"), F.lit("b")), vocab).alias("e"))
     assert d.first().e == [1, 4, 3, 5, 2] and d.select(t.decode(F.col("e"), back)).first()[0] == "ab"
+
+
+def test_rewards(spark):
+    pairs = [("किताब", "किताब"), ("किताब", ""), ("", ""), ("", "x"), ("easy and long", "easy"), ("aab", "ab")]
+    f = lambda g: col(spark, pairs, lambda a, b: g(t.graphemes(a), t.graphemes(b)), ["a", "b"])
+    assert f(t.char_accuracy) == [1.0, 0.0, 1.0, 0.0, pytest.approx(4 / 13), pytest.approx(2 / 3)]
+    assert f(t.emitted_accuracy) == [1.0, 0.0, 1.0, 0.0, 1.0, pytest.approx(0.5)]
+    assert f(t.coverage) == [1.0, 0.0, 1.0, 1.0, pytest.approx(4 / 13), pytest.approx(2 / 3)]
+    r = f(lambda g, h: t.reward(t.emitted_accuracy(g, h), t.coverage(g, h)))
+    assert r[0] == 1.0 and r[1] == -1.0
