@@ -27,6 +27,11 @@ def hot_keys(big: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, rows
     return [tuple(r) for r in n.where(F.col("_n") >= least).select(*keys).collect()]
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, which has each key once, without a hot task.
 
