@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipika.llm.labels import engine, image_key, label
+from lipika.operators.skew import broadcast_if_small
 from lipika.session import pick
 
 CATEGORY = ("engine", "language", "variant")
 BINS = 4096
 #: Targets are a table of wishes that people write; more than this is refused.
 MAX_TARGETS = 200_000
+#: Pairs of category and target that may be broadcast; with more (labels that are free text) the join is shuffled.
+MAX_CELLS = 500_000
 
 _QUOTA_SCHEMA = "target_id int, plan_name string, wanted long, available long, quota long, met boolean, exhausted boolean"
 
@@ -62,6 +65,8 @@ class ProportionalSample:
     seed: int = 0
 
     def __post_init__(self) -> None:
+        if self.targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+            raise ValueError(f"more than {MAX_TARGETS} targets")
         self.drawn = records(self.readings).withColumn("priority", _priority(self.seed)).withColumn("bin", _bin(self.bins))
         self.wishes = pick(self.targets, "target_id", "plan_name", "plan_size", "engine", "language", "variant", "target_share", "min_rows").select(
             "target_id", "plan_name", "plan_size", label("engine").alias("t_engine"), label("language").alias("t_language"), label("variant").alias("t_variant"), "target_share", F.coalesce("min_rows", F.lit(0)).alias("min_rows")
@@ -98,9 +103,7 @@ class ProportionalSample:
         have = self._cells().groupBy("target_id").agg(F.sum("cell_n").alias("available"))
         wanted = F.greatest(F.col("min_rows").cast("long"), F.round(F.coalesce("target_share", F.lit(0.0)) * F.coalesce("plan_size", F.lit(0))).cast("long"))
         t = self.wishes.join(have, "target_id", "left").select("target_id", "plan_name", F.coalesce("plan_size", F.lit(0)).alias("plan_size"), "target_share", wanted.alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"))
-        rows = t.limit(MAX_TARGETS + 1).toPandas()
-        if len(rows) > MAX_TARGETS:
-            raise ValueError(f"more than {MAX_TARGETS} targets")
+        rows = t.toPandas()  # as many as targets
         spark = self.targets.sparkSession
         made = [feasible(g) for _, g in rows.groupby("plan_name", dropna=False, sort=True)]
         out = pd.concat(made) if made else rows.assign(quota=[], met=[], exhausted=[])
@@ -118,7 +121,7 @@ class ProportionalSample:
         """
         quota = self.report().where("quota > 0").select("target_id", "plan_name", "quota")
         cells = self._cells().select("target_id", *CATEGORY)
-        merged = self.reservoirs().join(F.broadcast(cells.select("target_id", *[F.col(c).alias(f"c_{c}") for c in CATEGORY])), _same(), "inner").groupBy("target_id", "bin").agg(F.sum("n").alias("n"))
+        merged = self.reservoirs().join(broadcast_if_small(cells.select("target_id", *[F.col(c).alias(f"c_{c}") for c in CATEGORY]), MAX_CELLS), _same(), "inner").groupBy("target_id", "bin").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("target_id").orderBy("bin"))
         cut = (
             merged.withColumn("upto", upto)
@@ -129,7 +132,7 @@ class ProportionalSample:
             .withColumn("whole", F.coalesce("whole", F.lit(0)))
         )
         plan = cells.join(F.broadcast(cut), "target_id").select("target_id", "plan_name", "quota", "last_bin", "whole", *[F.col(c).alias(f"c_{c}") for c in CATEGORY])
-        chosen = self.drawn.join(F.broadcast(plan), _same() & (F.col("bin") <= F.col("last_bin"))).withColumn("edge", (F.col("bin") == F.col("last_bin")) & (F.col("whole") < F.col("quota")))
+        chosen = self.drawn.join(broadcast_if_small(plan, MAX_CELLS), _same() & (F.col("bin") <= F.col("last_bin"))).withColumn("edge", (F.col("bin") == F.col("last_bin")) & (F.col("whole") < F.col("quota")))
         rank = F.row_number().over(Window.partitionBy("target_id").orderBy("priority", "row_no"))
         last = self.drawn.columns
         edge = chosen.where("edge").withColumn("rank", rank)
