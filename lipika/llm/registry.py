@@ -93,6 +93,17 @@ seen as (select {_LABEL.format(c='language')} as language, {_KEY.format(c='image
 select language, image_id from p semi join seen using (language, image_id)
 """
 
+_SQUASHED = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+_P2 = f"""
+with recursive pg as (select page_id, {_LABEL.format(c='script')} as s, {_LABEL.format(c='mode')} as m, coalesce(page_idx, try_cast(regexp_extract(stem, '([0-9]+)[^0-9]*$', 1) as int)) as n, layout_source from page_gt),
+b as (select distinct {_SQUASHED.format(c='source_id')} as q from layout_bank where source_id is not null),
+k as (select page_id, 'p' || s || '|' || m || '|' || n as k from pg where s is not null and m is not null and n is not null
+  union select page_id, 's' || q from pg join b on contains({_SQUASHED.format(c='layout_source')}, q)),
+e as (select distinct a.page_id as x, c.page_id as y from k a join k c using (k)),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select min(y) as first_page_id, x as page_id from r group by x having min(y) <> x
+"""
+
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p3_found": _P3, "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
