@@ -76,6 +76,18 @@ def bootstrap_means(units: DataFrame, by: Sequence[str], key: Column, value: str
     return picked.select(*by, "draw", "_rn").join(u.select(*by, "_rn", value), [*by, "_rn"]).groupBy(*by, "draw").agg(F.avg(value).alias("mean"))
 
 
+def resampled_units(panel: DataFrame, unit: str, draws: int, seed: str = "u") -> DataFrame:
+    """``panel`` rows of resampled units: (draw, slot, ...); a unit drawn twice appears under two slots.
+
+    The units are numbered once; each slot of each resample picks one by an
+    equi-join, and brings all its rows along.
+    """
+    u = numbered(panel.select(unit).distinct(), [], [F.col(unit)], "_rn", "_n")
+    slots = u.select("_n", F.col("_rn").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picked = slots.withColumn("_rn", F.pmod(stable_int(F.concat_ws("|", F.lit(seed), "draw", "slot")), F.col("_n")) + 1).drop("_n")
+    return picked.join(u.select("_rn", unit), "_rn").join(panel, unit).drop("_rn", unit)
+
+
 def interval(means: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
     """Percentile interval of bootstrap means."""
     a = (1 - level) / 2

@@ -35,28 +35,28 @@ def auroc(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFr
     return d.groupBy(*by).agg(pos.alias("n_pos"), (n - pos).alias("n_neg"), area.alias("auroc"))
 
 
-def variance_shares(panel: DataFrame, unit: str, rep: str, value: str) -> DataFrame:
-    """(unit_share, rep_share, residual_share) in percent of a balanced panel; negative components count as 0.
+def variance_shares(panel: DataFrame, unit: str, rep: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, unit_share, rep_share, residual_share) in percent of balanced panels; negative components count as 0.
 
     Mean squares come from sums of squares of group means, so the panel is
-    aggregated twice and never gathered.
+    aggregated thrice and never gathered.
     """
-    v = F.col(value)
-    g = panel.agg(F.avg(v).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(v * v).alias("ss"), F.count_distinct(unit).alias("u"), F.count_distinct(rep).alias("r"))
-    su = panel.groupBy(unit).agg(F.avg(v).alias("a")).agg(F.sum(F.col("a") * F.col("a")).alias("su"))
-    sr = panel.groupBy(rep).agg(F.avg(v).alias("b")).agg(F.sum(F.col("b") * F.col("b")).alias("sr"))
-    d = g.crossJoin(F.broadcast(su)).crossJoin(F.broadcast(sr))
+    by, v = list(by), F.col(value)
+    g = panel.groupBy(*by).agg(F.avg(v).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(v * v).alias("ss"), F.count_distinct(unit).alias("u"), F.count_distinct(rep).alias("r"))
+    su = panel.groupBy(*by, unit).agg(F.avg(v).alias("a")).groupBy(*by).agg(F.sum(F.col("a") * F.col("a")).alias("su"))
+    sr = panel.groupBy(*by, rep).agg(F.avg(v).alias("b")).groupBy(*by).agg(F.sum(F.col("b") * F.col("b")).alias("sr"))
+    d = g.join(su, by).join(sr, by) if by else g.crossJoin(F.broadcast(su)).crossJoin(F.broadcast(sr))
     mm = F.col("m") * F.col("m")
     ssu = F.col("r") * (F.col("su") - F.col("u") * mm)
     ssr = F.col("u") * (F.col("sr") - F.col("r") * mm)
     sse = F.col("ss") - F.col("n") * mm - ssu - ssr
     mse = F.try_divide(sse, ((F.col("u") - 1) * (F.col("r") - 1)).cast("double"))
-    d = d.select(F.try_divide(ssu, (F.col("u") - 1).cast("double")).alias("msu"), F.try_divide(ssr, (F.col("r") - 1).cast("double")).alias("msr"), mse.alias("mse"), "u", "r")
+    d = d.select(*by, F.try_divide(ssu, (F.col("u") - 1).cast("double")).alias("msu"), F.try_divide(ssr, (F.col("r") - 1).cast("double")).alias("msr"), mse.alias("mse"), "u", "r")
     vu = F.greatest(F.lit(0.0), F.try_divide(F.col("msu") - F.col("mse"), F.col("r").cast("double")))
     vr = F.greatest(F.lit(0.0), F.try_divide(F.col("msr") - F.col("mse"), F.col("u").cast("double")))
     ve = F.greatest(F.lit(0.0), F.col("mse"))
     total = vu + vr + ve
-    return d.select(*[F.try_divide(100.0 * x, total).alias(n) for x, n in ((vu, "unit_share"), (vr, "rep_share"), (ve, "residual_share"))])
+    return d.select(*by, *[F.try_divide(100.0 * x, total).alias(n) for x, n in ((vu, "unit_share"), (vr, "rep_share"), (ve, "residual_share"))])
 
 
 def signed_ranks(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:

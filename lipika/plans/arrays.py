@@ -99,3 +99,12 @@ def l9_empty_safe_means(spark: SparkSession, root: str) -> DataFrame:
 def l1_elements(spark: SparkSession, root: str) -> DataFrame:
     b = lambda i: F.get("bbox", F.lit(i))
     return load(spark, root, "line_gt").select("line_id", b(0).alias("x0"), (b(2) - b(0)).alias("width"), F.nullif(F.size("bbox"), F.lit(-1)).alias("k"))
+
+
+@query("""with l as (select regexp_extract(replace(image_path, '\\', '/'), 'line_crops/(.*)_r[0-9]+[.]png$', 1) as page, region, bbox, reading_order, line_id from line_gt where region is not null)
+  select page, region, arg_min(bbox[1], struct_pack(a := reading_order, b := line_id)) as x0, count(*) as lines from l group by page, region""")
+def l7_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Blocks of a page: its regions, each with the box of its first line."""
+    page = F.regexp_extract(F.replace("image_path", F.lit("\\"), F.lit("/")), r"line_crops/(.*)_r[0-9]+\.png$", 1)
+    d = load(spark, root, "line_gt").where("region is not null").withColumn("page", page)
+    return d.groupBy("page", "region").agg(F.min_by(F.get("bbox", F.lit(0)), F.struct("reading_order", "line_id")).alias("x0"), F.count(F.lit(1)).alias("lines"))

@@ -143,6 +143,20 @@ def c14_interval_binding(spark: SparkSession, root: str) -> DataFrame:
     return b.groupBy("bound").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""with r as ({_REG}), h as (select layout_id, reading_order as col, kind, x as x0, x + width as x1 from r where reading_order <= 2), c as (select layout_id, name, kind, x as x0, x + width as x1 from r where reading_order > 2),
+  s as (select c.layout_id, c.name, c.kind, h.kind as hk, h.col, greatest(0.0, least(c.x1, h.x1) - greatest(c.x0, h.x0)) as o from c join h using (layout_id)), b as (select *, row_number() over (partition by layout_id, name order by o desc, col) as rn from s)
+  select count(*) as n, count(*) filter (where kind = hk) as correct, round(count(*) filter (where kind = hk) / nullif(count(*), 0)::double, 6) as accuracy from b where rn = 1""")
+def d36_binding_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """How often a region is bound to one of its own kind; null accuracy where nothing is bound."""
+    r = load(spark, root, "layout_bank").select("layout_id", F.inline("regions"))
+    box = lambda d: d.select("layout_id", "name", "kind", F.col("reading_order").alias("col"), F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"))
+    heads = box(r.where("reading_order <= 2"))
+    b = joins.bind_to_headers(box(r.where("reading_order > 2")).drop("col"), heads, ["layout_id"])
+    k = b.join(heads.select("layout_id", F.col("col").alias("bound"), F.col("kind").alias("hk")), ["layout_id", "bound"])
+    ok = F.count_if(F.col("kind") == F.col("hk"))
+    return k.agg(F.count(F.lit(1)).alias("n"), ok.alias("correct"), F.round(F.try_divide(ok, F.count(F.lit(1))), 6).alias("accuracy"))
+
+
 @query(f"with {LATEST} select engine, count(*) as n, sum(row_no)::bigint as row_sum from latest group by engine")
 def c15_last_write_wins(spark: SparkSession, root: str) -> DataFrame:
     r = readings(spark, root)

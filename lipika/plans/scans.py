@@ -83,3 +83,39 @@ def a13_torn_tail(spark: SparkSession, root: str) -> DataFrame:
 def a11_content_cache(spark: SparkSession, root: str) -> DataFrame:
     """The extract cache is keyed by content hash: calls and distinct keys."""
     return load(spark, root, "sarvam_transfer_probe").agg(F.count_distinct(F.sha2("image_path", 256)).alias("keys"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {CALLS}, r as (select script, image_id, ground_truth, row_number() over (partition by script, image_id order by coalesce(recorded_at, timestamptz '1970-01-01 00:00:00+00') desc, probe_id desc) as rn from calls where condition = 'real' and ground_truth is not null)
+  select script, count(*) as n, sum(length(ground_truth))::bigint as chars from r where rn = 1 group by script""")
+def a5_keyed_truth(spark: SparkSession, root: str) -> DataFrame:
+    """One ground truth for each image: a later duplicate overwrites an earlier one."""
+    from lipika.plans.views import latest
+
+    d = latest(calls(spark, root).where("condition = 'real' and ground_truth is not null").select("script", "image_id", "ground_truth", "recorded_at", "probe_id"), ["script", "image_id"])
+    return d.groupBy("script").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("ground_truth")).alias("chars"))
+
+
+@query()
+def a8_directory_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Files of the tables by name, listed without reading them."""
+    d = records.list_files(spark, root, "*.parquet")
+    return d.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), "length")
+
+
+@query(f"with {CALLS} select language_code, count(*) as n from calls where language_code in ('hi-IN', 'bn-IN', 'sat-IN') group by language_code")
+def a9_filtered_codes(spark: SparkSession, root: str) -> DataFrame:
+    return calls(spark, root).where(F.col("language_code").isin("hi-IN", "bn-IN", "sat-IN")).groupBy("language_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select engine, count(*) as n, sum(row_no)::bigint as row_sum from (select coalesce(engine, 'none') as engine, row_no from error_taxonomy) group by engine")
+def s1_streamed_append(spark: SparkSession, root: str) -> DataFrame:
+    """The taxonomy arrives in two overlapping parts as a stream of files; each row is appended once."""
+    from lipika.streaming.records import append_once, stream_lines
+
+    source, sink, state = (shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
+    d = load(spark, root, "error_taxonomy").select("row_no", F.coalesce("engine", F.lit("none")).alias("engine"), "batch_no")
+    for part in ("batch_no <= 8", "batch_no >= 6 or batch_no is null"):
+        d.where(part).select("row_no", "engine").write.mode("append").json(source)
+        append_once(stream_lines(spark, source, "row_no long, engine string"), sink, ["row_no"], state).awaitTermination()
+    out = records.read_lines(spark, sink, "row_no long, engine string")
+    return out.groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("row_sum"))

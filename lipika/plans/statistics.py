@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import arrays
 from lipika.functions.special import normal_two_sided, t_two_sided
-from lipika.operators import stats
+from lipika.operators import sampling, stats
 from lipika.plans.registry import query
 from lipika.plans.views import CALLS, PANEL, READINGS, calls, panel, readings
 from lipika.session import load
@@ -59,6 +59,23 @@ def j6_variance_shares(spark: SparkSession, root: str) -> DataFrame:
     return d.select(*[F.round(c, 4).alias(c) for c in ("unit_share", "rep_share", "residual_share")])
 
 
+_J7 = f"""{PANEL}, un as (select unit, row_number() over (order by unit) as rn, count(*) over () as n from (select distinct unit from panel)),
+  pk as (select draw, rn as slot, (('0x' || substr(md5('u|' || draw || '|' || rn), 1, 8))::bigint) % n + 1 as pick from (select *, unnest(range(0, 40)) as draw from un)),
+  rs as (select draw, slot, rep, value from pk join un on un.rn = pk.pick join panel using (unit)),
+  g as (select draw, avg(value) as m, count(*) as n, sum(value * value) as ss, count(distinct slot) as u, count(distinct rep) as r from rs group by draw),
+  su as (select draw, sum(a * a) as su from (select draw, avg(value) as a from rs group by draw, slot) group by draw), sr as (select draw, sum(b * b) as sr from (select draw, avg(value) as b from rs group by draw, rep) group by draw),
+  s as (select u, r, r * (su - u * m * m) as ssu, u * (sr - r * m * m) as ssr, ss - n * m * m - r * (su - u * m * m) - u * (sr - r * m * m) as sse from g join su using (draw) join sr using (draw)),
+  k as (select u, r, ssu / (u - 1) as msu, ssr / (r - 1) as msr, sse / ((u - 1) * (r - 1)) as mse from s), c as (select greatest(0, (msu - mse) / r) as vu, greatest(0, (msr - mse) / u) as vr, greatest(0, mse) as ve from k)"""
+
+
+@query(f"with {_J7} select round(quantile_cont(100 * vu / (vu + vr + ve), 0.025), 4) as lo, round(quantile_cont(100 * vu / (vu + vr + ve), 0.975), 4) as hi, round(avg(100 * ve / (vu + vr + ve)), 4) as residual from c")
+def j7_share_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+    """Interval of the units' variance share: units resampled with all their repetitions."""
+    r = sampling.resampled_units(panel(spark, root), "unit", 40)
+    d = stats.variance_shares(r, "slot", "rep", "value", ["draw"])
+    return d.agg(F.round(F.percentile("unit_share", 0.025), 4).alias("lo"), F.round(F.percentile("unit_share", 0.975), 4).alias("hi"), F.round(F.avg("residual_share"), 4).alias("residual"))
+
+
 _DIFF = f"""{READINGS}, p as (select engine, language, image_id, avg(length(hyp)) as v from readings where variant = 'plain' group by all), q as (select engine, language, image_id, avg(length(hyp)) as v from readings where variant = 'degraded' group by all),
   diffs as (select engine, language, image_id, round(p.v - q.v, 9) as diff from p join q using (engine, language, image_id))"""
 
@@ -142,6 +159,17 @@ def j15_kendall_tau(spark: SparkSession, root: str) -> DataFrame:
     return d.select("layout_id", F.round(arrays.kendall(F.col("o")), 9).alias("tau"))
 
 
+@query("""with r as (select layout_id, coalesce(category, 'unknown') as category, r.reading_order as o, row_number() over (partition by layout_id order by r.y, r.x, r.name) as pos from (select layout_id, category, unnest(regions) as r from layout_bank)),
+  p as (select a.layout_id, sum(case when b.o > a.o then 1 else -1 end) / count(*) as tau from r a join r b on a.layout_id = b.layout_id and b.pos > a.pos group by 1), t as (select coalesce(l.category, 'unknown') as category, coalesce(p.tau, 1.0) as tau from (select * from layout_bank where len(regions) > 0) l left join p using (layout_id)),
+  c as (select unnest(['single-column', 'two-column', 'table-embedded', 'form', 'marginalia', 'unknown']) as category) select c.category, count(tau) as n, round(avg(tau), 6) as mean_tau from c left join t using (category) group by c.category""")
+def d34_tau_by_category(spark: SparkSession, root: str) -> DataFrame:
+    """Mean tau of each category of the dimension; categories without pages stay, with a null mean."""
+    c = spark.createDataFrame([(x,) for x in ("single-column", "two-column", "table-embedded", "form", "marginalia", "unknown")], "category string")
+    s = F.array_sort(F.transform("regions", lambda r: F.struct(r["y"].alias("y"), r["x"].alias("x"), r["name"].alias("name"), r["reading_order"].alias("o"))))
+    d = load(spark, root, "layout_bank").where(F.size("regions") > 0).select(F.coalesce("category", F.lit("unknown")).alias("category"), arrays.kendall(F.transform(s, lambda r: r["o"])).alias("tau"))
+    return F.broadcast(c).join(d, "category", "left").groupBy("category").agg(F.count("tau").alias("n"), F.round(F.avg("tau"), 6).alias("mean_tau"))
+
+
 @query(f"with {CALLS}, d as (select script, 1 - {_OK} as cost from calls where condition = 'real') select script, k, round((1 - k / 10.0) * avg(cost), 9) as expected from d cross join (select unnest(range(0, 11)) as k) group by script, k")
 def j16_random_router(spark: SparkSession, root: str) -> DataFrame:
     """Expected residual when a tenth, two tenths ... of the rows are passed on at random: closed form."""

@@ -129,3 +129,13 @@ def h18_stable_seeds(spark: SparkSession, root: str) -> DataFrame:
     """Per-key seeds and content digests."""
     p = F.col("image_path")
     return load(spark, root, "sarvam_transfer_probe").select("probe_id", text.stable_seed(p).alias("seed"), text.stable_int(p).alias("draw"), F.sha2(p, 256).alias("digest"))
+
+
+@query("""with t as (select string_split(ground_truth, '') as t from sarvam_transfer_probe where ground_truth is not null and ground_truth <> ''), p as (select list_concat(['<BOS>', '<BOS>', '<BOS>', '<BOS>'], t, ['<EOS>']) as f, len(t) as n from t),
+  e as (select array_to_string(f[i + 1:i + 4], chr(1)) as ctx, f[i + 5] as tok from (select f, unnest(range(0, n + 1)) as i from p)) select count(*) as events, count(distinct ctx) as contexts, count(distinct ctx || chr(2) || tok) as pairs from e""")
+def h16_contexts(spark: SparkSession, root: str) -> DataFrame:
+    """Five-gram contexts of texts, padded at the start and closed at the end."""
+    from lipika.operators.joins import ngrams
+
+    e = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.explode(ngrams(F.split("ground_truth", ""), 5)).alias("e")).select("e.ctx", "e.tok")
+    return e.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("ctx").alias("contexts"), F.count_distinct(F.concat_ws("\u0002", "ctx", "tok")).alias("pairs"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SHARED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,8 +58,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/lipika-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for a written table in the shared folder; the session's tables are deleted when Python ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/lipika-{spark.sparkContext.applicationId}"
+    if root not in _SHARED:
+        _SHARED.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session is gone, or the folder
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
