@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.functions.arrays import span_overlap
+from lipika.functions.arrays import let, span_overlap
 from lipika.operators.ordering import numbered
 from lipika.operators.skew import lookup_join
 
@@ -87,22 +87,29 @@ def votes_order(blocks: Column, band: float = 0.02) -> Column:
 
 def ngrams(tokens: Column, n: int, bos: str = "<BOS>", eos: str = "<EOS>") -> Column:
     """struct(ctx, tok, pos) for every event of a token array, the end of text included."""
-    full = F.concat(F.array_repeat(F.lit(bos), n - 1), tokens, F.array(F.lit(eos)))
-    return F.transform(F.sequence(F.lit(0), F.size(tokens)), lambda i: F.struct(F.array_join(F.slice(full, i + 1, n - 1), "\u0001").alias("ctx"), F.get(full, i + (n - 1)).alias("tok"), i.alias("pos")))
+    event = lambda f, i: F.struct(F.array_join(F.slice(f, i + 1, n - 1), "\u0001").alias("ctx"), F.get(f, i + (n - 1)).alias("tok"), i.alias("pos"))
+    padded = F.concat(F.array_repeat(F.lit(bos), n - 1), tokens, F.array(F.lit(eos)))
+    return let(padded, lambda f: F.transform(F.sequence(F.lit(0), F.size(f) - n), lambda i: event(f, i)))
 
 
-def ngram_scores(train: DataFrame, test: DataFrame, tokens: str, n: int, alpha: float = 0.01) -> DataFrame:
-    """``test`` events with add-alpha log-probabilities under counts of ``train``: (id, pos, log_p).
+def ngram_log_probs(train: DataFrame, pairs: DataFrame, tokens: str, n: int, alpha: float = 0.01) -> DataFrame:
+    """``pairs`` (ctx, tok, and what else they carry) with add-alpha log-probabilities under counts of ``train``.
 
-    Two left joins, against (context, token) and context counts; the end of
-    text counts as an event in training and is not scored. The vocabulary is
-    the training tokens and two more.
+    The end of text counts as an event in training. The vocabulary is the
+    training tokens and two more. Counts of pairs and contexts are joined to
+    ``pairs`` as tables of distinct keys, so ``pairs`` should be aggregated.
     """
     events = train.select(F.explode(ngrams(F.col(tokens), n)).alias("e")).select("e.ctx", "e.tok")
     pair = events.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c"))
     ctx = pair.groupBy("ctx").agg(F.sum("c").alias("cc"))
-    v = train.select(F.explode(tokens).alias("t")).agg((F.count_distinct("t") + 2).alias("v"))
-    t = test.select("id", F.explode(ngrams(F.col(tokens), n)).alias("e")).select("id", "e.ctx", "e.tok", "e.pos").where(F.col("tok") != "<EOS>")
-    scored = lookup_join(lookup_join(t, pair, ["ctx", "tok"]), ctx, ["ctx"]).crossJoin(F.broadcast(v))
+    v = pair.where("tok <> '<EOS>'").agg((F.count_distinct("tok") + 2).alias("v"))
+    scored = pairs.join(pair, ["ctx", "tok"], "left").join(ctx, "ctx", "left").crossJoin(F.broadcast(v))
     p = (F.coalesce("c", F.lit(0)) + alpha) / (F.coalesce("cc", F.lit(0)) + alpha * F.col("v"))
-    return scored.select("id", "pos", F.ln(p).alias("log_p"))
+    return scored.withColumn("log_p", F.ln(p)).drop("c", "cc", "v")
+
+
+def ngram_scores(train: DataFrame, test: DataFrame, tokens: str, n: int, alpha: float = 0.01) -> DataFrame:
+    """(id, pos, log_p) for every event of ``test``; the end of text is not scored."""
+    t = test.select("id", F.explode(ngrams(F.col(tokens), n)).alias("e")).select("id", "e.ctx", "e.tok", "e.pos").where(F.col("tok") != "<EOS>")
+    probs = ngram_log_probs(train, t.select("ctx", "tok").distinct(), tokens, n, alpha)
+    return lookup_join(t, probs, ["ctx", "tok"], "inner").select("id", "pos", "log_p")

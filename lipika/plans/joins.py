@@ -236,9 +236,10 @@ def c21_ngram_lookup(spark: SparkSession, root: str) -> DataFrame:
 
     chars = lambda c: F.split(c, "")
     train = load(spark, root, "line_gt").where("text <> ''").select(chars("text").alias("t"))
-    test = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.col("probe_id").alias("id"), chars("ground_truth").alias("t"))
-    s = joins.ngram_scores(train, test, "t", 2)
-    return s.groupBy(position_bucket(F.col("pos")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("log_p"), 6).alias("mean_log_p"))
+    events = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.explode(joins.ngrams(chars("ground_truth"), 2)).alias("e")).where("e.tok <> '<EOS>'")
+    pairs = events.groupBy(position_bucket(F.col("e.pos")).alias("bucket"), "e.ctx", "e.tok").agg(F.count(F.lit(1)).alias("k"))
+    s = joins.ngram_log_probs(train, pairs, "t", 2)
+    return s.groupBy("bucket").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("log_p") * F.col("k")) / F.sum("k"), 6).alias("mean_log_p"))
 
 
 @query()

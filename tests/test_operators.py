@@ -124,6 +124,10 @@ def test_joins(spark):
     assert b.select(joins.votes_order(F.col("b"))).first()[0] == ["L", "R", "B"]
     n = spark.createDataFrame([(["a", "b"],)], "t array<string>").select(joins.ngrams(F.col("t"), 2)).first()[0]
     assert [(x.ctx, x.tok) for x in n] == [("<BOS>", "a"), ("a", "b"), ("b", "<EOS>")]
+    tr = spark.createDataFrame([(["a", "a", "a"],), (["a", "a", "b"],)], "t array<string>")
+    sc = joins.ngram_scores(tr, spark.createDataFrame([(1, ["a", "b", "c"])], "id int, t array<string>"), "t", 2).collect()
+    p = {r.pos: r.log_p for r in sc}
+    assert p[0] == pytest.approx(math.log(2.01 / 2.04)) and p[1] == pytest.approx(math.log(1.01 / 5.04)) and p[2] == pytest.approx(math.log(0.01 / 1.04))
     with pytest.raises(ValueError):
         joins.assert_none(d, "rows")
 
