@@ -28,8 +28,6 @@ from lipika.session import pick
 
 WINDOW = 12
 BLOCK = 5
-#: A window in more than this many different item texts is a turn of phrase and finds nothing; its neighbours do.
-SHARED = 3
 PART = 0.5
 MISREAD = 0.2
 #: A word of which less than this is found is not misread but another word, and counts three times.
@@ -39,6 +37,8 @@ LEAST = 0.07
 #: Items, and code points of them, searched for in one pass over the documents.
 ITEM_BLOCK = 20_000
 BLOCK_CHARS = 32_000_000
+#: Windows found, times the items that hold them, looked at together; one document may have more.
+HITS = 2_000_000
 #: Folded code points by which a stretch may be interrupted.
 GAP = 48
 LANE = 2048
@@ -134,7 +134,7 @@ def _hash(codes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 class WuManber:
-    """Shift table, buckets and comparison for all windows of the items that few items share."""
+    """Shift table, buckets and comparison for all windows of the items, also those that many items share."""
 
     def __init__(self, items: list[Item]):
         rows, who, where = [], [], []
@@ -153,13 +153,8 @@ class WuManber:
         who, where = np.concatenate(who), np.concatenate(where)
         key = _hash(allrows.ravel(), np.arange(len(allrows)) * WINDOW + WINDOW - 1, WINDOW)
         order = np.lexsort((where, who, key))
-        key, who, where, allrows = key[order], who[order], where[order], allrows[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        group = np.cumsum(first) - 1
-        pairs = np.unique(np.stack([group, who], 1), axis=0)
-        few = (np.bincount(pairs[:, 0]) <= SHARED)[group]
-        self.key, self.who, self.where, self.rows = key[few], who[few], where[few], allrows[few]
-        self.start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+        self.key, self.who, self.where, self.rows = key[order], who[order], where[order], allrows[order]
+        self.start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
         self.keys = self.key[self.start]
         self.stop = np.r_[self.start[1:], len(self.key)]
         self.windows = self.rows[self.start]
@@ -167,7 +162,6 @@ class WuManber:
         base = np.arange(len(self.windows)) * WINDOW
         for j in range(BLOCK - 1, WINDOW):
             np.minimum.at(self.table, self._slot(flat, base + j), WINDOW - 1 - j)
-        self.empty = not len(self.keys)
 
     def _slot(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (_hash(codes, ends, BLOCK) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -196,27 +190,37 @@ class WuManber:
         return ends[same] - (WINDOW - 1), k[same]
 
 
-def carried(item: Item, codes: np.ndarray, lo: int, hi: int, diagonals: np.ndarray) -> tuple[float, int, int]:
-    """(share of the item, words, misread words) of the best stretch of ``codes[lo:hi]``.
+def covered(n: int, segs: np.ndarray) -> np.ndarray:
+    """Which of ``n`` code points lie in one of the segments."""
+    edge = np.bincount(segs[:, 0], minlength=n + 1) - np.bincount(segs[:, 1], minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
-    Along each diagonal the runs of equal code points are segments; the best
-    chain of segments that ascend in item and document, with short gaps, says
-    which words are carried whole.
+
+def judged(item: Item, mask: np.ndarray) -> tuple[float, int, int]:
+    """(share of the item, words, misread words) of the largest run of words, from one read right to another, with few misread."""
+    good = (kept := np.bincount(item.unit, weights=mask)) >= item.sizes
+    other = (kept < FOREIGN * item.sizes) & (item.sizes > 2)  # another word, not a misread one
+    at = np.flatnonzero(good)
+    if not len(at):
+        return 0.0, 0, 0
+    size = np.r_[0, np.cumsum(item.sizes)]
+    bad = np.r_[0, np.cumsum(~good + 2 * other)]
+    left = 1000 * bad - round(1000 * MISREAD) * np.arange(len(bad))  # falls from start to end where few are misread
+    first = at[np.searchsorted(np.maximum.accumulate(left[at]), left[at + 1], side="right")]
+    k = int(np.argmax(size[at + 1] - size[first]))
+    i, j = first[k], at[k]
+    return float(size[j + 1] - size[i]) / len(item.codes), int(j + 1 - i), int(bad[j + 1] - bad[i])
+
+
+def carried(item: Item, found: np.ndarray) -> tuple[float, int, int]:
+    """(share of the item, words, misread words) of the best stretch.
+
+    The best chain of segments that ascend in item and document, with short
+    gaps, says which words are carried whole.
     """
-    n = len(item.codes)
-    segs = []
-    for d in diagonals.tolist():
-        a, b = max(0, lo - d), min(n, hi - d)
-        if b - a < 3:
-            continue
-        eq = np.r_[False, item.codes[a:b] == codes[a + d : b + d], False]
-        edge = np.flatnonzero(eq[1:] != eq[:-1])
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if e - s >= 3:
-                segs.append((a + s, a + e, a + s + d))
+    segs = found.tolist()
     if not segs:
         return 0.0, 0, 0
-    segs.sort()
     best, prev = [], []
     for i, (s, e, p) in enumerate(segs):
         top, back = 0, -1
@@ -229,73 +233,114 @@ def carried(item: Item, codes: np.ndarray, lo: int, hi: int, diagonals: np.ndarr
         best.append(top + e - s)
         prev.append(back)
     i = int(np.argmax(best))
-    mask = np.zeros(n, bool)
+    chain = []
     while i >= 0:
-        s, e, _ = segs[i]
-        mask[s:e] = True
+        chain.append(i)
         i = prev[i]
-    kept = np.bincount(item.unit, weights=mask)
-    good = kept >= item.sizes
-    other = (kept < FOREIGN * item.sizes) & (item.sizes > 2)  # another word, not a misread one
-    size = np.r_[0, np.cumsum(item.sizes)]
-    bad = np.r_[0, np.cumsum(~good + 2 * other)]
-    i, j = np.triu_indices(len(good))
-    ok = (bad[j + 1] - bad[i] < MISREAD * (j + 1 - i)) & good[i] & good[j]
-    if not ok.any():
-        return 0.0, 0, 0
-    share = np.where(ok, size[j + 1] - size[i], 0)
-    k = int(share.argmax())
-    return float(share[k]) / n, int(j[k] + 1 - i[k]), int(bad[j[k] + 1] - bad[i[k]])
+    return judged(item, covered(len(item.codes), found[chain]))
 
 
 class Finder:
-    """All items of one block against batches of documents."""
+    """All items of one block against batches of documents; items that fold to the same text are searched for once."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], least: float = 0.0):
         self.items = [Item(t) for t in texts]
-        self.search = WuManber(self.items)
+        self.least = least
+        same: dict[bytes, list[int]] = {}
+        for i, item in enumerate(self.items):
+            same.setdefault(item.codes.tobytes(), []).append(i)
+        self.same = list(same.values())
+        one = [self.items[g[0]] for g in self.same]
+        self.size = np.array([len(x.codes) for x in one], np.int64)
+        self.first = np.cumsum(self.size + 1) - self.size - 1
+        self.flat = np.concatenate([np.r_[x.codes, np.zeros(1, np.uint32)] for x in one]) if one else np.zeros(0, np.uint32)
+        self.search = WuManber(one)
 
     def batch(self, texts: list[str]) -> list[tuple[int, int, float]]:
-        """(document, item, share) for what a batch of texts carries."""
+        """(document, item, share) for what a batch of texts carries: shares above 0 and of ``least`` or more."""
         if self.search.empty or not texts:
             return []
         codes, _ = fold_text(_SEPARATOR.join(without_inserts(t.replace(_SEPARATOR, " ")) for t in texts))
         ends = np.r_[np.flatnonzero(codes == 0), len(codes)]
         at, k = self.search.search(codes)
-        if not len(at):
-            return []
+        doc = np.searchsorted(ends, at, side="right")
+        reps = np.cumsum(self.search.stop[k] - self.search.start[k])
+        out, s = [], 0
+        while s < len(at):
+            e = int(np.searchsorted(reps, (reps[s - 1] if s else 0) + HITS, side="right"))
+            e = int(np.searchsorted(doc, doc[e], side="left")) if e < len(at) else e
+            e = e if e > s else int(np.searchsorted(doc, doc[s], side="right"))
+            out += self._judge(codes, ends, at[s:e], k[s:e], doc[s:e])
+            s = e
+        return out
+
+    def _judge(self, codes: np.ndarray, ends: np.ndarray, at: np.ndarray, k: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float]]:
         reps = self.search.stop[k] - self.search.start[k]
         idx = np.repeat(self.search.start[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        pos = np.repeat(at, reps)
+        pos, doc = np.repeat(at, reps), np.repeat(doc, reps)
         item, off = self.search.who[idx], self.search.where[idx]
-        doc = np.searchsorted(ends, pos, side="right")
         order = np.lexsort((pos, item, doc))
         pos, item, off, doc = pos[order], item[order], off[order], doc[order]
-        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True])
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
+        pair, item, doc = np.cumsum(new) - 1, item[new], doc[new]
+        distinct = np.bincount(np.unique(pair << 32 | off) >> 32)
+        may = distinct >= np.maximum(3, LEAST * self.size[item])
+        row = np.unique(((pair << 40) + (pos - off + (1 << 32)))[may[pair]])
+        pair, diagonal = row >> 40, (row & ((1 << 40) - 1)) - (1 << 32)
+        lo, hi = np.r_[0, ends[:-1] + 1][doc], ends[doc]
         out = []
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if e - s < 3:
-                continue
-            it = self.items[item[s]]
-            if len(np.unique(off[s:e])) < max(3, LEAST * len(it.codes)):
-                continue
-            d = int(doc[s])
-            lo, hi = (int(ends[d - 1]) + 1 if d else 0), int(ends[d])
-            share, _, _ = carried(it, codes, lo, hi, np.unique(pos[s:e] - off[s:e]))
-            if share > 0:
-                out.append((d, int(item[s]), share))
+        for mine, segs in self._segments(codes, pair, diagonal, item, lo, hi):
+            copies = self.same[item[mine]]
+            mask = covered(self.size[item[mine]], segs)
+            shares: dict[bytes, float] = {}  # by division into words, which copies may have of their own
+            for i in copies:
+                it = self.items[i]
+                if (key := it.unit.tobytes()) not in shares:
+                    shares[key] = carried(it, segs)[0] if judged(it, mask)[0] >= self.least else 0.0  # no chain holds more than all segments
+                if shares[key] > 0 and shares[key] >= self.least:
+                    out.append((int(doc[mine]), i, shares[key]))
         return out
 
+    def _segments(self, codes: np.ndarray, pair: np.ndarray, diagonal: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each pair that may hold enough, with sorted (start, end in the item, start in ``codes``) of the runs of 3 or more equal code points on its diagonals."""
+        padded = np.r_[np.zeros(1, codes.dtype), codes, np.zeros(1, codes.dtype)]
+        size = self.size[item[pair]] + 1
+        total = np.cumsum(size)
+        s = 0
+        while s < len(pair):
+            e = int(np.searchsorted(total, (total[s - 1] if s else 0) + 2 * HITS, side="right"))
+            e = int(np.searchsorted(pair, pair[e], side="left")) if e < len(pair) else e
+            e = e if e > s else int(np.searchsorted(pair, pair[s], side="right"))
+            n, who, first = size[s:e], pair[s:e], total[s:e] - size[s:e] - (total[s - 1] if s else 0)
+            within = np.arange(n.sum()) - np.repeat(first, n)
+            at = np.clip(within + np.repeat(diagonal[s:e], n), np.repeat(lo[who] - 1, n), np.repeat(hi[who], n))  # beyond the document is a separator
+            eq = np.r_[False, padded[at + 1] == self.flat[within + np.repeat(self.first[item[who]], n)]]
+            eq[1:] &= within < np.repeat(n - 1, n)
+            start = np.flatnonzero(eq[1:] & ~eq[:-1])
+            stop = np.flatnonzero(eq[:-1] & ~eq[1:])
+            long = stop - start >= 3
+            start, stop = start[long], stop[long]
+            line = np.searchsorted(first, start, side="right") - 1
+            found = np.stack([who[line], start - first[line], stop - first[line], start - first[line] + diagonal[s:e][line]], 1)
+            found = found[np.lexsort(found.T[::-1])]
+            cut = np.flatnonzero(np.r_[True, found[1:, 0] != found[:-1, 0]]) if len(found) else np.zeros(0, np.int64)
+            if len(cut):
+                most = np.maximum.reduceat(found[:, 2], cut) - found[cut, 1]
+                for k in np.flatnonzero(most >= self.least * self.size[item[found[cut, 0]]]).tolist():
+                    part = found[cut[k] : cut[k + 1] if k + 1 < len(cut) else None]
+                    yield int(part[0, 0]), part[:, 1:]
+            s = e
+
 
 _SCORED = "doc_id long, text_no int, share double"
 
 
-def scored(documents: DataFrame, texts: list[str]) -> DataFrame:
-    """(doc_id, text_no, share): how much of each text a document carries in one stretch; small shares are left out."""
+def scored(documents: DataFrame, texts: list[str], least: float = 0.0) -> DataFrame:
+    """(doc_id, text_no, share): how much of each text a document carries in one stretch; shares under ``least`` are left out."""
     given = documents.sparkSession.sparkContext.broadcast(texts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given.value)
+        finder = Finder(given.value, least)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             hits = finder.batch(batch.column(1).to_pylist())
@@ -321,7 +366,7 @@ def leaks(documents: DataFrame, items: DataFrame, part: float = PART) -> DataFra
     for b in range(blocks):
         mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text").collect()
         numbered = spark.createDataFrame([(i, list(r.ids)) for i, r in enumerate(mine)], "text_no int, ids array<long>")
-        hits = scored(documents, [r.text for r in mine]).where(F.col("share") >= part)
+        hits = scored(documents, [r.text for r in mine], part)
         found = hits.join(F.broadcast(numbered), "text_no").select("doc_id", F.explode("ids").alias("item_id"))
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -65,3 +65,20 @@ def test_fold():
     assert f("ＯＣＲ, १२-३") == f("ocr 123") and f("औ") == f("अौ") and f("a​b") == "ab" and f("अा") == f("आ") and f("é") == f("é")
     codes, origin = C.fold_text("कa, b")
     assert len(codes) == len(origin) and np.all(np.diff(origin) >= 0)
+
+
+def test_copies_and_writings_of_one_item(spark):
+    """Four writings of one text and four near copies of another share their windows, and are all found."""
+    t, near = TEXTS[20], TEXTS[21]
+    writings = [t, t.upper(), t.replace(" ", ", "), "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in t)]
+    copies = [near, near + " Note.", "First: " + near, near.replace(".", " again.")]
+    items = [(i, x, "x") for i, x in enumerate(writings + copies)]
+    docs = [(0, filler() + t + filler(), 0, ""), (1, near, 0, ""), (2, filler(200), 0, "")]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    want = {(0, k) for k in range(4)} | {(1, k) for k in range(4, 8)}
+    assert {tuple(r) for r in C.leaks(d, i).collect()} == want
+    C.HITS, kept = 1, C.HITS
+    try:
+        assert {(d, k) for d, k, _ in C.Finder([x for _, x, _ in items], C.PART).batch([x[1] for x in docs])} == want
+    finally:
+        C.HITS = kept
