@@ -212,32 +212,42 @@ def judged(item: Item, mask: np.ndarray) -> tuple[float, int, int]:
     return float(size[j + 1] - size[i]) / len(item.codes), int(j + 1 - i), int(bad[j + 1] - bad[i])
 
 
-def carried(item: Item, found: np.ndarray) -> tuple[float, int, int]:
-    """(share of the item, words, misread words) of the best stretch.
+def carried(item: Item, found: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """(share of the item, words, misread words) of the best stretch; chains that can't reach ``least`` aren't looked at.
 
-    The best chain of segments that ascend in item and document, with short
-    gaps, says which words are carried whole.
+    Chains of segments that ascend in item and document, with short gaps, say
+    which words are carried whole. Each segment follows the best one of all
+    before it that are near enough, and every chain that no segment goes on
+    with is judged.
     """
-    segs = found.tolist()
-    if not segs:
-        return 0.0, 0, 0
-    best, prev = [], []
-    for i, (s, e, p) in enumerate(segs):
-        top, back = 0, -1
-        for j in range(i - 1, max(-1, i - 60), -1):
-            s2, e2, p2 = segs[j]
-            over = max(0, e2 - s, p2 + e2 - s2 - p)
-            gap = p - (p2 + e2 - s2)
-            if over < e - s and s2 < s and p2 < p and gap <= GAP + max(0, s - e2) and best[j] - over > top:
-                top, back = best[j] - over, j
-        best.append(top + e - s)
-        prev.append(back)
-    i = int(np.argmax(best))
-    chain = []
-    while i >= 0:
-        chain.append(i)
-        i = prev[i]
-    return judged(item, covered(len(item.codes), found[chain]))
+    n = len(item.codes)
+    found = found[np.argsort(found[:, 2], kind="stable")]
+    s, e, p = found.T
+    q = p + e - s
+    near = np.searchsorted(p, p - GAP - 2 * n, side="left")  # a gap is at most GAP + n, a segment at most n
+    before = np.searchsorted(p, p, side="left")
+    best, prev, root = e - s, np.full(len(found), -1), s.copy()
+    for i in range(len(found)):
+        j = slice(near[i], before[i])
+        over = np.maximum(np.maximum(0, e[j] - s[i]), q[j] - p[i])
+        fits = (over < e[i] - s[i]) & (s[j] < s[i]) & (p[i] - q[j] <= GAP + np.maximum(0, s[i] - e[j]))
+        gain = np.where(fits, best[j] - over, 0)
+        k = int(gain.argmax()) if len(gain) else 0
+        if len(gain) and gain[k] > 0:
+            best[i] += gain[k]
+            prev[i] = near[i] + k
+            root[i] = root[prev[i]]
+    last = np.setdiff1d(np.arange(len(found)), prev)
+    top = (0.0, 0, 0)
+    for i in last[np.argsort(-best[last], kind="stable")].tolist():
+        if e[i] - root[i] < least * n or e[i] - root[i] <= top[0] * n:
+            continue
+        chain = []
+        while i >= 0:
+            chain.append(i)
+            i = prev[i]
+        top = max(top, judged(item, covered(n, found[chain])), key=lambda x: x[0])
+    return top
 
 
 class Finder:
@@ -296,7 +306,7 @@ class Finder:
             for i in copies:
                 it = self.items[i]
                 if (key := it.unit.tobytes()) not in shares:
-                    shares[key] = carried(it, segs)[0] if judged(it, mask)[0] >= self.least else 0.0  # no chain holds more than all segments
+                    shares[key] = carried(it, segs, self.least)[0] if judged(it, mask)[0] >= self.least else 0.0  # no chain holds more than all segments
                 if shares[key] > 0 and shares[key] >= self.least:
                     out.append((int(doc[mine]), i, shares[key]))
         return out

@@ -82,3 +82,22 @@ def test_copies_and_writings_of_one_item(spark):
         assert {(d, k) for d, k, _ in C.Finder([x for _, x, _ in items], C.PART).batch([x[1] for x in docs])} == want
     finally:
         C.HITS = kept
+
+
+def test_every_stretch_is_judged():
+    """A phrase repeated a hundred times hides no misread copy, and a longer stretch that is too foreign no shorter one."""
+    t = TEXTS[30].split()
+    sheet = " ".join(t[:2]) + ". "
+    decoy = " ".join("zz" if k % 3 == 1 else w for k, w in enumerate(t))
+    docs = [filler() + misread(TEXTS[30], 6) + filler() + "".join(sheet + filler(3) for _ in range(100)), decoy + filler(80) + " ".join(t[:18]), decoy, "".join(sheet + filler(3) for _ in range(100))]
+    assert [d for d, _, _ in C.Finder([TEXTS[30]], C.PART).batch(docs)] == [0, 1]
+
+
+def test_predecessors_are_not_counted_off():
+    """Eighty segments between two of one chain, as in a list sheet, don't break it."""
+    item = C.Item(" ".join(WORD() for _ in range(30)))
+    n = len(item.codes)
+    half = n // 2
+    far = [[half - 3, half + 3, 50_000 + 1_000 * k] for k in range(80)]
+    segs = np.array([[0, half, 100], *far, [half, n, 100 + half]])
+    assert C.carried(item, segs)[0] == 1.0
