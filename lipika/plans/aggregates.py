@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.functions import arrays
+from lipika.functions import arrays, text
 from lipika.operators import aggregates as agg
+from lipika.operators.alignment import read_as
 from lipika.operators.classify import position_bucket
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
@@ -225,6 +226,15 @@ def d28_glyph_outcomes(spark: SparkSession, root: str) -> DataFrame:
     return c.where("ch <> ''").groupBy("language", "ch").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("correct"))
 
 
+@query()
+def d28_glyph_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """Glyph clusters of each language and how many are read right: all of a line that is right as a whole (tier 1), else those that the alignment matches."""
+    r = readings(spark, root).where("language is not null")
+    hyp = F.when(text.tier1(F.col("gt")) == text.tier1(F.col("hyp")), F.col("gt")).otherwise(F.col("hyp"))
+    d = read_as(r.select("language", text.glyph_clusters(F.col("gt")).alias("a"), text.glyph_clusters(hyp).alias("b")), "a", "b")
+    return d.groupBy("language", F.col("true_cluster").alias("ch")).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("true_cluster") == F.col("predicted_cluster"), F.col("n")).otherwise(0)).alias("correct"))
+
+
 @query(f"with {CALLS} select script, round(avg(coalesce(sarvam_text = ground_truth, false)::int), 6) as accuracy, count(*) as n from calls group by script")
 def d29_line_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """A missing text counts as wrong."""

@@ -145,3 +145,21 @@ def test_sampling(spark):
         assert m.count() == 60 and i.lo < 24.5 < i.hi
     w = sampling.corpus_walk(spark.createDataFrame([("s", "a", "b", 5), ("s", "b", "a", 3)], "script string, a string, b string, n long"), spark.createDataFrame([("s", "a", 3), ("s", "b", 2)], "script string, glyph string, quota long"))
     assert sorted("".join(r.text for r in w.collect())) == list("aaabb")
+
+
+def test_glyph_outcomes_of_whole_texts(spark, tmp_path):
+    """Glyphs read right in a line that isn't right as a whole are counted."""
+    from lipika.plans import registry
+
+    lines = [("hindi", "कमल नयन", "कमल गयन"), ("hindi", "कमल", "कमल"), ("hindi", "मन", None), (None, "कम", "कम"), ("tamil", "மரம்", "மம்")]
+    d = spark.createDataFrame([(k, "e", lang, str(k), "v", "GENUINE", "x", gt, hyp, 0, None) for k, (lang, gt, hyp) in enumerate(lines)], "row_no long, engine string, language string, image_id string, variant string, bucket string, taxonomy_label string, ground_truth string, predicted string, batch_no int, recorded_at timestamp")
+    d.write.parquet(f"{tmp_path}/error_taxonomy.parquet")
+    got = {(r.language, r.ch): (r.total, r.correct) for r in registry.queries()["d28_glyph_alignment"](spark, str(tmp_path)).collect()}
+    assert got == {("hindi", "क"): (2, 2), ("hindi", "म"): (3, 2), ("hindi", "ल"): (2, 2), ("hindi", "न"): (3, 1), ("hindi", "य"): (1, 1), ("tamil", "ம"): (1, 1), ("tamil", "ர"): (1, 0), ("tamil", "ம்"): (1, 1)}
+
+
+def test_alignment_in_lockstep():
+    r = random.Random(3)
+    text = lambda: [r.choice("abcd") for _ in range(r.randrange(12))]
+    pairs = [(text(), text()) for _ in range(500)]
+    assert alignment.aligned_many(pairs) == [alignment.aligned(a, b) for a, b in pairs]
