@@ -56,8 +56,10 @@ def substitutions(rows: DataFrame, a: str, b: str) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for k, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, j in aligned(x or [], y or []):
+            keys, xs, ys = (c.to_pylist() for c in batch.columns)
+            pairs = [(x or [], y or []) for x, y in zip(xs, ys)]
+            for k, (x, y), found in zip(keys, pairs, aligned_many(pairs)):
+                for i, j in found:
                     if x[i] != y[j]:
                         for col, v in zip(out, (k, x[i], y[j], i, j)):
                             col.append(v)

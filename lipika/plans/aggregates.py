@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import arrays, text
 from lipika.operators import aggregates as agg
-from lipika.operators.alignment import read_as
+from lipika.operators.alignment import read_as, substitutions
 from lipika.operators.classify import position_bucket
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
@@ -202,6 +202,14 @@ def d24_confusion_edges(spark: SparkSession, root: str) -> DataFrame:
     return d.where("a <> b").groupBy("a", "b").agg(_n(), F.round(F.avg("w"), 6).alias("mean_w"), F.min_by("hyp", "row_no").alias("first_example"))
 
 
+@query()
+def d24_aligned_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges of confusions anywhere in a text, by alignment of its clusters, with the first example."""
+    r = readings(spark, root).where("gt <> hyp").select(F.struct("row_no", "hyp").alias("of"), text.graphemes(F.col("gt")).alias("a"), text.graphemes(F.col("hyp")).alias("b"))
+    d = substitutions(r, "a", "b").select(F.col("true_cluster").alias("a"), F.col("predicted_cluster").alias("b"), "of.*")
+    return d.groupBy("a", "b").agg(_n(), F.round(F.avg(F.char_length("hyp")), 6).alias("mean_w"), F.min_by("hyp", "row_no").alias("first_example"))
+
+
 @query(f"with {READINGS}, p as (select engine, batch_no, count(*) as n, avg(length(hyp)) as m from readings group by all) select engine, sum(n)::bigint as n, round(sum(m * n) / sum(n), 6) as merged from p group by engine")
 def d25_weighted_merge(spark: SparkSession, root: str) -> DataFrame:
     p = readings(spark, root).groupBy("engine", "batch_no").agg(F.count(F.lit(1)).alias("k"), F.avg(F.char_length("hyp")).alias("m"))

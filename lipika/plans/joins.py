@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import joins
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, KEY, LATEST, PANEL, READINGS, calls, lab, last_readings, panel, readings
+from lipika.plans.views import CALLS, KEY, LATEST, PANEL, READINGS, calls, clusters_read, lab, last_readings, panel, readings
 from lipika.session import load
 
 _IMG = ["language", "image_id"]
@@ -176,6 +176,15 @@ def c16_exposure_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return x.join(o, ["language", "ch"]).groupBy("language").agg(F.count(F.lit(1)).alias("glyphs"), F.round(F.sum(F.col("exposure") * F.col("acc")) / F.sum("exposure"), 6).alias("weighted"))
 
 
+@query()
+def c16_aligned_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """How often a cluster is read right anywhere in a text, weighted by how often it is seen."""
+    d = clusters_read(spark, root).where("language is not null").groupBy("language", "true_cluster")
+    right = F.sum(F.when(F.col("true_cluster") == F.col("predicted_cluster"), F.col("n")).otherwise(0))
+    g = d.agg(F.sum("n").alias("exposure"), right.alias("correct"))
+    return g.groupBy("language").agg(F.count(F.lit(1)).alias("glyphs"), F.round(F.sum("correct") / F.sum("exposure"), 6).alias("weighted"))
+
+
 _BEFORE = "case when {a}.y + 0.02 < {b}.y then true when {b}.y + 0.02 < {a}.y then false else {a}.x < {b}.x end"
 
 

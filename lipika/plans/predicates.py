@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import classify
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, calls, last_readings, readings, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, LATEST, READINGS, calls, clusters_read, last_readings, readings, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -125,6 +125,12 @@ def b14_confusion_tag(spark: SparkSession, root: str) -> DataFrame:
     return readings(spark, root).groupBy(classify.confusion_tag(F.substring("gt", 1, 1), F.substring("hyp", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def b14_aligned_tags(spark: SparkSession, root: str) -> DataFrame:
+    """How each cluster of a text and what it is read as are alike; 'empty' if it is read as nothing."""
+    return clusters_read(spark, root).groupBy(classify.confusion_tag(F.col("true_cluster"), F.col("predicted_cluster")).alias("tag")).agg(F.sum("n").alias("n"))
+
+
 @query("""select case when line_index = 0 then '0' when line_index = 1 then '1' when line_index between 2 and 9 then '2-9' when line_index between 10 and 19 then '10-19'
   when line_index between 20 and 39 then '20-39' when line_index >= 40 then '40+' end as bucket, count(*) as n from line_gt group by 1""")
 def b15_range_bucket(spark: SparkSession, root: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import text
 from lipika.functions.labels import engine, image_key, label
+from lipika.operators.alignment import read_as
 from lipika.session import load
 
 
@@ -28,6 +29,12 @@ READINGS = f"""readings as (select row_no, coalesce({lab('engine')}, 'tesseract'
   bucket, {lab('taxonomy_label')} as label, coalesce(ground_truth, '') as gt, coalesce(predicted, '') as hyp, batch_no, recorded_at from error_taxonomy)"""
 
 
+def clusters_read(spark: SparkSession, root: str) -> DataFrame:
+    """Every cluster of the true texts by language and what the alignment of the whole text reads it as (null: nothing); counts n to be added up."""
+    r = readings(spark, root).select("language", text.graphemes(F.col("gt")).alias("a"), text.graphemes(F.col("hyp")).alias("b"))
+    return read_as(r, "a", "b")
+
+
 def calls(spark: SparkSession, root: str) -> DataFrame:
     """sarvam_transfer_probe in one writing; the path gives what script or id leave out."""
     d = load(spark, root, "sarvam_transfer_probe")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import arrays, text
 from lipika.operators.ordering import midranks, numbered, running
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, READINGS, STEPS, calls, readings, steps, ws_sql
+from lipika.plans.views import CALLS, READINGS, STEPS, calls, clusters_read, readings, steps, ws_sql
 from lipika.session import load
 
 _COST = "case when sarvam_text = ground_truth then 0.0 else 1.0 end"
@@ -106,6 +106,13 @@ def f1_top_confusions(spark: SparkSession, root: str) -> DataFrame:
     return r.where("a <> b").orderBy(F.col("n").desc(), "a", "b").limit(15)
 
 
+@query()
+def f1_aligned_confusions(spark: SparkSession, root: str) -> DataFrame:
+    """The most frequent confusions of clusters anywhere in a text."""
+    r = clusters_read(spark, root).where("true_cluster <> predicted_cluster")
+    return r.groupBy(F.col("true_cluster").alias("a"), F.col("predicted_cluster").alias("b")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b").limit(15)
+
+
 _TWO = """x as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch), y as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from page_gt where text is not null) where ch <> '' group by ch),
   d as (select coalesce(x.ch, y.ch) as ch, coalesce(x.n, 0) / (select sum(n) from x) as p, coalesce(y.n, 0) / (select sum(n) from y) as q from x full join y on x.ch = y.ch)"""
 

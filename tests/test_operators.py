@@ -163,3 +163,17 @@ def test_alignment_in_lockstep():
     text = lambda: [r.choice("abcd") for _ in range(r.randrange(12))]
     pairs = [(text(), text()) for _ in range(500)]
     assert alignment.aligned_many(pairs) == [alignment.aligned(a, b) for a, b in pairs]
+
+
+def test_confusions_of_whole_texts(spark, tmp_path):
+    """Confusions after the first code point are counted."""
+    from lipika.plans import registry
+
+    lines = [("hindi", "कमल", "कनल"), ("hindi", "मकम", "मकन"), ("hindi", "कम", "क"), (None, "लम", "लन"), ("hindi", "लक", None)]
+    d = spark.createDataFrame([(k, "e", lang, str(k), "v", "GENUINE", "x", gt, hyp, 0, None) for k, (lang, gt, hyp) in enumerate(lines)], "row_no long, engine string, language string, image_id string, variant string, bucket string, taxonomy_label string, ground_truth string, predicted string, batch_no int, recorded_at timestamp")
+    d.write.parquet(f"{tmp_path}/error_taxonomy.parquet")
+    run = lambda name: sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert run("d24_aligned_edges") == [("म", "न", 3, round(8 / 3, 6), "कनल")]
+    assert run("f1_aligned_confusions") == [("म", "न", 3)]
+    assert run("b14_aligned_tags") == [("both-devanagari", 3), ("empty", 3), ("identical", 6)]
+    assert run("c16_aligned_accuracy") == [("hindi", 3, 0.5)]
