@@ -1,11 +1,10 @@
 """Problem 1: a sample whose categories have given proportions.
 
-One pass over the records keeps, for each category, a mergeable reservoir.
-A reservoir is a bottom-k sample by a permanent random priority, kept as the
-histogram of those priorities: histograms of two partitions (or of two
+A first pass over the records keeps, for each category, the histogram of
+permanent random priorities, and no records: histograms of two partitions (or of two
 categories that one target covers) add up, so it is built by ordinary partial
-aggregation and never holds a category in one task. After the pass the final
-counts give feasible quotas; each target is then trimmed to its quota by a
+aggregation and never holds a category in one task. After it the final
+counts give feasible quotas; a second pass trims each target to its quota by a
 priority threshold, and only records in the one bin that holds the threshold
 are ranked.
 """
