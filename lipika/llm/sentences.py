@@ -4,9 +4,11 @@ Paragraphs end at blank lines. In spaced scripts every run of end marks is a
 node of a terminator lattice whose two readings, inside a sentence or its end,
 are told apart by the token before (abbreviation, initial, number, list
 number), the mark itself and what follows; matched quotations and brackets are
-edges that skip the marks they hold. In scripts without spaces the words
-around a gap come from the cheapest path through a dictionary word lattice;
-the gap is classified by final particles before and opening words behind it.
+edges that skip the marks they hold. In scripts without spaces the word
+behind a gap comes from a lattice of a few particles and openers, in effect a
+test of how the text goes on. Words before a gap are not segmented and final
+particles are not used: there is no real lexicon at hand, and the rule for
+Thai (a blank between two letters ends a sentence) needs neither.
 """
 
 from __future__ import annotations
