@@ -4,9 +4,10 @@ The length histogram (at most ``capacity`` classes) is all that the driver
 sees. A configuration linear program over it is solved by multiplicative
 weights: classes hold weights, each round a knapsack dynamic program finds the
 configuration of most weight, and the classes it covers lose weight. The
-solution is rounded down to whole containers; the rest is fitted, in exact
-sizes, into remaining gaps and further containers. Items then find their slot
-by their rank within their size, which is counted in salted buckets.
+solution is rounded down to whole containers, each refilled in exact sizes
+until nothing fits; the program is solved again for the remainder, and what
+little is left by best fit. Items then find their slot by their rank within
+their size, which is counted in salted buckets.
 """
 
 from __future__ import annotations
@@ -22,13 +23,18 @@ from pyspark.sql import functions as F
 from lipika.session import pick, written
 
 CAPACITY = 4096
-#: Sizes are rounded up to this many steps of the capacity in the linear program; exact sizes return when it is rounded.
-GRID = 256
-EPSILON = 0.25
+#: About so many classes of sizes in the linear program; exact sizes return when it is rounded.
+CLASSES = 128
+#: The linear program is solved again while more than so many items a class are left over.
+MANY = 16
+#: About so many rounds of multiplicative weights; the fewer classes, the smaller the steps that they allow.
+ROUNDS = 800
 #: Sizes up to this part of the capacity stay out of the linear program and fill the gaps that it leaves.
 SMALL = 1 / 8
 #: Items of one size are ranked in buckets of about this many.
 BUCKET_ROWS = 200_000
+#: Slots of the packing that may be sent to the tasks (40 bytes each). They depend on the histogram's classes, not on the items.
+MAX_SLOTS = 1_000_000
 
 _PIECES = "doc_id long, piece int, pieces int, start_pos int, end_pos int, tokens int"
 
@@ -78,40 +84,50 @@ def items(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return whole.unionByName(sized.where(F.col("tokens") > capacity).select("doc_id", "text").mapInPandas(cut, _PIECES))
 
 
-def best_configuration(units: np.ndarray, price: np.ndarray, room: int) -> np.ndarray:
-    """How often to take each class so that the price is largest: unbounded knapsack by dynamic programming."""
-    value, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    fits = np.searchsorted(units, np.arange(room + 1), side="right")
-    for c in range(1, room + 1):
-        value[c], pick[c] = value[c - 1], -2
-        k = fits[c]
-        if k:
-            gain = value[c - units[:k]] + price[:k]
-            i = int(gain.argmax())
-            if gain[i] > value[c]:
-                value[c], pick[c] = gain[i], i
-    take, c = np.zeros(len(units), dtype=np.int64), room
-    while c > 0 and pick[c] != -1:
-        if pick[c] == -2:
-            c -= 1
-        else:
+class Knapsack:
+    """How often to take each class so that the price is largest: unbounded knapsack by dynamic programming.
+
+    ``units`` ascends. A block of as many capacities as the smallest class is
+    long depends on earlier blocks only, so it is computed at once; what each
+    capacity leaves behind every class is the same for all prices.
+    """
+
+    def __init__(self, units: np.ndarray, room: int):
+        self.units, self.room, least = units, room, int(units[0])
+        self.blocks = []
+        for lo in range(least, room + 1, least):
+            hi = min(lo + least, room + 1)
+            left = np.arange(lo, hi)[:, None] - units[None, : np.searchsorted(units, hi - 1, side="right")]
+            self.blocks.append((lo, hi, np.where(left < 0, room + 1, left)))
+
+    def best(self, price: np.ndarray) -> np.ndarray:
+        value, pick = np.zeros(self.room + 2), np.full(self.room + 1, -1)
+        value[-1] = -np.inf  # no room for that class
+        for lo, hi, left in self.blocks:
+            gain = value[left]
+            gain += price[: left.shape[1]]
+            best = gain.argmax(1)
+            value[lo:hi], pick[lo:hi] = gain[np.arange(hi - lo), best], best
+        take, c = np.zeros(len(self.units), dtype=np.int64), self.room
+        while pick[c] >= 0:
             take[pick[c]] += 1
-            c -= units[pick[c]]
-    return take
+            c -= self.units[pick[c]]
+        return take
 
 
-def configuration_lp(units: np.ndarray, counts: np.ndarray, room: int, epsilon: float = EPSILON) -> list[tuple[np.ndarray, float]]:
+def configuration_lp(units: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Fractional solution [(configuration, copies)] that covers every class about once.
 
     Rounds of multiplicative weights; a round's configuration is used as often
-    as its scarcest class allows. ``units`` ascends.
+    as its scarcest class allows.
     """
-    m = len(units)
+    m, knapsack = len(units), Knapsack(units, room)
+    epsilon = min(0.25, (m * np.log(m + 1) / (10 * ROUNDS)) ** 0.5)
     covered, made = np.zeros(m), {}
     goal = max(2.0, np.log(m + 1) / epsilon**2 / 4)
     while covered.min() < goal:
         price = np.exp(-epsilon * (covered - covered.min())) / counts
-        a = best_configuration(units, price, room)
+        a = knapsack.best(price)
         used = a > 0
         step = float((counts[used] / a[used]).min())
         covered[used] += a[used] * step / counts[used]
@@ -121,24 +137,49 @@ def configuration_lp(units: np.ndarray, counts: np.ndarray, room: int, epsilon:
     return [(a, x / scale) for a, x in made.values()]
 
 
-def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> list[tuple[int, tuple[int, ...]]]:
-    """[(copies, sizes)]: whole containers that hold each size as often as the histogram says."""
-    step = max(1, -(-capacity // grid))
-    room = capacity // step
+def grouped(hist: dict[int, int], classes: int) -> dict[int, int]:
+    """size -> class: linear grouping of the sizes, each class named by its largest size.
+
+    A size that holds its share of all items, or all of them where there are
+    no more sizes than ``classes``, is a class of its own, in its exact size;
+    runs of rarer sizes share a class.
+    """
+    sizes = sorted(hist)
+    if len(sizes) <= classes:
+        return {s: s for s in sizes}
+    share, out, run, held = sum(hist.values()) * 2 / classes, {}, [], 0
+    for s in sizes:
+        if run and held + hist[s] > share:
+            out |= dict.fromkeys(run, run[-1])
+            run, held = [], 0
+        run.append(s)
+        held += hist[s]
+    return out | dict.fromkeys(run, run[-1])
+
+
+def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, tuple[int, ...]]]:
+    """[(copies, sizes)]: whole containers that hold each size as often as the histogram says.
+
+    The linear program is solved again for what its rounding left over, as
+    long as that places items; what then is left is fitted by best fit.
+    """
     small = {s: n for s, n in hist.items() if n > 0 and s <= capacity * SMALL}
-    unit = {s: min(-(-s // step), room) for s in hist if hist[s] > 0 and s not in small}
-    units = np.array(sorted(set(unit.values())), dtype=np.int64)
-    if not len(units):
-        return _fit([], small, capacity)
-    at = {int(u): i for i, u in enumerate(units)}
-    counts = np.zeros(len(units))
-    stock = _Stock({s: n for s, n in hist.items() if s in unit}, lambda s: at[unit[s]])
-    for s in unit:
-        counts[at[unit[s]]] += hist[s]
+    left = {s: n for s, n in hist.items() if n > 0 and s not in small}
     groups: list[tuple[int, tuple[int, ...]]] = []
-    for a, x in sorted(configuration_lp(units, counts, room), key=lambda t: (-t[1], t[0].tobytes())):
-        groups += stock.fill(a, int(x), capacity)
-    return _fit(groups, small | {s: n for s, n in stock.left.items() if n}, capacity)
+    while sum(left.values()) > MANY * classes or not groups and left:
+        name = grouped(left, classes)
+        units = np.array(sorted(set(name.values())), dtype=np.int64)
+        at = {int(u): i for i, u in enumerate(units)}
+        counts = np.zeros(len(units))
+        for s, n in left.items():
+            counts[at[name[s]]] += n
+        stock = _Stock(left, lambda s: at[name[s]])
+        for a, x in sorted(configuration_lp(units, counts, capacity), key=lambda t: (-t[1], t[0].tobytes())):
+            groups += stock.fill(a, int(x), capacity)
+        before, left = sum(left.values()), {s: n for s, n in stock.left.items() if n}
+        if sum(left.values()) == before:
+            break
+    return _fit(groups, small | left, capacity)
 
 
 class _Stock:
@@ -163,11 +204,11 @@ class _Stock:
     def fill(self, a: np.ndarray, copies: int, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
         """Whole containers of configuration ``a``, as runs of equal ones.
 
-        All items but the smallest come from their classes; the last is the
-        largest exact size that still fits, from whatever class.
+        All items but the smallest come from their classes; then the largest
+        exact size that still fits goes in, from whatever class, until none does.
         """
         chosen = [int(i) for i in np.flatnonzero(a) for _ in range(int(a[i]))]
-        last, first = chosen[0], chosen[1:]
+        first = chosen[1:] or chosen
         need = {i: first.count(i) for i in set(first)}
         copies = min([copies, *(self.in_class[i] // n for i, n in need.items())])
         if copies <= 0:
@@ -182,18 +223,19 @@ class _Stock:
                 run.append((s, n))
                 k -= n
             runs.append(run)
-        out = []
-        for k, g in _aligned(runs, copies):
-            while k:
-                j = bisect_left(self.sizes, capacity - sum(g) + 1) - 1
-                s = self.sizes[j] if j >= 0 else 0
-                if not s or self.class_of(s) < last:  # nothing near: what is open is filled later
-                    out.append((k, g))
-                    break
-                n = min(k, self.left[s])
-                self._take(s, n)
-                out.append((n, (*g, s)))
-                k -= n
+        out, todo = [], _aligned(runs, copies)
+        while todo:
+            k, g = todo.pop()
+            j = bisect_left(self.sizes, capacity - sum(g) + 1) - 1
+            if j < 0:
+                out.append((k, g))
+                continue
+            s = self.sizes[j]
+            n = min(k, self.left[s])
+            self._take(s, n)
+            todo.append((n, (*g, s)))
+            if n < k:
+                todo.append((k - n, g))
         return out
 
 
@@ -237,8 +279,8 @@ def _fit(groups: list[tuple[int, tuple[int, ...]]], rest: dict[int, int], capaci
     return [(k, g) for g, k in sorted(out.items())]
 
 
-def slots(groups: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(tokens, lo, hi, each, first): ranks lo..hi-1 of a size go to containers first + (rank - lo) // each."""
+def slots(groups: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
+    """Rows (tokens, lo, hi, each, first), sorted: ranks lo..hi-1 of a size go to containers first + (rank - lo) // each."""
     out, seen, first = [], {}, 0
     for copies, g in groups:
         for s in sorted(set(g)):
@@ -247,7 +289,13 @@ def slots(groups: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int
             seen[s] = lo + copies * each
             out.append((s, lo, seen[s], each, first))
         first += copies
-    return out
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+
+
+def container_of(table: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The container of each item by its size and its rank within it, by binary search in the slots."""
+    i = np.searchsorted((table[:, 0] << 48) + table[:, 1], (tokens.astype(np.int64) << 48) + rank, side="right") - 1
+    return table[i, 4] + (rank - table[i, 1]) // table[i, 3]
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -259,19 +307,36 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = documents.sparkSession
     parts = written(items(documents, capacity), "items")
     hist = {int(r.tokens): int(r.n) for r in parts.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    where = spark.createDataFrame(slots(pack_histogram(hist, capacity)), "tokens int, lo long, hi long, each int, first long")
+    found = slots(pack_histogram(hist, capacity))
+    if len(found) > MAX_SLOTS:
+        raise ValueError(f"more than {MAX_SLOTS} slots")
+    table = spark.sparkContext.broadcast(found)
+
+    @F.pandas_udf("long")
+    def container(tokens: pd.Series, rank: pd.Series) -> pd.Series:
+        return pd.Series(container_of(table.value, tokens.to_numpy(), rank.to_numpy()))
+
     buckets = max(4, -(-sum(hist.values()) // BUCKET_ROWS))
     salted = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     n = salted.groupBy("tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offset = n.select("tokens", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     row = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("row", row).join(offset, ["tokens", "bucket"]).withColumn("rank", F.col("offset") + F.col("row")).drop("row", "offset", "bucket")
-    hit = (ranked.tokens == where.tokens) & (ranked["rank"] >= where["lo"]) & (ranked["rank"] < where["hi"])
-    container = where["first"] + F.floor((ranked["rank"] - where["lo"]) / where["each"])
-    return ranked.join(F.broadcast(where), hit).select("doc_id", "piece", "pieces", "start_pos", "end_pos", ranked.tokens, container.cast("long").alias("container"))
+    ranked = salted.withColumn("row", row).join(offset, ["tokens", "bucket"]).withColumn("rank", F.col("offset") + F.col("row"))
+    return ranked.select("doc_id", "piece", "pieces", "start_pos", "end_pos", "tokens", container("tokens", "rank").alias("container"))
 
 
 def split_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id): documents that the packing had to split."""
-    return pack(documents, capacity).where("pieces > 1 and piece = 0").select("doc_id")
+    """(doc_id): documents that the packing had to split, since their pieces lie in several containers."""
+    lies = pack(documents, capacity).where("pieces > 1").groupBy("doc_id").agg(F.min("container").alias("lo"), F.max("container").alias("hi"))
+    return lies.where("lo < hi").select("doc_id")
+
+
+def containers(documents: DataFrame, capacity: int = CAPACITY, slack: float = 0.005) -> DataFrame:
+    """One row (documents, tokens, overfull, close): what was packed, containers above the capacity, and whether there are at most ``slack`` more (rounded up) than the sum of sizes needs.
+
+    Every document counts once, by its first piece.
+    """
+    held = pack(documents, capacity).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.when(F.col("piece") == 0, 1)).alias("documents"))
+    n = held.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("tokens") > capacity, 1)).alias("overfull"), F.count(F.lit(1)).alias("containers"))
+    return n.select("documents", "tokens", "overfull", (F.col("containers") <= F.ceil(F.col("tokens") / capacity * (1 + slack))).alias("close"))

@@ -61,6 +61,10 @@ def p5_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(load(spark, root, "documents"))
 
 
+def p5_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.containers(load(spark, root, "documents"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return contamination.leaks(load(spark, root, "documents"), load(spark, root, "eval_items"))
 
@@ -70,7 +74,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p6_found, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
+    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p5_containers, p6_found, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
@@ -106,4 +110,4 @@ select min(y) as first_page_id, x as page_id from r group by x having min(y) <>
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}

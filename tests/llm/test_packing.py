@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,6 +39,47 @@ def test_histogram_is_packed_whole(hist):
     assert sum(k for k, _ in groups) <= 1.15 * len(bins) + 1
 
 
+def least(hist, capacity=4096):
+    return -(-sum(s * n for s, n in hist.items()) // capacity)
+
+
+def used(hist, capacity=4096):
+    groups, held = P.pack_histogram(hist, capacity), Counter()
+    for k, g in groups:
+        assert k > 0 and sum(g) <= capacity
+        held.update({s: 0 for s in g})
+        for s in g:
+            held[s] += k
+    assert held == Counter({s: n for s, n in hist.items() if n})
+    return sum(k for k, _ in groups)
+
+
+def test_equal_sizes_and_exact_partners():
+    for size, n in ((1365, 3000), (819, 5000), (682, 6000), (585, 7000), (1024, 4000), (4096, 10), (2048, 3), (1, 10_000)):
+        assert used({size: n}) <= least({size: n}) + 1, size
+    assert used({2000: 5000}) == 2500 and used({2049: 70}) == 70 and used({}) == 0 and used({5: 0}) == 0
+    assert used({1365: 3000, 2731: 1500, 819: 5000, 682: 2000, 3277: 500}) <= 1.01 * 3734
+    r = random.Random(3)
+    pairs = Counter(x for _ in range(4000) for s in [r.randrange(1200, 2800)] for x in (s, 4096 - s))
+    assert used(pairs) <= 1.01 * 4000
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.integers(1, 900), st.integers(1, 3000), min_size=40, max_size=300))
+def test_random_histograms_against_the_lower_bound(hist):
+    assert used(hist) <= 1.02 * least(hist) + 2
+
+
+def test_slots_hold_every_rank():
+    groups = P.pack_histogram({700: 400, 300: 900, 4000: 7})
+    table, fill = P.slots(groups), Counter()
+    for size, n in ((700, 400), (300, 900), (4000, 7)):
+        at = P.container_of(table, np.full(n, size), np.arange(n))
+        for c in at.tolist():
+            fill[c] += size
+    assert max(fill.values()) <= 4096 and len(fill) == sum(k for k, _ in groups)
+
+
 def test_close_to_the_bound():
     r = random.Random(1)
     hist = Counter(min(4096, int(r.lognormvariate(7, 0.9)) + 5) for _ in range(30_000))
@@ -54,4 +96,5 @@ def test_pack(spark):
     assert len(d) == len(rows) - 1 + sum(len(P.cut_points(x[1], 4096)) - 1 for x in rows if x[1])
     assert set(d.container) == set(range(d.container.max() + 1))
     assert {x.doc_id for x in P.split_documents(spark.createDataFrame(rows, DOCS)).collect()} == {1002, 1004}
+    assert P.containers(spark.createDataFrame(rows, DOCS)).first()[:3] == (len(rows) - 1, sum(len(x[1].encode()) + 1 for x in rows if x[1] is not None), 0)
     assert P.pack(spark.createDataFrame([], DOCS)).count() == 0
