@@ -22,14 +22,15 @@ def misread(t, every):
 
 
 def test_search_against_brute_force():
-    items = [C.Item(t) for t in TEXTS[:6]]
-    s = C.WuManber(items)
+    f = C.Finder(TEXTS[:6])
     codes, _ = C.fold_text("\x00".join(filler() + t + filler() for t in TEXTS[3:9]))
-    at, k = s.search(codes)
-    windows = {w.tobytes() for w in s.windows}
-    want = [i for i in range(len(codes) - C.WINDOW + 1) if codes[i : i + C.WINDOW].tobytes() in windows]
-    assert sorted(at.tolist()) == want and want
-    assert all((codes[a : a + C.WINDOW] == s.windows[j]).all() for a, j in zip(at, k))
+    for w in C.WINDOWS:
+        s = C.WuManber(f.flat, f.first, f.size, w)
+        at, k = s.search(codes)
+        windows = {x.codes[i : i + w].tobytes() for x in f.items for i in range(len(x.codes) - w + 1)}
+        want = [i for i in range(len(codes) - w + 1) if codes[i : i + w].tobytes() in windows]
+        assert sorted(at.tolist()) == want and want
+        assert all((codes[a : a + w] == s.flat[s.at[j] : s.at[j] + w]).all() for a, j in zip(at, k))
 
 
 def cases():
@@ -46,11 +47,11 @@ def cases():
 
 def test_leaks(spark):
     yes, no = cases()
-    docs = [(k, text, 0, "clash") for k, (_, text) in enumerate(yes + no)] + [(900, None, 0, None), (901, "", 0, None), (902, filler(20_000) + TEXTS[0], 0, None), (0, yes[0][1], 0, None)]
-    items = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(100, TEXTS[0], "x"), (101, None, "x"), (102, "", "x"), (103, "short", "x")]
+    docs = [(k, text, 0, "clash") for k, (_, text) in enumerate(yes + no)] + [(900, None, 0, None), (901, "", 0, None), (903, filler() + "Tokyo 2020" + filler(), 0, None), (904, "the tokyo\n2020", 0, None), (902, filler(20_000) + TEXTS[0], 0, None), (0, yes[0][1], 0, None)]
+    items = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(100, TEXTS[0], "x"), (101, None, "x"), (102, "", "x"), (103, "Tokyo 2020", "x"), (104, "?!", "x")]
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     got = {tuple(r) for r in C.leaks(d, i).collect()}
-    want = {(k, item) for k, (item, _) in enumerate(yes)} | {(0, 100), (902, 0), (902, 100)}
+    want = {(k, item) for k, (item, _) in enumerate(yes)} | {(0, 100), (902, 0), (902, 100), (903, 103), (904, 103)}
     assert got == want
     C.ITEM_BLOCK, kept = 7, C.ITEM_BLOCK
     try:
@@ -84,6 +85,49 @@ def test_copies_and_writings_of_one_item(spark):
         C.HITS = kept
 
 
+def test_many_near_copies(spark):
+    """Items that share a body and differ in their tails are all found, whatever their number and block."""
+    body = TEXTS[22]
+    for n in (4, 5, 50):
+        items = [(k, body[:-1] + " " + " ".join(WORD() for _ in range(6)) + ".", "x") for k in range(n)]
+        docs = [(1, filler() + body + filler(), 0, ""), (2, filler(100), 0, ""), (3, body, 0, "")]
+        d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+        want = {(doc, k) for doc in (1, 3) for k in range(n)}
+        assert {tuple(r) for r in C.leaks(d, i).collect()} == want
+        if n == 5:
+            C.ITEM_BLOCK, kept = 2, C.ITEM_BLOCK
+            try:
+                assert {tuple(r) for r in C.leaks(d, i).collect()} == want
+            finally:
+                C.ITEM_BLOCK = kept
+
+
+def test_short_items():
+    """Items of any length are found, whole and half, and not by less than half."""
+    items = ["Ab", "red fox", "a tall red fox", "one two six ten one", "Tokyo 2020", "in it we do as he is at an ox, so be it", "संख्या ९", "x"]
+    finder = C.Finder(items, C.PART)
+    for k, t in enumerate(items):
+        docs = [filler(5) + " 77 " + t.upper() + " 88 " + filler(5), "".join(chr(0x4E00 + j) for j in range(50))]
+        assert (0, k) in {(d, j) for d, j, _ in finder.batch(docs)} and not any(d == 1 for d, _, _ in finder.batch(docs))
+    got = {(d, j) for d, j, _ in C.Finder(items[:-1], C.PART).batch(["七 one two six 七", "七 one two 七", "七 in it we do as he is at zz ox, so 七", "七 in it we do 七"])}
+    assert got == {(0, 3), (2, 5)}
+
+
+def test_windows_are_kept_by_every_leak():
+    """Half of an item with as many misread words as are allowed keeps the windows that must be found."""
+    r = random.Random(8)
+    for size in (2, 3, 4, 6, 9):
+        for n in (3, 8, 14, 20, 40, 120):
+            words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(size)) for _ in range(n)]
+            item = " ".join(words)
+            part = words[: -(-n // 2)]
+            bad = -(-len(part) // 5) - 1
+            for k in range(bad):
+                at = (k + 1) * len(part) // (bad + 1)
+                part[at] = part[at][:-1] + "z"
+            assert [k for _, k, _ in C.Finder([item], 0.4).batch(["zz " + " ".join(part) + " zz"])] == [0], (size, n)
+
+
 def test_every_stretch_is_judged():
     """A phrase repeated a hundred times hides no misread copy, and a longer stretch that is too foreign no shorter one."""
     t = TEXTS[30].split()
