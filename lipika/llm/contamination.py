@@ -36,8 +36,8 @@ MISREAD = 0.2
 #: A word of which less than this is found is not misread but another word, and counts three times.
 FOREIGN = 0.4
 #: Items, and code points of them, searched for in one pass over the documents.
-ITEM_BLOCK = 20_000
-BLOCK_CHARS = 8_000_000
+ITEM_BLOCK = 40_000
+BLOCK_CHARS = 4_000_000
 #: Code points of documents folded and searched together; one document may have more.
 TOGETHER = 1_000_000
 #: Windows found, times the items that hold them, looked at together; one document may have more.

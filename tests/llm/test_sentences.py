@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,4 +50,55 @@ def test_tables(spark):
 
 
 def test_lattice():
-    assert S.lattice_words("とても", S._JAPANESE)[0] == "とても" and S.lattice_words("とニカ", S._JAPANESE)[0] == "と"
+    assert S.lattice_words("とても", "ja")[0] == "とても" and S.lattice_words("とニカ", "ja")[0] == "と"
+    assert S.lattice_words("これは犬です", "ja") == ["これ", "は", "犬", "です"] and S.lattice_words("กา", "th") == ["กา"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("とてもころですはへえ犬猫"), max_size=12))
+def test_lattice_against_all_segmentations(run):
+    words = {*S.FINAL["ja"], *S.FOLLOW["ja"], *S.OPENER["ja"]}
+    price = [0.0]
+    for end in range(1, len(run) + 1):
+        price.append(min([price[end - 1] + S.UNKNOWN_LETTER, *(price[end - len(w)] + 1 for w in words if run[:end].endswith(w))]))
+    got = S.lattice_words(run, "ja")
+    assert "".join(got) == run and all(got)
+    assert abs(sum(1 if w in words else S.UNKNOWN_LETTER * len(w) for w in got) - price[-1]) < 1e-6
+
+
+MORE = [
+    (["这是书。", "那是笔。"], ""), (["これは犬です", "これは猫です"], " "), (["犬と猫 は走った"], " "), (["ཁྱེད་རང་ག་པར་ཕེབས།", "ང་ཚོ་འགྲོ།"], " "), (["ຂ້ອຍໄປຕະຫຼາດແລ້ວ", "ລາວກິນເຂົ້າ"], " "),
+    (["ខ្ញុំទៅផ្សារ។", "គាត់ញ៉ាំបាយ។"], " "), (["Sgt. Lem and Lt. Tol left.", "It was on Jan. 5."], " "), (["We met Acme Corp. Smith on Jan. 5."], " "), (["It joined Acme Corp.", "The rest stayed."], " "),
+    (["Ink, paper, etc. were lost."], " "), (["वह आई.", "आई. के. राय गए."], " "), (["ไปแล้วครับ", "แต่กา"], " "), (["นา ๆ", "กา"], " "),
+]
+
+
+def test_more_scripts():
+    for parts, glue in MORE:
+        text = glue.join(parts)
+        assert [text[a:b] for a, b in S.boundaries(text)] == parts, parts
+
+
+def test_path_is_the_cheapest():
+    """The path against all readings of a few marks."""
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice(["word", "1", "a", "?", ".", " ", "(b!)", "\n", " | ", '"c."', "।"]) for _ in range(9)).strip()
+        if not text:
+            continue
+        nodes = S._nodes(text, 0, len(text))
+
+        def total(ends):
+            cost, begin = 0.0, 0
+            for j, (s, _, after, inside, end, kind) in enumerate(nodes):
+                if j not in ends:
+                    cost += inside
+                    continue
+                cost += end + S._between(text, begin, s, kind)
+                if j + 1 < len(nodes) and nodes[j + 1][5] in ("mark", "number") and not text[after : nodes[j + 1][0]].strip():
+                    cost += S.EMPTY
+                begin = after
+            return cost
+
+        best = min(total({j for j in range(len(nodes)) if bits >> j & 1}) for bits in range(1 << len(nodes)))
+        assert abs(total(set(S._cheapest(text, 0, nodes))) - best) < 1e-9, text
