@@ -9,21 +9,25 @@ label goes to the split that needs that label most.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from heapq import heapify, heappop, heappush
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lipika.llm.components import components, links_through
 from lipika.llm.labels import label
-from lipika.operators.skew import lookup_join
-from lipika.session import pick, written
+from lipika.llm.ranks import rank_within
+from lipika.operators.ordering import numbered
+from lipika.operators.skew import broadcast_if_small, lookup_join
+from lipika.session import pick, shared_path, written
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Components of at least 1 / HEAD of all rows are placed one by one (at most HEAD of them); the rest by label and running size.
-HEAD = 2048
-BUCKETS = 512
-#: The most frequent label values that are spread evenly; rarer ones (labels that are free text) don't count.
-MAX_LABELS = 1000
+#: Classes of equal label vectors that the driver places together; more are placed block after block, with the needs carried on.
+BLOCK = 100_000
+#: Label values are categories; with more of them (labels that are free text) the split is refused.
+MAX_LABELS = 500_000
+#: Different lengths of layout ids.
+MAX_LENGTHS = 256
 #: Columns of a page whose values are to be spread evenly.
 LABELS = ("script", "mode", "tier", "layout_category")
 
@@ -52,32 +56,32 @@ def lines_keyed(lines: DataFrame) -> DataFrame:
     return pick(lines, "line_id", "image_path", "line_index").select("line_id", label(part(1)).alias("script"), F.lower(part(2)).alias("mode"), part(3).try_cast("long").alias("page_no"), row.alias("row_no"))
 
 
-def _tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\p{N}+)"), 1)
+def _form(c: Column) -> Column:
+    """Letters and digits in lower case, without separators; each run of digits in angle brackets, so that it only equals whole runs."""
+    apart = F.regexp_replace(F.regexp_replace(F.lower(c), "[<>]", " "), r"(\p{Nd}+)", "<$1>")
+    return F.regexp_replace(apart, r"[^\p{L}\p{Nd}<>]", "")
 
 
 def _spans(n: int) -> Column:
-    """Every run of ``n`` tokens as (at, len, source)."""
-    return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.concat_ws("", F.slice("t", i + 1, n)).alias("source")))).otherwise(F.array().cast("array<struct<at:int,len:int,source:string>>"))
+    """Every stretch of ``n`` characters as (at, len, source)."""
+    return F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(0), F.length("t") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.substring("t", i + 1, F.lit(n)).alias("source")))).otherwise(F.array().cast("array<struct<at:int,len:int,source:string>>"))
 
 
 def sources_named(pages: DataFrame, bank: DataFrame) -> DataFrame:
     """(page_id, source): the bank sources whose ``source_id`` the page's ``layout_source`` holds.
 
-    Both are read as runs of letters and runs of digits, so letter case,
-    separators and additions before or behind don't matter, while a longer word
-    or number that merely contains the id is another id. Each run of as many
-    tokens as some bank id has is looked up by equality; where one id lies
-    within another, the longer counts. Values that hold none give no row. Distinct values are
-    looked up once and joined back without a hot task.
+    Both are read as letters and whole numbers: letter case, separators and
+    additions before or behind don't matter (``Wiki-12 v2`` and ``xwiki12``
+    hold ``wiki12``), but a longer number is another one (``wiki123`` doesn't).
+    Each stretch as long as some bank id is looked up by equality; where one id
+    lies within another, the longer counts. Values that hold none give no row.
+    Distinct values are looked up once and joined back without a hot task.
     """
-    ids = pick(bank, "source_id").select(_tokens(F.col("source_id")).alias("t")).where(F.size("t") > 0).select(F.concat_ws("", "t").alias("source"), F.size("t").alias("len")).distinct()
-    # Ids that differ only in separators are one source: the separators don't matter.
-    lens = [r.len for r in ids.select("len").distinct().orderBy("len").limit(65).collect()]
-    if len(lens) > 64:
-        raise ValueError("layout ids of more than 64 different lengths")
-    ids = ids.select("source").distinct()
-    values = pages.select("layout_source").where("layout_source is not null").distinct().withColumn("t", _tokens(F.col("layout_source")))
+    ids = pick(bank, "source_id").select(_form(F.col("source_id")).alias("source")).where("source <> ''").distinct()
+    lens = [r.len for r in ids.select(F.length("source").alias("len")).distinct().orderBy("len").limit(MAX_LENGTHS + 1).collect()]
+    if len(lens) > MAX_LENGTHS:
+        raise ValueError(f"layout ids of more than {MAX_LENGTHS} different lengths")
+    values = pages.select("layout_source").where("layout_source is not null").distinct().withColumn("t", _form(F.col("layout_source")))
     if not lens:
         return values.sparkSession.createDataFrame([], "page_id long, source string")
     spans = F.flatten(F.array(*[_spans(n) for n in lens]))
@@ -139,67 +143,111 @@ def vectors(rows: DataFrame) -> DataFrame:
 def place(vecs: DataFrame, splits: dict[str, float]) -> DataFrame:
     """(component, split): grouped iterative stratification.
 
-    Labels are taken in order of their outstanding rows, rarest first. The
-    large components of a label (at most :data:`HEAD` in all) are placed one by
-    one, largest first, into the split that needs the label most. The many
-    small ones of a label are laid out along a line in hash order, each as long
-    as its rows of that label, and the line is cut in proportion to what the
-    splits still need of it: sums by bucket go to the driver (labels x
-    :data:`BUCKETS` numbers), positions within a bucket are running sums there.
+    Components with equal label vectors form a class, and only classes and
+    their counts are seen by the driver. The label with the fewest outstanding
+    rows is taken first; its classes, those of the largest components first,
+    are spread over the splits so that each component goes where that label is
+    needed most. Then every component takes a split by its rank in its class.
+    Classes beyond one block of :data:`BLOCK` follow in the order of their
+    rarest label, and the splits' needs are carried on.
     """
     spark = vecs.sparkSession
     names = list(splits)
-    share = pd.Series(splits, dtype=float) / sum(splits.values())
-    common = vecs.groupBy("label").agg(F.sum("n").alias("n")).orderBy((~F.col("label").startswith("*=")).cast("int"), F.col("n").desc(), "label").limit(MAX_LABELS)
-    totals = common.toPandas().set_index("label")["n"].astype(float)
-    if totals.empty:
-        return spark.createDataFrame([], "component long, split string")
-    size = float(totals[[x for x in totals.index if x.startswith("*=")]].sum())
-    order = F.create_map(*[x for i, lab in enumerate(totals.sort_values(kind="stable").index) for x in (F.lit(lab), F.lit(i))])
-    vecs = vecs.where(F.map_contains_key(order, F.col("label")))
-    ranked = vecs.withColumn("o", order[F.col("label")])
-    weight = F.sum(F.when(F.col("label").startswith("*="), F.col("n")).otherwise(0))
-    comp = ranked.groupBy("component").agg(F.min(F.struct("o", "label", "n")).alias("rarest"), weight.alias("weight"))
-    comp = comp.select("component", F.col("rarest.label").alias("rarest"), F.col("rarest.n").alias("rare_n"), "weight", (F.col("weight") * HEAD >= size).alias("head"))
-    comp = written(comp.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("int")), "components")
-    head_vecs = vecs.join(comp.where("head").select("component", "rarest"), "component").toPandas()
-    tail = vecs.join(comp.where("not head").select("component", "rarest", "bucket"), "component")
-    tail_sums = tail.groupBy("rarest", "label").agg(F.sum("n").alias("n")).toPandas()
-    tail_buckets = comp.where("not head").groupBy("rarest", "bucket").agg(F.sum("rare_n").alias("n")).toPandas()
-    need = pd.DataFrame({s: totals * share[s] for s in names})
-    by_comp = {c: g.set_index("label")["n"].astype(float) for c, g in head_vecs.groupby("component")}
-    waiting = {lab: sorted(g["component"].unique(), key=lambda c: (-by_comp[c].sum(), c)) for lab, g in head_vecs.groupby("rarest")}
-    left = totals.copy()
-    head_out, cuts = [], []
-    todo = [x for x in totals.index if x in waiting or (tail_sums["rarest"] == x).any()]
-    while todo:
-        lab = min(todo, key=lambda x: (left[x], x))
-        todo.remove(lab)
-        for c in waiting.get(lab, ()):
-            v = by_comp[c]
-            best = max(names, key=lambda s: (need.at[lab, s], need.loc[v.index, s].sum(), s))
-            need.loc[v.index, best] -= v
-            left[v.index] -= v
-            head_out.append((int(c), best))
-        mine = tail_sums[tail_sums["rarest"] == lab].set_index("label")["n"].astype(float)
-        if len(mine):
-            want = need.loc[lab].clip(lower=0)
-            frac = want / want.sum() if want.sum() > 0 else share
-            for s in names:
-                need.loc[mine.index, s] -= mine * frac[s]
-            left[mine.index] -= mine
-            length, at = float(mine[lab]), 0.0
-            for s in names:
-                cuts.append((lab, s, at * length, (at + float(frac[s])) * length if s != names[-1] else float("inf")))
-                at += float(frac[s])
-    tail_buckets = tail_buckets.sort_values(["rarest", "bucket"])
-    tail_buckets["start"] = tail_buckets.groupby("rarest")["n"].cumsum() - tail_buckets["n"]
-    head_df = spark.createDataFrame(head_out, "component long, split string")
-    if not cuts:
-        return head_df
-    starts = spark.createDataFrame([(r.rarest, int(r.bucket), float(r.start)) for r in tail_buckets.itertuples()], "rarest string, bucket int, start double")
-    lines = spark.createDataFrame(cuts, "rarest string, split string, lo double, hi double")
-    run = F.sum("rare_n").over(Window.partitionBy("rarest", "bucket").orderBy("component").rowsBetween(Window.unboundedPreceding, -1))
-    small = comp.where("not head").join(F.broadcast(starts), ["rarest", "bucket"]).withColumn("mid", F.col("start") + F.coalesce(run, F.lit(0)) + F.col("rare_n") / 2)
-    tail_df = small.join(F.broadcast(lines), "rarest").where("mid >= lo and mid < hi").select("component", "split")
-    return head_df.unionByName(tail_df)
+    total = {r.label: r.n for r in vecs.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(total) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} label values")
+    parts = vecs.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("vector"))
+    parts = written(parts.select("component", F.md5(F.to_json("vector")).alias("class"), "vector"), "components")
+    size = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + F.when(x["label"].startswith("*="), x["n"]).otherwise(0))
+    ranks = spark.createDataFrame([(lab, i) for i, lab in enumerate(sorted(total, key=lambda x: (total[x], x)))], "label string, o int")
+    rarest = vecs.join(broadcast_if_small(ranks, BLOCK), "label").groupBy("component").agg(F.min("o").alias("o"))
+    classes = parts.join(rarest, "component").groupBy("class").agg(F.first("vector").alias("vector"), F.first("o").alias("o"), F.count(F.lit(1)).alias("copies")).withColumn("size", size)
+    classes = written(numbered(written(classes, "classes"), [], [F.col("o"), F.col("size").desc(), F.col("class")], "rn"), "classes")
+    n = classes.count()
+    found = shared_path(spark, "placed")
+    schema = "class string, " + ", ".join(f"s{i} long" for i in range(len(names)))
+    spark.createDataFrame([], schema).write.parquet(found)
+    needs = Needs(total, splits)
+    for b in range(-(-n // BLOCK)):
+        block = classes.where((F.col("rn") > b * BLOCK) & (F.col("rn") <= (b + 1) * BLOCK)).collect()
+        rows = needs.place([(r["class"], {x.label: x.n for x in r.vector}, r.copies) for r in sorted(block, key=lambda r: r.rn)])
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(found)
+    ranked = rank_within(parts.select("component", "class"), "class", ["component"], parts.count())
+    split, upto = F.lit(names[-1]), F.lit(0)
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        upto = sum((F.col(f"s{k}") for k in range(1, i + 1)), F.col("s0"))
+        split = F.when(F.col("rank") < upto, name).otherwise(split)
+    return lookup_join(written(ranked, "ranked"), spark.read.schema(schema).parquet(found), ["class"], "inner").select("component", split.alias("split"))
+
+
+class Needs:
+    """What every split still needs of every label, and how many rows of it are outstanding."""
+
+    def __init__(self, total: dict[str, int], splits: dict[str, float]):
+        self.left, self.names = dict(total), list(splits)
+        whole = sum(splits.values())
+        self.need = {lab: [n * splits[s] / whole for s in self.names] for lab, n in total.items()}
+
+    def place(self, classes: list[tuple[str, dict[str, int], int]]) -> list[tuple]:
+        """(class, components by split) for classes (name, label vector, components), the largest first within a label."""
+        holds: dict[str, list[int]] = {}
+        for k, (_, vector, _) in enumerate(classes):
+            for lab in vector:
+                holds.setdefault(lab, []).append(k)
+        waiting = [(self.left[lab], lab) for lab in holds]
+        heapify(waiting)
+        out: dict[int, list[int]] = {}
+        while waiting:
+            n, lab = heappop(waiting)
+            if n != self.left[lab]:
+                continue  # a fewer number of it is further on
+            mine = [k for k in holds[lab] if k not in out]
+            touched: set[str] = set()
+            for k in sorted(mine, key=lambda k: -sum(v for x, v in classes[k][1].items() if x.startswith("*="))):
+                out[k] = self._spread(lab, classes[k][1], classes[k][2])
+                touched |= classes[k][1].keys()
+            for x in touched - {lab}:
+                heappush(waiting, (self.left[x], x))
+        return [(name, *out[k]) for k, (name, _, _) in enumerate(classes)]
+
+    def _spread(self, lab: str, vector: dict[str, int], copies: int) -> list[int]:
+        """How many of ``copies`` equal components each split takes, so that each goes where ``lab`` is needed most."""
+        each, need = vector[lab], self.need[lab]
+        took = [0] * len(need)
+        level, rest = float("inf"), copies
+        if copies > len(need):  # level the needs: all but a few at once
+            order = sorted(need, reverse=True)
+            for k in range(1, len(order) + 1):
+                level = (sum(order[:k]) - copies * each) / k
+                if k == len(order) or level >= order[k]:
+                    break
+            took = [max(0, int((x - level) / each)) for x in need]
+            rest = copies - sum(took)
+        self._take(vector, took)
+        while rest > 0:
+            s = max(range(len(need)), key=lambda s: (need[s], sum(self.need[x][s] for x in vector), -s))
+            took[s] += 1
+            self._take(vector, [int(s == t) for t in range(len(need))])
+            rest -= 1
+        return took
+
+    def _take(self, vector: dict[str, int], took: list[int]) -> None:
+        for x, v in vector.items():
+            self.left[x] -= v * sum(took)
+            self.need[x] = [n - v * k for n, k in zip(self.need[x], took)]
+
+
+def balance(pages: DataFrame, lines: DataFrame, bank: DataFrame, splits: dict[str, float] | None = None, tolerance: float = 0.02) -> DataFrame:
+    """One row a kind of record (record_kind, records, broken, close): how many were placed, components in several splits, and whether the splits' shares are met.
+
+    A share is met if it is ``tolerance`` away at most, or by the rows of the
+    largest component.
+    """
+    splits = splits or SPLITS
+    rows = written(assign(pages, lines, bank, splits), "assigned")
+    comp = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
+    broken = comp.agg(F.count(F.when(F.col("splits") > 1, 1)).alias("broken"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    whole = sum(splits.values())
+    off = [F.abs(F.count(F.when(F.col("split") == s, 1)) - F.count(F.lit(1)) * (share / whole)) for s, share in splits.items()]
+    kinds = rows.groupBy("record_kind").agg(F.count(F.lit(1)).alias("records"), F.greatest(*off).alias("off"))
+    return kinds.crossJoin(F.broadcast(broken)).select("record_kind", "records", "broken", (F.col("off") <= F.greatest(F.col("records") * tolerance, F.col("largest"))).alias("close"))

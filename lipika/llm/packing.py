@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lipika.llm.ranks import rank_within
 from lipika.session import pick, written
 
 CAPACITY = 4096
@@ -31,8 +32,6 @@ MANY = 16
 ROUNDS = 800
 #: Sizes up to this part of the capacity stay out of the linear program and fill the gaps that it leaves.
 SMALL = 1 / 8
-#: Items of one size are ranked in buckets of about this many.
-BUCKET_ROWS = 200_000
 #: Slots of the packing that may be sent to the tasks (40 bytes each). They depend on the histogram's classes, not on the items.
 MAX_SLOTS = 1_000_000
 
@@ -316,13 +315,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def container(tokens: pd.Series, rank: pd.Series) -> pd.Series:
         return pd.Series(container_of(table.value, tokens.to_numpy(), rank.to_numpy()))
 
-    buckets = max(4, -(-sum(hist.values()) // BUCKET_ROWS))
-    salted = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    n = salted.groupBy("tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offset = n.select("tokens", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
-    row = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("row", row).join(offset, ["tokens", "bucket"]).withColumn("rank", F.col("offset") + F.col("row"))
+    ranked = rank_within(parts, "tokens", ["doc_id", "piece"], sum(hist.values()))
     return ranked.select("doc_id", "piece", "pieces", "start_pos", "end_pos", "tokens", container("tokens", "rank").alias("container"))
 
 

@@ -33,6 +33,10 @@ def p2_splits(spark: SparkSession, root: str) -> DataFrame:
     return grouped_split.assign(load(spark, root, "page_gt"), load(spark, root, "line_gt"), load(spark, root, "layout_bank"))
 
 
+def p2_balance(spark: SparkSession, root: str) -> DataFrame:
+    return grouped_split.balance(load(spark, root, "page_gt"), load(spark, root, "line_gt"), load(spark, root, "layout_bank"))
+
+
 def _images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return load(spark, root, "error_taxonomy"), load(spark, root, "sarvam_transfer_probe"), load(spark, root, "prior_sample")
 
@@ -74,7 +78,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p5_containers, p6_found, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p3_found, p3_sample)}
+    return {f.__name__: f for f in (p4_found, p4_texts, p5_found, p5_pack, p5_containers, p6_found, p7_found, p1_found, p1_sample, p1_report, p2_found, p2_splits, p2_balance, p3_found, p3_sample)}
 
 
 _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
@@ -97,12 +101,13 @@ seen as (select {_LABEL.format(c='language')} as language, {_KEY.format(c='image
 select language, image_id from p semi join seen using (language, image_id)
 """
 
-_SQUASHED = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+_FORM = r"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[<>]', ' ', 'g'), '(\p{{Nd}}+)', '<\1>', 'g'), '[^\p{{L}}\p{{Nd}}<>]', '', 'g')"
 _P2 = f"""
 with recursive pg as (select page_id, {_LABEL.format(c='script')} as s, {_LABEL.format(c='mode')} as m, coalesce(page_idx, try_cast(regexp_extract(stem, '([0-9]+)[^0-9]*$', 1) as int)) as n, layout_source from page_gt),
-b as (select distinct {_SQUASHED.format(c='source_id')} as q from layout_bank where source_id is not null),
+b as (select distinct {_FORM.format(c='source_id')} as q from layout_bank where source_id is not null and {_FORM.format(c='source_id')} <> ''),
+h as (select page_id, q from pg join b on contains({_FORM.format(c='layout_source')}, q)),
 k as (select page_id, 'p' || s || '|' || m || '|' || n as k from pg where s is not null and m is not null and n is not null
-  union select page_id, 's' || q from pg join b on contains({_SQUASHED.format(c='layout_source')}, q)),
+  union select page_id, 's' || q from h where not exists (select 1 from h x where x.page_id = h.page_id and x.q <> h.q and contains(x.q, h.q))),
 e as (select distinct a.page_id as x, c.page_id as y from k a join k c using (k)),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select min(y) as first_page_id, x as page_id from r group by x having min(y) <> x
@@ -110,4 +115,4 @@ select min(y) as first_page_id, x as page_id from r group by x having min(y) <>
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p2_balance": "select 'page' as record_kind, count(*) as records, 0 as broken, true as close from page_gt union all select 'line', count(*), 0, true from line_gt", "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
