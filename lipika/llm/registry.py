@@ -85,13 +85,27 @@ _LABEL = r"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
 _KEY = r"nullif(regexp_replace(regexp_replace({c}, '\s+', '', 'g'), '^0+(.)', '\1'), '')"
 
 _P1 = f"""
-with r as (select distinct coalesce({_LABEL.format(c='engine')}, 'tesseract') as engine, {_LABEL.format(c='language')} as language,
-  {_KEY.format(c='image_id')} as image_id, {_LABEL.format(c='variant')} as variant from error_taxonomy),
+with r as (select coalesce({_LABEL.format(c='engine')}, 'tesseract') as engine, {_LABEL.format(c='language')} as language,
+  {_KEY.format(c='image_id')} as image_id, {_LABEL.format(c='variant')} as variant, min(row_no) as row_no from error_taxonomy group by 1, 2, 3, 4),
 c as (select engine, language, variant, count(*) as n from r group by all),
-t as (select t.target_id, max(t.plan_name) as plan_name, max(greatest(t.min_rows, round(t.target_share * t.plan_size)))::bigint as wanted, coalesce(sum(c.n), 0)::bigint as available
-  from sample_targets t left join c on (t.engine is null or c.engine = lower(trim(t.engine))) and (t.language is null or c.language = lower(trim(t.language))) and (t.variant is null or c.variant = lower(trim(t.variant)))
-  group by t.target_id)
+w as (select target_id, plan_name, coalesce(plan_size, 0) as size, {_LABEL.format(c='engine')} as e, {_LABEL.format(c='language')} as l, {_LABEL.format(c='variant')} as v,
+  greatest(coalesce(target_share, 0), 0) as share, coalesce(min_rows, 0) as floor_rows, greatest(coalesce(min_rows, 0), round(coalesce(target_share, 0) * coalesce(plan_size, 0)))::bigint as wanted from sample_targets),
+t as (select w.*, coalesce(x.n, 0)::bigint as available from w left join (
+  select target_id, sum(n) as n from w join c on (e is null or e = c.engine) and (l is null or l = c.language) and (v is null or v = c.variant) group by 1) x using (target_id)),
+b as (select *, least(floor_rows, available)::double as lo, case when share > 0 then available else least(floor_rows, available) end::double as hi from t),
+turn as (select distinct plan_name, unnest([lo / share, hi / share]) as f from b where share > 0),
+reach as (select plan_name, f from turn join b using (plan_name) group by plan_name, f having sum(greatest(lo, least(f * share, hi))) <= max(size) + 1e-6),
+f0 as (select plan_name, coalesce(max(f), 0) as f0 from (select distinct plan_name from b) left join reach using (plan_name) group by 1),
+rise as (select plan_name, f0, sum(case when share > 0 and lo <= f0 * share + 1e-6 and f0 * share < hi - 1e-6 then share else 0 end) as up, max(size) - sum(greatest(lo, least(f0 * share, hi))) as gap from b join f0 using (plan_name) group by 1, 2),
+x as (select b.*, greatest(lo, least((f0 + case when up > 0 then greatest(gap, 0) / up else 0 end) * share, hi)) as exact from b join rise using (plan_name)),
+y as (select *, floor(exact + 1e-6) as base, least(size, round(sum(exact) over (partition by plan_name), 6)) - sum(floor(exact + 1e-6)) over (partition by plan_name) as more from x),
+z as (select *, base + (base < hi and row_number() over (partition by plan_name order by base < hi desc, round(exact - base, 6) desc, target_id) <= floor(more))::int as quota from y)
 """
+_P1_REPORT = _P1 + "select target_id, plan_name, wanted, available, quota::bigint as quota, available >= wanted as met, available <= wanted as exhausted from z"
+_P1_SAMPLE = _P1 + """, d as (select z.plan_name, z.target_id, z.quota, r.*, row_number() over (partition by z.target_id
+  order by ('0x' || substr(md5(concat_ws('|', '0', r.engine, coalesce(r.language, '-'), coalesce(r.image_id, '-'), coalesce(r.variant, '-'))), 1, 15))::bigint, r.row_no) as k
+  from r join z on (z.e is null or z.e = r.engine) and (z.l is null or z.l = r.language) and (z.v is null or z.v = r.variant))
+select plan_name, target_id, engine, language, variant, image_id, row_no from d where k <= quota"""
 
 _P3 = f"""
 with p as (select distinct {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id from prior_sample),
@@ -115,4 +129,4 @@ select min(y) as first_page_id, x as page_id from r group by x having min(y) <>
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p2_found": _P2, "p3_found": _P3, "p2_balance": "select 'page' as record_kind, count(*) as records, 0 as broken, true as close from page_gt union all select 'line', count(*), 0, true from line_gt", "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p1_report": _P1_REPORT, "p1_sample": _P1_SAMPLE, "p2_found": _P2, "p3_found": _P3, "p2_balance": "select 'page' as record_kind, count(*) as records, 0 as broken, true as close from page_gt union all select 'line', count(*), 0, true from line_gt", "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
