@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lipika.llm import contamination, grouped_split, lookalikes, packing, sentences, stable_sample
 from lipika.llm.proportions import ProportionalSample
-from lipika.session import load
+from lipika.session import load, shared_dir
 
 
 def _proportions(spark: SparkSession, root: str) -> ProportionalSample:
@@ -41,12 +43,18 @@ def _images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     return load(spark, root, "error_taxonomy"), load(spark, root, "sarvam_transfer_probe"), load(spark, root, "prior_sample")
 
 
+def _registry(spark: SparkSession, root: str, name: str) -> stable_sample.Registry:
+    """The registry of a folder of tables: one place in the shared folder, which a later session finds again."""
+    folder = hashlib.md5(f"{root.rstrip('/')}|{name}".encode()).hexdigest()[:12]
+    return stable_sample.Registry(spark, f"{shared_dir(spark).rstrip('/')}/lipika-registry/{folder}")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return stable_sample.kept(*_images(spark, root))
+    return stable_sample.kept(*_images(spark, root), registry=_registry(spark, root, "found"))
 
 
 def p3_sample(spark: SparkSession, root: str) -> DataFrame:
-    return stable_sample.draw(*_images(spark, root))
+    return stable_sample.grown(*_images(spark, root), _registry(spark, root, "sample"), until=6)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -107,13 +115,18 @@ _P1_SAMPLE = _P1 + """, d as (select z.plan_name, z.target_id, z.quota, r.*, row
   from r join z on (z.e is null or z.e = r.engine) and (z.l is null or z.l = r.language) and (z.v is null or z.v = r.variant))
 select plan_name, target_id, engine, language, variant, image_id, row_no from d where k <= quota"""
 
-_P3 = f"""
+_P3_SEEN = f"""
 with p as (select distinct {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id from prior_sample),
-seen as (select {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id from error_taxonomy
+e as (select distinct {_LABEL.format(c='language')} as language, {_KEY.format(c='image_id')} as image_id, batch_no from error_taxonomy),
+seen as (select language, image_id from e
   union select coalesce({_LABEL.format(c='script')}, lower(regexp_extract(image_path, '([^/]+)/images/', 1))), coalesce({_KEY.format(c='image_id')}, {_KEY.format(c="regexp_extract(image_path, 'images/([0-9]+)_', 1)")})
   from sarvam_transfer_probe where lower(trim(condition)) = 'real')
-select language, image_id from p semi join seen using (language, image_id)
 """
+_P3 = _P3_SEEN + "select language, image_id from p semi join seen using (language, image_id)"
+_P3_SAMPLE = _P3_SEEN + """, u as (select language, image_id, ('0x' || substr(md5(concat_ws('|', 'lipika-prn', language, image_id)), 1, 13))::bigint::double / 4503599627370496.0 as u from seen where language is not null and image_id is not null)
+select language, image_id, case when p.language is not null then u * 0.1 else u end as value,
+  case when p.language is not null then 'prior' when exists (select 1 from e where e.language = u.language and e.image_id = u.image_id and batch_no <= 6) then 'earlier' else 'later' end as first_seen
+from u left join p using (language, image_id) where p.language is not null or u < 0.1"""
 
 _FORM = r"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[<>]', ' ', 'g'), '(\p{{Nd}}+)', '<\1>', 'g'), '[^\p{{L}}\p{{Nd}}<>]', '', 'g')"
 _P2 = f"""
@@ -129,4 +142,4 @@ select min(y) as first_page_id, x as page_id from r group by x having min(y) <>
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p1_report": _P1_REPORT, "p1_sample": _P1_SAMPLE, "p2_found": _P2, "p3_found": _P3, "p2_balance": "select 'page' as record_kind, count(*) as records, 0 as broken, true as close from page_gt union all select 'line', count(*), 0, true from line_gt", "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}
+    return {"p1_found": _P1 + "select target_id from t where available < wanted", "p1_report": _P1_REPORT, "p1_sample": _P1_SAMPLE, "p2_found": _P2, "p3_found": _P3, "p3_sample": _P3_SAMPLE, "p2_balance": "select 'page' as record_kind, count(*) as records, 0 as broken, true as close from page_gt union all select 'line', count(*), 0, true from line_gt", "p5_containers": "select count(*) as documents, sum(strlen(text) + 1)::bigint as tokens, 0 as overfull, true as close from documents where text is not null", "p5_found": "select doc_id from documents where strlen(text) + 1 > 4096"}

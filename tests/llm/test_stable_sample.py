@@ -39,3 +39,29 @@ def test_prior_images_that_still_occur(spark):
 def test_empty_tables(spark):
     none = [spark.createDataFrame([], x) for x in (TAX, PROBE, PRIOR)]
     assert s.draw(*none).count() == 0
+
+
+def test_registry_outlives_the_call(spark):
+    """A second draw, of grown tables and by another session's object, finds the values of the first; a lower value counts."""
+    path = shared_path(spark, "reg")
+    tax = lambda n: spark.createDataFrame([("hindi", str(i), i % 12, "x") for i in range(n)], TAX)
+    none, probe = spark.createDataFrame([], PRIOR), spark.createDataFrame([], PROBE)
+    first = {tuple(r) for r in s.draw(tax(300), probe, none, 0.2, s.Registry(spark, path), "a").collect()}
+    second = {tuple(r) for r in s.draw(tax(500), probe, none, 0.2, s.Registry(spark, path), "b").collect()}
+    assert first < second and {r[3] for r in first} == {"a"} and {r[3] for r in second - first} == {"b"}
+    left = next(str(i) for i in range(300) if str(i) not in {r[1] for r in first})
+    prior = spark.createDataFrame([("hindi", left, "x"), ("hindi", next(iter(first))[1], "x")], PRIOR)
+    third = {tuple(r)[:2] for r in s.draw(tax(500), probe, prior, 0.2, s.Registry(spark, path)).collect()}
+    assert third == {r[:2] for r in second} | {("hindi", left)}
+    assert {r[1] for r in s.kept(tax(500), probe, prior, 0.2, s.Registry(spark, path)).collect()} == {left, next(iter(first))[1]}
+    reg = s.Registry(spark, path)
+    reg.values().limit(50).write.mode("append").parquet(f"{path}/values")  # an insert at the same time
+    assert reg.values().count() == 500
+
+
+def test_two_arrivals(spark):
+    tax = spark.createDataFrame([("hindi", str(i), i % 12 if i % 7 else None, "x") for i in range(400)], TAX)
+    none = spark.createDataFrame([], PROBE), spark.createDataFrame([], PRIOR)
+    got = {(r.image_id, r.first_seen) for r in s.grown(tax, *none, s.Registry(spark, shared_path(spark, "reg")), 6, 0.3).collect()}
+    assert {i for i, _ in got} == {r.image_id for r in s.draw(tax, *none, 0.3).collect()}
+    assert all((seen == "earlier") == (int(i) % 7 > 0 and int(i) % 12 <= 6) for i, seen in got)
