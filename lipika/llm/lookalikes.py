@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.session import pick
+from lipika.session import pick, written
 
 # Code points without a glyph of their own (default ignorable ones), as ranges.
 INVISIBLE_RANGES = (
@@ -41,10 +41,15 @@ DRAWN_ALIKE = """
 ਅਾ ਆ; ੲਿ ਇ; ੲੀ ਈ; ੳੁ ਉ; ੳੂ ਊ; ੲੇ ਏ; ਅੈ ਐ; ਅੌ ਔ; ଅା ଆ; ஒள ஔ; ௗ ள; ఒౌ ఔ; ಒೌ ಔ; เเ แ; ํา ำ; ໍາ ຳ;
 ک ك; ی ى; ہ ه; ٠ ۰; ١ ۱; ٢ ۲; ٣ ۳; ٧ ۷; ٨ ۸; ٩ ۹; へ ヘ; べ ベ; ぺ ペ; 二 ニ; 八 ハ; 力 カ; 口 ロ; 夕 タ; 工 エ; 卜 ト; - ‐ ‑
 """
+# Telugu letters, signs and digits drawn like the Kannada ones 0x80 further on; Myanmar and Oriya letters like digits.
+LIKE_KANNADA = "ంఃఅఆఇఒఓఔజఞణయఱల౧౨౯"
+LIKE_DIGITS = "ဝ ၀; ၎ ၄; ଠ ୦"
 #: Decompositions of these kinds look like what they decompose to; circled, raised, small and bold ones do not.
 SAME_KINDS = {"<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Blocks in which decompositions of kind <compat> look the same: ligatures, Roman numerals, radicals, digraphs.
 SAME_BLOCKS = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0E33, 0x0E33), (0x0EB3, 0x0EB3), (0x2160, 0x217F), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
+#: Texts of one writing that meet those of another in one task.
+CELL = 20_000
 #: A corpus can only shift which member of a class represents it, so counts are kept for members of classes alone.
 _COUNTS = "member string, n long"
 
@@ -69,6 +74,8 @@ def pairs() -> Iterator[tuple[str, str]]:
     """All pairs of strings that look the same, canonical equivalence aside."""
     yield from _listed(CROSS_SCRIPT)
     yield from _listed(DRAWN_ALIKE)
+    yield from _listed(LIKE_DIGITS)
+    yield from ((c, chr(ord(c) + 0x80)) for c in LIKE_KANNADA)
     yield from _decomposed()
 
 
@@ -116,7 +123,7 @@ def _single() -> set[str]:
 
 
 def decomposed(text: str) -> str:
-    return text if text.isascii() or unicodedata.is_normalized("NFD", text) else unicodedata.normalize("NFD", text)
+    return text if text.isascii() else unicodedata.normalize("NFD", text)
 
 
 def bare(text: str) -> str:
@@ -185,7 +192,7 @@ def rewriter(rep: dict[str, str], used: list[str] | None = None) -> Callable[[st
             text, before = decomposed(made), text
             if text == before:
                 break
-        return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        return text if text.isascii() else unicodedata.normalize("NFC", text)
 
     return rewrite
 
@@ -234,24 +241,53 @@ def corpus_form(probe: DataFrame, pages: DataFrame) -> tuple[dict[str, str], lis
     return representatives(counts), used_members(counts)
 
 
+def members(texts: DataFrame, key: str, column: str, rep: dict[str, str], used: list[str] | None = None) -> DataFrame:
+    """(``key``, form, writing): the class of every text and its own writing, both as digests; written, so that each text is rewritten once.
+
+    Null texts are in no class.
+    """
+    forms = canonical(pick(texts, key, column).where(F.col(column).isNotNull()), [column], rep, used)
+    return written(forms.select(key, F.sha2(f"canon_{column}", 256).alias("form"), F.sha2(column, 256).alias("writing")), "members")
+
+
+def look_classes(found: DataFrame) -> DataFrame:
+    """(form, texts, writings): one row a class of :func:`members`, with how many texts and different writings it has."""
+    each = found.groupBy("form", "writing").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("form").agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("writings"))
+
+
+def pairs_within(found: DataFrame, key: str) -> DataFrame:
+    """(id_a, id_b): all pairs of texts of one class in different writings, the smaller id first.
+
+    Only classes with several writings take part. Pairs of writings are formed
+    first; the texts of a writing that many share are dealt to cells, each of
+    them at most about :data:`CELL` texts by as many.
+    """
+    each = found.groupBy("form", "writing").agg(F.count(F.lit(1)).alias("n"))
+    several = written(each.join(look_classes(found).where("writings > 1").select("form"), "form", "left_semi"), "writings")
+    most = several.agg(F.max("n")).first()[0] or 0
+    cells = max(1, -(-most // CELL))
+    lo, hi = (several.select("form", F.col("writing").alias(w)) for w in ("w_lo", "w_hi"))
+    both = lo.join(hi, "form").where("w_lo < w_hi").select("w_lo", "w_hi")
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    a = found.select(F.col(key).alias("x"), F.col("writing").alias("w_lo"), deal(key).alias("row")).join(both, "w_lo").withColumn("col", every)
+    b = found.select(F.col(key).alias("y"), F.col("writing").alias("w_hi"), deal(key).alias("col")).join(several.select(F.col("writing").alias("w_hi")), "w_hi", "left_semi").withColumn("row", every)
+    return a.join(b, ["w_hi", "row", "col"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
 def same_looking(probe: DataFrame, pages: DataFrame) -> DataFrame:
     """(record_kind, id_a, id_b): texts that aren't equal but look the same.
 
-    Probe rows: ground truth against the text read. Pages: any two rows. Page
-    texts meet by the digest of their form and only where a form has several
-    writings, so copies of one text alone form no pairs. Null texts are no
-    case; empty texts are equal.
+    Probe rows: ground truth against the text read. Pages: any two rows. Null
+    texts are no case; empty texts are equal. :func:`members` and
+    :func:`look_classes` tell the same of pages without forming pairs.
     """
     probe, pages = pick(probe, "probe_id", "ground_truth", "sarvam_text"), pick(pages, "page_id", "text")
     rep, used = corpus_form(probe, pages)
-    calls = canonical(probe.select("probe_id", "ground_truth", "sarvam_text").where("ground_truth <> sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
+    calls = canonical(probe.where("ground_truth <> sarvam_text"), ["ground_truth", "sarvam_text"], rep, used)
     of_probe = calls.where("canon_ground_truth = canon_sarvam_text").select(F.lit("probe").alias("record_kind"), F.col("probe_id").alias("id_a"), F.col("probe_id").alias("id_b"))
-    forms = canonical(pages.select("page_id", "text").where("text is not null"), ["text"], rep, used)
-    keyed = forms.select("page_id", F.sha2("canon_text", 256).alias("form"), F.sha2("text", 256).alias("writing"))
-    several = keyed.groupBy("form").agg(F.min("writing").alias("lo"), F.max("writing").alias("hi")).where("lo <> hi").select("form")
-    some = keyed.join(several, "form", "left_semi")
-    a, b = (some.select("form", F.col("page_id").alias(f"id_{x}"), F.col("writing").alias(f"w_{x}")) for x in "ab")
-    of_pages = a.join(b, "form").where("id_a < id_b and w_a <> w_b").select(F.lit("page").alias("record_kind"), "id_a", "id_b")
+    of_pages = pairs_within(members(pages, "page_id", "text", rep, used), "page_id").select(F.lit("page").alias("record_kind"), "id_a", "id_b")
     return of_probe.unionByName(of_pages)
 
 
