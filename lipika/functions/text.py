@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lipika.functions.arrays import let
 
@@ -20,6 +23,9 @@ CONSONANTS = (
 VIRAMAS = r"\u094d\u09cd\u0acd\u0b4d\u0c4d\u0d4d"
 EXTENDING = r"\p{Mn}\u200d\u09be\u09d7\u0b3e\u0b57\u0d3e\u0d57"
 CLUSTER = rf"(?:[{CONSONANTS}][{EXTENDING}]*[{VIRAMAS}][{EXTENDING}]*(?=[{CONSONANTS}]))*\X"
+# What no mark joins, and what joins the character before, for regular expressions without \X and look-ahead.
+ALONE = r"\p{Cc}\p{Zl}\p{Zp}\x{ad}\x{61c}\x{180e}\x{200b}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}"
+JOINING = r"\p{M}\x{200c}\x{200d}\x{e33}\x{eb3}\x{ff9e}\x{ff9f}"
 # Indic and Arabic blocks whose clusters count as glyphs.
 GLYPH_BLOCKS = r"[\u0900-\u097f\u0980-\u09ff\u0a00-\u0a7f\u0a80-\u0aff\u0b00-\u0b7f\u0b80-\u0bff\u0600-\u06ff\u0750-\u077f\u1c50-\u1c7f]"
 # Nasal, and first and last consonant of its class.
@@ -33,10 +39,17 @@ SAME_READING = {
     "\u0915\u093c": "\u0958", "\u0916\u093c": "\u0959", "\u0917\u093c": "\u095a", "\u091c\u093c": "\u095b", "\u0921\u093c": "\u095c", "\u0922\u093c": "\u095d", "\u092b\u093c": "\u095e",
     "\u09a1\u09bc": "\u09dc", "\u09a2\u09bc": "\u09dd", "\u09af\u09bc": "\u09df", "\u0965": "..",
 }
+JOINERS, NUKTAS = "\u200d\u200c", "\u093c\u09bc"
 SINGLE_FROM = "\u0964|" + "".join(chr(z + d) for z in (0x0966, 0x09E6) for d in range(10))
 SINGLE_TO = ".." + "0123456789" * 2
-#: Stand-ins for clusters where the built-in edit distance counts code points.
-STAND_INS = "".join(map(chr, (*range(0xE000, 0xF8FF), *range(0x3400, 0x9FFF))))
+# ISO 15919 letters in the order of the Devanagari block: vowels from U+0905, consonants from U+0915, vowel signs from U+093E, letters with nukta from U+0958.
+ISO_VOWELS = "a \u0101 i \u012b u \u016b r\u0325 l\u0325 \u00ea e \u0113 ai \u00f4 o \u014d au".split()
+ISO_CONSONANTS = "k kh g gh \u1e45 c ch j jh \u00f1 \u1e6d \u1e6dh \u1e0d \u1e0dh \u1e47 t th d dh n \u1e49 p ph b bh m y r \u1e5f l \u1e37 \u1e3b v \u015b \u1e63 s h".split()
+ISO_SIGNS = "\u0101 i \u012b u \u016b r\u0325 r\u0325\u0304 \u00ea e \u0113 ai \u00f4 o \u014d au".split()
+ISO_NUKTA = "q k\u035fh \u0121 z \u1e5b \u1e5bh f \u1e8f".split()
+ISO_OTHERS = {"\u0901": "m\u0310", "\u0902": "\u1e41", "\u0903": "\u1e25", "\u093d": "\u2019", "\u0950": "\u014d\u1e41", "\u0960": "r\u0325\u0304", "\u0961": "l\u0325\u0304", "\u0964": ".", "\u0965": ".."}
+# Languages written in a script that ISO 15919 transliterates, and where its block lies from the Devanagari one.
+ISO_LANGUAGES = {"hindi": 0, "bengali": 0x80}
 
 
 def graphemes(c: Column) -> Column:
@@ -55,11 +68,10 @@ def whitespace(c: Column) -> Column:
 
 
 def anusvara(c: Column) -> Column:
-    """Nasal and virama before a consonant of the nasal's class as anusvara, consonant by consonant."""
-    for nasal, (first, last) in NASALS.items():
-        for k in range(ord(first), ord(last) + 1):
-            c = F.replace(c, F.lit(f"{nasal}\u094d{chr(k)}"), F.lit(f"\u0902{chr(k)}"))
-    return c
+    """Nasal and virama before a consonant of the nasal's class as anusvara; before the nasal itself last."""
+    before = lambda of: "|".join(f"{nasal}\u094d(?=[{of(first, last)}])" for nasal, (first, last) in NASALS.items())
+    c = F.regexp_replace(c, before(lambda first, last: f"{first}-{chr(ord(last) - 1)}"), "\u0902")
+    return F.regexp_replace(c, before(lambda first, last: last), "\u0902")
 
 
 @F.pandas_udf(StringType())
@@ -68,30 +80,164 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-def tier1(c: Column, composed: bool = False) -> Column:
-    """The form in which encoding variants are equal; ``composed`` says that ``c`` is in NFC already.
+def _nasals(of: Callable[[str, str], str]) -> re.Pattern:
+    return re.compile("|".join(f"{nasal}\u094d(?=[{of(first, last)}])" for nasal, (first, last) in NASALS.items()))
 
-    Composition is the only step outside the JVM. Order matters: composition,
-    white space, nasals, variants from the longest on, blanks before stops.
+
+_NASAL_BEFORE = (_nasals(lambda first, last: f"{first}-{chr(ord(last) - 1)}"), _nasals(lambda first, last: last))
+_JOINED = re.compile("([\u094d\u09cd])(?:\u200d\u200c?|\u200c)")
+_STOP = re.compile(r" +(\.+)")
+_SINGLE = str.maketrans(SINGLE_FROM, SINGLE_TO)
+
+
+def tier1_form(t: str) -> str:
+    """The form of one text in which encoding variants are equal.
+
+    Order matters: composition, white space, nasals, variants from the longest
+    on, blanks before stops.
     """
-    c = anusvara(whitespace(c if composed else nfc(c)))
-    for variant, to in SAME_READING.items():
-        c = F.replace(c, F.lit(variant), F.lit(to))
-    return F.regexp_replace(F.translate(c, SINGLE_FROM, SINGLE_TO), f"{BLANKS}+(\\.+)", "$1")
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+    t = " ".join(t.split())
+    if not t.isascii():
+        if "\u094d" in t:
+            for pattern in _NASAL_BEFORE:
+                t = pattern.sub("\u0902", t)
+        for variant, to in SAME_READING.items():
+            if variant[-1] not in JOINERS or len(variant) > 2:
+                t = t.replace(variant, to)
+            elif variant in t:
+                t = _JOINED.sub(r"\1", t)
+    else:
+        t = t.replace("||", "..")
+    return _STOP.sub(r"\1", t.translate(_SINGLE))
+
+
+def _each(f: Callable, s: Iterable) -> list:
+    """``f`` of each value, once for repeated ones; null for null."""
+    known: dict = {None: None}
+    return [known[t] if t in known else known.setdefault(t, f(t)) for t in s]
 
 
-def _stand_in(known: Column, g: Column) -> Column:
-    return F.substring(F.lit(STAND_INS), F.array_position(known, g).cast("int"), F.lit(1))
+@F.pandas_udf(StringType())
+def tier1(s: pd.Series) -> pd.Series:
+    """:func:`tier1_form` of a column. Composition has no counterpart in the JVM, so the whole form is made in that one Arrow batch."""
+    return pd.Series(_each(tier1_form, s), dtype="object")
+
+
+#: Cells of edit distance tables held at once.
+CELLS = 400_000
+
+
+def _differing(a: Sequence[str], b: Sequence[str]) -> tuple[Sequence[str], Sequence[str]]:
+    """What lies between the common beginning and the common end of two sequences."""
+    most = min(len(a), len(b))
+    s = next((k for k in range(most) if a[k] != b[k]), most)
+    e = next((k for k in range(most - s) if a[-1 - k] != b[-1 - k]), most - s)
+    return a[s : len(a) - e], b[s : len(b) - e]
+
+
+def distances(a: Sequence[Sequence[str]], b: Sequence[Sequence[str]]) -> np.ndarray:
+    """Edit distance of each pair of sequences, many of like lengths in lockstep, a row of their tables at a time."""
+    a, b = zip(*map(_differing, a, b)) if len(a) else ((), ())
+    out = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int32)
+    todo = sorted((k for k in range(len(out)) if len(a[k]) and len(b[k])), key=lambda k: (len(a[k]), len(b[k])))
+    code: dict[str, int] = {}
+    s = 0
+    while s < len(todo):
+        n = m = 0
+        e = s
+        while e < len(todo):
+            n2, m2 = max(n, len(a[todo[e]])), max(m, len(b[todo[e]]))
+            if e > s and (e + 1 - s) * (n2 + m2 + 2) > CELLS:
+                break
+            n, m, e = n2, m2, e + 1
+        mine = todo[s:e]
+        s = e
+        x, y = np.full((len(mine), n), -1, np.int32), np.full((len(mine), m), -2, np.int32)
+        for r, k in enumerate(mine):
+            x[r, : len(a[k])] = [code.setdefault(c, len(code)) for c in a[k]]
+            y[r, : len(b[k])] = [code.setdefault(c, len(code)) for c in b[k]]
+        step = np.arange(m + 1, dtype=np.int32)
+        row, ends = np.repeat(step[None], len(mine), 0), np.array([len(a[k]) for k in mine])
+        at = np.array([len(b[k]) for k in mine])
+        for i in range(1, n + 1):
+            best = row + 1
+            np.minimum(best[:, 1:], row[:, :-1] + (y != x[:, i - 1, None]), out=best[:, 1:])
+            row = np.minimum.accumulate(best - step, axis=1) + step
+            done = np.flatnonzero(ends == i)
+            out[np.array(mine)[done]] = row[done, at[done]]
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(np.full(len(a), None), dtype="object")
+    out[known] = distances(a[known].tolist(), b[known].tolist())
+    return out
+
+
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("n_gt", "n_hyp", "dist")]))
+def measured(gt: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Clusters of both texts and their edit distance, in one batch; null where a text is."""
+    import regex
+
+    a, b = (_each(regex.compile(r"\X").findall, s) for s in (gt, hyp))
+    both = [k for k in range(len(a)) if a[k] is not None and b[k] is not None]
+    dist = pd.Series([None] * len(a), dtype="object")
+    dist.iloc[both] = distances([a[k] for k in both], [b[k] for k in both]).tolist()
+    size = lambda c: pd.Series([None if x is None else len(x) for x in c], dtype="object")
+    return pd.DataFrame({"n_gt": size(a), "n_hyp": size(b), "dist": dist})
 
 
 def cluster_distance(a: Column, b: Column) -> Column:
-    """Edit distance between two arrays of clusters, by the built-in one over stand-ins."""
+    """Edit distance between two arrays of clusters; null where one is."""
+    return _distance(a, b)
+
+
+def _iso(text: str, language: str) -> str:
+    shift, out, open_a, vowel = ISO_LANGUAGES[language], [], False, False
+    text = unicodedata.normalize("NFC", text).replace("\u09ce", "\u09a4\u09cd")
+    for ch in text:
+        if ch in JOINERS:
+            continue
+        c = ord(ch) - shift if shift and 0x980 <= ord(ch) <= 0x9FF else ord(ch)
+        base = chr(c)
+        if base == "\u093c":  # nukta: the letter before becomes another one
+            k = "\u0915\u0916\u0917\u091c\u0921\u0922\u092b\u092f".find(chr(last)) if open_a else -1
+            if k >= 0:
+                out[-1] = ISO_NUKTA[k]
+            continue
+        if open_a and not (base == "\u094d" or 0x93E <= c <= 0x94C):
+            out.append("a")
+            vowel = True
+        if 0x905 <= c <= 0x914:
+            out.append((":" if vowel else "") + ISO_VOWELS[c - 0x905])
+            open_a, vowel = False, True
+        elif 0x915 <= c <= 0x939 or 0x958 <= c <= 0x95F:
+            out.append(ISO_CONSONANTS[c - 0x915] if c <= 0x939 else ISO_NUKTA[c - 0x958])
+            open_a, vowel, last = True, False, c
+        elif 0x93E <= c <= 0x94C:
+            out.append(ISO_SIGNS[c - 0x93E])
+            open_a, vowel = False, True
+        elif base == "\u094d":
+            open_a, vowel = False, False
+        else:
+            out.append(chr(c - 0x966 + 48) if 0x966 <= c <= 0x96F else ISO_OTHERS.get(base, base))
+            open_a, vowel = False, False
+    return "".join(out) + ("a" if open_a else "")
+
+
+@F.pandas_udf(StringType())
+def iso15919(s: pd.Series, language: pd.Series) -> pd.Series:
+    """The ISO 15919 transliteration of texts in Hindi and Bengali; null for other languages."""
+    return pd.Series(_each(lambda x: _iso(*x), [(t, lang) if t is not None and lang in ISO_LANGUAGES else None for t, lang in zip(s, language)]), dtype="object")
 
-    def measured(x: Column, y: Column, known: Column) -> Column:
-        text = lambda v: F.array_join(F.transform(v, lambda g: _stand_in(known, g)), "")
-        return F.when(F.size(known) > len(STAND_INS), F.raise_error(F.lit("too many distinct clusters"))).otherwise(F.levenshtein(text(x), text(y)))
 
-    return let(a, lambda x: let(b, lambda y: let(F.array_distinct(F.concat(x, y)), lambda known: measured(x, y, known))))
+def tier2(gt: Column, hyp: Column, language: Column) -> Column:
+    """Whether two texts sound the same: equal transliterations; false outside the languages that have one."""
+    return F.coalesce(iso15919(gt, language) == iso15919(hyp, language), F.lit(False))
 
 
 def error_rate(distance: Column, gt_len: Column, hyp_len: Column, empty: str = "inf") -> Column:

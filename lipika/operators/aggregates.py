@@ -68,3 +68,16 @@ def flip_decomposition(df: DataFrame, by: Sequence[str], divergence: str, agree:
     """Share of steps whose top choice flips, and the share of all divergence that lies in them."""
     flip = ~F.col(agree)
     return df.groupBy(*by).agg(F.avg(flip.cast("double")).alias("flip_rate"), F.try_divide(F.sum(F.when(flip, F.col(divergence))), F.sum(divergence)).alias("flip_share"))
+
+
+def confusion_edges(subs: DataFrame, by: list[str], prob: str, rank: str, example: str, order: list[str], top: int = 5, rounded: bool = True) -> DataFrame:
+    """Edges of substitutions (``true_cluster``, ``predicted_cluster``) by group: n, mean_prob, mean_rank of those with a probability, top5_share, first_example in ``order``.
+
+    Plain partial aggregates, so a frequent confusion combines map-side.
+    """
+    fix = (lambda c: F.round(c, 6)) if rounded else (lambda c: c)
+    mean_rank = F.avg(F.when(F.col(prob).isNotNull(), F.col(rank)))
+    out = subs.groupBy(*by, "true_cluster", "predicted_cluster").agg(
+        F.count(F.lit(1)).alias("n"), fix(F.avg(prob)).alias("mean_prob"), fix(mean_rank).alias("mean_rank"), fix(F.avg((F.col(rank) <= top).cast("int"))).alias("top5_share"), F.min_by(example, F.struct(*order)).alias("first_example")
+    )
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lipika.functions import arrays, text
@@ -11,8 +11,8 @@ from lipika.operators.alignment import read_as, substitutions
 from lipika.operators.classify import position_bucket
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, STEPS, calls, last_readings, readings, steps
-from lipika.session import load
+from lipika.plans.views import CALLS, LATEST, READINGS, READS, STEPS, calls, clusters_sql, glyphs_sql, last_readings, readings, reads_sql, steps, tier1_sql
+from lipika.session import load, written
 
 _BUCKET_SQL = "case when {i} = 0 then '0' when {i} = 1 then '1' when {i} between 2 and 9 then '2-9' when {i} between 10 and 19 then '10-19' when {i} between 20 and 39 then '20-39' when {i} >= 40 then '40+' end"
 
@@ -194,22 +194,46 @@ def d23_first_position(spark: SparkSession, root: str) -> DataFrame:
     return steps(spark, root).groupBy("label").agg(F.round(F.exp(F.avg(F.ln(x))), 9).alias("geo"), F.round(F.avg(x), 9).alias("mean"), F.round(agg.above(x, 1.0 / 32), 6).alias("above_chance"), F.round(F.min(x), 9).alias("lo"), F.round(F.max(x), 9).alias("hi"))
 
 
-@query(f"""with {READINGS}, e as (select substr(gt, 1, 1) as a, substr(hyp, 1, 1) as b, length(hyp) as w, row_no, hyp from readings where gt <> '' and hyp <> '')
-  select a, b, count(*) as n, round(avg(w), 6) as mean_w, arg_min(hyp, row_no) as first_example from e where a <> b group by a, b""")
+@query(f"""with recursive {READS} select true_cluster as a, predicted_cluster as b, count(*) as n, round(avg(length(hyp)), 6) as mean_w, arg_min(hyp, row_no) as first_example
+  from readings join texts using (gt, hyp) join reads using (k) where true_cluster <> predicted_cluster group by a, b""")
 def d24_confusion_edges(spark: SparkSession, root: str) -> DataFrame:
-    """Edges of first-character confusions, with the first example."""
-    d = readings(spark, root).where("gt <> '' and hyp <> ''").select(F.substring("gt", 1, 1).alias("a"), F.substring("hyp", 1, 1).alias("b"), F.char_length("hyp").alias("w"), "row_no", "hyp")
-    return d.where("a <> b").groupBy("a", "b").agg(_n(), F.round(F.avg("w"), 6).alias("mean_w"), F.min_by("hyp", "row_no").alias("first_example"))
-
-
-@query()
-def d24_aligned_edges(spark: SparkSession, root: str) -> DataFrame:
     """Edges of confusions anywhere in a text, by alignment of its clusters, with the first example."""
     r = readings(spark, root).where("gt <> hyp").select(F.struct("row_no", "hyp").alias("of"), text.graphemes(F.col("gt")).alias("a"), text.graphemes(F.col("hyp")).alias("b"))
     d = substitutions(r, "a", "b").select(F.col("true_cluster").alias("a"), F.col("predicted_cluster").alias("b"), "of.*")
     return d.groupBy("a", "b").agg(_n(), F.round(F.avg(F.char_length("hyp")), 6).alias("mean_w"), F.min_by("hyp", "row_no").alias("first_example"))
 
 
+_CALL_PAIRS = f"""texts as materialized (select ground_truth, sarvam_text, row_number() over () as k from (select distinct ground_truth, sarvam_text from calls where ground_truth <> sarvam_text)),
+  pairs as materialized (select k, {clusters_sql('ground_truth')} as a, {clusters_sql('sarvam_text')} as b from texts)"""
+_EDGES = f"""{CALLS}, {_CALL_PAIRS}, {reads_sql('pairs')}, sub as (select script, probe_id, confidence, true_cluster, predicted_cluster, i, rank() over (partition by script order by coalesce(confidence, -1) desc) as place
+  from calls join texts using (ground_truth, sarvam_text) join reads using (k) where true_cluster <> predicted_cluster)"""
+
+
+def _edges(spark: SparkSession, root: str) -> DataFrame:
+    """(script, probe_id, confidence, true_cluster, predicted_cluster, gt_index, place): substitutions of the probe calls, with the confidence's rank among those of the script."""
+    c = calls(spark, root).where("ground_truth <> sarvam_text").select(F.struct("script", "probe_id", "confidence").alias("of"), text.graphemes(F.col("ground_truth")).alias("a"), text.graphemes(F.col("sarvam_text")).alias("b"))
+    d = written(substitutions(c, "a", "b").select("of.*", "true_cluster", "predicted_cluster", "gt_index"), "edges")
+    n = d.groupBy("script", F.coalesce("confidence", F.lit(-1.0)).alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    place = n.withColumn("place", F.coalesce(F.sum("k").over(Window.partitionBy("script").orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).drop("k")
+    return d.withColumn("c", F.coalesce("confidence", F.lit(-1.0))).join(place, ["script", "c"]).drop("c")
+
+
+@query(f"""with recursive {_EDGES} select script, true_cluster, predicted_cluster, count(*) as n, round(avg(confidence), 6) as mean_prob, round(avg(case when confidence is not null then place end), 6) as mean_rank,
+  round(avg((place <= 5)::int), 6) as top5_share, arg_min(probe_id, probe_id * 1000000 + i) as first_example from sub group by all""")
+def d24_scored_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges of the probe's confusions: count, mean confidence, mean rank of those that have one, share within the top five, first example."""
+    return agg.confusion_edges(_edges(spark, root), ["script"], "confidence", "place", "probe_id", ["probe_id", "gt_index"])
+
+
+@query(f"""with recursive {_EDGES}, e as (select script, true_cluster, predicted_cluster, count(*) as n, avg(confidence) as p, avg(case when confidence is not null then place end) as r from sub group by all)
+  select true_cluster, predicted_cluster, sum(n)::bigint as n, round(sum(p * n) / sum(case when p is not null then n end), 6) as mean_prob, round(sum(r * n) / sum(case when r is not null then n end), 6) as mean_rank from e group by all""")
+def d25_merged_edges(spark: SparkSession, root: str) -> DataFrame:
+    """The scripts' confusion edges merged again, each mean weighted by the edge's count."""
+    e = agg.confusion_edges(_edges(spark, root), ["script"], "confidence", "place", "probe_id", ["probe_id", "gt_index"], rounded=False)
+    merged = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), 6).alias(c)
+    return e.groupBy("true_cluster", "predicted_cluster").agg(merged("mean_prob"), merged("mean_rank"), F.sum("n").alias("n"))
+
+
 @query(f"with {READINGS}, p as (select engine, batch_no, count(*) as n, avg(length(hyp)) as m from readings group by all) select engine, sum(n)::bigint as n, round(sum(m * n) / sum(n), 6) as merged from p group by engine")
 def d25_weighted_merge(spark: SparkSession, root: str) -> DataFrame:
     p = readings(spark, root).groupBy("engine", "batch_no").agg(F.count(F.lit(1)).alias("k"), F.avg(F.char_length("hyp")).alias("m"))
@@ -223,19 +247,17 @@ def d26_mass_bins(spark: SparkSession, root: str) -> DataFrame:
     return _positions(spark, root).groupBy(mass.alias("mass")).agg(_n(), F.round(F.avg("q"), 9).alias("mean_q"))
 
 
-@query("select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from page_gt where text is not null) where ch <> '' group by ch")
+@query(f"select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from page_gt where text is not null) group by ch")
 def d27_glyph_counts(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "page_gt").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(_n())
+    return load(spark, root, "page_gt").select(F.explode(text.glyph_clusters(F.col("text"))).alias("ch")).groupBy("ch").agg(_n())
 
 
-@query(f"""with {READINGS}, c as (select language, unnest(string_split(gt, '')) as ch, gt = hyp as ok from readings where language is not null) select language, ch, count(*) as total, count(*) filter (where ok) as correct from c where ch <> '' group by all""")
-def d28_glyph_outcomes(spark: SparkSession, root: str) -> DataFrame:
-    c = readings(spark, root).where("language is not null").select("language", F.explode(F.split("gt", "")).alias("ch"), (F.col("gt") == F.col("hyp")).alias("ok"))
-    return c.where("ch <> ''").groupBy("language", "ch").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("correct"))
+_WHOLE = f"""{READINGS}, w as (select language, gt, case when {tier1_sql('gt')} = {tier1_sql('hyp')} then gt else hyp end as hyp from readings where language is not null),
+  texts as materialized (select gt, hyp, row_number() over () as k from (select distinct gt, hyp from w)), pairs as materialized (select k, {glyphs_sql('gt')} as a, {glyphs_sql('hyp')} as b from texts), {reads_sql('pairs')}"""
 
 
-@query()
-def d28_glyph_alignment(spark: SparkSession, root: str) -> DataFrame:
+@query(f"""with recursive {_WHOLE} select language, true_cluster as ch, count(*) as total, count(*) filter (where true_cluster = predicted_cluster) as correct from w join texts using (gt, hyp) join reads using (k) group by all""")
+def d28_glyph_outcomes(spark: SparkSession, root: str) -> DataFrame:
     """Glyph clusters of each language and how many are read right: all of a line that is right as a whole (tier 1), else those that the alignment matches."""
     r = readings(spark, root).where("language is not null")
     hyp = F.when(text.tier1(F.col("gt")) == text.tier1(F.col("hyp")), F.col("gt")).otherwise(F.col("hyp"))
@@ -250,21 +272,22 @@ def d29_line_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return calls(spark, root).groupBy("script").agg(F.round(F.avg(ok.cast("int")), 6).alias("accuracy"), _n())
 
 
-@query("""with c as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch), t as (select sum(n) as t from c)
-  select (select count(*) from line_gt where text is not null) as lines, count(*) as glyphs, sum(n)::bigint as tokens, round(-sum(n / t * ln(n / t + 1e-12) / ln(2)), 6) as entropy_bits from c cross join t""")
+@query(f"""with c as (select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from line_gt where text is not null) group by ch), t as (select sum(n) as t from c)
+  select (select count(*) from line_gt where text is not null) as lines, (select round(avg(len({glyphs_sql('text')})), 6) from line_gt where text is not null) as mean_length, (select arg_min(text, line_id) from line_gt where text is not null) as first_line, count(*) as glyphs, sum(n)::bigint as tokens, round(-sum(n / t * ln(n / t + 1e-12) / ln(2)), 6) as entropy_bits from c cross join t""")
 def d30_corpus_diagnostics(spark: SparkSession, root: str) -> DataFrame:
     d = load(spark, root, "line_gt").where("text is not null")
-    c = d.select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("k"))
+    c = d.select(F.explode(text.glyph_clusters(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("k"))
     t = c.agg(F.sum("k").alias("t"))
     p = F.col("k") / F.col("t")
     a = c.crossJoin(F.broadcast(t)).agg(F.count(F.lit(1)).alias("glyphs"), F.sum("k").alias("tokens"), F.round(-F.sum(p * F.ln(p + 1e-12) / F.ln(F.lit(2.0))), 6).alias("entropy_bits"))
-    return d.agg(F.count(F.lit(1)).alias("lines")).crossJoin(F.broadcast(a))
+    whole = d.agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg(F.size(text.glyph_clusters(F.col("text")))), 6).alias("mean_length"), F.min_by("text", "line_id").alias("first_line"))
+    return whole.crossJoin(F.broadcast(a))
 
 
-@query("""with tr as (select string_split(text, '') as t from line_gt where text is not null and text <> ''), ev as (select case when i = 1 then '<BOS>' else t[i - 1] end as ctx, case when i = len(t) + 1 then '<EOS>' else t[i] end as tok from (select t, unnest(range(1, len(t) + 2)) as i from tr))
+@query(f"""with tr as (select {clusters_sql('text')} as t from line_gt where text is not null and text <> ''), ev as (select case when i = 1 then '<BOS>' else t[i - 1] end as ctx, case when i = len(t) + 1 then '<EOS>' else t[i] end as tok from (select t, unnest(range(1, len(t) + 2)) as i from tr))
   select ctx, tok, count(*) as n from ev group by all""")
 def d31_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
-    d = load(spark, root, "line_gt").where("text <> ''").select(F.explode(ngrams(F.split("text", ""), 2)).alias("e"))
+    d = load(spark, root, "line_gt").where("text <> ''").select(F.explode(ngrams(text.graphemes(F.col("text")), 2)).alias("e"))
     return d.groupBy("e.ctx", "e.tok").agg(_n())
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.functions import arrays
+from lipika.functions import arrays, text
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, STEPS, calls, steps
+from lipika.plans.views import CALLS, STEPS, calls, clusters_sql, steps
 from lipika.session import load
 
 _F = "list_transform({v}, lambda x: greatest(x, {f}))"
@@ -43,12 +43,12 @@ def i5_log_floor(spark: SparkSession, root: str) -> DataFrame:
     return steps(spark, root).select("vec_id", F.round(arrays.log_floor(F.get("p", F.col("label"))), 6).alias("log_p"), F.round(total, 5).alias("total"))
 
 
-@query("""with tr as (select string_split(text, '') as t from line_gt where text is not null and text <> ''), ev as (select case when i = 1 then '<BOS>' else t[i - 1] end as ctx, case when i = len(t) + 1 then '<EOS>' else t[i] end as tok from (select t, unnest(range(1, len(t) + 2)) as i from tr)),
+@query(f"""with tr as (select {clusters_sql('text')} as t from line_gt where text is not null and text <> ''), ev as (select case when i = 1 then '<BOS>' else t[i - 1] end as ctx, case when i = len(t) + 1 then '<EOS>' else t[i] end as tok from (select t, unnest(range(1, len(t) + 2)) as i from tr)),
   pc as (select ctx, tok, count(*) as c from ev group by all), v as (select count(distinct tok) as v from pc), cc as (select ctx, sum(c) as cc, count(*) as k, max(c) as top from pc group by ctx)
   select ctx, cc::bigint as n, round((top + 0.01) / (cc + 0.01 * v), 9) as top_p, round(0.01 * (v - k) / (cc + 0.01 * v), 9) as unseen from cc cross join v""")
 def i8_next_distribution(spark: SparkSession, root: str) -> DataFrame:
     """Add-alpha next-token distribution of each context: its largest mass, and the mass of unseen tokens."""
-    e = load(spark, root, "line_gt").where("text <> ''").select(F.explode(ngrams(F.split("text", ""), 2)).alias("e"))
+    e = load(spark, root, "line_gt").where("text <> ''").select(F.explode(ngrams(text.graphemes(F.col("text")), 2)).alias("e"))
     pc = e.groupBy("e.ctx", "e.tok").agg(F.count(F.lit(1)).alias("c"))
     v = pc.agg(F.count_distinct("tok").alias("v"))
     cc = pc.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.max("c").alias("top")).crossJoin(F.broadcast(v))

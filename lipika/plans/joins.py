@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import joins
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, KEY, LATEST, PANEL, READINGS, calls, clusters_read, lab, last_readings, panel, readings
+from lipika.plans.views import CALLS, KEY, LATEST, PANEL, READINGS, READS, calls, clusters_read, clusters_sql, lab, last_readings, panel, readings
 from lipika.session import load
 
 _IMG = ["language", "image_id"]
@@ -164,20 +164,9 @@ def c15_last_write_wins(spark: SparkSession, root: str) -> DataFrame:
     return joins.last_write(r, KEY, order).groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("row_sum"))
 
 
-@query(f"""with {READINGS}, w as (select language, unnest(string_split(gt, '')) as ch from readings where language is not null), x as (select language, ch, count(*) as exposure from w where ch <> '' group by all),
-  o as (select language, substr(gt, 1, 1) as ch, avg(case when substr(gt, 1, 1) = substr(hyp, 1, 1) then 1.0 else 0.0 end) as acc, count(*) as n from readings where gt <> '' group by all)
-  select language, count(*) as glyphs, round(sum(exposure * acc) / sum(exposure), 6) as weighted from x join o using (language, ch) group by language""")
+@query(f"""with recursive {READS}, g as (select language, true_cluster, count(*) as exposure, count(*) filter (where true_cluster = predicted_cluster) as correct from readings join texts using (gt, hyp) join reads using (k) where language is not null group by all)
+  select language, count(*) as glyphs, round(sum(correct) / sum(exposure), 6) as weighted from g group by language""")
 def c16_exposure_accuracy(spark: SparkSession, root: str) -> DataFrame:
-    """How often a first character is seen against how often it is read right."""
-    r = readings(spark, root).where("language is not null")
-    x = r.select("language", F.explode(F.split("gt", "")).alias("ch")).where("ch <> ''").groupBy("language", "ch").agg(F.count(F.lit(1)).alias("exposure"))
-    head = F.substring("gt", 1, 1)
-    o = r.where("gt <> ''").groupBy("language", head.alias("ch")).agg(F.avg((head == F.substring("hyp", 1, 1)).cast("double")).alias("acc"))
-    return x.join(o, ["language", "ch"]).groupBy("language").agg(F.count(F.lit(1)).alias("glyphs"), F.round(F.sum(F.col("exposure") * F.col("acc")) / F.sum("exposure"), 6).alias("weighted"))
-
-
-@query()
-def c16_aligned_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """How often a cluster is read right anywhere in a text, weighted by how often it is seen."""
     d = clusters_read(spark, root).where("language is not null").groupBy("language", "true_cluster")
     right = F.sum(F.when(F.col("true_cluster") == F.col("predicted_cluster"), F.col("n")).otherwise(0))
@@ -232,10 +221,10 @@ def c20_set_difference(spark: SparkSession, root: str) -> DataFrame:
     return u.join(done, _IMG, "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with tr as (select string_split(text, '') as t from line_gt where text is not null and text <> ''), v as (select count(distinct c) + 2 as v from (select unnest(t) as c from tr)),
+@query(f"""with tr as (select {clusters_sql('text')} as t from line_gt where text is not null and text <> ''), v as (select count(distinct c) + 2 as v from (select unnest(t) as c from tr)),
   ev as (select case when i = 1 then '<BOS>' else t[i - 1] end as ctx, case when i = len(t) + 1 then '<EOS>' else t[i] end as tok from (select t, unnest(range(1, len(t) + 2)) as i from tr)),
   pc as (select ctx, tok, count(*) as c from ev group by all), cc as (select ctx, sum(c) as cc from pc group by ctx),
-  te as (select probe_id, string_split(ground_truth, '') as t from sarvam_transfer_probe where ground_truth is not null and ground_truth <> ''),
+  te as (select probe_id, {clusters_sql('ground_truth')} as t from sarvam_transfer_probe where ground_truth is not null and ground_truth <> ''),
   e2 as (select probe_id, i - 1 as pos, case when i = 1 then '<BOS>' else t[i - 1] end as ctx, t[i] as tok from (select probe_id, t, unnest(range(1, len(t) + 1)) as i from te)),
   s as (select pos, ln((coalesce(c, 0) + 0.01) / (coalesce(cc, 0) + 0.01 * v)) as lp from e2 left join pc using (ctx, tok) left join cc using (ctx) cross join v)
   select case when pos = 0 then '0' when pos = 1 then '1' when pos <= 9 then '2-9' when pos <= 19 then '10-19' when pos <= 39 then '20-39' else '40+' end as bucket, count(*) as n, round(avg(lp), 6) as mean_log_p from s group by 1""")
@@ -243,7 +232,7 @@ def c21_ngram_lookup(spark: SparkSession, root: str) -> DataFrame:
     """Bigram log-probabilities of held-out texts by position."""
     from lipika.operators.classify import position_bucket
 
-    chars = lambda c: F.split(c, "")
+    chars = lambda c: text.graphemes(F.col(c))
     train = load(spark, root, "line_gt").where("text <> ''").select(chars("text").alias("t"))
     events = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.explode(joins.ngrams(chars("ground_truth"), 2)).alias("e")).where("e.tok <> '<EOS>'")
     pairs = events.groupBy(position_bucket(F.col("e.pos")).alias("bucket"), "e.ctx", "e.tok").agg(F.count(F.lit(1)).alias("k"))
@@ -251,7 +240,7 @@ def c21_ngram_lookup(spark: SparkSession, root: str) -> DataFrame:
     return s.groupBy("bucket").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("log_p") * F.col("k")) / F.sum("k"), 6).alias("mean_log_p"))
 
 
-@query()
+@query(f"""with recursive {READS} select true_cluster, predicted_cluster, count(*) as n from readings join texts using (gt, hyp) join reads using (k) where true_cluster <> predicted_cluster group by all""")
 def c22_alignment(spark: SparkSession, root: str) -> DataFrame:
     """Substitutions between truth and reading by global alignment of clusters, as aggregated edges."""
     from lipika.operators.alignment import substitutions

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import classify
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, calls, clusters_read, last_readings, readings, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, LATEST, READINGS, READS, calls, clusters_read, clusters_sql, last_readings, readings, phonetic_sql, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -61,19 +61,22 @@ _B7 = f"""{READINGS}, forms as (select *, {tier1_sql('gt')} as gt_form, {tier1_s
 _STRIP = r"regexp_replace({c}, '^{b}+|{b}+$', '', 'g')"
 
 
+_SOUND = f"coalesce({phonetic_sql('gt', 'language')} = {phonetic_sql('hyp', 'language')}, false)"
+
+
 @query(f"""with {_B7} select engine, language, case when gt_form = hyp_form and {_STRIP.format(c='gt', b=text.BLANKS)} = {_STRIP.format(c='hyp', b=text.BLANKS)} then 'EXACT' when gt_form = hyp_form then 'TIER1'
-  when label is not null then 'GENUINE' else 'UNREVIEWED' end as outcome, count(*) as n from forms group by all""")
+  when {_SOUND} then 'TIER2' when label is not null then 'GENUINE' else 'UNREVIEWED' end as outcome, count(*) as n from forms group by all""")
 def b7_outcome_classifier(spark: SparkSession, root: str) -> DataFrame:
     """Readings classified anew from their texts, by engine and language."""
     d = _forms(readings(spark, root))
-    o = classify.outcome(F.col("gt"), F.col("hyp"), F.col("gt_form"), F.col("hyp_form"), F.col("language"), F.col("label"))
+    o = classify.outcome(F.col("gt"), F.col("hyp"), F.col("gt_form"), F.col("hyp_form"), F.col("language"), F.col("label"), text.tier2(F.col("gt"), F.col("hyp"), F.col("language")))
     return d.groupBy("engine", "language", o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_B7} select language, case when {ws_sql('gt')} = {ws_sql('hyp')} then 'EXACT' when gt_form = hyp_form then 'TIER1' else 'UNEXPLAINED' end as outcome, count(*) as n from forms group by all""")
+@query(f"""with {_B7} select language, case when {ws_sql('gt')} = {ws_sql('hyp')} then 'EXACT' when gt_form = hyp_form then 'TIER1' when {_SOUND} then 'TIER2' else 'UNEXPLAINED' end as outcome, count(*) as n from forms group by all""")
 def b8_review_classifier(spark: SparkSession, root: str) -> DataFrame:
     d = _forms(readings(spark, root))
-    o = classify.review_outcome(F.col("gt"), F.col("hyp"), F.col("gt_form"), F.col("hyp_form"), F.col("language"))
+    o = classify.review_outcome(F.col("gt"), F.col("hyp"), F.col("gt_form"), F.col("hyp_form"), F.col("language"), text.tier2(F.col("gt"), F.col("hyp"), F.col("language")))
     return d.groupBy("language", o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -118,15 +121,11 @@ def b13_layout_category(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "layout_bank").groupBy(classify.layout_category(F.col("regions")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {READINGS}, ends as (select substr(gt, 1, 1) as a, substr(hyp, 1, 1) as b from readings)
-  select case when a = '' or b = '' then 'empty' when a = b then 'identical' when ord(a) between 2304 and 2431 and ord(b) between 2304 and 2431 and abs(ord(a) - ord(b)) <= 5 then 'adjacent-codepoint'
-  when ord(a) between 2304 and 2431 and ord(b) between 2304 and 2431 then 'both-devanagari' else 'dissimilar' end as tag, count(*) as n from ends group by 1""")
+@query(f"""with recursive {READS}, ends as (select true_cluster as a, coalesce(predicted_cluster, '') as b from readings join texts using (gt, hyp) join reads using (k)),
+  o as (select a, b, ord(a) as x, ord(b) as y from ends), z as (select *, x between 2304 and 2431 and y between 2304 and 2431 as deva from o)
+  select case when a = '' or b = '' then 'empty' when a = b then 'identical' when x = y and length(a) <> length(b) then 'same-base-matra-diff' when x = y then 'same-base' when deva and abs(x - y) <= 5 then 'adjacent-codepoint'
+  when deva then 'both-devanagari' else 'dissimilar' end as tag, count(*) as n from z group by 1""")
 def b14_confusion_tag(spark: SparkSession, root: str) -> DataFrame:
-    return readings(spark, root).groupBy(classify.confusion_tag(F.substring("gt", 1, 1), F.substring("hyp", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def b14_aligned_tags(spark: SparkSession, root: str) -> DataFrame:
     """How each cluster of a text and what it is read as are alike; 'empty' if it is read as nothing."""
     return clusters_read(spark, root).groupBy(classify.confusion_tag(F.col("true_cluster"), F.col("predicted_cluster")).alias("tag")).agg(F.sum("n").alias("n"))
 
@@ -165,10 +164,10 @@ def b17_feasibility(spark: SparkSession, root: str) -> DataFrame:
     return g.join(i, g.language.eqNullSafe(i.l)).select("language", F.array_join(classify.feasibility(F.col("a"), F.col("b"), F.col("c"), F.col("common")), "; ").alias("reasons"))
 
 
-@query(f"""with {READINGS}, c as (select language, unnest(string_split(gt, '')) as ch from readings)
+@query(f"""with {READINGS}, c as (select language, unnest({clusters_sql('gt')}) as ch from readings)
   select language, case when trim(ch) = '' then 'other' when regexp_matches(ch, '[\\x{{0900}}-\\x{{097f}}]') then 'trained' when regexp_matches(ch, '[\\x{{0980}}-\\x{{09ff}}]') then 'image' else 'other' end as cls, count(*) as n from c where ch <> '' group by all""")
 def b18_script_class(spark: SparkSession, root: str) -> DataFrame:
-    c = readings(spark, root).select("language", F.explode(F.split("gt", "")).alias("ch")).where("ch <> ''")
+    c = readings(spark, root).select("language", F.explode(text.graphemes(F.col("gt"))).alias("ch")).where("ch <> ''")
     return c.groupBy("language", classify.script_class(F.col("ch"), r"[ऀ-ॿ]", r"[ঀ-৿]").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lipika.functions import text
 from lipika.operators import sampling
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, PANEL, READINGS, calls, panel, readings
+from lipika.plans.views import CALLS, PANEL, READINGS, calls, glyphs_sql, panel, readings
 from lipika.session import load
 
 _H = "('0x' || substr(md5({k}), 1, 8))::bigint"
@@ -28,11 +29,11 @@ def k2_stratified_sample(spark: SparkSession, root: str) -> DataFrame:
     return s.withColumns({"adjudication_sample": F.lit(True), "sample_seed": F.lit(42)})
 
 
-_FREQ = "freq as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch)"
+_FREQ = f"freq as (select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from line_gt where text is not null) group by ch)"
 
 
 def _freq(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "line_gt").where("text is not null").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, root, "line_gt").where("text is not null").select(F.explode(text.glyph_clusters(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {_FREQ}, e as (select ch, round(5000 * n / (select sum(n) from freq), 9) as e from freq), f as (select ch, e, floor(e) as f, row_number() over (order by round(e - floor(e), 9) desc, ch desc) as rn from e)
@@ -54,7 +55,7 @@ def k5_corpus_walk(spark: SparkSession, root: str) -> DataFrame:
     """Lines synthesised toward natural masses, one walk a script."""
     from lipika.functions.labels import label
 
-    t = load(spark, root, "page_gt").where("text is not null").select(label("script").alias("script"), F.explode(ngrams(F.split("text", ""), 2)).alias("e"))
+    t = load(spark, root, "page_gt").where("text is not null").select(label("script").alias("script"), F.explode(ngrams(text.graphemes(F.col("text")), 2)).alias("e"))
     b = t.select("script", F.col("e.ctx").alias("a"), F.col("e.tok").alias("b")).where("a <> '<BOS>' and b <> '<EOS>'").groupBy("script", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     q = b.groupBy("script", F.col("b").alias("glyph")).agg(F.ceil(F.sum("n") / 50.0).alias("quota"))
     return sampling.corpus_walk(b, q)

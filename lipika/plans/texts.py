@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from lipika.functions import text
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, READINGS, calls, readings, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, READINGS, TEXTS, calls, clusters_sql, distance_sql, phonetic_sql, readings, tier1_sql, ws_sql
 from lipika.session import load
 
 
 def _sized(spark: SparkSession, root: str) -> DataFrame:
-    """Readings with tier-1 clusters of both sides and their distance, computed once."""
-    d = readings(spark, root).select("row_no", "engine", "language", "gt", "hyp", text.graphemes(text.tier1(F.col("gt"))).alias("a"), text.graphemes(text.tier1(F.col("hyp"))).alias("b"))
-    return d.withColumn("dist", text.cluster_distance(F.col("a"), F.col("b")))
+    """Readings with the clusters of both tier-1 forms, counted, and their distance, computed once."""
+    d = readings(spark, root).select("row_no", "engine", "language", text.measured(text.tier1(F.col("gt")), text.tier1(F.col("hyp"))).alias("m"))
+    return d.select("row_no", "engine", "language", "m.*")
+
+
+#: The views ``readings``, ``texts`` (gt, hyp, k), ``pairs`` (k, a, b: clusters of the tier-1 forms) and ``dist`` (k, dist), for ``with recursive``.
+_SIZED = f"""{READINGS}, {TEXTS}, pairs as materialized (select k, {clusters_sql('gt')} as a, {clusters_sql('hyp')} as b from (select k, {tier1_sql('gt')} as gt, {tier1_sql('hyp')} as hyp from texts)), {distance_sql('pairs')},
+  sized as (select engine, language, dist, len(a) as n_gt, len(b) as n_hyp, case when len(a) > 0 then dist / len(a) when len(b) = 0 then 0 else 'inf'::double end as cer from readings join texts using (gt, hyp) join pairs using (k) join dist using (k))"""
 
 
 @query(f"with {READINGS} select language, sum(length_grapheme(gt))::bigint as clusters, sum(length(gt))::bigint as chars from readings group by language")
@@ -58,17 +63,25 @@ def h2c_equivalent(spark: SparkSession, root: str) -> DataFrame:
     return d.select("probe_id", (text.tier1(F.col("ground_truth")) == text.tier1(F.col("sarvam_text"))).alias("equivalent"))
 
 
-@query()
+@query(f"""with {READINGS}, t as (select *, {phonetic_sql('gt', 'language')} = {phonetic_sql('hyp', 'language')} as same from readings where language in ('hindi', 'bengali'))
+  select language, count(*) as n, count(*) filter (where same) as same_sound, count(*) filter (where same and {tier1_sql('gt')} <> {tier1_sql('hyp')}) as by_sound_alone from t group by language""")
+def h3_phonetic_equivalence(spark: SparkSession, root: str) -> DataFrame:
+    """Readings that transliterate to the same letters, and those that no encoding variant explains."""
+    d = readings(spark, root).where(F.col("language").isin(*text.ISO_LANGUAGES)).select("language", text.tier2(F.col("gt"), F.col("hyp"), F.col("language")).alias("same"), (text.tier1(F.col("gt")) != text.tier1(F.col("hyp"))).alias("other"))
+    return d.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("same_sound"), F.count_if(F.col("same") & F.col("other")).alias("by_sound_alone"))
+
+
+@query(f"with recursive {_SIZED} select engine, dist, count(*) as n from sized group by all")
 def h4_cluster_distance(spark: SparkSession, root: str) -> DataFrame:
     return _sized(spark, root).groupBy("engine", "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with recursive {_SIZED} select engine, language, count(*) as n, round(avg(case when cer <> 'inf' then cer end), 9) as mean_cer, round(avg(greatest(0, 1 - cer)), 9) as accuracy, round(avg(case when cer = 'inf' then 1 else cer end), 9) as finite_cer from sized group by all""")
 def h5_error_rates(spark: SparkSession, root: str) -> DataFrame:
     """Cluster error rate and accuracy by engine and language; infinite rates stay out of the mean."""
-    d = _sized(spark, root).withColumn("cer", text.error_rate(F.col("dist"), F.size("a"), F.size("b")))
+    d = _sized(spark, root).withColumn("cer", text.error_rate(F.col("dist"), F.col("n_gt"), F.col("n_hyp")))
     ok = F.when(F.col("cer") != float("inf"), F.col("cer"))
-    return d.groupBy("engine", "language").agg(F.count(F.lit(1)).alias("n"), F.avg(ok).alias("mean_cer"), F.avg(text.accuracy(F.col("cer"))).alias("accuracy"), F.avg(text.finite(F.col("cer"))).alias("finite_cer"))
+    return d.groupBy("engine", "language").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 9).alias("mean_cer"), F.round(F.avg(text.accuracy(F.col("cer"))), 9).alias("accuracy"), F.round(F.avg(text.finite(F.col("cer"))), 9).alias("finite_cer"))
 
 
 @query()
@@ -112,15 +125,15 @@ def h13_emitted_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("engine").agg(F.avg("whole").alias("char_acc"), F.avg("emitted").alias("emitted_acc"), F.avg("covered").alias("coverage"), F.avg(r).alias("reward"), F.avg(text.reward(F.col("emitted"), F.col("covered"), penalty=0.0)).alias("reward_lambda0"))
 
 
-@query("""with f as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch), v as (select ch, row_number() over (order by n desc, ch) + 3 as id from f where n >= 2),
-  t as (select probe_id, unnest(string_split(ground_truth, '')) as ch from sarvam_transfer_probe where ground_truth is not null) select probe_id, sum(coalesce(id, 3))::bigint + 3 as id_sum, count(*) + 2 as n, count(*) filter (where id is null) as rare from t left join v using (ch) where t.ch <> '' group by probe_id""")
+@query(f"""with f as (select ch, count(*) as n from (select unnest({clusters_sql('text')}) as ch from line_gt where text is not null) where ch <> '' group by ch), v as (select ch, row_number() over (order by n desc, ch) + 3 as id from f where n >= 2),
+  t as (select probe_id, unnest({clusters_sql('ground_truth')}) as ch from sarvam_transfer_probe where ground_truth is not null) select probe_id, sum(coalesce(id, 3))::bigint + 3 as id_sum, count(*) + 2 as n, count(*) filter (where id is null) as rare from t left join v using (ch) where t.ch <> '' group by probe_id""")
 def h15_encode(spark: SparkSession, root: str) -> DataFrame:
     """Texts as ids of a trained vocabulary, unknown characters as the rare id, between start and end."""
     from lipika.operators.ordering import numbered
 
-    f = load(spark, root, "line_gt").where("text is not null").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    f = load(spark, root, "line_gt").where("text is not null").select(F.explode(text.graphemes(F.col("text"))).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     v = numbered(f.where("n >= 2"), [], [F.col("n").desc(), F.col("ch")], "k").select("ch", (F.col("k") + 3).alias("id"))
-    t = load(spark, root, "sarvam_transfer_probe").where("ground_truth is not null").select("probe_id", F.explode(F.split("ground_truth", "")).alias("ch")).where("ch <> ''")
+    t = load(spark, root, "sarvam_transfer_probe").where("ground_truth is not null").select("probe_id", F.explode(text.graphemes(F.col("ground_truth"))).alias("ch")).where("ch <> ''")
     return t.join(v, "ch", "left").groupBy("probe_id").agg((F.sum(F.coalesce("id", F.lit(3))) + 3).alias("id_sum"), (F.count(F.lit(1)) + 2).alias("n"), F.count_if(F.col("id").isNull()).alias("rare"))
 
 
@@ -131,11 +144,11 @@ def h18_stable_seeds(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "sarvam_transfer_probe").select("probe_id", text.stable_seed(p).alias("seed"), text.stable_int(p).alias("draw"), F.sha2(p, 256).alias("digest"))
 
 
-@query("""with t as (select string_split(ground_truth, '') as t from sarvam_transfer_probe where ground_truth is not null and ground_truth <> ''), p as (select list_concat(['<BOS>', '<BOS>', '<BOS>', '<BOS>'], t, ['<EOS>']) as f, len(t) as n from t),
+@query(f"""with t as (select {clusters_sql('ground_truth')} as t from sarvam_transfer_probe where ground_truth is not null and ground_truth <> ''), p as (select list_concat(['<BOS>', '<BOS>', '<BOS>', '<BOS>'], t, ['<EOS>']) as f, len(t) as n from t),
   e as (select array_to_string(f[i + 1:i + 4], chr(1)) as ctx, f[i + 5] as tok from (select f, unnest(range(0, n + 1)) as i from p)) select count(*) as events, count(distinct ctx) as contexts, count(distinct ctx || chr(2) || tok) as pairs from e""")
 def h16_contexts(spark: SparkSession, root: str) -> DataFrame:
     """Five-gram contexts of texts, padded at the start and closed at the end."""
     from lipika.operators.joins import ngrams
 
-    e = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.explode(ngrams(F.split("ground_truth", ""), 5)).alias("e")).select("e.ctx", "e.tok")
+    e = load(spark, root, "sarvam_transfer_probe").where("ground_truth <> ''").select(F.explode(ngrams(text.graphemes(F.col("ground_truth")), 5)).alias("e")).select("e.ctx", "e.tok")
     return e.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("ctx").alias("contexts"), F.count_distinct(F.concat_ws("\u0002", "ctx", "tok")).alias("pairs"))

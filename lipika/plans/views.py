@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def key(c: str) -> str:
     return rf"nullif(regexp_replace(regexp_replace({c}, '\s+', '', 'g'), '^0+(.)', '\1'), '')"
 
 
+def clusters_sql(c: str) -> str:
+    """The grapheme clusters of a text in SQL, as :func:`lipika.functions.text.graphemes` gives them."""
+    conjunct, virama, extending = (re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", x) for x in (text.CONSONANTS, text.VIRAMAS, text.EXTENDING))
+    return rf"regexp_extract_all({c}, '(?:[{conjunct}][{extending}]*[{virama}][{extending}]*)*[{conjunct}][{text.JOINING}]*|\r\n|[{text.ALONE}]|[^{text.ALONE}][{text.JOINING}]*')"
+
+
+def glyphs_sql(c: str) -> str:
+    """The glyph clusters of a text in SQL: those with a letter of an Indic or Arabic block."""
+    blocks = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", text.GLYPH_BLOCKS)
+    return rf"list_filter({clusters_sql(c)}, lambda g: regexp_matches(g, '{blocks}') and trim(g) <> '')"
+
+
 def readings(spark: SparkSession, root: str) -> DataFrame:
     """error_taxonomy with labels and ids in one writing; texts are never null."""
     d = load(spark, root, "error_taxonomy")
@@ -35,6 +49,41 @@ def clusters_read(spark: SparkSession, root: str) -> DataFrame:
     return read_as(r, "a", "b")
 
 
+def reads_sql(pairs: str, suffix: str = "") -> str:
+    """CTEs after ``pairs`` (k, a, b: arrays) for ``with recursive``: ``reads`` (k, i, true_cluster, predicted_cluster), every item of ``a`` and what the alignment reads it as.
+
+    The score table by its diagonals, each cell with the direction of its best
+    step (diagonal before up before left); then the way back by those.
+    """
+    cell, way, back, hits, reads = (f"{n}{suffix}" for n in ("cell", "way", "back", "hits", "reads"))
+    return f"""{cell}(k, i, d, s, p, way) as (select k, 0, 0, 0, null::int, 3 from {pairs} where len(a) > 0 and len(b) > 0
+    union all select k, i, d, s, l, case when i = 0 or i = d then 3 when s = dg then 0 when s = up - 1 then 1 else 2 end from (
+      select *, case when i = 0 or i = d then -d else greatest(dg, up - 1, l - 1) end as s from (
+        select x.k, x.i, x.d, l, up, dg + case when a[x.i] = b[x.d - x.i] then 1 else -1 end as dg from (
+          select k, i + m as i, d + 1 as d, max(case when m = 0 then s end) as l, max(case when m = 1 then s end) as up, max(case when m = 1 then p end) as dg from (select *, unnest([0, 1]) as m from {cell}) group by 1, 2, 3) x
+        join {pairs} q on x.k = q.k where x.i <= len(a) and x.d - x.i <= len(b)))),
+  {way} as materialized (select k, i, list(way order by d) as way from {cell} group by k, i),
+  {back}(k, i, j, hi, hj) as (select k, len(a)::int, len(b)::int, 0, 0 from {pairs} where len(a) > 0 and len(b) > 0
+    union all select t.k, t.i - (w.way[t.j + 1] < 2)::int, t.j - (w.way[t.j + 1] <> 1)::int, case when w.way[t.j + 1] = 0 then t.i else 0 end, t.j from {back} t join {way} w on t.k = w.k and t.i = w.i where t.i > 0 and t.j > 0),
+  {hits} as (select k, hi as i, hj as j from {back} where hi > 0),
+  {reads} as (select u.k, u.i, u.c as true_cluster, b[h.j] as predicted_cluster from (select k, b, unnest(a) as c, unnest(range(1, len(a) + 1)) as i from {pairs}) u left join {hits} h on u.k = h.k and u.i = h.i)"""
+
+
+def distance_sql(pairs: str, name: str = "dist") -> str:
+    """A CTE after ``pairs`` (k, a, b: arrays) for ``with recursive``: ``name`` (k, dist), their edit distance, by the diagonals of the table."""
+    cell = f"{name}_cell"
+    return f"""{cell}(k, i, d, s, p) as (select k, 0, 0, 0, null::int from {pairs} where len(a) > 0 and len(b) > 0
+    union all select k, i, d, case when i = 0 or i = d then d else least(dg, up + 1, l + 1) end, l from (select x.k, x.i, x.d, l, up, dg + (a[x.i] <> b[x.d - x.i])::int as dg from (
+      select k, i + m as i, d + 1 as d, max(case when m = 0 then s end) as l, max(case when m = 1 then s end) as up, max(case when m = 1 then p end) as dg from (select *, unnest([0, 1]) as m from {cell}) group by 1, 2, 3) x
+      join {pairs} q on x.k = q.k where x.i <= len(a) and x.d - x.i <= len(b))),
+  {name} as (select k, s as dist from {cell} join {pairs} using (k) where i = len(a) and d = len(a) + len(b) union all select k, greatest(len(a), len(b)) from {pairs} where len(a) = 0 or len(b) = 0)"""
+
+
+TEXTS = "texts as materialized (select gt, hyp, row_number() over () as k from (select distinct gt, hyp from readings))"
+#: The views ``readings``, ``texts`` (gt, hyp, k) and ``reads`` (k, i, true_cluster, predicted_cluster), for ``with recursive``.
+READS = f"{READINGS}, {TEXTS}, pairs as materialized (select k, {clusters_sql('gt')} as a, {clusters_sql('hyp')} as b from texts), {reads_sql('pairs')}"
+
+
 def calls(spark: SparkSession, root: str) -> DataFrame:
     """sarvam_transfer_probe in one writing; the path gives what script or id leave out."""
     d = load(spark, root, "sarvam_transfer_probe")
@@ -73,6 +122,16 @@ def tier1_sql(c: str) -> str:
     return rf"regexp_replace(translate({c}, '{text.SINGLE_FROM}', '{text.SINGLE_TO}'), '{ws}+(\.+)', '\1', 'g')"
 
 
+def phonetic_sql(c: str, language: str) -> str:
+    """A form that is equal where ISO 15919 transliterations are: one script's letters, joiners gone, an independent vowel behind a virama as its sign."""
+    c = f"replace(replace(regexp_replace(nfc_normalize({c}), '[\u200c\u200d]', '', 'g'), '\u09ce', '\u09a4\u09cd'), '\u0950', '\u0913\u0902')"
+    for shift in text.ISO_LANGUAGES.values():
+        signs = dict(zip(text.ISO_SIGNS, range(0x93E + shift, 0x94D + shift))) | {"a": None}
+        for k, v in enumerate(text.ISO_VOWELS):
+            c = f"replace({c}, '{chr(0x94D + shift)}{chr(0x905 + shift + k)}', '{chr(signs[v]) if signs.get(v) else ''}')" if v in signs else c
+    return f"case when {language} in ('hindi', 'bengali') then translate({c}, '\u0964{text.SINGLE_FROM[2:]}', '.{text.SINGLE_TO[2:]}') end"
+
+
 def ws_sql(c: str) -> str:
     return f"trim(regexp_replace({c}, '{text.BLANKS}+', ' ', 'g'))"
 

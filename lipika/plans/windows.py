@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import arrays, text
 from lipika.operators.ordering import midranks, numbered, running
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, READINGS, STEPS, calls, clusters_read, readings, steps, ws_sql
+from lipika.plans.views import CALLS, READINGS, READS, STEPS, calls, clusters_read, clusters_sql, glyphs_sql, readings, steps, ws_sql
 from lipika.session import load
 
 _COST = "case when sarvam_text = ground_truth then 0.0 else 1.0 end"
@@ -80,11 +80,11 @@ def e8_longest_run(spark: SparkSession, root: str) -> DataFrame:
     return readings(spark, root).select(text.longest_run(w)["n"].alias("n")).where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_FREQ = "freq as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch)"
+_FREQ = f"freq as (select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from line_gt where text is not null) group by ch)"
 
 
 def _freq(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "line_gt").where("text is not null").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, root, "line_gt").where("text is not null").select(F.explode(text.glyph_clusters(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {_FREQ}, a as (select ch, n, row_number() over (order by n, ch) as up, row_number() over (order by n desc, ch) as down from freq) select x.ch, round(y.n / (select sum(n) from freq), 9) as inverted from a x join a y on x.up = y.down""")
@@ -97,29 +97,20 @@ def e10_rank_inversion(spark: SparkSession, root: str) -> DataFrame:
     return up.join(down, "k").crossJoin(F.broadcast(t)).select("ch", F.round(F.col("n") / F.col("t"), 9).alias("inverted"))
 
 
-_CONF = "e as (select substr(gt, 1, 1) as a, substr(hyp, 1, 1) as b, count(*) as n from readings where gt <> '' and hyp <> '' and substr(gt, 1, 1) <> substr(hyp, 1, 1) group by all)"
-
-
-@query(f"with {READINGS}, {_CONF} select a, b, n from e order by n desc, a, b limit 15")
+@query(f"""with recursive {READS} select true_cluster as a, predicted_cluster as b, count(*) as n from readings join texts using (gt, hyp) join reads using (k) where true_cluster <> predicted_cluster group by a, b order by n desc, a, b limit 15""")
 def f1_top_confusions(spark: SparkSession, root: str) -> DataFrame:
-    r = readings(spark, root).where("gt <> '' and hyp <> ''").groupBy(F.substring("gt", 1, 1).alias("a"), F.substring("hyp", 1, 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return r.where("a <> b").orderBy(F.col("n").desc(), "a", "b").limit(15)
-
-
-@query()
-def f1_aligned_confusions(spark: SparkSession, root: str) -> DataFrame:
     """The most frequent confusions of clusters anywhere in a text."""
     r = clusters_read(spark, root).where("true_cluster <> predicted_cluster")
     return r.groupBy(F.col("true_cluster").alias("a"), F.col("predicted_cluster").alias("b")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "a", "b").limit(15)
 
 
-_TWO = """x as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from line_gt where text is not null) where ch <> '' group by ch), y as (select ch, count(*) as n from (select unnest(string_split(text, '')) as ch from page_gt where text is not null) where ch <> '' group by ch),
+_TWO = f"""x as (select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from line_gt where text is not null) group by ch), y as (select ch, count(*) as n from (select unnest({glyphs_sql('text')}) as ch from page_gt where text is not null) group by ch),
   d as (select coalesce(x.ch, y.ch) as ch, coalesce(x.n, 0) / (select sum(n) from x) as p, coalesce(y.n, 0) / (select sum(n) from y) as q from x full join y on x.ch = y.ch)"""
 
 
 def _two(spark: SparkSession, root: str) -> DataFrame:
     def pmf(table: str, name: str) -> DataFrame:
-        c = load(spark, root, table).where("text is not null").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+        c = load(spark, root, table).where("text is not null").select(F.explode(text.glyph_clusters(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
         return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("ch", (F.col("n") / F.col("t")).alias(name))
 
     return pmf("line_gt", "p").join(pmf("page_gt", "q"), "ch", "full").select("ch", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
@@ -130,10 +121,11 @@ def f2_largest_deltas(spark: SparkSession, root: str) -> DataFrame:
     return _two(spark, root).select("ch", F.round(F.col("p") - F.col("q"), 9).alias("delta"), F.round(F.abs(F.col("p") - F.col("q")), 12).alias("m")).orderBy(F.col("m").desc(), "ch").limit(12).drop("m")
 
 
-@query(f"with {_FREQ} select ch, row_number() over (order by n desc, ch) + 3 as id from freq where n >= 2")
+@query(f"with v as (select ch, count(*) as n from (select unnest({clusters_sql('text')}) as ch from line_gt where text is not null) group by ch having count(*) >= 5) select ch, row_number() over (order by n desc, ch) + 3 as id from v")
 def f3_vocabulary_order(spark: SparkSession, root: str) -> DataFrame:
-    """Ids of glyphs by frequency, after the four special ids."""
-    return numbered(_freq(spark, root).where("n >= 2"), [], [F.col("n").desc(), F.col("ch")], "k").select("ch", (F.col("k") + 3).alias("id"))
+    """Ids of clusters seen five times or more by frequency, after the four special ids."""
+    v = load(spark, root, "line_gt").where("text is not null").select(F.explode(text.graphemes(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(v.where("n >= 5"), [], [F.col("n").desc(), F.col("ch")], "k").select("ch", (F.col("k") + 3).alias("id"))
 
 
 @query("""with r as (select layout_id, r.* from (select layout_id, unnest(regions) as r from layout_bank)) select layout_id, string_agg(name, ',' order by y, x, name) as ord from r group by layout_id""")
@@ -199,12 +191,12 @@ def g5_multiset_equality(spark: SparkSession, root: str) -> DataFrame:
     return readings(spark, root).groupBy("engine").agg(F.count_if(F.array_sort(g) == F.array_sort(h)).alias("same_words"), F.count_if(text.reordered(F.col("gt"), F.col("hyp"))).alias("reordered"))
 
 
-@query(f"""with {READINGS}, a as (select row_no, ch, count(*) as n from (select row_no, unnest(string_split(gt, '')) as ch from readings) where ch <> '' group by all), b as (select row_no, ch, count(*) as n from (select row_no, unnest(string_split(hyp, '')) as ch from readings) where ch <> '' group by all),
+@query(f"""with {READINGS}, a as (select row_no, ch, count(*) as n from (select row_no, unnest({clusters_sql('gt')}) as ch from readings) where ch <> '' group by all), b as (select row_no, ch, count(*) as n from (select row_no, unnest({clusters_sql('hyp')}) as ch from readings) where ch <> '' group by all),
   s as (select a.row_no, sum(least(a.n, coalesce(b.n, 0))) / sum(a.n) as cov from a left join b using (row_no, ch) group by a.row_no) select count(*) as n, round(avg(cov), 6) as coverage from s""")
 def g6_multiset_overlap(spark: SparkSession, root: str) -> DataFrame:
     """Share of a truth's characters that the reading has, counted with multiplicity."""
     r = readings(spark, root)
-    side = lambda c, n: r.select("row_no", F.explode(F.split(c, "")).alias("ch")).where("ch <> ''").groupBy("row_no", "ch").agg(F.count(F.lit(1)).alias(n))
+    side = lambda c, n: r.select("row_no", F.explode(text.graphemes(F.col(c))).alias("ch")).where("ch <> ''").groupBy("row_no", "ch").agg(F.count(F.lit(1)).alias(n))
     s = side("gt", "a").join(side("hyp", "b"), ["row_no", "ch"], "left").groupBy("row_no").agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("cov"))
     return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cov"), 6).alias("coverage"))
 

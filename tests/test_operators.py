@@ -154,7 +154,7 @@ def test_glyph_outcomes_of_whole_texts(spark, tmp_path):
     lines = [("hindi", "कमल नयन", "कमल गयन"), ("hindi", "कमल", "कमल"), ("hindi", "मन", None), (None, "कम", "कम"), ("tamil", "மரம்", "மம்")]
     d = spark.createDataFrame([(k, "e", lang, str(k), "v", "GENUINE", "x", gt, hyp, 0, None) for k, (lang, gt, hyp) in enumerate(lines)], "row_no long, engine string, language string, image_id string, variant string, bucket string, taxonomy_label string, ground_truth string, predicted string, batch_no int, recorded_at timestamp")
     d.write.parquet(f"{tmp_path}/error_taxonomy.parquet")
-    got = {(r.language, r.ch): (r.total, r.correct) for r in registry.queries()["d28_glyph_alignment"](spark, str(tmp_path)).collect()}
+    got = {(r.language, r.ch): (r.total, r.correct) for r in registry.queries()["d28_glyph_outcomes"](spark, str(tmp_path)).collect()}
     assert got == {("hindi", "क"): (2, 2), ("hindi", "म"): (3, 2), ("hindi", "ल"): (2, 2), ("hindi", "न"): (3, 1), ("hindi", "य"): (1, 1), ("tamil", "ம"): (1, 1), ("tamil", "ர"): (1, 0), ("tamil", "ம்"): (1, 1)}
 
 
@@ -173,7 +173,7 @@ def test_confusions_of_whole_texts(spark, tmp_path):
     d = spark.createDataFrame([(k, "e", lang, str(k), "v", "GENUINE", "x", gt, hyp, 0, None) for k, (lang, gt, hyp) in enumerate(lines)], "row_no long, engine string, language string, image_id string, variant string, bucket string, taxonomy_label string, ground_truth string, predicted string, batch_no int, recorded_at timestamp")
     d.write.parquet(f"{tmp_path}/error_taxonomy.parquet")
     run = lambda name: sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
-    assert run("d24_aligned_edges") == [("म", "न", 3, round(8 / 3, 6), "कनल")]
-    assert run("f1_aligned_confusions") == [("म", "न", 3)]
-    assert run("b14_aligned_tags") == [("both-devanagari", 3), ("empty", 3), ("identical", 6)]
-    assert run("c16_aligned_accuracy") == [("hindi", 3, 0.5)]
+    assert run("d24_confusion_edges") == [("म", "न", 3, round(8 / 3, 6), "कनल")]
+    assert run("f1_top_confusions") == [("म", "न", 3)]
+    assert run("b14_confusion_tag") == [("both-devanagari", 3), ("empty", 3), ("identical", 6)]
+    assert run("c16_exposure_accuracy") == [("hindi", 3, 0.5)]

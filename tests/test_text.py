@@ -76,3 +76,54 @@ def test_rewards(spark):
     assert f(t.coverage) == [1.0, 0.0, 1.0, 1.0, pytest.approx(4 / 13), pytest.approx(2 / 3)]
     r = f(lambda g, h: t.reward(t.emitted_accuracy(g, h), t.coverage(g, h)))
     assert r[0] == 1.0 and r[1] == -1.0
+
+
+# Pairs of writings in Hindi (h) or Bengali (b) that sound the same, and that don't.
+SAME_SOUND = [
+    ("क़िताब", "क\u093cिताब", "h"), ("फ़ोन", "फ\u093cोन", "h"), ("ज़मीन", "ज\u093cमीन", "h"), ("ख़ुशी", "ख\u093cुशी", "h"), ("ग़लत", "ग\u093cलत", "h"), ("बड़ा", "बड\u093cा", "h"), ("पढ़ा", "पढ\u093cा", "h"),
+    ("ড়", "ড\u09bc", "b"), ("ঢ়", "ঢ\u09bc", "b"), ("য়", "য\u09bc", "b"), ("হয়", "হয\u09bc", "b"), ("क्ष", "क्\u200dष", "h"), ("अक्षर", "अक्\u200dषर", "h"), ("प्रज्ञा", "प्रज्\u200dञा", "h"), ("लक्ष्मण", "लक्\u200dष्मण", "h"),
+    ("धर्म", "धर्\u200dम", "h"), ("ক্ষমা", "ক্\u200cষমা", "b"), ("বিদ্যালয়", "বিদ্\u200dযালয়", "b"), ("ॐ", "ओं", "h"), ("ॐ नमः", "ओं नमः", "h"), ("ৎ", "ত্", "b"), ("উৎসব", "উত্সব", "b"), ("भारत", "भा\u200cरत", "h"),
+]
+OTHER_SOUND = [
+    ("राम", "श्याम", "h"), ("कमल", "कमला", "h"), ("कमल", "कमाल", "h"), ("दिन", "दीन", "h"), ("सुर", "सूर", "h"), ("बाल", "बल", "h"), ("नमः", "नमस्", "h"), ("আম", "আমি", "b"), ("ভালো", "ভাল", "b"), ("দিন", "দীন", "b"),
+    ("নদী", "নদি", "b"), ("শ", "স", "b"), ("हिन्दी", "हिंदी", "h"), ("गङ्गा", "गंगा", "h"), ("পণ্ডিত", "পংডিত", "b"),
+]
+
+
+def test_phonetic_equivalence(spark):
+    import duckdb
+
+    from lipika.plans.views import phonetic_sql
+
+    cases = [(a, b, {"h": "hindi", "b": "bengali"}[x]) for a, b, x in SAME_SOUND + OTHER_SOUND] + [("a", "a", "santhali"), ("क", None, "hindi"), ("क", "क", None), ("क्आ", "का", "hindi"), ("क्अ", "क", "hindi"), ("अइ", "ऐ", "hindi"), ("", "", "hindi")]
+    want = [True] * len(SAME_SOUND) + [False] * len(OTHER_SOUND) + [False, False, False, True, True, False, True]
+    assert col(spark, cases, t.tier2, ["a", "b", "c"]) == want
+    db = duckdb.connect()
+    db.execute("create table p (i int, a varchar, b varchar, c varchar)")
+    db.executemany("insert into p values (?, ?, ?, ?)", [(i, *x) for i, x in enumerate(cases)])
+    assert [bool(x[0]) for x in db.execute(f"select {phonetic_sql('a', 'c')} = {phonetic_sql('b', 'c')} from p order by i").fetchall()] == want
+    assert t._iso("कमल प्रज्ञा १२।", "hindi") == "kamala prajñā 12." and t._iso("উৎসব", "bengali") == "utsaba"
+
+
+def test_distances_in_lockstep():
+    r = random.Random(5)
+    some = lambda: ["".join(r.choice("abक")) for _ in range(r.randrange(14))]
+    pairs = [(some(), some()) for _ in range(400)]
+    assert t.distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [levenshtein(a, b) for a, b in pairs]
+
+
+def test_tier1_step_by_step(spark):
+    """The few passes against one replacement after another."""
+
+    def slow(v):
+        v = " ".join(unicodedata.normalize("NFC", v).split())
+        for nasal, (first, last) in t.NASALS.items():
+            for k in range(ord(first), ord(last) + 1):
+                v = v.replace(f"{nasal}\u094d{chr(k)}", f"\u0902{chr(k)}")
+        for a, b in t.SAME_READING.items():
+            v = v.replace(a, b)
+        return regex.sub(r"\s+(\.+)", r"\1", v.translate(str.maketrans(t.SINGLE_FROM, t.SINGLE_TO)))
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("कडजनतथमङञण्््\u093c\u09bcডযত\u09cd\u200d\u200c।॥| .१৪") for _ in range(r.randrange(16))) for _ in range(800)]
+    assert col(spark, texts, t.tier1) == [slow(v) for v in texts]
