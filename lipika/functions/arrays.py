@@ -96,3 +96,18 @@ def kendall(order: Column) -> Column:
     n = F.size(order)
     conc = F.aggregate(F.transform(order, lambda x, i: F.aggregate(F.slice(order, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0), lambda s, y: s + F.when(y > x, 1).otherwise(-1))), F.lit(0), lambda s, x: s + x)
     return F.when(n <= 1, 1.0).otherwise(conc / F.nullif(n * (n - 1) / 2.0, F.lit(0.0)))
+
+
+def projection_bands(profile: Column, width: int, share: float, floor: float = 1e-9) -> Column:
+    """array<struct(lo, hi, mass)>: runs of a profile above ``floor``, at least ``width`` long and with at least ``share`` of all runs' mass."""
+    band = "struct<lo:int,hi:int,mass:double>"
+    start = F.struct(F.array().cast(f"array<{band}>").alias("done"), F.lit(None).cast(band).alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        grown = F.when(s["open"].isNull(), F.struct(x["i"].alias("lo"), (x["i"] + 1).alias("hi"), x["v"].alias("mass"))).otherwise(F.struct(s["open"]["lo"].alias("lo"), (x["i"] + 1).alias("hi"), (s["open"]["mass"] + x["v"]).alias("mass")))
+        inside = x["v"] > floor
+        done = F.when(~inside & s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(inside, grown).alias("open"))
+
+    runs = F.aggregate(F.transform(profile, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), start, step, lambda s: F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+    return let(runs, lambda b: F.filter(b, lambda x: (x["hi"] - x["lo"] >= width) & (x["mass"] >= share * F.aggregate(b, F.lit(0.0), lambda s, y: s + y["mass"]))))

@@ -1,10 +1,14 @@
-"""Distribution functions in plain Python, for the few numbers of a report."""
+"""Distribution functions, in plain Python and as batch functions of columns."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
 _N = NormalDist()
 
 
@@ -45,3 +49,15 @@ def t_two_sided(t: float, df: float) -> float:
     if df <= 0 or math.isnan(t):
         return math.nan
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
+
+
+@F.pandas_udf(DoubleType())
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided p-values of normal z; null for null."""
+    return z.map(lambda x: None if pd.isna(x) else normal_two_sided(float(x)))
+
+
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p-values of Student's t; null for null."""
+    return pd.Series([None if pd.isna(x) or pd.isna(n) else t_two_sided(float(x), float(n)) for x, n in zip(t, df)], dtype="float64")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from lipika.functions.arrays import let
 
@@ -191,6 +192,15 @@ def measured(gt: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n_gt": size(a), "n_hyp": size(b), "dist": dist})
 
 
+@F.pandas_udf(DoubleType())
+def covered(gt: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Share of the truth's clusters, counted with multiplicity, that the reading has; an empty truth is covered, null texts give null."""
+    import regex
+
+    a, b = (_each(lambda t: Counter(regex.findall(r"\X", t)), s) for s in (gt, hyp))
+    return pd.Series([None if x is None or y is None else (x & y).total() / x.total() if x else 1.0 for x, y in zip(a, b)], dtype="float64")
+
+
 def cluster_distance(a: Column, b: Column) -> Column:
     """Edit distance between two arrays of clusters; null where one is."""
     return _distance(a, b)

@@ -81,3 +81,10 @@ def confusion_edges(subs: DataFrame, by: list[str], prob: str, rank: str, exampl
         F.count(F.lit(1)).alias("n"), fix(F.avg(prob)).alias("mean_prob"), fix(mean_rank).alias("mean_rank"), fix(F.avg((F.col(rank) <= top).cast("int"))).alias("top5_share"), F.min_by(example, F.struct(*order)).alias("first_example")
     )
     return out
+
+
+def nested_conditions(rows: DataFrame, by: str, condition: str, names: list[str], value: str) -> DataFrame:
+    """(by, bundle): a struct with n and mean of each named condition, and the mean over all of them."""
+    of = lambda c: F.when(F.col(condition) == c, F.col(value))
+    parts = [F.struct(F.count(of(c)).alias("n"), F.avg(of(c)).alias("mean")).alias(c) for c in names]
+    return rows.groupBy(by).agg(F.struct(*parts, F.avg(value).alias("mean")).alias("bundle"))

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lipika.functions.text import stable_int
 from lipika.operators.ordering import numbered
+from lipika.operators.skew import broadcast_if_small
+from lipika.session import written
+
+#: Units whose ranks may be broadcast.
+UNITS = 1_000_000
 
 
 def hash_sample(df: DataFrame, by: Sequence[str], key: Column, n: int, seed: int = 0) -> DataFrame:
@@ -19,36 +28,55 @@ def hash_sample(df: DataFrame, by: Sequence[str], key: Column, n: int, seed: int
     return numbered(d, by, [F.col("_h"), key], "_rn").where(F.col("_rn") <= n).drop("_h", "_rn")
 
 
+#: Strata are categories; with more of them (a column of free text) the sample is refused.
+MAX_STRATA = 100_000
+
+
+def _level(most: list[int], n: int) -> tuple[int, int]:
+    """(level, rest): the highest level to which all can be filled, each up to its ``most``, with ``n`` in all, and what is then left over."""
+    filled, waiting, before = 0, len(most), 0
+    for m in sorted(most):
+        step = min(m - before, (n - filled) // waiting)
+        filled, before, waiting = filled + step * waiting, before + step, waiting - 1
+        if before < m:
+            break
+    return before, n - filled
+
+
 def seats(sizes: dict[str, int], n: int, hamilton: bool = False) -> dict[str, int]:
     """Seats of ``n`` for strata: the rounded-down share, at least one, at most the stratum.
 
-    Left-over seats go to the stratum of largest remainder until it is full,
-    then to the next; with ``hamilton`` one to each in turn. A surplus is taken
-    from the largest allocations.
+    What the least seats take too many is cut off from the top: all are capped
+    at one level, and what that level leaves goes to the smallest shares above
+    it. What is left over goes to the strata in order of their remainders,
+    each filled up in turn; with ``hamilton`` to all at one level.
     """
     total = sum(sizes.values())
     if total <= n:
         return dict(sizes)
     exact = {k: n * sizes[k] / total for k in sorted(sizes)}
-    out = {k: min(sizes[k], max(1, int(exact[k]))) for k in exact}
-    while sum(out.values()) > n and max(out.values()) > 1:
-        out[max(out, key=lambda x: (out[x], exact[x]))] -= 1
+    out = {k: min(sizes[k], max(1, int(x))) for k, x in exact.items()}
+    spare = n - sum(out.values())
+    if spare < 0:
+        level, rest = _level(list(out.values()), n)
+        above = sorted((k for k in reversed(out) if out[k] > level), key=lambda k: exact[k])
+        return {k: max(1, min(v, level) + (k in above[:rest])) for k, v in out.items()}
     order = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], -exact[k]))
-    left = max(0, n - sum(out.values()))
-    while left and any(out[k] < sizes[k] for k in order):
-        for k in order:
-            give = min(left, sizes[k] - out[k], 1 if hamilton else left)
-            out[k] += give
-            left -= give
-            if not left:
-                break
-    return out
+    room = {k: sizes[k] - out[k] for k in order}
+    if hamilton:
+        level, rest = _level(list(room.values()), spare)
+        first = [k for k in order if room[k] > level][:rest]
+        return {k: v + min(room[k], level) + (k in first) for k, v in out.items()}
+    ends = dict(zip(order, accumulate(room.values())))
+    return {k: v + max(0, min(room[k], spare - ends[k] + room[k])) for k, v in out.items()}
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: Column, n: int, seed: int = 0, hamilton: bool = False) -> DataFrame:
     """``n`` rows over the strata of a column: seats on the driver (one number a stratum), draws by hash order."""
     d = df.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("\u0000")))
-    sizes = {r["_s"]: r["n"] for r in d.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["_s"]: r["n"] for r in d.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()}
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
     quota = df.sparkSession.createDataFrame(list(seats(sizes, n, hamilton).items()), "_s string, _q long")
     d = d.join(F.broadcast(quota), "_s").withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))))
     return numbered(d, ["_s"], [F.col("_h"), key], "_rn").where(F.col("_rn") <= F.col("_q")).drop("_s", "_q", "_h", "_rn")
@@ -63,29 +91,88 @@ def largest_remainder(pmf: DataFrame, item: str, mass: str, n: int) -> DataFrame
     return r.select(item, (F.col("_f") + (F.col("_rn") <= F.col("_left")).cast("long")).alias("quota"))
 
 
-def bootstrap_means(units: DataFrame, by: Sequence[str], key: Column, value: str, draws: int, seed: str = "b") -> DataFrame:
-    """(by, draw, mean): means of resamples with replacement within each group.
+#: A prime below which hashes of units and the numbers of draws lie, so that products fit 64 bits.
+PRIME = (1 << 31) - 1
+#: A unit takes part as often as thresholds are reached: Poisson with mean 1.
+POISSON = np.array([int(PRIME * c) for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])], np.int64)
+#: Numbers of one block of draws by units.
+CELLS = 2_000_000
+
+
+def unit_hash(key: Column) -> Column:
+    """28 bits of a unit's digest."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long")
 
-    ``units`` are the resampled units (images, pages), not records: each slot
-    of each resample picks a unit by number, an equi-join.
+
+def draw_numbers(seed: str, draws: int) -> np.ndarray:
+    """Three numbers a draw, from the digest of seed and draw."""
+    digests = [hashlib.md5(f"{seed}|{d}".encode()).hexdigest() for d in range(draws)]
+    return np.array([[int(x[k : k + 7], 16) for k in (0, 7, 14)] for x in digests], np.int64).reshape(-1, 3)
+
+
+def multiplicities(h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """How often each unit (by its hash) takes part in each draw: draws x units."""
+    x = (numbers[:, :1] * h + numbers[:, 1:2]) % PRIME
+    return np.searchsorted(POISSON, x * ((x + numbers[:, 2:]) % PRIME) % PRIME, side="right")
+
+
+def weighted_draws(units: DataFrame, by: Sequence[str], key: Column, values: Sequence[str], draws: int, seed: str = "b") -> DataFrame:
+    """(by, draw, w, one column a value): sums over the units of each resample, each unit as often as it was drawn.
+
+    Bootstrap for any number of units: every unit takes part in every draw a
+    Poisson number of times, found from its own hash, so no unit meets another
+    and nothing is joined. A task adds up ``draws`` sums a group, and those of
+    all tasks add up. Units with a null value are left out; a null group is one.
     """
-    u = numbered(units.where(F.col(value).isNotNull()), by, [key], "_rn", "_n")
-    slots = u.select(*by, "_n", "_rn", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    name = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], "draw", "_rn")
-    picked = slots.withColumn("_rn", F.pmod(stable_int(name), F.col("_n")) + 1)
-    return picked.select(*by, "draw", "_rn").join(u.select(*by, "_rn", value), [*by, "_rn"]).groupBy(*by, "draw").agg(F.avg(value).alias("mean"))
+    by, values = list(by), list(values)
+    numbers = draw_numbers(seed, draws)
+    d = units.dropna(subset=values).select(*by, unit_hash(key).alias("_h"), *[F.col(v).cast("double").alias(v) for v in values])
+    schema = StructType([*[d.schema[c] for c in by], StructField("draw", LongType()), *[StructField(c, DoubleType()) for c in ("w", *values)]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[: len(by)]]
+            groups: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*cols) if by else [()] * batch.num_rows):
+                groups.setdefault(k, []).append(i)
+            h = batch.column(len(by)).to_numpy()
+            v = np.stack([np.ones(batch.num_rows), *(c.to_numpy() for c in batch.columns[len(by) + 1 :])], 1)
+            for k, rows in groups.items():
+                out = sums.setdefault(k, np.zeros((draws, 1 + len(values))))
+                step = max(1, CELLS // draws)
+                for s in range(0, len(rows), step):
+                    at = rows[s : s + step]
+                    out += multiplicities(h[at], numbers).astype(float) @ v[at]
+        for k, out in sums.items():
+            keys = [pa.array([x] * draws, batch.schema.field(i).type) for i, x in enumerate(k)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(draws)), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], [f.name for f in schema])
+
+    found = d.mapInArrow(add, schema)
+    return found.groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in ("w", *values)])
 
 
-def resampled_units(panel: DataFrame, unit: str, draws: int, seed: str = "u") -> DataFrame:
-    """``panel`` rows of resampled units: (draw, slot, ...); a unit drawn twice appears under two slots.
+def bootstrap_means(units: DataFrame, by: Sequence[str], key: Column, value: str, draws: int, seed: str = "b") -> DataFrame:
+    """(by, draw, mean): means of resamples within each group, of units (images, pages) of any number."""
+    d = weighted_draws(units, by, key, [value], draws, seed)
+    return d.select(*by, "draw", F.try_divide(value, "w").alias("mean"))
 
-    The units are numbered once; each slot of each resample picks one by an
-    equi-join, and brings all its rows along.
+
+def two_sample_bootstrap(units: DataFrame, by: Sequence[str], key: Column, value: str, first: str, draws: int, delta: float, seed: str = "two") -> DataFrame:
+    """(by, n_a, n_b, diff, lo95, hi95, lo90, hi90, p_lower, p_upper): difference of two means, the units of both sides resampled apart.
+
+    ``p_lower`` and ``p_upper`` are the shares of resampled differences at most
+    ``-delta`` and at least ``delta``.
     """
-    u = numbered(panel.select(unit).distinct(), [], [F.col(unit)], "_rn", "_n")
-    slots = u.select("_n", F.col("_rn").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picked = slots.withColumn("_rn", F.pmod(stable_int(F.concat_ws("|", F.lit(seed), "draw", "slot")), F.col("_n")) + 1).drop("_n")
-    return picked.join(u.select("_rn", unit), "_rn").join(panel, unit).drop("_rn", unit)
+    by = list(by)
+    side = lambda yes, name: bootstrap_means(units.where(F.col(first) == yes), by, key, value, draws, f"{seed}-{name}").withColumnRenamed("mean", name)
+    d = side(True, "a").join(side(False, "b"), [*by, "draw"]).withColumn("mean", F.col("a") - F.col("b"))
+    q = [F.percentile("mean", p).alias(n) for n, p in (("lo95", 0.025), ("hi95", 0.975), ("lo90", 0.05), ("hi90", 0.95))]
+    share = lambda c: F.avg(c.cast("int"))
+    boot = d.groupBy(*by).agg(*q, share(F.col("mean") <= -delta).alias("p_lower"), share(F.col("mean") >= delta).alias("p_upper"))
+    a, b = F.when(F.col(first), F.col(value)), F.when(~F.col(first), F.col(value))
+    point = units.groupBy(*by).agg(F.count(a).alias("n_a"), F.count(b).alias("n_b"), (F.avg(a) - F.avg(b)).alias("diff"))
+    return point.join(boot, by) if by else point.crossJoin(F.broadcast(boot))
 
 
 def interval(means: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -94,21 +181,6 @@ def interval(means: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFr
     return means.groupBy(*by).agg(F.percentile("mean", a).alias("lo"), F.percentile("mean", 1 - a).alias("hi"))
 
 
-def poisson_bootstrap(df: DataFrame, by: Sequence[str], key: Column, value: str, draws: int, seed: str = "p") -> DataFrame:
-    """(by, draw, mean): bootstrap for any number of rows, in one pass and without a join.
-
-    Each row takes part in each resample a Poisson(1) number of times, found
-    from a hash of its key; sums combine map-side to ``draws`` rows a group.
-    """
-    u = F.pmod(F.xxhash64(F.lit(seed), key, "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])
-    w = F.lit(0)
-    for c in cdf:
-        w = w + (u >= float(c)).cast("int")
-    d = df.where(F.col(value).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", w)
-    return d.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w").cast("double")).alias("mean"))
-
-
 _WALK = "script string, line int, text string"
 
 
@@ -142,26 +214,53 @@ def corpus_walk(bigrams: DataFrame, quotas: DataFrame, length: int = 20) -> Data
 
 
 def imputed_rate(rows: DataFrame, by: Sequence[str], sure: str, unknown: str, hit: str) -> DataFrame:
-    """(by, n, rate): share of sure hits and of unknown rows taken to hit as often as the adjudicated ones; null without any."""
+    """(by, n, rate, sd, lo, hi): share of sure hits and of unknown rows taken to hit as often as the adjudicated ones, with its 95 % interval.
+
+    Resampling the rows and imputing each unknown one anew makes a resample's
+    hits binomial with the rate itself, so the interval is that of the binomial
+    distribution, exact and without draws. All is null where no row is adjudicated.
+    """
     n1, nu = F.count_if(F.col(sure)), F.count_if(F.col(unknown))
     p = F.try_divide(F.count_if(F.col(hit)), F.count(F.col(hit)))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ((n1 + nu * p) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("rate"))
+    d = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ((n1 + nu * p) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("rate"))
+    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
+    return d.select(*by, "n", "rate", sd.alias("sd"), (_binomial(F.col("n"), F.col("rate"), F.lit(0.025)) / F.col("n")).alias("lo"), (_binomial(F.col("n"), F.col("rate"), F.lit(0.975)) / F.col("n")).alias("hi"))
+
+
+@F.pandas_udf(LongType())
+def _binomial(n: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(b) else binomial_quantile(int(a), float(b), float(c)) for a, b, c in zip(n, p, q)], dtype="Int64")
+
 
+def binomial_quantile(n: int, p: float, q: float) -> int:
+    """The least count of hits with at least ``q`` of the binomial distribution up to it; sums reach 12 deviations around the mean."""
+    if p <= 0 or p >= 1:
+        return n if p >= 1 else 0
+    sd = math.sqrt(n * p * (1 - p))
+    lo, hi = max(0, math.floor(n * p - 12 * sd - 12)), min(n, math.ceil(n * p + 12 * sd + 12))
+    k = np.arange(lo, hi + 1)
+    steps = np.log((n - k[:-1]) / (k[:-1] + 1.0)) + math.log(p) - math.log1p(-p)
+    start = math.lgamma(n + 1) - math.lgamma(lo + 1) - math.lgamma(n - lo + 1) + lo * math.log(p) + (n - lo) * math.log1p(-p)
+    return int(k[min(np.searchsorted(np.cumsum(np.exp(start + np.r_[0, np.cumsum(steps)])), q - 1e-12), len(k) - 1)])
 
-def permuted_spearman(units: DataFrame, key: Column, x: str, y: str, draws: int, seed: str = "perm") -> DataFrame:
-    """(rho, p): rank correlation of units, and the share of shuffles that reach it, counting the data once.
 
-    Units are few (images of a probe); shuffles permute the ranks of y by hash order.
+def permuted_spearman(units: DataFrame, by: Sequence[str], key: Column, x: str, y: str, draws: int, seed: str = "perm") -> DataFrame:
+    """(by, n, rho, p): rank correlation of units, and the share of shuffles that reach it, counting the data once.
+
+    Each shuffle permutes the ranks of y by hash order; a shuffle of one group
+    is a task of its own. Null without at least three units or where a side is constant.
     """
     from lipika.operators.stats import _with_rank
 
-    d = _with_rank(_with_rank(units.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [], x, "_rx").drop("n_all"), [], y, "_ry").drop("n_all")
-    d = numbered(d, [], [key], "_i").select("_i", "_rx", "_ry")
+    by = list(by)
+    d = _with_rank(_with_rank(units.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "_rx").drop("n_all"), by, y, "_ry").drop("n_all")
+    d = written(numbered(d, by, [key], "_i").select(*by, F.col("_i").cast("long"), "_rx", "_ry"), "ranked")
     rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
-    base = d.agg(rho.alias("rho"))
+    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
     shuffled = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "draw", "_i")))
-    order = numbered(shuffled.select("draw", "_h", "_i", "_rx"), ["draw"], [F.col("_h"), F.col("_i")], "_k")
-    stats = order.select("draw", F.col("_k").alias("_i"), "_rx").join(d.select("_i", "_ry"), "_i").groupBy("draw").agg(rho.alias("r"))
-    return stats.crossJoin(F.broadcast(base)).groupBy("rho").agg(((F.count_if(F.abs("r") >= F.abs("rho") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
-
-
+    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy("_h", "_i"))
+    order = shuffled.select(*by, "draw", "_rx", place.cast("long").alias("_i"))
+    stats = order.join(broadcast_if_small(d.select(*by, "_i", "_ry"), UNITS), [*by, "_i"]).groupBy(*by, "draw").agg(rho.alias("r"))
+    joined = stats.join(F.broadcast(base), by) if by else stats.crossJoin(F.broadcast(base))
+    p = (F.count_if(F.abs("r") >= F.abs("rho") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)
+    return joined.groupBy(*by, "n", "rho").agg(F.when((F.col("n") >= 3) & F.first("rho").isNotNull(), p).alias("p"))

@@ -7,22 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.operators.ordering import midranks
+from lipika.operators.ordering import midranks, running
+from lipika.operators.sampling import weighted_draws
+from lipika.operators.skew import broadcast_if_small, lookup_join
+from lipika.session import written
+
+#: Repetitions of a panel, and groups whose sizes may be broadcast.
+MAX_REPS, GROUPS = 256, 1_000_000
 
 
 def _with_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with the average rank of ``value`` in its group, and the group's size as ``n_all``."""
     r = midranks(df, by, value, name).select(*by, value, name, "n_all")
-    return df.join(r, [*by, value])
+    return lookup_join(df, r, [*by, value], "inner")
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """(by, n, rho): Pearson correlation of average ranks over rows with both values; null if one is constant."""
+    """(by, n, rho): Pearson correlation of average ranks over rows with both values; null if one is constant.
+
+    Equal pairs are counted before ranks are looked up, so ties never meet in one task.
+    """
+    by = list(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = _with_rank(d, by, x, "_rx").drop("n_all")
-    d = _with_rank(d, by, y, "_ry").drop("n_all")
-    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+    pairs = written(d.groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_k")), "pairs")
+    rank = lambda c, name: midranks(d, by, c, name).select(*by, F.col(c).alias(name[:2]), name)
+    r = pairs.join(rank(x, "_x_rank"), [*by, "_x"]).join(rank(y, "_y_rank"), [*by, "_y"])
+    r = r.join(pairs.groupBy(*by).agg(F.sum("_k").alias("n")), by) if by else r.crossJoin(F.broadcast(pairs.agg(F.sum("_k").alias("n"))))
+    dx, dy = (F.col(c) - (F.col("n") + 1) / 2 for c in ("_x_rank", "_y_rank"))  # ranks' mean is known, so a constant side gives exactly 0
+    rho = F.try_divide(F.sum(F.col("_k") * dx * dy), F.sqrt(F.sum(F.col("_k") * dx * dx)) * F.sqrt(F.sum(F.col("_k") * dy * dy)))
+    return r.groupBy(*by, "n").agg(rho.alias("rho"))
 
 
 def auroc(df: DataFrame, by: Sequence[str], score: str, positive: str) -> DataFrame:
@@ -52,11 +65,59 @@ def variance_shares(panel: DataFrame, unit: str, rep: str, value: str, by: Seque
     sse = F.col("ss") - F.col("n") * mm - ssu - ssr
     mse = F.try_divide(sse, ((F.col("u") - 1) * (F.col("r") - 1)).cast("double"))
     d = d.select(*by, F.try_divide(ssu, (F.col("u") - 1).cast("double")).alias("msu"), F.try_divide(ssr, (F.col("r") - 1).cast("double")).alias("msr"), mse.alias("mse"), "u", "r")
+    return _shares(d, by)
+
+
+def resampled_shares(panel: DataFrame, unit: str, rep: str, value: str, draws: int, seed: str = "u") -> DataFrame:
+    """(draw, unit_share, rep_share, residual_share): variance shares of resamples of the units, each with all its repetitions.
+
+    All that the shares need are sums over units, so each unit only enters as
+    often as it was drawn. A panel has few repetitions (at most :data:`MAX_REPS`).
+    """
+    reps = [r[0] for r in panel.select(rep).distinct().orderBy(rep).limit(MAX_REPS + 1).collect()]
+    if len(reps) > MAX_REPS:
+        raise ValueError(f"more than {MAX_REPS} repetitions")
+    cells = [F.max(F.when(F.col(rep) == r, F.col(value))).alias(f"_v{i}") for i, r in enumerate(reps)]
+    u = panel.groupBy(unit).agg(F.avg(value).alias("_a"), F.sum(F.col(value) * F.col(value)).alias("_q"), *cells).withColumn("_aa", F.col("_a") * F.col("_a"))
+    d = weighted_draws(u, [], F.col(unit), ["_a", "_aa", "_q", *[f"_v{i}" for i in range(len(reps))]], draws, seed)
+    n, r, m = F.col("w"), float(len(reps)), F.try_divide("_a", "w")
+    ssu = r * (F.col("_aa") - n * m * m)
+    ssr = n * (sum((F.pow(F.try_divide(f"_v{i}", "w"), 2) for i in range(len(reps))), F.lit(0.0)) - r * m * m)
+    sse = F.col("_q") - n * r * m * m - ssu - ssr
+    d = d.select("draw", F.try_divide(ssu, n - 1).alias("msu"), F.try_divide(ssr, F.lit(r - 1)).alias("msr"), F.try_divide(sse, (n - 1) * (r - 1)).alias("mse"), n.alias("u"), F.lit(r).alias("r"))
+    return _shares(d, ["draw"])
+
+
+def _shares(d: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Percent shares from mean squares (msu, msr, mse) of ``u`` units and ``r`` repetitions."""
     vu = F.greatest(F.lit(0.0), F.try_divide(F.col("msu") - F.col("mse"), F.col("r").cast("double")))
     vr = F.greatest(F.lit(0.0), F.try_divide(F.col("msr") - F.col("mse"), F.col("u").cast("double")))
     ve = F.greatest(F.lit(0.0), F.col("mse"))
-    total = vu + vr + ve
-    return d.select(*by, *[F.try_divide(100.0 * x, total).alias(n) for x, n in ((vu, "unit_share"), (vr, "rep_share"), (ve, "residual_share"))])
+    return d.select(*by, *[F.try_divide(100.0 * x, vu + vr + ve).alias(n) for x, n in ((vu, "unit_share"), (vr, "rep_share"), (ve, "residual_share"))])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(by, q0, q1, ..): quantiles of a column, linear between order statistics, from counts of its distinct values.
+
+    Equal values combine map-side and the counts are ordered globally, so no
+    group has to fit a task. Nulls are left out.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    upto = running(counts, [*[F.col(c).asc_nulls_first() for c in by], F.col("_v")], {"_upto": F.col("_k")})
+    sizes = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    starts = running(sizes, [F.col(c).asc_nulls_first() for c in by], {"_end": F.col("_n")}) if by else sizes.withColumn("_end", F.col("_n"))
+    starts = starts.select(*[F.col(c).alias(f"_b_{c}") for c in by], "_n", (F.col("_end") - F.col("_n")).alias("_start"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    d = upto.join(broadcast_if_small(starts, GROUPS), same) if by else upto.crossJoin(F.broadcast(starts))
+    at = lambda k: F.min(F.when(F.col("_upto") - F.col("_start") > k, F.col("_v")))
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * float(p)
+        out += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_f{i}")]
+    return d.groupBy(*by).agg(*out).select(*by, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}") for i in range(len(probs))])
 
 
 def signed_ranks(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
@@ -64,7 +125,7 @@ def signed_ranks(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     nz = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_a", F.abs(diff))
     ranks = midranks(nz, by, "_a", "_r")
     ties = ranks.groupBy(*by).agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("_ties"))
-    d = nz.join(ranks.select(*by, "_a", "_r"), [*by, "_a"])
+    d = lookup_join(nz, ranks.select(*by, "_a", "_r"), [*by, "_a"], "inner")
     plus, minus = F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0))
     w = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
     n = F.col("n").cast("double")
@@ -83,11 +144,13 @@ def cluster_t(df: DataFrame, by: Sequence[str], cluster: str, diff: str) -> Data
 
 
 def least_squares(df: DataFrame, by: Sequence[str], y: Column, x: Column) -> DataFrame:
-    """(by, n, slope, intercept, r2); null where x is constant."""
+    """(by, n, slope, intercept, r, r2, t): the line, its correlation and the slope's t with n - 2 degrees of freedom; null where x is constant."""
     d = df.select(*by, y.cast("double").alias("_y"), x.cast("double").alias("_x")).dropna(subset=["_y", "_x"])
     slope = F.try_divide(F.covar_pop("_x", "_y"), F.var_pop("_x"))
     r = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), slope.alias("slope"), (F.avg("_y") - slope * F.avg("_x")).alias("intercept"), (r * r).alias("r2"))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), slope.alias("slope"), (F.avg("_y") - slope * F.avg("_x")).alias("intercept"), r.alias("r")).withColumns(
+        {"r2": F.col("r") * F.col("r"), "t": F.try_divide(F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))), F.sqrt(1 - F.col("r") * F.col("r")))}
+    )
 
 
 def rank_sum(df: DataFrame, by: Sequence[str], value: str, first: str) -> DataFrame:
@@ -103,17 +166,38 @@ def rank_sum(df: DataFrame, by: Sequence[str], value: str, first: str) -> DataFr
     return g.select(*by, "n_a", "n_b", "u", F.try_divide(F.col("u") - ab / 2.0, sigma).alias("z"))
 
 
-def fixed_effects(cells: DataFrame, effect: str, y: str, x: str, weight: str, least: int = 2) -> DataFrame:
-    """(rows, groups, beta): weighted slope of y on x within levels of ``effect`` that have ``least`` rows.
+def fixed_effects(cells: DataFrame, effect: str, y: str, x: str, weight: str, least: int = 2, rows: int = 20) -> DataFrame:
+    """(rows, groups, beta, r2): weighted slope of y on x within levels of ``effect`` that have ``least`` rows.
 
     Weighted demeaning within levels gives the slope of the regression with a
-    dummy for each level, without building one.
+    dummy for each level, without building one. ``r2`` is that of the plain
+    residuals; both are null with fewer than ``rows`` rows.
     """
     w = F.col(weight)
     m = cells.groupBy(effect).agg((F.sum(w * F.col(x)) / F.sum(w)).alias("_mx"), (F.sum(w * F.col(y)) / F.sum(w)).alias("_my"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least)
     d = cells.join(m, effect)
     dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(effect).alias("groups"), F.try_divide(F.sum(w * dx * dy), F.sum(w * dx * dx)).alias("beta"))
+    a = d.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(effect).alias("groups"), F.try_divide(F.sum(w * dx * dy), F.sum(w * dx * dx)).alias("b"),
+        F.sum(dy * dy).alias("yy"), F.sum(dx * dy).alias("xy"), F.sum(dx * dx).alias("xx"), (F.var_pop(y) * F.count(y)).alias("all"),
+    )
+    b = F.col("b")
+    enough = lambda c: F.when(F.col("rows") >= rows, c)
+    return a.select("rows", "groups", enough(b).alias("beta"), enough(1 - F.try_divide(F.col("yy") - 2 * b * F.col("xy") + b * b * F.col("xx"), F.col("all"))).alias("r2"))
+
+
+def contrasts(df: DataFrame, group: str, value: str, critical: float) -> DataFrame:
+    """(a, b, diff, se, z, significant): all pairs of a few groups' means, from one row a group; ``critical`` is the bound of |z|.
+
+    At most :data:`MAX_REPS` groups.
+    """
+    g = written(df.groupBy(F.col(group).alias("g")).agg(F.avg(value).alias("m"), F.try_divide(F.var_samp(value), F.count(value)).alias("v")), "groups")
+    if g.count() > MAX_REPS:
+        raise ValueError(f"more than {MAX_REPS} groups")
+    a, b = (g.select(F.col("g").alias(x), F.col("m").alias(f"m_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
+    d = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (F.col("m_a") - F.col("m_b")).alias("diff"), F.sqrt(F.col("v_a") + F.col("v_b")).alias("se"))
+    z = F.try_divide("diff", "se")
+    return d.select("a", "b", "diff", "se", z.alias("z"), (F.abs(z) > critical).alias("significant"))
 
 
 def difference_z(df: DataFrame, by: Sequence[str], value: str, first: str) -> DataFrame:

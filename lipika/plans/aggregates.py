@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lipika.functions import arrays, text
 from lipika.operators import aggregates as agg
+from lipika.operators import stats
 from lipika.operators.alignment import read_as, substitutions
 from lipika.operators.classify import position_bucket
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, READS, STEPS, calls, clusters_sql, glyphs_sql, last_readings, readings, reads_sql, steps, tier1_sql
+from lipika.plans.views import CALLS, CHARSET, LATEST, READINGS, READS, STEPS, calls, clusters_sql, glyphs_sql, last_readings, readings, reads_sql, steps, tier1_sql
 from lipika.session import load, written
 
 _BUCKET_SQL = "case when {i} = 0 then '0' when {i} = 1 then '1' when {i} between 2 and 9 then '2-9' when {i} between 10 and 19 then '10-19' when {i} between 20 and 39 then '20-39' when {i} >= 40 then '40+' end"
@@ -185,7 +186,9 @@ def d21_geometric_mean(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select event_type, round(median(value), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(avg(value), 6) as mean from events group by event_type")
 def d22_quantiles(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.avg("value"), 6).alias("mean"))
+    e = load(spark, root, "events")
+    q = stats.quantiles(e, ["event_type"], "value", [0.5, 0.9]).select("event_type", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p90"))
+    return q.join(e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "event_type")
 
 
 @query(f"with {STEPS} select label, round(exp(avg(ln(p[1]))), 9) as geo, round(avg(p[1]), 9) as mean, round(avg(case when p[1] > 1.0 / 32 then 1.0 else 0.0 end), 6) as above_chance, round(min(p[1]), 9) as lo, round(max(p[1]), 9) as hi from steps group by label")
@@ -291,12 +294,11 @@ def d31_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("e.ctx", "e.tok").agg(_n())
 
 
-@query(f"""with {READINGS}, f as (select language, len(regexp_extract_all(hyp, '[\\x{{0900}}-\\x{{097f}}]')) as t, length(hyp) as n from readings), g as (select language, case when n > 0 then t / n end as fr from f)
+@query(f"""with {READINGS}, {CHARSET.format(c='hyp', by='language')}, g as (select language, trained / n as fr from charset where n > 0 union all select language, null from charset where n = 0)
   select language, count(fr) as n, round(avg(fr), 6) as mean, round(stddev_pop(fr), 6) as sd, count(*) filter (where fr = 0) as zero from g group by language""")
 def d32_charset_summary(spark: SparkSession, root: str) -> DataFrame:
-    """Share of Devanagari characters in readings; blank ones have none (population sd)."""
-    t = F.size(F.regexp_extract_all("hyp", F.lit(r"[ऀ-ॿ]"), F.lit(0)))
-    fr = readings(spark, root).select("language", F.when(F.col("hyp") != "", t / F.nullif(F.char_length("hyp"), F.lit(0))).alias("fr"))
+    """Share of Devanagari clusters in readings; blank ones have none (population sd)."""
+    fr = readings(spark, root).select("language", text.charset(F.col("hyp"), r"[\u0900-\u097f]", r"[\u0980-\u09ff]")["trained_script_fraction"].alias("fr"))
     return fr.groupBy("language").agg(F.count("fr").alias("n"), F.round(F.avg("fr"), 6).alias("mean"), F.round(F.stddev_pop("fr"), 6).alias("sd"), F.count_if(F.col("fr") == 0).alias("zero"))
 
 
@@ -316,10 +318,13 @@ def d35_layout_inventory(spark: SparkSession, root: str) -> DataFrame:
     return r.groupBy("source").agg(F.count(F.lit(1)).alias("regions"), F.count_distinct("source_id").alias("sources"), F.count_if((F.col("width") >= 0.2) & (F.col("height") >= 0.15)).alias("large"), F.round(F.avg(F.col("width") * F.col("height")), 6).alias("mean_area"))
 
 
-@query(f"with {READINGS} select engine, count(*) filter (where hyp = '') as empties, round(avg(least(length(hyp), length(gt)) / greatest(length(gt), 1)), 6) as coverage, count(*) filter (where length(hyp) < 0.5 * length(gt)) as short from readings group by engine")
+@query(f"""with {READINGS}, l as materialized (select engine, hyp, {clusters_sql('gt')} as a, {clusters_sql('hyp')} as b from readings),
+  c as (select engine, hyp, case when len(a) = 0 then 1.0 else list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) / len(a) end as cov from l)
+  select engine, count(*) filter (where hyp = '') as empties, round(avg(cov), 6) as coverage, count(*) filter (where cov < 0.5) as short from c group by engine""")
 def d37_reward_summary(spark: SparkSession, root: str) -> DataFrame:
-    g, h = F.char_length("gt"), F.char_length("hyp")
-    return readings(spark, root).groupBy("engine").agg(F.count_if(F.col("hyp") == "").alias("empties"), F.round(F.avg(F.least(h, g) / F.greatest(g, F.lit(1))), 6).alias("coverage"), F.count_if(h < 0.5 * g).alias("short"))
+    """Empty readings, and how much of the truth's clusters, counted with multiplicity, the readings have."""
+    d = readings(spark, root).select("engine", "hyp", text.covered(F.col("gt"), F.col("hyp")).alias("cov"))
+    return d.groupBy("engine").agg(F.count_if(F.col("hyp") == "").alias("empties"), F.round(F.avg("cov"), 6).alias("coverage"), F.count_if(F.col("cov") < 0.5).alias("short"))
 
 
 @query("with r as (select coalesce(category, 'unknown') as category, i - 1 as layer, regions[i].height as v from (select category, regions, unnest(range(1, len(regions) + 1)) as i from layout_bank)) select category, layer, count(*) as n, round(avg(v), 6) as mean from r group by all")
@@ -356,16 +361,38 @@ def d42_gap_sign_stability(spark: SparkSession, root: str) -> DataFrame:
     return g.groupBy("language").agg(_n(), (F.bool_or(F.col("gap") > 0) & F.bool_or(F.col("gap") < 0)).alias("flips"), F.coalesce(F.stddev_samp("gap") > F.abs(F.avg("gap")), F.lit(False)).alias("noisy"))
 
 
+_BUNDLE = f"""{READINGS}, {CALLS}, l as (select language as script, 'synthetic' as domain, variant as condition, (bucket <> 'GENUINE')::int as ok from readings where variant in ('plain', 'degraded') and language is not null
+  union all select script, 'real', condition, coalesce(sarvam_text = ground_truth, false)::int from calls where condition in ('real', 'blank') and script is not null), g as (select script, domain, condition, count(*) as n, avg(ok) as acc from l group by all),
+  m as (select script, avg(ok) filter (where domain = 'synthetic') as synthetic, avg(ok) filter (where domain = 'real') as real from l group by script)"""
+
+
+@query(f"with {_BUNDLE} select script, domain, condition, n, round(acc, 6) as accuracy, round(synthetic - real, 6) as gap from g join m using (script)")
+def d43_domain_bundle(spark: SparkSession, root: str) -> DataFrame:
+    """Conditions of two domains, nested by script and unpivoted again, with the gap of the domains' means; a domain may be absent."""
+    r = readings(spark, root).where(F.col("variant").isin("plain", "degraded")).select(F.col("language").alias("script"), F.col("variant").alias("condition"), (F.col("bucket") != "GENUINE").cast("int").alias("ok"))
+    c = calls(spark, root).where(F.col("condition").isin("real", "blank")).select("script", "condition", F.coalesce(F.col("sarvam_text") == F.col("ground_truth"), F.lit(False)).cast("int").alias("ok"))
+    s, k = agg.nested_conditions(r, "script", "condition", ["plain", "degraded"], "ok"), agg.nested_conditions(c, "script", "condition", ["real", "blank"], "ok")
+    both = s.withColumnRenamed("bundle", "synthetic").join(k.withColumnRenamed("bundle", "real"), "script", "full").where("script is not null")
+    gap = F.round(F.col("synthetic.mean") - F.col("real.mean"), 6)
+    parts = [F.struct(F.lit(d).alias("domain"), F.lit(x).alias("condition"), F.col(f"{d}.{x}.n").alias("n"), F.round(F.col(f"{d}.{x}.mean"), 6).alias("accuracy")) for d, xs in (("synthetic", ("plain", "degraded")), ("real", ("real", "blank"))) for x in xs]
+    return both.select("script", gap.alias("gap"), F.inline(F.array(*parts))).where("n > 0")
+
+
 @query("select script, field, count(v) as n, round(avg(v), 6) as mean from (select lower(trim(script, E' \\t')) as script, unnest(['processed', 'succeeded', 'failed']) as field, unnest([usage.pages_processed, usage.pages_succeeded, usage.pages_failed]) as v from sarvam_transfer_probe) group by all")
-def d43_unpivot_nested(spark: SparkSession, root: str) -> DataFrame:
-    """Nested fields as rows, then aggregated."""
+def l6_unpivot_nested(spark: SparkSession, root: str) -> DataFrame:
+    """Nested fields as rows, then aggregated."""
     from lipika.functions.labels import label
 
     d = load(spark, root, "sarvam_transfer_probe").select(label("script").alias("script"), F.expr("stack(3, 'processed', usage.pages_processed, 'succeeded', usage.pages_succeeded, 'failed', usage.pages_failed) as (field, v)"))
     return d.groupBy("script", "field").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query()
+_HALF = "-(m * ln(m) + (1 - m) * ln(1 - m))"
+
+
+@query(f"""with recursive {STEPS}, e as (select vec_id, label, list_sum(list_transform(p, lambda x: greatest(x, 1e-12))) as s, p from steps), h as (select vec_id, label, -list_sum(list_transform(p, lambda x: greatest(x, 1e-12) / s * ln(greatest(x, 1e-12) / s))) / 8 as h from e),
+  b(vec_id, label, h, lo, hi, k) as (select vec_id, label, h, 0.5::double, 1 - 1e-12::double, 0 from h union all select vec_id, label, h, case when {_HALF} > h then m else lo end, case when {_HALF} > h then hi else m end, k + 1 from (select *, (lo + hi) / 2 as m from b where k < 60))
+  select label, round(avg((lo + hi) / 2), 6) as implied from b where k = 60 group by label""")
 def d44_implied_top(spark: SparkSession, root: str) -> DataFrame:
     """The larger mass that a two-way choice of each step's entropy would have."""
     h = arrays.entropy(F.col("p")) / 8

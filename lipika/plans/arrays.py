@@ -62,13 +62,18 @@ def i10_box_clamp(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "layout_bank").select("layout_id", F.inline("regions")).select("layout_id", "name", clamp(F.col("x")).alias("x0"), clamp(F.col("x") + F.col("width")).alias("x1"))
 
 
-@query()
+_PROFILE = """bins as (select layout_id, r, unnest(range(0, 50)) as i from (select layout_id, unnest(regions) as r from layout_bank)),
+  profile as (select layout_id, i, sum(greatest(0.0, least(r.y + r.height, (i + 1) / 50.0) - greatest(r.y, i / 50.0)) * r.width) as v from bins group by all), island as (select *, i - row_number() over (partition by layout_id order by i) as g from profile where v > 1e-9),
+  band as (select layout_id, g, min(i) as lo, max(i) + 1 as hi, sum(v) as mass from island group by all), total as (select layout_id, sum(mass) as t from band group by layout_id)"""
+
+
+@query(f"""with {_PROFILE} select l.layout_id, count(lo) as bands, coalesce(sum(hi - lo), 0)::bigint as width from layout_bank l left join (select * from band join total using (layout_id) where hi - lo >= 3 and mass >= 0.1 * t) b using (layout_id) group by 1""")
 def i11_projection_bands(spark: SparkSession, root: str) -> DataFrame:
-    """Vertical bands of pages that hold regions: islands of overlapping spans, by page."""
-    spans = F.array_sort(F.transform("regions", lambda r: F.struct(r["y"].alias("a"), (r["y"] + r["height"]).alias("b"))))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-1.0).alias("end"))
-    n = F.aggregate(spans, zero, lambda s, r: F.struct(F.when(r["a"] > s["end"], s["n"] + 1).otherwise(s["n"]).alias("n"), F.greatest(s["end"], r["b"]).alias("end")), lambda s: s["n"])
-    return load(spark, root, "layout_bank").select("layout_id", n.alias("bands"))
+    """Bands of each page's projection profile that are wide and heavy enough: its regions' ink by fiftieths of the height."""
+    part = lambda r, i: F.greatest(F.lit(0.0), F.least(r["y"] + r["height"], (i + 1) / 50.0) - F.greatest(r["y"], i / 50.0)) * r["width"]
+    profile = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.aggregate("regions", F.lit(0.0), lambda s, r: s + part(r, i)))
+    bands = arrays.projection_bands(profile, 3, 0.1)
+    return load(spark, root, "layout_bank").select("layout_id", bands.alias("b")).select("layout_id", F.size("b").cast("long").alias("bands"), F.aggregate("b", F.lit(0), lambda s, x: s + x["hi"] - x["lo"]).cast("long").alias("width"))
 
 
 @query(f"with {STEPS} select vec_id, len(list_filter(range(1, 1 + least(len(p), label + 3)), lambda i: p[i] > q[i])) as above from steps")

@@ -10,7 +10,7 @@ from lipika.operators import sampling
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
 from lipika.plans.views import CALLS, PANEL, READINGS, calls, glyphs_sql, panel, readings
-from lipika.session import load
+from lipika.session import load, written
 
 _H = "('0x' || substr(md5({k}), 1, 8))::bigint"
 
@@ -61,57 +61,83 @@ def k5_corpus_walk(spark: SparkSession, root: str) -> DataFrame:
     return sampling.corpus_walk(b, q)
 
 
-_BOOT = f"""{READINGS}, u0 as (select language, image_id, avg((bucket = 'GENUINE')::int) as v from readings where language is not null and image_id is not null group by all),
-  u as (select language, v, row_number() over (partition by language order by image_id) as rn, count(*) over (partition by language) as n from u0),
-  s as (select language, n, draw, ({_H.format(k="'b|' || language || '|' || draw || '|' || rn")}) % n + 1 as pick from (select *, unnest(range(0, 100)) as draw from u)),
-  m as (select s.language, s.draw, avg(u.v) as mean from s join u on u.language = s.language and u.rn = s.pick group by all)"""
+#: Draws of the bootstraps and shuffles, and of the share bootstrap.
+DRAWS, SHARE_DRAWS = 10_000, 2_000
 
 
-@query(f"with {_BOOT} select language, round(quantile_cont(mean, 0.025), 6) as lo, round(quantile_cont(mean, 0.975), 6) as hi from m group by language")
+def draws_sql(units: str, by: str, key: str, values: list[str], draws: int, seed: str, name: str = "sums") -> str:
+    """CTE ``name`` (by, draw, w, values): sums over the units of each resample, each unit as often as it was drawn."""
+    of = "".join(f"{by}, " if by else "")
+    lot = f"(lot_a * h + lot_b) % {sampling.PRIME}"
+    times = " + ".join(f"(u >= {t})::int" for t in sampling.POISSON.tolist())
+    seven = lambda k: f"('0x' || substr(m, {k}, 7))::bigint"
+    return f"""lots_{name} as materialized (select draw, {seven(1)} as lot_a, {seven(8)} as lot_b, {seven(15)} as lot_c from (select draw, md5('{seed}|' || draw) as m from range(0, {draws}) t(draw))),
+  units_{name} as materialized (select {of}('0x' || substr(md5({key}::varchar), 1, 7))::bigint as h, {', '.join(f'{v}::double as {v}' for v in values)} from {units} where {' and '.join(f'{v} is not null' for v in values)}),
+  {name} as (select {of}draw, sum(n)::double as w, {', '.join(f'sum(n * {v}) as {v}' for v in values)} from (select *, {times} as n from (select *, x * ((x + lot_c) % {sampling.PRIME}) % {sampling.PRIME} as u from (select *, {lot} as x from units_{name} cross join lots_{name}))) group by {of}draw)"""
+
+
+_K6 = f"""{READINGS}, u as (select language, image_id, avg((bucket = 'GENUINE')::int) as v from readings where language is not null and image_id is not null group by all), {draws_sql('u', 'language', 'image_id', ['v'], DRAWS, 'b')}"""
+
+
+@query(f"with {_K6} select language, round(quantile_cont(v / nullif(w, 0), 0.025), 6) as lo, round(quantile_cont(v / nullif(w, 0), 0.975), 6) as hi from sums group by language")
 def k6_bootstrap_interval(spark: SparkSession, root: str) -> DataFrame:
-    """Percentile intervals of error rates, images resampled within languages (K6, K8)."""
+    """Percentile intervals of error rates, images resampled within languages."""
     u = readings(spark, root).dropna(subset=["language", "image_id"]).groupBy("language", "image_id").agg(F.avg((F.col("bucket") == "GENUINE").cast("int")).alias("v"))
-    m = sampling.bootstrap_means(u, ["language"], F.col("image_id"), "v", 100)
-    i = sampling.interval(m, ["language"])
+    i = sampling.interval(sampling.bootstrap_means(u, ["language"], F.col("image_id"), "v", DRAWS), ["language"])
     return i.select("language", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query(f"""with {PANEL}, w as (select unit, max(value) filter (where rep = 'click') - max(value) filter (where rep = 'view') as d from panel group by unit), u as (select d, row_number() over (order by unit) as rn, count(*) over () as n from w where d is not null),
-  s as (select draw, ({_H.format(k="'pair|' || draw || '|' || rn")}) % n + 1 as pick from (select *, unnest(range(0, 200)) as draw from u)), m as (select draw, avg(u.d) as mean from s join u on u.rn = s.pick group by draw)
-  select round(quantile_cont(mean, 0.025), 6) as lo, round(quantile_cont(mean, 0.975), 6) as hi from m""")
+_K7 = f"""{PANEL}, wide as (select unit, max(value) filter (where rep = 'click') - max(value) filter (where rep = 'view') as d from panel group by unit), {draws_sql('wide', '', 'unit', ['d'], DRAWS, 'pair')}"""
+
+
+@query(f"with {_K7} select round(quantile_cont(d / nullif(w, 0), 0.025), 6) as lo, round(quantile_cont(d / nullif(w, 0), 0.975), 6) as hi from sums")
 def k7_paired_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    """Interval of a paired difference: pairs are resampled together."""
+    """Interval of a paired difference: pairs are resampled together."""
     w = panel(spark, root).groupBy("unit").pivot("rep", ["click", "view"]).agg(F.max("value")).select("unit", (F.col("click") - F.col("view")).alias("d"))
-    m = sampling.bootstrap_means(w, [], F.col("unit"), "d", 200, "pair")
+    m = sampling.bootstrap_means(w, [], F.col("unit"), "d", DRAWS, "pair")
     return sampling.interval(m, []).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query()
-def k8_poisson_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    """Intervals over records of any number, in one pass."""
-    d = readings(spark, root).select("engine", "row_no", F.char_length("hyp").cast("double").alias("v"))
-    return sampling.interval(sampling.poisson_bootstrap(d, ["engine"], F.col("row_no"), "v", 200), ["engine"])
+_K8 = f"""{READINGS}, u as (select engine, concat_ws('|', language, image_id) as img, variant = 'plain' as f, avg(length(hyp) / greatest(length(gt), 1)) as v from readings where variant in ('plain', 'degraded') and language is not null and image_id is not null group by all),
+  ua as (select * from u where f), ub as (select * from u where not f), {draws_sql('ua', 'engine', 'img', ['v'], DRAWS, 'two-a', 'sa')}, {draws_sql('ub', 'engine', 'img', ['v'], DRAWS, 'two-b', 'sb')},
+  m as (select engine, sa.v / sa.w - sb.v / sb.w as d from sa join sb using (engine, draw)), p as (select engine, count(v) filter (where f) as n_a, count(v) filter (where not f) as n_b, avg(v) filter (where f) - avg(v) filter (where not f) as diff from u group by engine)"""
+
+
+@query(f"""with {_K8} select engine, n_a, n_b, round(diff, 6) as diff, round(quantile_cont(d, 0.025), 6) as lo95, round(quantile_cont(d, 0.975), 6) as hi95, round(quantile_cont(d, 0.05), 6) as lo90, round(quantile_cont(d, 0.95), 6) as hi90,
+  round(avg((d <= -0.05)::int), 4) as p_lower, round(avg((d >= 0.05)::int), 4) as p_upper from m join p using (engine) group by all""")
+def k8_two_sample_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+    """Difference of plain and degraded images' length ratios: both sides resampled apart."""
+    r = readings(spark, root).where(F.col("variant").isin("plain", "degraded")).dropna(subset=["language", "image_id"])
+    ratio = F.char_length("hyp") / F.greatest(F.char_length("gt"), F.lit(1))
+    u = written(r.groupBy("engine", F.concat_ws("|", "language", "image_id").alias("img"), (F.col("variant") == "plain").alias("f")).agg(F.avg(ratio).alias("v")), "units")
+    d = sampling.two_sample_bootstrap(u, ["engine"], F.col("img"), "v", "f", DRAWS, 0.05)
+    return d.select("engine", "n_a", "n_b", *[F.round(c, 6).alias(c) for c in ("diff", "lo95", "hi95", "lo90", "hi90")], *[F.round(c, 4).alias(c) for c in ("p_lower", "p_upper")])
 
 
 _HIT = "case when label is not null then label = 'dropped-matra-nukta' end"
 
 
-@query(f"""with {READINGS}, d as (select engine, bucket in ('TIER1', 'TIER2') as sure, bucket = 'UNREVIEWED' as unk, {_HIT} as hit from readings)
-  select engine, count(*) as n, round((count(*) filter (where sure) + count(*) filter (where unk) * (count(*) filter (where hit) * 1.0 / nullif(count(hit), 0))) / count(*), 6) as rate from d group by engine""")
+_K9 = f"""{READINGS}, d as (select engine, bucket = 'TIER1' as sure, bucket = 'UNREVIEWED' as unk, {_HIT} as hit from readings),
+  r as (select engine, count(*) as n, (count(*) filter (where sure) + count(*) filter (where unk) * (count(*) filter (where hit) * 1.0 / nullif(count(hit), 0))) / count(*) as rate from d group by engine),
+  terms as (select engine, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)) as p from (select *, unnest(range(0, n + 1)) as k from r where rate > 0 and rate < 1)),
+  upto as (select engine, n, k, sum(p) over (partition by engine order by k) as c from terms), ends as (select engine, min(k) filter (where c >= 0.025 - 1e-12) / n as lo, min(k) filter (where c >= 0.975 - 1e-12) / n as hi from upto group by engine, n)"""
+
+
+@query(f"with {_K9} select engine, n, round(rate, 6) as rate, round(sqrt(rate * (1 - rate) / n), 6) as sd, round(lo, 6) as lo, round(hi, 6) as hi from r left join ends using (engine)")
 def k9_imputed_rate(spark: SparkSession, root: str) -> DataFrame:
-    """Rate of encoding variants when unreviewed readings count as the adjudicated ones."""
-    d = readings(spark, root).select("engine", F.col("bucket").isin("TIER1", "TIER2").alias("sure"), (F.col("bucket") == "UNREVIEWED").alias("unk"), F.when(F.col("label").isNotNull(), F.col("label") == "dropped-matra-nukta").alias("hit"))
-    return sampling.imputed_rate(d, ["engine"], "sure", "unk", "hit").select("engine", "n", F.round("rate", 6).alias("rate"))
+    """Rate of encoding variants when unreviewed readings count as the adjudicated ones, with its interval."""
+    d = readings(spark, root).select("engine", (F.col("bucket") == "TIER1").alias("sure"), (F.col("bucket") == "UNREVIEWED").alias("unk"), F.when(F.col("label").isNotNull(), F.col("label") == "dropped-matra-nukta").alias("hit"))
+    return sampling.imputed_rate(d, ["engine"], "sure", "unk", "hit").select("engine", "n", *[F.round(c, 6).alias(c) for c in ("rate", "sd", "lo", "hi")])
 
 
-@query(f"""with {READINGS}, {CALLS}, h as (select image_id, avg((bucket = 'GENUINE')::int) as x from readings where language = 'santhali' and image_id is not null group by 1), c as (select image_id, avg(confidence) as y from calls where script = 'santhali' and condition = 'real' and confidence is not null group by 1),
-  d as (select image_id, x, y from h join c using (image_id)), r as (select row_number() over (order by image_id) as i, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from d),
-  b as (select covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as rho from r), s as (select draw, rx, row_number() over (partition by draw order by md5('perm|' || draw || '|' || i), i) as k from (select *, unnest(range(0, 100)) as draw from r)),
-  p as (select draw, covar_pop(s.rx, r.ry) / nullif(stddev_pop(s.rx) * stddev_pop(r.ry), 0) as r from s join r on r.i = s.k group by draw)
-  select round(rho, 6) as rho, round((count(*) filter (where abs(r) >= abs(rho) - 1e-12) + 1) / (count(*) + 1), 6) as p from p, b group by rho""")
+@query(f"""with {READINGS}, {CALLS}, h as (select language as script, image_id, avg((bucket = 'GENUINE')::int) as x from readings where language is not null and image_id is not null group by all), c as (select script, image_id, avg(confidence) as y from calls where condition = 'real' and confidence is not null and script is not null and image_id is not null group by all),
+  d as (select script, image_id, x, y from h join c using (script, image_id)), r as materialized (select script, row_number() over (partition by script order by image_id) as i, rank() over (partition by script order by x) + (count(*) over (partition by script, x) - 1) / 2.0 as rx, rank() over (partition by script order by y) + (count(*) over (partition by script, y) - 1) / 2.0 as ry from d),
+  b as (select script, count(*) as n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) as rho from r group by script), s as (select script, draw, rx, row_number() over (partition by script, draw order by md5('perm|' || draw || '|' || i), i) as k from (select *, unnest(range(0, {DRAWS})) as draw from r)),
+  p as (select s.script, draw, covar_pop(s.rx, r.ry) / nullif(stddev_pop(s.rx) * stddev_pop(r.ry), 0) as r from s join r on r.i = s.k and r.script = s.script group by all)
+  select script, n, round(rho, 6) as rho, case when n >= 3 and rho is not null then round((count(*) filter (where abs(r) >= abs(rho) - 1e-12) + 1) / (count(*) + 1), 6) end as p from p join b using (script) group by script, n, rho""")
 def j2_permutation_p(spark: SparkSession, root: str) -> DataFrame:
-    """Rank correlation of difficulty and external confidence over one script's images, with a permutation p-value."""
-    h = readings(spark, root).where("language = 'santhali' and image_id is not null").groupBy("image_id").agg(F.avg((F.col("bucket") == "GENUINE").cast("int")).alias("x"))
-    c = calls(spark, root).where("script = 'santhali' and condition = 'real' and confidence is not null").groupBy("image_id").agg(F.avg("confidence").alias("y"))
-    d = sampling.permuted_spearman(h.join(c, "image_id"), F.col("image_id"), "x", "y", 100)
-    return d.select(F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+    """Rank correlation of difficulty and external confidence over each script's images, with a permutation p-value."""
+    h = readings(spark, root).dropna(subset=["language", "image_id"]).groupBy(F.col("language").alias("script"), "image_id").agg(F.avg((F.col("bucket") == "GENUINE").cast("int")).alias("x"))
+    c = calls(spark, root).where("condition = 'real'").dropna(subset=["script", "image_id", "confidence"]).groupBy("script", "image_id").agg(F.avg("confidence").alias("y"))
+    d = sampling.permuted_spearman(h.join(c, ["script", "image_id"]), ["script"], F.col("image_id"), "x", "y", DRAWS)
+    return d.select("script", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))

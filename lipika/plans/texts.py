@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import text
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, READINGS, TEXTS, calls, clusters_sql, distance_sql, phonetic_sql, readings, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, CHARSET, READINGS, TEXTS, calls, clusters_sql, distance_sql, glyphs_sql, phonetic_sql, readings, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -27,7 +27,7 @@ def h1_grapheme_counts(spark: SparkSession, root: str) -> DataFrame:
     return readings(spark, root).groupBy("language").agg(F.sum(F.size(text.graphemes(F.col("gt")))).alias("clusters"), F.sum(F.char_length("gt")).alias("chars"))
 
 
-@query()
+@query(f"with {READINGS} select language, g, count(*) as n from (select language, unnest({glyphs_sql('gt')}) as g from readings) group by all")
 def h1b_glyph_clusters(spark: SparkSession, root: str) -> DataFrame:
     g = readings(spark, root).select("language", F.explode(text.glyph_clusters(F.col("gt"))).alias("g"))
     return g.groupBy("language", "g").agg(F.count(F.lit(1)).alias("n"))
@@ -84,11 +84,13 @@ def h5_error_rates(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("engine", "language").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 9).alias("mean_cer"), F.round(F.avg(text.accuracy(F.col("cer"))), 9).alias("accuracy"), F.round(F.avg(text.finite(F.col("cer"))), 9).alias("finite_cer"))
 
 
-@query()
+@query(f"""with {READINGS}, {CHARSET.format(c='hyp', by='language')} select language, sum(n)::bigint as n, round(avg(case when n > 0 then trained / n end), 9) as trained, round(avg(case when n > 0 then image / n end), 9) as image,
+  round(avg(case when n > 0 then (n - trained - image) / n end), 9) as other from charset group by language""")
 def h6_charset_composition(spark: SparkSession, root: str) -> DataFrame:
-    c = text.charset(F.col("hyp"), r"[ऀ-ॿ]", r"[ঀ-৿]")
+    c = text.charset(F.col("hyp"), r"[\u0900-\u097f]", r"[\u0980-\u09ff]")
     d = readings(spark, root).select("language", c.alias("c"))
-    return d.groupBy("language").agg(F.sum("c.n_graphemes").alias("n"), F.avg("c.trained_script_fraction").alias("trained"), F.avg("c.image_script_fraction").alias("image"), F.avg("c.other_fraction").alias("other"))
+    mean = lambda f: F.round(F.avg(f"c.{f}_fraction"), 9)
+    return d.groupBy("language").agg(F.sum("c.n_graphemes").alias("n"), mean("trained_script").alias("trained"), mean("image_script").alias("image"), mean("other").alias("other"))
 
 
 @query()
@@ -115,14 +117,21 @@ def h12_misread_signal(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("engine", "misread").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_H13 = f"""{READINGS}, {TEXTS}, pairs as materialized (select k, {clusters_sql('gt')} as a, {clusters_sql('hyp')} as b from texts), {distance_sql('pairs', 'whole')}, heads as materialized (select k, a[1:len(b)] as a, b from pairs), {distance_sql('heads', 'head')},
+  s as (select k, case when len(a) = 0 then (len(b) = 0)::int else greatest(0, 1 - w.dist / len(a)) end as acc, case when len(b) = 0 then (len(a) = 0)::int else greatest(0, 1 - h.dist / len(b)) end as emitted,
+    case when len(a) = 0 then 1.0 else list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) / len(a) end as cov from pairs join whole w using (k) join head h using (k)),
+  f as (select engine, acc, emitted, cov from readings join texts using (gt, hyp) join s using (k))"""
+
+
+@query(f"with recursive {_H13} select engine, round(avg(acc), 9) as char_acc, round(avg(emitted), 9) as emitted_acc, round(avg(cov), 9) as coverage, round(avg(emitted - (1 - cov)), 9) as reward, round(avg(emitted), 9) as reward_lambda0 from f group by engine")
 def h13_emitted_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """Accuracy against the whole truth, and against as much of it as was emitted; reward with its coverage penalty."""
-    d = readings(spark, root).select("engine", text.graphemes(F.col("gt")).alias("g"), text.graphemes(F.col("hyp")).alias("h"))
+    d = readings(spark, root).select("engine", text.graphemes(F.col("gt")).alias("g"), text.graphemes(F.col("hyp")).alias("h"), text.covered(F.col("gt"), F.col("hyp")).alias("covered"))
     g, h = F.col("g"), F.col("h")
-    d = d.select("engine", text.char_accuracy(g, h).alias("whole"), text.emitted_accuracy(g, h).alias("emitted"), text.coverage(g, h).alias("covered"))
-    r = text.reward(F.col("emitted"), F.col("covered"))
-    return d.groupBy("engine").agg(F.avg("whole").alias("char_acc"), F.avg("emitted").alias("emitted_acc"), F.avg("covered").alias("coverage"), F.avg(r).alias("reward"), F.avg(text.reward(F.col("emitted"), F.col("covered"), penalty=0.0)).alias("reward_lambda0"))
+    d = d.select("engine", text.char_accuracy(g, h).alias("whole"), text.emitted_accuracy(g, h).alias("emitted"), "covered")
+    mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
+    e, c = F.col("emitted"), F.col("covered")
+    return d.groupBy("engine").agg(mean("whole", "char_acc"), mean("emitted", "emitted_acc"), mean("covered", "coverage"), mean(text.reward(e, c), "reward"), mean(text.reward(e, c, penalty=0.0), "reward_lambda0"))
 
 
 @query(f"""with f as (select ch, count(*) as n from (select unnest({clusters_sql('text')}) as ch from line_gt where text is not null) where ch <> '' group by ch), v as (select ch, row_number() over (order by n desc, ch) + 3 as id from f where n >= 2),

@@ -33,6 +33,11 @@ def glyphs_sql(c: str) -> str:
     return rf"list_filter({clusters_sql(c)}, lambda g: regexp_matches(g, '{blocks}') and trim(g) <> '')"
 
 
+#: CTE ``charset`` ({by}, n, trained, image) after ``readings``: clusters of a text that aren't blank, and those of two scripts.
+CHARSET = f"""charset as (select {{by}}, len(g) as n, len(list_filter(g, lambda x: regexp_matches(x, '[\\x{{{{0900}}}}-\\x{{{{097f}}}}]'))) as trained, len(list_filter(g, lambda x: not regexp_matches(x, '[\\x{{{{0900}}}}-\\x{{{{097f}}}}]') and regexp_matches(x, '[\\x{{{{0980}}}}-\\x{{{{09ff}}}}]'))) as image
+  from (select {{by}}, list_filter({clusters_sql('{c}').replace('{', '{{').replace('}', '}}').replace('{{c}}', '{c}')}, lambda x: not regexp_full_match(x, '{text.BLANKS.replace('{', '{{').replace('}', '}}')}+')) as g from readings))"""
+
+
 def readings(spark: SparkSession, root: str) -> DataFrame:
     """error_taxonomy with labels and ids in one writing; texts are never null."""
     d = load(spark, root, "error_taxonomy")

@@ -43,13 +43,16 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves that setting unset (local tests) is a folder
-    of our own made, and removed again at exit.
+    Only where a local session leaves that setting unset (tests) is a folder
+    of our own made, and removed again at exit. On a cluster the setting is
+    required: executors don't share a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lipika-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)

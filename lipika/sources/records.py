@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lipika.operators.skew import lookup_join
+
 from lipika.schemas import SCHEMAS
 
 
@@ -101,6 +103,21 @@ def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
     new.write.mode("append").json(path)
 
 
+def through_cache(rows: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``compute`` gives for their ``key`` (a digest of the content), from the Parquet cache at ``path``.
+
+    Keys that the cache lacks are computed once each and appended; ``compute``
+    takes rows and returns the key and its results. Of a key that two runs
+    appended at the same time, one row counts.
+    """
+    spark = rows.sparkSession
+    new = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    if _exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    compute(new).write.mode("append").parquet(path)
+    return lookup_join(rows, spark.read.parquet(path).dropDuplicates([key]), [key], "left")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

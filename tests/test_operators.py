@@ -140,7 +140,7 @@ def test_sampling(spark):
     d = spark.createDataFrame([("x", i, float(i)) for i in range(50)], "g string, i int, v double")
     a = sampling.hash_sample(d, ["g"], F.col("i"), 10)
     assert a.count() == 10 and {r.i for r in a.collect()} == {r.i for r in sampling.hash_sample(d.repartition(5), ["g"], F.col("i"), 10).collect()}
-    for m in (sampling.bootstrap_means(d, ["g"], F.col("i"), "v", 60), sampling.poisson_bootstrap(d, ["g"], F.col("i"), "v", 60)):
+    for m in (sampling.bootstrap_means(d, ["g"], F.col("i"), "v", 60), sampling.bootstrap_means(d.repartition(7), ["g"], F.col("i"), "v", 60, "other")):
         i = sampling.interval(m, ["g"]).first()
         assert m.count() == 60 and i.lo < 24.5 < i.hi
     w = sampling.corpus_walk(spark.createDataFrame([("s", "a", "b", 5), ("s", "b", "a", 3)], "script string, a string, b string, n long"), spark.createDataFrame([("s", "a", 3), ("s", "b", 2)], "script string, glyph string, quota long"))
