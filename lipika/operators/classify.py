@@ -89,3 +89,17 @@ def feasibility(natural: Column, flattened: Column, inverted: Column, crossover:
 
 def script_class(g: Column, trained: str, image: str) -> Column:
     return F.when(F.trim(g) == "", "other").when(g.rlike(trained), "trained").when(g.rlike(image), "image").otherwise("other")
+
+
+def review_note(typed: Column, suggestion: Column) -> Column:
+    """struct(outcome, label) of a reviewer's answer: a skip, the suggestion confirmed (also by an empty answer), or a label of their own."""
+    fits, t = suggestion.isNotNull(), F.coalesce(typed, F.lit(""))
+    skip = F.lower(t).isin("s", "skip") | ((t == "") & ~fits)
+    confirm = fits & ((t == "") | (t == suggestion))
+    outcome = F.when(skip, "skipped").when(confirm, "agent-suggested-and-confirmed").otherwise("human-overridden")
+    return F.struct(outcome.alias("outcome"), F.when(~skip, F.when(confirm, suggestion).otherwise(t)).alias("label"))
+
+
+def adjudicated(label: Column, outcome: Column) -> Column:
+    """Whether a note settles its row: it has a label and is neither pending nor skipped."""
+    return label.isNotNull() & ~F.coalesce(outcome, F.lit("")).isin("pending-adjudication", "skipped")

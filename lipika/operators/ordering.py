@@ -13,8 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lipika.operators.skew import broadcast_if_small
 from lipika.session import written
 
+#: Groups whose sizes may be broadcast; with more, no group is large enough to matter beside AQE's splitting.
+GROUPS = 1_000_000
+
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """``df`` with, for each of ``sums``, its running total in the global order, the row itself included.
@@ -49,7 +53,7 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: st
     same = F.lit(True)
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    out = ranked.join(starts, same, "left").withColumn(name, F.col("_all") - F.col("_start"))
+    out = ranked.join(broadcast_if_small(starts, GROUPS), same, "left").withColumn(name, F.col("_all") - F.col("_start"))
     out = out.withColumnRenamed("_size", size) if size else out.drop("_size")
     return out.drop("_all", "_start", *[f"_k{i}" for i in range(len(by))])
 
@@ -73,7 +77,7 @@ def midranks(df: DataFrame, by: Sequence[str], value: str, name: str = "midrank"
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("ties").alias(size))
         starts = running(sizes, [F.col(c).asc_nulls_first() for c in by], {"_end": F.col(size)}).withColumn("_start", F.col("_end") - F.col(size)).drop("_end")
-        upto = upto.join(starts, by)
+        upto = upto.join(broadcast_if_small(starts, GROUPS), by)
     else:
         upto = upto.crossJoin(F.broadcast(counts.agg(F.sum("ties").alias(size)))).withColumn("_start", F.lit(0))
     return upto.withColumn(name, F.col("_upto") - F.col("_start") - (F.col("ties") - 1) / 2.0).drop("_upto", "_start")

@@ -96,16 +96,26 @@ def b10_residual_label(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy(F.col("label"), s.alias("suggested")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {READINGS} select case when label is null then 'skipped' when label = 'genuine-misread' then 'confirmed' else 'overridden' end as outcome, count(*) as n from readings group by 1")
+_NOTES = f"""{LATEST}, asked as (select engine, coalesce(label, case when length(hyp) > 40 then 's' else '' end) as typed, case when length(hyp) > 2 then 'genuine-misread' end as suggestion from latest),
+  notes as (select *, case when lower(typed) in ('s', 'skip') or typed = '' and suggestion is null then 'skipped' when suggestion is not null and (typed = '' or typed = suggestion) then 'agent-suggested-and-confirmed' else 'human-overridden' end as outcome from asked)"""
+
+
+def _notes(spark: SparkSession, root: str) -> DataFrame:
+    """Last readings with the note of a reviewer who types the recorded label, skips long texts without one and else confirms the suggestion of a misreading."""
+    n = F.char_length("hyp")
+    typed = F.coalesce("label", F.when(n > 40, "s").otherwise(""))
+    note = classify.review_note(typed, F.when(n > 2, "genuine-misread"))
+    return last_readings(spark, root).select("engine", note.alias("note")).select("engine", "note.*")
+
+
+@query(f"with {_NOTES} select outcome, count(*) as n from notes group by outcome")
 def b11_review_outcome(spark: SparkSession, root: str) -> DataFrame:
-    o = F.when(F.col("label").isNull(), "skipped").when(F.col("label") == "genuine-misread", "confirmed").otherwise("overridden")
-    return readings(spark, root).groupBy(o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return _notes(spark, root).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {LATEST} select engine, count(*) filter (where label in ('genuine-misread', 'dropped-matra-nukta', 'reading-order-break', 'hallucinated-repeated-text')) as adjudicated, count(*) as n from latest group by engine")
+@query(f"with {_NOTES} select engine, count(*) filter (where outcome <> 'skipped') as adjudicated, count(*) as n from notes group by engine")
 def b12_adjudicated(spark: SparkSession, root: str) -> DataFrame:
-    known = ("genuine-misread", "dropped-matra-nukta", "reading-order-break", "hallucinated-repeated-text")
-    return last_readings(spark, root).groupBy("engine").agg(F.count_if(F.col("label").isin(*known)).alias("adjudicated"), F.count(F.lit(1)).alias("n"))
+    return _notes(spark, root).groupBy("engine").agg(F.count_if(classify.adjudicated(F.col("label"), F.col("outcome"))).alias("adjudicated"), F.count(F.lit(1)).alias("n"))
 
 
 _T = "list_filter(regions, lambda r: coalesce(r.kind, '') = 'table')"

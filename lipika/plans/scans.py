@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,17 @@ def a12_append_and_skip(spark: SparkSession, root: str) -> DataFrame:
     return records.read_lines(spark, path, "row_no long, batch_no int").groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select state, count(*) as n from (select unnest(['OK', 'STALE', 'MISSING']) as state) group by state")
+def a20_freshness(spark: SparkSession, root: str) -> DataFrame:
+    """Results against the checkpoints that they were made from: one made after, one before, one without."""
+    at = lambda path, hour: (path, 1, datetime(2025, 1, 1, hour))
+    schema = "path string, length long, modificationTime timestamp"
+    results = spark.createDataFrame([at("r/a_seed0.jsonl", 9), at("r/b_seed0.jsonl", 3), at("r/c_seed0.jsonl", 3)], schema)
+    checkpoints = spark.createDataFrame([at("m/a_seed0.pt", 5), at("m/b_seed0.pt", 5), at("m/b_seed0.pt", 1)], schema)
+    stem = F.regexp_extract("path", r"([a-z]+_seed\d)", 1)
+    return records.freshness(results, checkpoints, stem).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select count(*) as n, sum(row_no)::bigint as row_sum from error_taxonomy")
 def a13_torn_tail(spark: SparkSession, root: str) -> DataFrame:
     """A torn last line is left out; everything before it counts."""

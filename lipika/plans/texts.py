@@ -84,6 +84,13 @@ def h5_error_rates(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("engine", "language").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok), 9).alias("mean_cer"), F.round(F.avg(text.accuracy(F.col("cer"))), 9).alias("accuracy"), F.round(F.avg(text.finite(F.col("cer"))), 9).alias("finite_cer"))
 
 
+@query(f"with recursive {_SIZED} select engine, round(avg(case when cer = 'inf' then 1 else cer end), 9) as mean_cer, count(*) filter (where n_gt = 0) as no_truth from sized group by engine")
+def h5b_one_for_empty(spark: SparkSession, root: str) -> DataFrame:
+    """Error rates that count 1 where there is no truth but a reading."""
+    d = _sized(spark, root).withColumn("cer", text.error_rate(F.col("dist"), F.col("n_gt"), F.col("n_hyp"), "one"))
+    return d.groupBy("engine").agg(F.round(F.avg("cer"), 9).alias("mean_cer"), F.count_if(F.col("n_gt") == 0).alias("no_truth"))
+
+
 @query(f"""with {READINGS}, {CHARSET.format(c='hyp', by='language')} select language, sum(n)::bigint as n, round(avg(case when n > 0 then trained / n end), 9) as trained, round(avg(case when n > 0 then image / n end), 9) as image,
   round(avg(case when n > 0 then (n - trained - image) / n end), 9) as other from charset group by language""")
 def h6_charset_composition(spark: SparkSession, root: str) -> DataFrame:

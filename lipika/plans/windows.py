@@ -141,6 +141,14 @@ def f5_numeric_string_sort(spark: SparkSession, root: str) -> DataFrame:
     return numbered(d, [], [F.col("k"), F.col("probe_id")], "pos").select("probe_id", "pos")
 
 
+@query(f"""with {READINGS}, {CALLS} select distinct image_id, language from readings semi join (select image_id, script as language from calls where condition = 'real') c using (image_id, language) where image_id is not null and language is not null order by language, image_id limit 20""")
+def f6_first_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    """The first twenty images that both tables have."""
+    r = readings(spark, root).select("image_id", "language").dropna().distinct()
+    c = calls(spark, root).where("condition = 'real'").select("image_id", F.col("script").alias("language"))
+    return r.join(c, ["image_id", "language"], "left_semi").orderBy("language", "image_id").limit(20)
+
+
 @query(f"with {STEPS}, r as (select vec_id, i - 1 as i, p[i] as p, row_number() over (partition by vec_id order by p[i] desc, i) as k from (select *, unnest(range(1, 33)) as i from steps)) select vec_id, k, i, round(p, 9) as p from r where k <= 5")
 def f7_top5_steps(spark: SparkSession, root: str) -> DataFrame:
     d = steps(spark, root).select("vec_id", F.posexplode(arrays.top_k(F.col("p"), 5)).alias("k", "t"))

@@ -63,12 +63,18 @@ def test_engine_isolation(spark):
             raise ValueError("no")
         if path == "hang":
             time.sleep(60)
-        return {"predicted_text": path.upper(), "confidence": 0.5}
+        if path == "die":
+            os._exit(3)
+        seen.append(path)
+        return {"predicted_text": path.upper(), "confidence": float(len(seen))}
 
-    d = spark.createDataFrame([("a", "hi", 1), ("bad", "hi", 2), ("hang", "hi", 3)], "image_path string, language string, k int")
+    seen = []
+    d = spark.createDataFrame([("a", "hi", 1), ("bad", "hi", 2), ("hang", "hi", 3), ("b", "hi", 4), ("die", "hi", 5), ("c", "hi", 6), ("d", "hi", 7)], "image_path string, language string, k int")
     t = time.time()
-    got = {r.k: (r.predicted_text, r.skipped_reason) for r in run_engine(d, engine, 2.0).collect()}
-    assert got == {1: ("A", None), 2: (None, "ValueError: no"), 3: (None, "timeout")} and time.time() - t < 30
+    rows = run_engine(d.coalesce(1), engine, 2.0).collect()
+    got = {r.k: (r.predicted_text, r.skipped_reason) for r in rows}
+    assert {r.k: r.confidence for r in rows if r.confidence} == {1: 1.0, 4: 1.0, 6: 1.0, 7: 2.0}  # one process, replaced when it hangs or dies
+    assert got == {1: ("A", None), 2: (None, "ValueError: no"), 3: (None, "timeout"), 4: ("B", None), 5: (None, "died"), 6: ("C", None), 7: ("D", None)} and time.time() - t < 30
 
 
 def test_streams(spark, tmp_path):
