@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from heapq import heapify, heappop, heappush
+from itertools import accumulate, cycle
 
 import numpy as np
 import pandas as pd
@@ -82,13 +83,26 @@ def stratified_sample(df: DataFrame, stratum: str, key: Column, n: int, seed: in
     return numbered(d, ["_s"], [F.col("_h"), key], "_rn").where(F.col("_rn") <= F.col("_q")).drop("_s", "_q", "_h", "_rn")
 
 
-def largest_remainder(pmf: DataFrame, item: str, mass: str, n: int) -> DataFrame:
-    """(item, quota): whole counts that sum to ``n``, by largest remainder; ties go to the larger item."""
-    t = pmf.agg(F.sum(mass).alias("_t"))
-    e = pmf.crossJoin(F.broadcast(t)).select(item, F.round(n * F.col(mass) / F.col("_t"), 9).alias("_e")).withColumn("_f", F.floor("_e"))
-    left = e.agg((F.lit(n) - F.sum("_f")).alias("_left"))
-    r = numbered(e, [], [F.round(F.col("_e") - F.col("_f"), 9).desc(), F.col(item).desc()], "_rn").crossJoin(F.broadcast(left))
-    return r.select(item, (F.col("_f") + (F.col("_rn") <= F.col("_left")).cast("long")).alias("quota"))
+def largest_remainder(pmf: DataFrame, item: str, mass: str, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, item, quota): whole counts that sum to ``n`` in each group, by largest remainder; ties go to the larger item."""
+    by = list(by)
+    t = pmf.groupBy(*by).agg(F.sum(mass).alias("_t"))
+    e = pmf.join(t, by) if by else pmf.crossJoin(F.broadcast(t))
+    e = e.select(*by, item, F.round(n * F.col(mass) / F.col("_t"), 9).alias("_e")).withColumn("_f", F.floor("_e"))
+    left = e.groupBy(*by).agg((F.lit(n) - F.sum("_f")).alias("_left"))
+    r = numbered(e, by, [F.round(F.col("_e") - F.col("_f"), 9).desc(), F.col(item).desc()], "_rn")
+    r = r.join(left, by) if by else r.crossJoin(F.broadcast(left))
+    return r.select(*by, item, (F.col("_f") + (F.col("_rn") <= F.col("_left")).cast("long")).alias("quota"))
+
+
+def target_masses(counts: DataFrame, by: str, item: str, n: str) -> DataFrame:
+    """(by, mode, item, mass): the natural masses of each group's items, equal ones, and the natural ones given to the items of opposite rank."""
+    t = counts.groupBy(by).agg(F.sum(n).alias("_t"), F.count(F.lit(1)).alias("_k"))
+    d = written(counts.join(F.broadcast(t), by).select(by, item, (F.col(n) / F.col("_t")).alias("mass"), "_k"), "masses")
+    up = numbered(d, [by], [F.col("mass"), F.col(item)], "_r").select(by, item, "_r")
+    down = numbered(d, [by], [F.col("mass").desc(), F.col(item).desc()], "_r").select(by, "mass", "_r")
+    of = lambda x, mode: x.select(by, F.lit(mode).alias("mode"), item, "mass")
+    return of(d, "natural").unionByName(of(d.withColumn("mass", 1 / F.col("_k")), "flattened")).unionByName(of(up.join(down, [by, "_r"]), "inverted"))
 
 
 #: A prime below which hashes of units and the numbers of draws lie, so that products fit 64 bits.
@@ -181,36 +195,71 @@ def interval(means: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFr
     return means.groupBy(*by).agg(F.percentile("mean", a).alias("lo"), F.percentile("mean", 1 - a).alias("hi"))
 
 
-_WALK = "script string, line int, text string"
+_WALK = "script string, line int, text string, glyphs array<string>"
 
 
-def corpus_walk(bigrams: DataFrame, quotas: DataFrame, length: int = 20) -> DataFrame:
+def corpus_walk(bigrams: DataFrame, quotas: DataFrame, lengths: DataFrame | None = None, length: int = 20) -> DataFrame:
     """Lines that use up each glyph's quota, by a bigram walk: serial within a script, scripts side by side.
 
     ``bigrams`` (script, a, b, n) and ``quotas`` (script, glyph, quota) are
     tables of glyphs. The next glyph is the commonest successor with quota
-    left, else the glyph with most left.
+    left, else the glyph with most left. ``lengths`` (script, length, n) are
+    those of the corpus' lines: lines of each length come as often as there,
+    the commonest first; without them all lines have ``length``. Each glyph is
+    drawn from heaps, so a walk takes the time of its glyphs.
     """
+    keyed = bigrams.select("script", F.struct("a", "b", "n").alias("pair"), F.lit(None).cast("struct<length:int,n:bigint>").alias("size"))
+    if lengths is not None:
+        keyed = keyed.unionByName(lengths.select("script", F.lit(None).cast(keyed.schema["pair"].dataType).alias("pair"), F.struct(F.col("length").cast("int").alias("length"), F.col("n").cast("long").alias("n")).alias("size")))
 
-    def walk(key: tuple, pairs: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, given: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
         quota = {g: int(q) for g, q in zip(left["glyph"], left["quota"]) if q > 0}
         after: dict[str, list[str]] = {}
-        for a, b in pairs.sort_values(["n", "b"], ascending=[False, True])[["a", "b"]].itertuples(index=False):
-            after.setdefault(a, []).append(b)
+        for p in sorted(given["pair"].dropna(), key=lambda p: (p["n"], p["b"]), reverse=True):
+            after.setdefault(p["a"], []).append(p["b"])  # taken from the end of what is left: least first
+        for a in after:
+            after[a].reverse()
+        most = [(-q, g) for g, q in quota.items()]
+        heapify(most)
+        sizes = sorted(((z["n"], z["length"]) for z in given["size"].dropna() if z["length"] > 0), reverse=True) or [(1, length)]
         lines, now, last = [], [], None
+        plan = cycle([z for n, z in sizes for _ in range(max(1, round(100 * n / sum(k for k, _ in sizes))))])
+        end = next(plan)
         while quota:
-            g = next((b for b in after.get(last, ()) if b in quota), None) or max(quota, key=lambda x: (quota[x], x))
+            g, successors = None, after.get(last, [])
+            while successors and g is None:
+                if successors[-1] in quota:
+                    g = successors[-1]
+                else:
+                    successors.pop()
+            while g is None:
+                q, x = most[0]
+                if quota.get(x, 0) == -q:
+                    g = x
+                else:
+                    heappop(most)
+                    if x in quota:
+                        heappush(most, (-quota[x], x))
             now.append(g)
             quota[g] -= 1
             if not quota[g]:
                 del quota[g]
             last = g
-            if len(now) == length or not quota:
-                lines.append("".join(now))
-                now, last = [], None
-        return pd.DataFrame({"script": key[0], "line": range(len(lines)), "text": lines})
+            if len(now) == end or not quota:
+                lines.append(now)
+                now, last, end = [], None, next(plan)
+        return pd.DataFrame({"script": key[0], "line": range(len(lines)), "text": ["".join(x) for x in lines], "glyphs": lines})
 
-    return bigrams.groupBy("script").cogroup(quotas.groupBy("script")).applyInPandas(walk, _WALK)
+    return keyed.groupBy("script").cogroup(quotas.groupBy("script")).applyInPandas(walk, _WALK)
+
+
+def within_tolerance(made: DataFrame, target: DataFrame, by: Sequence[str], item: str, tolerance: float) -> DataFrame:
+    """(by, tv, matches): total variation between the masses of counts ``n`` made and of the target's ``mass``, and whether it is small enough."""
+    by = list(by)
+    t = made.groupBy(*by).agg(F.sum("n").alias("_t"))
+    p = made.join(t, by).select(*by, item, (F.col("n") / F.col("_t")).alias("_p"))
+    d = p.join(target.select(*by, item, F.col("mass").alias("_q")), [*by, item], "full").groupBy(*by)
+    return d.agg((F.sum(F.abs(F.coalesce("_p", F.lit(0.0)) - F.coalesce("_q", F.lit(0.0)))) / 2).alias("tv")).withColumn("matches", F.col("tv") <= tolerance)
 
 
 def imputed_rate(rows: DataFrame, by: Sequence[str], sure: str, unknown: str, hit: str) -> DataFrame:

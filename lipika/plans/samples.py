@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.functions import text
+from lipika.functions.labels import label
 from lipika.operators import sampling
 from lipika.operators.joins import ngrams
 from lipika.plans.registry import query
@@ -50,15 +51,40 @@ def k4_target_masses(spark: SparkSession, root: str) -> DataFrame:
     return f.crossJoin(F.broadcast(t)).select("ch", F.round(F.col("n") / F.col("t"), 9).alias("natural"), F.round(1.0 / F.col("k"), 9).alias("flattened"))
 
 
-@query()
+_K5 = f"""g as (select nullif(lower(regexp_replace(script, '^\\s+|\\s+$', '', 'g')), '') as script, {glyphs_sql('text')} as t from page_gt where text is not null), c as (select script, glyph, count(*) as n from (select script, unnest(t) as glyph from g) where script is not null group by all),
+  m as (select script, glyph, n / sum(n) over (partition by script) as mass, count(*) over (partition by script) as k, row_number() over (partition by script order by n, glyph) as up, row_number() over (partition by script order by n desc, glyph desc) as down from c),
+  masses as (select script, 'natural' as mode, glyph, mass from m union all select script, 'flattened', glyph, 1.0 / k from m union all select a.script, 'inverted', a.glyph, b.mass from m a join m b on a.script = b.script and a.up = b.down),
+  e as (select *, round(5000 * mass / sum(mass) over (partition by script, mode), 9) as e from masses), f as (select *, row_number() over (partition by script, mode order by round(e - floor(e), 9) desc, glyph desc) as rn, 5000 - sum(floor(e)) over (partition by script, mode) as more from e),
+  quotas as (select script, mode, glyph, mass, (floor(e) + (rn <= more)::int)::bigint as n from f)"""
+
+
+def _synthesis(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(script, mode, glyph, n) of synthesised lines, and the masses that they go for: five thousand glyphs a script and mode."""
+    t = load(spark, root, "page_gt").where("text is not null").select(label("script").alias("script"), text.glyph_clusters(F.col("text")).alias("t")).where("script is not null")
+    t = written(t, "glyphs")
+    b = t.select("script", F.explode(ngrams(F.col("t"), 2)).alias("e")).select("script", F.col("e.ctx").alias("a"), F.col("e.tok").alias("b")).where("a <> '<BOS>' and b <> '<EOS>'").groupBy("script", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    masses = written(sampling.target_masses(t.select("script", F.explode("t").alias("glyph")).groupBy("script", "glyph").agg(F.count(F.lit(1)).alias("n")), "script", "glyph", "n"), "targets")
+    of_mode = lambda d: d.withColumn("script", F.concat_ws("|", "script", "mode")).drop("mode")
+    quotas = sampling.largest_remainder(masses, "glyph", "mass", 5000, ["script", "mode"])
+    modes = F.explode(F.array(*[F.lit(m) for m in ("natural", "flattened", "inverted")]))
+    sizes = t.select("script", F.size("t").alias("length")).groupBy("script", "length").agg(F.count(F.lit(1)).alias("n"))
+    lines = sampling.corpus_walk(of_mode(b.withColumn("mode", modes)), of_mode(quotas), of_mode(sizes.withColumn("mode", modes)))
+    key = F.split("script", r"\|")
+    made = lines.select(key[0].alias("script"), key[1].alias("mode"), F.explode("glyphs").alias("glyph")).groupBy("script", "mode", "glyph").agg(F.count(F.lit(1)).alias("n"))
+    return made, masses
+
+
+@query(f"with {_K5} select script, mode, glyph, n from quotas where n > 0")
 def k5_corpus_walk(spark: SparkSession, root: str) -> DataFrame:
-    """Lines synthesised toward natural masses, one walk a script."""
-    from lipika.functions.labels import label
+    """Glyphs of lines synthesised toward natural, flattened and inverted masses, one walk a script and mode."""
+    return _synthesis(spark, root)[0]
+
 
-    t = load(spark, root, "page_gt").where("text is not null").select(label("script").alias("script"), F.explode(ngrams(text.graphemes(F.col("text")), 2)).alias("e"))
-    b = t.select("script", F.col("e.ctx").alias("a"), F.col("e.tok").alias("b")).where("a <> '<BOS>' and b <> '<EOS>'").groupBy("script", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    q = b.groupBy("script", F.col("b").alias("glyph")).agg(F.ceil(F.sum("n") / 50.0).alias("quota"))
-    return sampling.corpus_walk(b, q)
+@query(f"with {_K5} select script, mode, round(sum(abs(n / 5000.0 - mass)) / 2, 6) as tv, sum(abs(n / 5000.0 - mass)) / 2 <= 0.08 as matches from quotas group by script, mode")
+def k5_tolerance_gate(spark: SparkSession, root: str) -> DataFrame:
+    """How far the synthesised lines are from their target, and whether that is near enough."""
+    made, masses = _synthesis(spark, root)
+    return sampling.within_tolerance(made, masses, ["script", "mode"], "glyph", 0.08).select("script", "mode", F.round("tv", 6).alias("tv"), "matches")
 
 
 #: Draws of the bootstraps and shuffles, and of the share bootstrap.
