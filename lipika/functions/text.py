@@ -265,15 +265,16 @@ def accuracy(rate: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - rate)
 
 
-@F.pandas_udf(StringType())
-def without_marks(s: pd.Series) -> pd.Series:
-    """Decomposed, without nuktas and vowel signs (viramas stay), by the characters' Unicode names."""
+def is_mark(ch: str) -> bool:
+    """Whether a character is a nukta or a vowel sign (viramas are not), by its Unicode name."""
+    name = unicodedata.name(ch, "")
+    return "NUKTA" in name or "VOWEL SIGN" in name and "VIRAMA" not in name
 
-    def drop(ch: str) -> bool:
-        name = unicodedata.name(ch, "")
-        return "NUKTA" in name or "VOWEL SIGN" in name and "VIRAMA" not in name
 
-    return s.map(lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFD", t) if not drop(ch)))
+@F.pandas_udf(StringType())
+def without_marks(s: pd.Series) -> pd.Series:
+    """Decomposed, without nuktas and vowel signs."""
+    return pd.Series(_each(lambda t: "".join(ch for ch in unicodedata.normalize("NFD", t) if not is_mark(ch)), s), dtype="object")
 
 
 def words(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import classify
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, READS, calls, clusters_read, clusters_sql, last_readings, readings, phonetic_sql, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, LATEST, READINGS, READS, TEXTS, calls, clusters_read, clusters_sql, last_readings, phonetic_sql, readings, signals_sql, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -87,7 +87,11 @@ def b9_correctness_gate(spark: SparkSession, root: str) -> DataFrame:
     return d.withColumn("ok", ok).groupBy("script").agg(F.count_if("ok").alias("correct"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RESIDUAL = f"""{READINGS}, {TEXTS}, other as materialized (select k, {ws_sql('gt')} as gt, {ws_sql('hyp')} as hyp from texts where {tier1_sql('gt')} <> {tier1_sql('hyp')}), {signals_sql('other')}"""
+
+
+@query(f"""with recursive {_RESIDUAL} select label, case when o.gt = o.hyp then null when repeated then 'hallucinated-repeated-text' when reordered then 'reading-order-break' when dropped then 'dropped-matra-nukta' when misread then 'genuine-misread' end as suggested, count(*) as n
+  from readings r join texts t on r.gt = t.gt and r.hyp = t.hyp join other o on t.k = o.k join signals s on o.k = s.k group by all""")
 def b10_residual_label(spark: SparkSession, root: str) -> DataFrame:
     """Suggested labels for readings that no tier explains, against the recorded ones."""
     d = _forms(readings(spark, root)).where("gt_form <> hyp_form").withColumns({"gt": text.whitespace(F.col("gt")), "hyp": text.whitespace(F.col("hyp"))})

@@ -22,7 +22,13 @@ def k1_hash_sample(spark: SparkSession, root: str) -> DataFrame:
     return sampling.hash_sample(readings(spark, root).select("engine", "row_no"), ["engine"], F.col("row_no"), 60)
 
 
-@query()
+_K2 = f"""{READINGS}, d as (select row_no, concat_ws('/', engine, language) as stratum from readings where bucket <> 'TIER1'), s as (select stratum, count(*) as size, 200 * count(*) / sum(count(*)) over () as exact, sum(count(*)) over () as total from d group by stratum),
+  o as (select *, least(size, greatest(1, floor(exact)))::bigint as base from s), lv as (select max(l) as level from (select l, sum(least(base, l)) as taken from o cross join range(0, 201) r(l) group by l) where taken <= 200),
+  t as (select *, 200 - sum(base) over () as spare, 200 - sum(least(base, level)) over () as rest, row_number() over (order by base > level desc, exact, stratum desc) as place, sum(size - base) over (order by floor(exact) - exact, -exact, stratum) as ends from o, lv),
+  q as (select stratum, case when total <= 200 then size when spare < 0 then greatest(1, least(base, level) + (base > level and place <= rest)::int) else base + greatest(0, least(size - base, spare - ends + size - base)) end as seats from t)"""
+
+
+@query(f"""with {_K2} select row_no, stratum, true as adjudication_sample, 42 as sample_seed from (select row_no, stratum, seats, row_number() over (partition by stratum order by md5('42|' || row_no), row_no) as rn from d join q using (stratum)) where rn <= seats""")
 def k2_stratified_sample(spark: SparkSession, root: str) -> DataFrame:
     """Two hundred readings by stratum (engine and language): seats and draws."""
     d = readings(spark, root).where("bucket <> 'TIER1'").select("row_no", F.concat_ws("/", "engine", "language").alias("stratum"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import text
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, CHARSET, READINGS, TEXTS, calls, clusters_sql, distance_sql, glyphs_sql, phonetic_sql, readings, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, CHARSET, bare_sql, signals_sql, READINGS, TEXTS, calls, clusters_sql, distance_sql, glyphs_sql, phonetic_sql, readings, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -100,7 +100,7 @@ def h6_charset_composition(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("language").agg(F.sum("c.n_graphemes").alias("n"), mean("trained_script").alias("trained"), mean("image_script").alias("image"), mean("other").alias("other"))
 
 
-@query()
+@query(f"with {READINGS} select engine, count(*) filter (where {bare_sql('gt')} = {bare_sql('hyp')}) as marks_only, count(*) as n from readings where gt <> hyp group by engine")
 def h7_without_marks(spark: SparkSession, root: str) -> DataFrame:
     """Readings that differ in vowel signs and nuktas alone."""
     d = readings(spark, root).where("gt <> hyp").select("engine", text.without_marks(F.col("gt")).alias("a"), text.without_marks(F.col("hyp")).alias("b"))
@@ -112,13 +112,16 @@ def h8_words(spark: SparkSession, root: str) -> DataFrame:
     return readings(spark, root).groupBy("language").agg(F.sum(F.size(text.words(F.col("gt")))).alias("words"))
 
 
-@query()
+_SIGNALS = f"{READINGS}, {TEXTS}, {signals_sql('texts')}"
+
+
+@query(f"with recursive {_SIGNALS} select label, repeated, count(*) as n from readings join texts using (gt, hyp) join signals using (k) group by all")
 def h9_repeated_text(spark: SparkSession, root: str) -> DataFrame:
     d = readings(spark, root).select("label", text.repeated_text(F.col("gt"), F.col("hyp")).alias("repeated"))
     return d.groupBy("label", "repeated").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"with recursive {_SIGNALS} select engine, misread, count(*) as n from readings join texts using (gt, hyp) join signals using (k) where gt <> hyp group by all")
 def h12_misread_signal(spark: SparkSession, root: str) -> DataFrame:
     d = readings(spark, root).where("gt <> hyp").select("engine", text.misread(F.col("gt"), F.col("hyp")).alias("misread"))
     return d.groupBy("engine", "misread").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +138,30 @@ def phonetic_sql(c: str, language: str) -> str:
     return f"case when {language} in ('hindi', 'bengali') then translate({c}, '\u0964{text.SINGLE_FROM[2:]}', '.{text.SINGLE_TO[2:]}') end"
 
 
+def bare_sql(c: str) -> str:
+    """A text without nuktas and vowel signs, composed (:func:`lipika.functions.text.without_marks` is decomposed)."""
+    left = {chr(k): "".join(x for x in unicodedata.normalize("NFD", chr(k)) if not text.is_mark(x)) for k in range(0x300, 0x20000) if any(map(text.is_mark, unicodedata.normalize("NFD", chr(k))))}
+    marks = "".join(x for x, to in left.items() if not to)
+    kept = {x: to for x, to in left.items() if len(to) == 1 and unicodedata.normalize("NFC", x) == x}
+    return f"translate(regexp_replace(nfc_normalize({c}), '[{marks}]', '', 'g'), '{''.join(kept)}', '{''.join(kept.values())}')"
+
+
+def signals_sql(texts: str) -> str:
+    """CTEs after ``texts`` (k, gt, hyp) for ``with recursive``: ``signals`` (k, repeated, reordered, dropped, misread), why two texts may differ."""
+    block = lambda n, k: f"h[len(h) - {(k + 1) * n - 1}:len(h) - {k * n}]"
+    tail = " or ".join(f"len(h) >= {3 * n} and {block(n, 0)} = {block(n, 1)} and {block(n, 1)} = {block(n, 2)}" for n in (2, 3, 4))
+    split = lambda c: f"case when {ws_sql(c)} = '' then [] else string_split({ws_sql(c)}, ' ') end"
+    return f"""words as materialized (select k, gt, hyp, {split('gt')} as g, {split('hyp')} as h from {texts}),
+  placed as (select k, i, h[i] as w, i - row_number() over (partition by k, h[i] order by i) as run from (select k, h, unnest(range(1, len(h) + 1)) as i from words)),
+  longest as (select k, arg_max(w, n * 1000000 - first) as w, max(n) as n from (select k, w, run, count(*) as n, min(i) as first from placed group by all) group by k),
+  chars as materialized (select k, string_split(gt, '') as a, string_split(hyp, '') as b from {texts} where gt <> '' and hyp <> '' and least(length(gt), length(hyp)) >= 0.4 * greatest(length(gt), length(hyp))), {distance_sql('chars', 'edits')},
+  signals as (select w.k, len(h) > 0 and (coalesce(l.n >= 3 and l.n > len(list_filter(g, lambda x: x = l.w)) + 1, false) or {tail}
+      or len(g) > 0 and (length(array_to_string(h, ' ')) - length(replace(array_to_string(h, ' '), array_to_string(g, ' '), ''))) / length(array_to_string(g, ' ')) >= 2) as repeated,
+    len(g) >= 3 and len(h) >= 3 and list_sort(g) = list_sort(h) and g <> h as reordered,
+    {bare_sql('gt')} = {bare_sql('hyp')} and ({bare_sql('gt')} <> nfc_normalize(gt) or {bare_sql('hyp')} <> nfc_normalize(hyp)) as dropped,
+    coalesce(dist > 0 and dist <= 0.75 * greatest(length(gt), length(hyp)), false) as misread from words w left join longest l using (k) left join edits using (k))"""
+
+
 def ws_sql(c: str) -> str:
     return f"trim(regexp_replace({c}, '{text.BLANKS}+', ' ', 'g'))"
 
