@@ -245,9 +245,26 @@ def iso15919(s: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series(_each(lambda x: _iso(*x), [(t, lang) if t is not None and lang in ISO_LANGUAGES else None for t, lang in zip(s, language)]), dtype="object")
 
 
+_SIGNS = {chr(v + 0x94D) + chr(v + 0x905 + k): chr(v + 0x93E + ISO_SIGNS.index(x)) if x in ISO_SIGNS else "" for v in ISO_LANGUAGES.values() for k, x in enumerate(ISO_VOWELS) if x == "a" or x in ISO_SIGNS}
+_SIGN = re.compile("|".join(_SIGNS))
+_SOUND = str.maketrans({**dict.fromkeys(JOINERS), "\u09ce": "\u09a4\u09cd", "\u0950": "\u0913\u0902", "\u0964": ".", "\u0965": "..", **{chr(z + d): str(d) for z in (0x966, 0x9E6) for d in range(10)}})
+
+
+def sound_form(t: str) -> str:
+    """A form that is equal where transliterations are: composed, joiners gone, one writing of each letter, a vowel behind a virama as its sign."""
+    return _SIGN.sub(lambda m: _SIGNS[m.group()], unicodedata.normalize("NFC", t).translate(_SOUND))
+
+
+@F.pandas_udf(StringType())
+def sound(s: pd.Series, language: pd.Series) -> pd.Series:
+    """:func:`sound_form` of texts in a language that is transliterated; null for others."""
+    form = _each(sound_form, s)
+    return pd.Series([x if lang in ISO_LANGUAGES else None for x, lang in zip(form, language)], dtype="object")
+
+
 def tier2(gt: Column, hyp: Column, language: Column) -> Column:
-    """Whether two texts sound the same: equal transliterations; false outside the languages that have one."""
-    return F.coalesce(iso15919(gt, language) == iso15919(hyp, language), F.lit(False))
+    """Whether two texts sound the same: equal transliterations, told by :func:`sound`; false outside the languages that have one."""
+    return F.coalesce(sound(gt, language) == sound(hyp, language), F.lit(False))
 
 
 def error_rate(distance: Column, gt_len: Column, hyp_len: Column, empty: str = "inf") -> Column:

@@ -122,16 +122,19 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
 
 def signed_ranks(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     """(by, n, w_plus, w_minus, r, z, d_z): Wilcoxon's signed ranks without zeros, rank-biserial r, normal z, and d_z of all."""
-    nz = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_a", F.abs(diff))
-    ranks = midranks(nz, by, "_a", "_r")
-    ties = ranks.groupBy(*by).agg(F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("_ties"))
-    d = lookup_join(nz, ranks.select(*by, "_a", "_r"), [*by, "_a"], "inner")
-    plus, minus = F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)), F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0))
-    w = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"))
+    nz = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).select(*by, F.abs(diff).alias("_a"), (F.col(diff) > 0).alias("_up"))
+    counts = written(nz.groupBy(*by, "_a").agg(F.count(F.lit(1)).alias("_k"), F.count_if("_up").alias("_p")), "counts")
+    upto = running(counts, [*[F.col(c).asc_nulls_first() for c in by], F.col("_a")], {"_upto": F.col("_k")})
+    sizes = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    starts = running(sizes, [F.col(c).asc_nulls_first() for c in by], {"_end": F.col("_n")}) if by else sizes.withColumn("_end", F.col("_n"))
+    starts = starts.select(*by, (F.col("_end") - F.col("_n")).alias("_start"))
+    d = upto.join(broadcast_if_small(starts, GROUPS), list(by)) if by else upto.crossJoin(F.broadcast(starts))
+    rank, k, p = F.col("_upto") - F.col("_start") - (F.col("_k") - 1) / 2.0, F.col("_k"), F.col("_p")
+    out = d.groupBy(*by).agg(F.sum("_k").alias("n"), F.sum(rank * p).alias("w_plus"), F.sum(rank * (k - p)).alias("w_minus"), F.sum(k * k * k - k).alias("_ties"))
     n = F.col("n").cast("double")
     join = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
     dz = df.groupBy(*by).agg(F.try_divide(F.avg(diff), F.stddev_samp(diff)).alias("d_z"))
-    out = join(join(w, ties), dz)
+    out = join(out, dz)
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48.0)
     return out.select(*by, "n", "w_plus", "w_minus", F.try_divide(F.col("w_plus") - F.col("w_minus"), F.col("w_plus") + F.col("w_minus")).alias("r"), F.try_divide(F.col("w_plus") - n * (n + 1) / 4, sigma).alias("z"), "d_z")
 
