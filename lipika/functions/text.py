@@ -377,6 +377,18 @@ def reward(accuracy: Column, covered: Column, teds: Column | None = None, tau: C
     return accuracy + F.coalesce(teds if teds is not None else zero, zero) + F.coalesce(tau if tau is not None else zero, zero) - penalty * (1 - covered)
 
 
+def omission(gt: Column, easy: Column) -> Column:
+    """struct(beats, punished): whether leaving out the rest behind an easy beginning would pay without a coverage term, and whether that term prevents it.
+
+    The beginning alone is compared with a whole reading whose rest is wrong.
+    """
+    whole = F.concat(easy, F.lit(" "), F.repeat(F.lit("x"), F.greatest(F.lit(1), F.char_length(gt) - F.char_length(easy))))
+    g = graphemes(gt)
+    part, full = emitted_accuracy(g, graphemes(easy)), emitted_accuracy(g, graphemes(whole))
+    covered_by = covered(gt, easy)
+    return F.struct(((reward(part, covered_by, penalty=0.0) > reward(full, covered(gt, whole), penalty=0.0) - 1e-9) & (covered_by < covered(gt, whole))).alias("beats"), (reward(part, covered_by) < reward(part, covered_by, penalty=0.0)).alias("punished"))
+
+
 def charset(c: Column, trained: str, image: str) -> Column:
     """Counts and fractions of clusters in the trained, the image's and other scripts; fractions are null for blank texts."""
     g = F.filter(graphemes(c), lambda x: whitespace(x) != "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions import text
 from lipika.operators import classify
 from lipika.plans.registry import query
-from lipika.plans.views import CALLS, LATEST, READINGS, READS, TEXTS, calls, clusters_read, clusters_sql, last_readings, phonetic_sql, readings, signals_sql, tier1_sql, ws_sql
+from lipika.plans.views import CALLS, LATEST, READINGS, READS, TEXTS, calls, clusters_read, clusters_sql, glyphs_sql, last_readings, phonetic_sql, readings, signals_sql, tier1_sql, ws_sql
 from lipika.session import load
 
 
@@ -164,18 +164,21 @@ def b16_curve_interpretation(spark: SparkSession, root: str) -> DataFrame:
 
 
 _FEAS = f"""{READINGS}, g as (select language, avg((bucket = 'TIER1')::int) filter (where engine = 'tesseract') as a, avg((bucket = 'TIER1')::int) filter (where engine = 'surya') as b, avg((bucket = 'TIER1')::int) filter (where engine = 'paddleocr') as c from readings group by language),
-  i as (select language, count(*) filter (where k >= 2) as common from (select language, image_id, count(distinct engine) as k from readings group by all) group by language)"""
+  t as (select language, engine, glyph from (select language, engine, unnest({glyphs_sql('gt')}) as glyph from readings) group by all having count(*) >= 5),
+  i as (select language, count(*) filter (where k >= 2) as common from (select language, glyph, count(*) as k from t group by all) group by language)"""
 
 
 @query(f"""with {_FEAS} select g.language, array_to_string(list_filter([case when coalesce(a, 0) < 0.05 then 'natural below 5 %' end, case when coalesce(b, 1) < 0.02 and coalesce(c, 1) < 0.02 then 'flattened and inverted below 2 %' end,
-  case when coalesce(b, 0) < 0.05 then 'flattened below 5 %' end, case when common < 50 then 'fewer than 50 in common' end], lambda x: x is not null), '; ') as reasons from g join i on g.language is not distinct from i.language""")
+  case when coalesce(b, 0) < 0.05 then 'flattened below 5 %' end, case when common < 50 then 'fewer than 50 in common' end], lambda x: x is not null), '; ') as reasons from (select g.language, a, b, c, coalesce(common, 0) as common from g left join i on g.language is not distinct from i.language) g""")
 def b17_feasibility(spark: SparkSession, root: str) -> DataFrame:
-    """Reasons against comparing three conditions (the engines stand for them) within a language."""
+    """Reasons against comparing three conditions (the engines stand for them) within a language; glyphs seen five times in two of them are in common."""
     r = readings(spark, root)
     acc = lambda e: F.avg(F.when(F.col("engine") == e, (F.col("bucket") == "TIER1").cast("double")))
     g = r.groupBy("language").agg(acc("tesseract").alias("a"), acc("surya").alias("b"), acc("paddleocr").alias("c"))
-    i = r.groupBy("language", "image_id").agg(F.count_distinct("engine").alias("k")).groupBy(F.col("language").alias("l")).agg(F.count_if(F.col("k") >= 2).alias("common"))
-    return g.join(i, g.language.eqNullSafe(i.l)).select("language", F.array_join(classify.feasibility(F.col("a"), F.col("b"), F.col("c"), F.col("common")), "; ").alias("reasons"))
+    t = r.select("language", "engine", F.explode(text.glyph_clusters(F.col("gt"))).alias("glyph")).groupBy("language", "engine", "glyph").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    i = t.groupBy("language", "glyph").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("language").alias("l")).agg(F.count_if(F.col("k") >= 2).alias("common"))
+    common = F.coalesce("common", F.lit(0))
+    return g.join(F.broadcast(i), g.language.eqNullSafe(i.l), "left").select("language", F.array_join(classify.feasibility(F.col("a"), F.col("b"), F.col("c"), common), "; ").alias("reasons"))
 
 
 @query(f"""with {READINGS}, c as (select language, unnest({clusters_sql('gt')}) as ch from readings)

@@ -144,6 +144,21 @@ def h13_emitted_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return d.groupBy("engine").agg(mean("whole", "char_acc"), mean("emitted", "emitted_acc"), mean("covered", "coverage"), mean(text.reward(e, c), "reward"), mean(text.reward(e, c, penalty=0.0), "reward_lambda0"))
 
 
+_COVER = "case when len(g) = 0 then 1.0 else list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))) / len(g) end"
+_H14 = f"""{READINGS}, t as materialized (select row_number() over () as k, gt, substr(gt, 1, length(gt) // 2) as easy from (select distinct gt from readings where length(gt) > 1)),
+  w as materialized (select k, gt, {clusters_sql('gt')} as g, {clusters_sql('easy')} as e, {clusters_sql("easy || ' ' || repeat('x', greatest(1, length(gt) - length(easy)))")} as f from t),
+  parts as materialized (select k, g[1:len(e)] as a, e as b from w), {distance_sql('parts', 'part')}, wholes as materialized (select k, g[1:len(f)] as a, f as b from w), {distance_sql('wholes', 'wide')},
+  s as (select gt, greatest(0, 1 - p.dist / len(e)) as part, greatest(0, 1 - d.dist / len(f)) as full_acc, {_COVER.format(b='e')} as ce, {_COVER.format(b='f')} as cf from w join part p using (k) join wide d using (k))"""
+
+
+@query(f"with recursive {_H14} select language, count(*) as n, count(*) filter (where part > full_acc - 1e-9 and ce < cf) as beats, count(*) filter (where ce < 1) as punished from readings join s using (gt) group by language")
+def h14_omission_signal(spark: SparkSession, root: str) -> DataFrame:
+    """How often leaving out the second half of a text would pay, and how often the coverage term lowers its reward."""
+    d = readings(spark, root).where(F.char_length("gt") > 1)
+    o = text.omission(F.col("gt"), F.expr("substring(gt, 1, cast(floor(char_length(gt) / 2) as int))"))
+    return d.select("language", o.alias("o")).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_if("o.beats").alias("beats"), F.count_if("o.punished").alias("punished"))
+
+
 @query(f"""with f as (select ch, count(*) as n from (select unnest({clusters_sql('text')}) as ch from line_gt where text is not null) where ch <> '' group by ch), v as (select ch, row_number() over (order by n desc, ch) + 3 as id from f where n >= 2),
   t as (select probe_id, unnest({clusters_sql('ground_truth')}) as ch from sarvam_transfer_probe where ground_truth is not null) select probe_id, sum(coalesce(id, 3))::bigint + 3 as id_sum, count(*) + 2 as n, count(*) filter (where id is null) as rare from t left join v using (ch) where t.ch <> '' group by probe_id""")
 def h15_encode(spark: SparkSession, root: str) -> DataFrame:

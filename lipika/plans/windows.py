@@ -62,13 +62,13 @@ def e5_roc_points(spark: SparkSession, root: str) -> DataFrame:
     return r.select("score", F.round(F.try_divide("fp", "n"), 9).alias("fpr"), F.round(F.try_divide("tp", "p"), 9).alias("tpr"))
 
 
-@query("""with w as (select line_id, string_split(text, ' ') as t from line_gt where text is not null and text <> ''), b as (select t[i] as a, t[i + 1] as b from (select t, unnest(range(1, len(t))) as i from w)) select a, b, count(*) as n from b group by a, b""")
+@query(f"""with w as (select {glyphs_sql('text')} as t from line_gt where text is not null), b as (select case when i = 0 then '' else t[i] end as a, t[i + 1] as b from (select t, unnest(range(0, len(t))) as i from w)) select a, b, count(*) as n from b group by a, b""")
 def e7_adjacent_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Word bigrams of lines, within each array."""
-    t = F.split("text", " ")
-    pairs = F.when(F.size(t) > 1, F.arrays_zip(F.slice(t, F.lit(1), F.size(t) - 1).alias("a"), F.slice(t, F.lit(2), F.size(t) - 1).alias("b")))
-    d = load(spark, root, "line_gt").where("text <> ''").select(F.explode(pairs).alias("p"))
-    return d.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    """Glyph bigrams of lines, within each array; under an empty first glyph the counts of those that begin a line."""
+    g = text.glyph_clusters(F.col("text"))
+    d = load(spark, root, "line_gt").where("text is not null").select(F.concat(F.array(F.lit("")), g).alias("t"))
+    pairs = F.when(F.size("t") > 1, F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("a"), F.slice("t", F.lit(2), F.size("t") - 1).alias("b")))
+    return d.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {READINGS}, w as (select row_no, string_split({ws_sql('hyp')}, ' ') as t from readings where {ws_sql('hyp')} <> ''), u as (select row_no, i, t[i] as x from (select row_no, t, unnest(range(1, len(t) + 1)) as i from w)),
