@@ -44,7 +44,7 @@ TOGETHER = 1_000_000
 HITS = 2_000_000
 #: Folded code points by which a stretch may be interrupted.
 GAP = 48
-LANE = 2048
+LANE = 256
 #: Slots of the shift table, as a power of two: at least so many, and four for each window.
 HASH_BITS = 20
 
@@ -325,6 +325,7 @@ class Finder:
         self.need = np.array([x.least for x in self.items], np.int64)
         self.first, self.first_word = np.cumsum(self.size + 1) - self.size - 1, np.cumsum(self.words) - self.words
         self.flat = np.concatenate([np.r_[x.codes, np.zeros(1, np.uint32)] for x in self.items]) if texts else np.zeros(0, np.uint32)
+        self.closed = np.where(self.flat == 0, np.uint32(0xFFFFFFFF), self.flat)
         self.unit = np.concatenate([np.r_[x.unit, np.zeros(1, np.int32)] for x in self.items]) if texts else np.zeros(0, np.int32)
         self.sizes = np.concatenate([x.sizes for x in self.items]) if texts else np.zeros(0, np.int64)
         window = np.array([x.window for x in self.items], np.int64)
@@ -357,7 +358,7 @@ class Finder:
         idx = _ranges(search.start[k], reps)
         pos, doc = np.repeat(at, reps), np.repeat(doc, reps)
         item, off = search.who[idx], search.where[idx]
-        order = np.lexsort((off, item, doc))
+        order = np.argsort((doc.astype(np.int64) * len(self.items) + item << 24) + off, kind="stable")
         pos, item, off, doc = pos[order], item[order], off[order], doc[order]
         new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
         pair, item, doc = np.cumsum(new) - 1, item[new], doc[new]
@@ -380,7 +381,8 @@ class Finder:
 
         Runs shorter than 3 are left out, but for items of which single letters are searched for.
         """
-        padded = np.r_[np.zeros(1, codes.dtype), codes, np.zeros(1, codes.dtype)]
+        edge = np.zeros(int(self.size.max()) + 1, codes.dtype)
+        padded = np.concatenate([edge, codes, edge])
         size = self.size[item[pair]] + 1
         total = np.cumsum(size)
         s = 0
@@ -389,14 +391,17 @@ class Finder:
             e = int(np.searchsorted(pair, pair[e], side="left")) if e < len(pair) else e
             e = e if e > s else int(np.searchsorted(pair, pair[s], side="right"))
             n, who, first = size[s:e], pair[s:e], total[s:e] - size[s:e] - (total[s - 1] if s else 0)
-            within = np.arange(n.sum()) - np.repeat(first, n)
-            at = np.clip(within + np.repeat(diagonal[s:e], n), np.repeat(lo[who] - 1, n), np.repeat(hi[who], n))  # beyond the document is a separator
-            eq = np.r_[False, padded[at + 1] == self.flat[within + np.repeat(self.first[item[who]], n)]]
-            eq[1:] &= within < np.repeat(n - 1, n)
+            step = np.arange(n.sum())
+            at, of = np.repeat(diagonal[s:e] + len(edge) - first, n), np.repeat(self.first[item[who]] - first, n)
+            at += step
+            of += step
+            eq = np.zeros(len(step) + 1, bool)
+            np.equal(padded[at], self.closed[of], out=eq[1:])  # an item's end equals nothing
             start = np.flatnonzero(eq[1:] & ~eq[:-1])
             stop = np.flatnonzero(eq[:-1] & ~eq[1:])
             line = np.searchsorted(first, start, side="right") - 1
-            long = stop - start >= np.minimum(3, -(-n[line] // 2))
+            there = start - first[line] + diagonal[s:e][line]
+            long = (stop - start >= np.minimum(3, -(-n[line] // 2))) & (there >= lo[who[line]]) & (there < hi[who[line]])  # runs end with their document
             start, stop, line = start[long], stop[long], line[long]
             found = np.stack([who[line], start - first[line], stop - first[line], start - first[line] + diagonal[s:e][line]], 1)
             cut = np.r_[_heads(found[:, 0]), len(found)]
