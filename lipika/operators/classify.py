@@ -43,32 +43,45 @@ def position_bucket(i: Column) -> Column:
     return out
 
 
+# Sizes (as parts of the page) by which a page's layout is told, and the names of layouts.
+LAYOUT = {
+    "table_height": 0.18, "table_width": 0.25, "table_area": 0.08, "body_width": 0.20, "body_height": 0.15, "column_gap": 0.25,
+    "left_edge": 0.08, "right_edge": 0.92, "margin_width": 0.18, "margin_height": 0.20,
+}
+LAYOUTS = ("form", "table-embedded", "two-column", "marginalia", "single-column")
+# How two clusters are alike, and how many code points apart neighbours lie.
+TAGS = ("empty", "identical", "same-base-matra-diff", "same-base", "adjacent-codepoint", "both-devanagari", "dissimilar")
+NEIGHBOURS = 5
+
+
 def layout_category(regions: Column) -> Column:
-    """form, table-embedded, two-column, marginalia or single-column: from specific to general.
+    """The first of :data:`LAYOUTS` whose test the regions of a page pass; the last has none.
 
-    A real table is large in both directions, or all tables cover 0.08 of the
-    page; columns are text bodies whose centres lie 0.25 apart; margins are
-    named so, or thin tall regions at an edge.
+    Any form field makes a form. One large table, or enough table area in all,
+    makes a page with tables. Two text bodies side by side are told by how far
+    apart their centres lie. A region of kind margin, or a narrow and tall one
+    near the left or right border, makes marginalia.
     """
+    x = LAYOUT
     kind = lambda r, name: F.coalesce(r["kind"], F.lit("")) == name
     tables = F.filter(regions, lambda r: kind(r, "table"))
     area = F.aggregate(tables, F.lit(0.0), lambda a, r: a + r["width"] * r["height"])
-    table = F.exists(tables, lambda r: (r["height"] >= 0.18) & (r["width"] >= 0.25)) | (area >= 0.08)
-    bodies = F.transform(F.filter(regions, lambda r: kind(r, "text") & (r["width"] >= 0.20) & (r["height"] >= 0.15)), lambda r: r["x"] + r["width"] / 2)
-    spread = (F.size(bodies) >= 2) & (F.array_max(bodies) - F.array_min(bodies) >= 0.25)
-    edge = F.exists(regions, lambda r: ((r["x"] < 0.08) | (r["x"] + r["width"] > 0.92)) & (r["width"] < 0.18) & (r["height"] > 0.20))
-    return F.when(F.exists(regions, lambda r: kind(r, "form_field")), "form").when(table, "table-embedded").when(spread, "two-column").when(F.exists(regions, lambda r: kind(r, "margin")) | edge, "marginalia").otherwise("single-column")
+    table = F.exists(tables, lambda r: (r["height"] >= x["table_height"]) & (r["width"] >= x["table_width"])) | (area >= x["table_area"])
+    bodies = F.transform(F.filter(regions, lambda r: kind(r, "text") & (r["width"] >= x["body_width"]) & (r["height"] >= x["body_height"])), lambda r: r["x"] + r["width"] / 2)
+    spread = (F.size(bodies) >= 2) & (F.array_max(bodies) - F.array_min(bodies) >= x["column_gap"])
+    border = lambda r: (r["x"] < x["left_edge"]) | (r["x"] + r["width"] > x["right_edge"])
+    margin = F.exists(regions, lambda r: kind(r, "margin") | (border(r) & (r["width"] < x["margin_width"]) & (r["height"] > x["margin_height"])))
+    tests = (F.exists(regions, lambda r: kind(r, "form_field")), table, spread, margin)
+    return F.coalesce(*[F.when(t, name) for t, name in zip(tests, LAYOUTS)], F.lit(LAYOUTS[-1]))
 
 
 def confusion_tag(a: Column, b: Column) -> Column:
-    """How two clusters are alike, by their first code points."""
+    """How two clusters are alike, by their first code points: the first of :data:`TAGS` that fits."""
     x, y = F.ascii(a), F.ascii(b)
     both = x.between(0x0900, 0x097F) & y.between(0x0900, 0x097F)
     empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
-    return (
-        F.when(empty, "empty").when(a == b, "identical").when((x == y) & (F.char_length(a) != F.char_length(b)), "same-base-matra-diff").when(x == y, "same-base")
-        .when(both & (F.abs(x - y) <= 5), "adjacent-codepoint").when(both, "both-devanagari").otherwise("dissimilar")
-    )
+    tests = (empty, a == b, (x == y) & (F.char_length(a) != F.char_length(b)), x == y, both & (F.abs(x - y) <= NEIGHBOURS), both)
+    return F.coalesce(*[F.when(t, name) for t, name in zip(tests, TAGS)], F.lit(TAGS[-1]))
 
 
 def curve_reading(points: Column, first_loss: Column, last_loss: Column, gap_change: Column) -> Column:

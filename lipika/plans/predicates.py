@@ -122,14 +122,15 @@ def b12_adjudicated(spark: SparkSession, root: str) -> DataFrame:
     return _notes(spark, root).groupBy("engine").agg(F.count_if(classify.adjudicated(F.col("label"), F.col("outcome"))).alias("adjudicated"), F.count(F.lit(1)).alias("n"))
 
 
+_L = classify.LAYOUT
 _T = "list_filter(regions, lambda r: coalesce(r.kind, '') = 'table')"
-_C = "list_transform(list_filter(regions, lambda r: coalesce(r.kind, '') = 'text' and r.width >= 0.20 and r.height >= 0.15), lambda r: r.x + r.width / 2)"
+_C = f"list_transform(list_filter(regions, lambda r: coalesce(r.kind, '') = 'text' and r.width >= {_L['body_width']} and r.height >= {_L['body_height']}), lambda r: r.x + r.width / 2)"
 
 
 @query(f"""select case when len(list_filter(regions, lambda r: coalesce(r.kind, '') = 'form_field')) > 0 then 'form'
-  when len(list_filter({_T}, lambda r: r.height >= 0.18 and r.width >= 0.25)) > 0 or coalesce(list_sum(list_transform({_T}, lambda r: r.width * r.height)), 0) >= 0.08 then 'table-embedded'
-  when len({_C}) >= 2 and list_max({_C}) - list_min({_C}) >= 0.25 then 'two-column'
-  when len(list_filter(regions, lambda r: coalesce(r.kind, '') = 'margin' or ((r.x < 0.08 or r.x + r.width > 0.92) and r.width < 0.18 and r.height > 0.20))) > 0 then 'marginalia'
+  when len(list_filter({_T}, lambda r: r.height >= {_L['table_height']} and r.width >= {_L['table_width']})) > 0 or coalesce(list_sum(list_transform({_T}, lambda r: r.width * r.height)), 0) >= {_L['table_area']} then 'table-embedded'
+  when len({_C}) >= 2 and list_max({_C}) - list_min({_C}) >= {_L['column_gap']} then 'two-column'
+  when len(list_filter(regions, lambda r: coalesce(r.kind, '') = 'margin' or ((r.x < {_L['left_edge']} or r.x + r.width > {_L['right_edge']}) and r.width < {_L['margin_width']} and r.height > {_L['margin_height']}))) > 0 then 'marginalia'
   else 'single-column' end as derived, count(*) as n from layout_bank group by 1""")
 def b13_layout_category(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, root, "layout_bank").groupBy(classify.layout_category(F.col("regions")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
@@ -137,7 +138,7 @@ def b13_layout_category(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""with recursive {READS}, ends as (select true_cluster as a, coalesce(predicted_cluster, '') as b from readings join texts using (gt, hyp) join reads using (k)),
   o as (select a, b, ord(a) as x, ord(b) as y from ends), z as (select *, x between 2304 and 2431 and y between 2304 and 2431 as deva from o)
-  select case when a = '' or b = '' then 'empty' when a = b then 'identical' when x = y and length(a) <> length(b) then 'same-base-matra-diff' when x = y then 'same-base' when deva and abs(x - y) <= 5 then 'adjacent-codepoint'
+  select case when a = '' or b = '' then 'empty' when a = b then 'identical' when x = y and length(a) <> length(b) then 'same-base-matra-diff' when x = y then 'same-base' when deva and abs(x - y) <= {classify.NEIGHBOURS} then 'adjacent-codepoint'
   when deva then 'both-devanagari' else 'dissimilar' end as tag, count(*) as n from z group by 1""")
 def b14_confusion_tag(spark: SparkSession, root: str) -> DataFrame:
     """How each cluster of a text and what it is read as are alike; 'empty' if it is read as nothing."""

@@ -26,6 +26,7 @@ def test_graphemes(spark):
 
 
 def test_tier1(spark):
+    # Pairs of writings that are one reading.
     same = [("२०२४", "2024"), ("तिम्रा।", "तिम्रा."), ("हिन्दी", "हिंदी"), ("सम्बन्ध", "सम्बंध"), ("है ।", "है।"), ("यह।", "यह|"), ("रात॥", "रात .."), ("a \n b", "a b"), ("ত্‍", "ৎ"), ("||", "॥")]
     got = col(spark, [*same, ("अ", "आ"), ("", " ")], lambda a, b: t.tier1(a) == t.tier1(b), ["a", "b"])
     assert got == [True] * len(same) + [False, True]
@@ -50,6 +51,7 @@ def test_cluster_distance_and_rates(spark):
 
 
 def test_signals(spark):
+    # The first pairs.
     f = lambda g: lambda a, b: g(a, b)
     pairs = [("राम", "राम राम राम राम"), ("राम सीता लक्ष्मण", "सीता राम लक्ष्मण"), ("राम", "श्याम"), ("राम", ""), ("a b", "x a b a b a b"), ("hello you", "hello you hello you")]
     assert col(spark, pairs, f(t.repeated_text), ["a", "b"]) == [True, False, False, False, True, True]
