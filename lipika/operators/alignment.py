@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of score tables held at once.
-CELLS = 4_000_000
+CELLS = 500_000
 
 
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -68,9 +68,16 @@ def substitutions(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(key, F.col(a), F.col(b)).mapInArrow(align, f"{key} {kind}, true_cluster string, predicted_cluster string, gt_index int, pred_index int")
 
 
+def _common_end(a: list[str], b: list[str]) -> int:
+    most = min(len(a), len(b))
+    return next((k for k in range(most) if a[-1 - k] != b[-1 - k]), most)
+
+
 def aligned_many(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[int, int]]]:
     """:func:`aligned` of each pair, for many pairs of like lengths in lockstep."""
     out: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    ends = [_common_end(a, b) for a, b in pairs]  # equal ends are aligned with each other in a best alignment, by the first choice
+    whole, pairs = pairs, [(a[: len(a) - e], b[: len(b) - e]) for (a, b), e in zip(pairs, ends)]
     todo = sorted((k for k, (a, b) in enumerate(pairs) if a and b), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
     code: dict[str, int] = {}
     s = 0
@@ -89,12 +96,13 @@ def aligned_many(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[in
             a, b = pairs[k]
             x[r, : len(a)] = [code.setdefault(c, len(code)) for c in a]
             y[r, : len(b)] = [code.setdefault(c, len(code)) for c in b]
-        score = np.empty((len(mine), n + 1, m + 1), np.int32)
-        step = np.arange(m + 1, dtype=np.int32)
+        kind = np.int16 if n + m < 30_000 else np.int32
+        score, step = np.empty((len(mine), n + 1, m + 1), kind), np.arange(m + 1, dtype=kind)
+        hit, miss = kind(1), kind(-1)
         score[:, 0] = -step
         for i in range(1, n + 1):
-            best = score[:, i - 1] - 1
-            np.maximum(best[:, 1:], score[:, i - 1, :-1] + np.where(y == x[:, i - 1, None], 1, -1), out=best[:, 1:])
+            best = score[:, i - 1] - hit
+            np.maximum(best[:, 1:], score[:, i - 1, :-1] + np.where(y == x[:, i - 1, None], hit, miss), out=best[:, 1:])
             score[:, i] = np.maximum.accumulate(best + step, axis=1) - step
         row = np.arange(len(mine))
         i, j = np.array([len(pairs[k][0]) for k in mine]), np.array([len(pairs[k][1]) for k in mine])
@@ -110,6 +118,8 @@ def aligned_many(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[in
         for r, i, j in reversed(steps):
             for k, u, v in zip(r.tolist(), i.tolist(), j.tolist()):
                 out[mine[k]].append((u, v))
+    for found, (a, b), e in zip(out, whole, ends):
+        found += zip(range(len(a) - e, len(a)), range(len(b) - e, len(b)))
     return out
 
 
