@@ -15,13 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from lipika.functions.digests import hash_orders
 from lipika.operators.ordering import numbered
-from lipika.operators.skew import broadcast_if_small
 from lipika.session import written
 
-#: Units whose ranks may be broadcast.
-UNITS = 1_000_000
-
 
 def hash_sample(df: DataFrame, by: Sequence[str], key: Column, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows of each group by order of a seeded hash; groups of fewer rows are whole."""
@@ -293,23 +290,75 @@ def binomial_quantile(n: int, p: float, q: float) -> int:
     return int(k[min(np.searchsorted(np.cumsum(np.exp(start + np.r_[0, np.cumsum(steps)])), q - 1e-12), len(k) - 1)])
 
 
+#: Units of a group that one task holds (about 40 bytes each) while it shuffles them; a larger group is shuffled by Spark.
+HELD = 10_000_000
+#: Units times draws of one task of shuffles, and parts into which the draws of a group go at most.
+SHUFFLED, PARTS = 5_000_000, 64
+#: Tasks of shuffles of all groups at most.
+MAX_TASKS = 1_000
+
+
 def permuted_spearman(units: DataFrame, by: Sequence[str], key: Column, x: str, y: str, draws: int, seed: str = "perm") -> DataFrame:
     """(by, n, rho, p): rank correlation of units, and the share of shuffles that reach it, counting the data once.
 
-    Each shuffle permutes the ranks of y by hash order; a shuffle of one group
-    is a task of its own. Null without at least three units or where a side is constant.
+    Each shuffle permutes the ranks of y by hash order. A task holds the ranks
+    of a group and makes a part of its shuffles from them, so a unit moves once
+    for each part of the draws and not for each draw. Null without at least
+    three units or where a side is constant.
     """
     from lipika.operators.stats import _with_rank
 
     by = list(by)
-    d = _with_rank(_with_rank(units.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "_rx").drop("n_all"), by, y, "_ry").drop("n_all")
-    d = written(numbered(d, by, [key], "_i").select(*by, F.col("_i").cast("long"), "_rx", "_ry"), "ranked")
+    u = written(units.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, key.alias("_key"), x, y), "units")
+    d = _with_rank(_with_rank(u, by, x, "_rx").drop("n_all"), by, y, "_ry").drop("n_all")
+    d = written(numbered(d, by, [F.col("_key")], "_i", "_n").select(*by, F.col("_n").cast("long"), F.col("_i").cast("long"), "_rx", "_ry"), "ranked")
+    parts = F.least(F.lit(PARTS), F.lit(draws), F.ceil(F.col("_n") * draws / SHUFFLED)).cast("int")
+    tasks, most = d.where("_i = 1").agg(F.sum(parts), F.max("_n")).first()
+    hits = _held_shuffles(d.where(F.col("_n") <= HELD), by, parts, min(tasks or 1, MAX_TASKS), draws, seed)
+    if (most or 0) > HELD:
+        hits = hits.unionByName(_sorted_shuffles(d.where(F.col("_n") > HELD), by, draws, seed))
+    p = (F.sum("hits") + 1) / (F.lit(draws) + 1)
+    return hits.groupBy(*by, "n").agg(F.max("rho").alias("rho"), F.when((F.col("n") >= 3) & F.max("rho").isNotNull(), p).alias("p"))
+
+
+def _held_shuffles(d: DataFrame, by: list[str], parts: Column, tasks: int, draws: int, seed: str) -> DataFrame:
+    """(by, n, rho, hits) for each part of a group's draws: how many of its shuffles reach the correlation."""
+    schema = StructType([*[d.schema[c] for c in by], StructField("n", LongType()), StructField("rho", DoubleType()), StructField("hits", LongType())])
+
+    def shuffle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, last = (k.as_py() for k in key[len(by) :])
+        ranks = np.empty((2, n))
+        for batch in batches:
+            ranks[:, batch.column("_i").to_numpy() - 1] = [batch.column(c).to_numpy() for c in ("_rx", "_ry")]
+        ranks -= (n + 1) / 2  # the ranks' mean, so a constant side gives exactly 0
+        rho, hits = shuffles_that_reach(*ranks, first, last, seed)
+        columns = [*key[: len(by)], *(pa.scalar(v, t) for v, t in ((n, pa.int64()), (rho, pa.float64()), (hits, pa.int64())))]
+        yield pa.RecordBatch.from_arrays([pa.array([c.as_py()], c.type) for c in columns], [f.name for f in schema])
+
+    cut = lambda k: F.floor(k * draws / F.col("_parts")).cast("int")
+    t = d.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    t = t.select(*by, "_n", cut(F.col("_part")).alias("_first"), cut(F.col("_part") + 1).alias("_last"), "_i", "_rx", "_ry")
+    return t.repartition(tasks, *by, "_first").groupBy(*by, "_n", "_first", "_last").applyInArrow(shuffle, schema)
+
+
+def shuffles_that_reach(x: np.ndarray, y: np.ndarray, first: int, last: int, seed: str) -> tuple[float | None, int]:
+    """(rho, hits): correlation of two sides of centred ranks, and how many of the shuffles from ``first`` to below ``last`` are as far from 0."""
+    n, norm = len(x), math.sqrt(x @ x) * math.sqrt(y @ y)
+    if n < 3 or not norm:
+        return (float(x @ y / norm) if norm else None), 0
+    least, hits, step = abs(x @ y) - 1e-12 * norm, 0, max(1, CELLS // n)
+    for d in range(first, last, step):
+        hits += int(np.count_nonzero(np.abs(x[hash_orders(seed, d, min(last, d + step), n)] @ y) >= least))
+    return float(x @ y / norm), hits
+
+
+def _sorted_shuffles(d: DataFrame, by: list[str], draws: int, seed: str) -> DataFrame:
+    """As :func:`_held_shuffles`, for groups that no task holds: every draw of every unit is a row, sorted by Spark; a shuffle of one group is a task of its own."""
     rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
-    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+    base = d.groupBy(*by, F.col("_n").alias("n")).agg(rho.alias("rho"))
     shuffled = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "draw", "_i")))
     place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy("_h", "_i"))
     order = shuffled.select(*by, "draw", "_rx", place.cast("long").alias("_i"))
-    stats = order.join(broadcast_if_small(d.select(*by, "_i", "_ry"), UNITS), [*by, "_i"]).groupBy(*by, "draw").agg(rho.alias("r"))
+    stats = order.join(d.select(*by, "_i", "_ry"), [*by, "_i"]).groupBy(*by, "draw").agg(rho.alias("r"))
     joined = stats.join(F.broadcast(base), by) if by else stats.crossJoin(F.broadcast(base))
-    p = (F.count_if(F.abs("r") >= F.abs("rho") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)
-    return joined.groupBy(*by, "n", "rho").agg(F.when((F.col("n") >= 3) & F.first("rho").isNotNull(), p).alias("p"))
+    return joined.groupBy(*by, "n", "rho").agg(F.count_if(F.abs("r") >= F.abs("rho") - 1e-12).alias("hits"))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -6,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.functions import arrays, special
+from lipika.functions import arrays, digests, special
 from lipika.operators import aggregates, alignment, classify, joins, ordering, sampling, skew, stats
 
 
@@ -177,3 +178,49 @@ def test_confusions_of_whole_texts(spark, tmp_path):
     assert run("f1_top_confusions") == [("म", "न", 3)]
     assert run("b14_confusion_tag") == [("both-devanagari", 3), ("empty", 3), ("identical", 6)]
     assert run("c16_exposure_accuracy") == [("hindi", 3, 0.5)]
+
+
+def test_hash_orders_are_those_of_md5():
+    md5 = lambda d, k: hashlib.md5(f"perm|{d}|{k + 1}".encode()).hexdigest()
+    for n, first, last in ((1, 0, 3), (12, 95, 1003), (1234, 9, 12), (120_000, 10_000, 10_002)):
+        order = digests.hash_orders("perm", first, last, n)
+        for d in range(first, last):
+            assert order[d - first].tolist() == sorted(range(n), key=lambda k: (md5(d, k), k))
+    by_32_bits = [sorted(range(n), key=lambda k: md5(d, k)[:8]) for d in (10_000, 10_001)]
+    assert order.tolist() != by_32_bits  # whole digests had to decide
+    with pytest.raises(ValueError):
+        digests.hash_orders("s" * 60, 0, 1, 3)
+
+
+def _shuffled_records(spark, run):
+    """What ``run`` returns, and the rows that its stages wrote for shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = lambda: store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+    last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = stages()
+    return out, sum(x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size())) if x.stageId() > last)
+
+
+def test_permuted_spearman_moves_units_not_draws(spark, monkeypatch):
+    r, draws = random.Random(3), 400
+    groups = {"a": [(r.randrange(6), r.random()) for _ in range(130)], "b": [(i, i + r.randrange(9)) for i in range(15)], "few": [(1, 2), (2, 1)], "same": [(1, i) for i in range(9)]}
+    rows = [(g, i, float(x), float(y)) for g, units in groups.items() for i, (x, y) in enumerate(units)]
+    want = {"few": (2, -1.0, None), "same": (9, None, None)}
+    for g in "ab":
+        x, y = (pd.Series(v).rank().to_numpy() for v in zip(*groups[g]))
+        rho, n = np.corrcoef(x, y)[0, 1], len(x)
+        orders = [sorted(range(n), key=lambda i: hashlib.md5(f"perm|{d}|{i + 1}".encode()).hexdigest()) for d in range(draws)]
+        want[g] = (n, rho, (1 + sum(abs(np.corrcoef(x[o], y)[0, 1]) >= abs(rho) - 1e-12 for o in orders)) / (draws + 1))
+    units = spark.createDataFrame(rows + [("a", 999, None, 1.0)], "g string, i long, x double, y double").repartition(3)
+    run = lambda: {t.g: (t.n, t.rho, t.p) for t in sampling.permuted_spearman(units, ["g"], F.col("i"), "x", "y", draws).collect()}
+    same = lambda got: got.keys() == want.keys() and all(a == b if a is None or b is None else a == pytest.approx(b) for g in want for a, b in zip(got[g], want[g]))
+    monkeypatch.setattr(sampling, "SHUFFLED", 10_000)  # six parts of a's draws
+    got, moved = _shuffled_records(spark, run)
+    assert same(got) and moved < 40 * len(rows)
+    monkeypatch.setattr(sampling, "HELD", 50)  # a is shuffled by Spark
+    got, by_draw = _shuffled_records(spark, run)
+    assert same(got) and by_draw > draws * 130
